@@ -90,28 +90,41 @@ class Findings:
         return (self.injection, self.pii, self.keyword)
 
 
-def scan(df: DataFrame, text: str, is_file: Column,
-         keywords: Sequence[str] = rules.KEYWORDS) -> tuple[DataFrame, Findings]:
-    """Add the findings of both profiles; ``is_file`` picks the profile per row.
+@dataclass(frozen=True)
+class Staged:
+    """A DataFrame with the lower-cased text, anchor flags and family hits as columns."""
 
-    No shuffle and no Python: a chain of projections over the text column. With a
-    literal ``is_file`` the other profile's detectors are folded away.
+    df: DataFrame
+    folded: Column
+    raw: Column
+    flags: dict[str, Column]
+
+    def hit(self, family: str) -> Column:
+        return F.col(f"_gs_f_{family}")
+
+    def target(self, family: rules.Family) -> Column:
+        return self.raw if family.raw else self.folded
+
+
+def stage(df: DataFrame, text: str, is_file: Column,
+          keywords: Sequence[str] = ()) -> Staged:
+    """Add the columns that all detectors share.
+
+    One projection per step: an expression that later steps use several times stays in
+    its own projection and is computed once per row.
     """
-    out = Findings()
     by_name = rules.families("text")
     common = rules.families("file")
     extra = [p for p in by_name["nosql"].patterns if p in rules.TEXT_ONLY_SIGNATURES]
-
     searched = [p for f in by_name.values() for p in f.patterns] + \
                [k for k in keywords if not T.is_single_token(k)]
     marks = T.anchors_of(searched)
     flag_name = {mark: f"_gs_a{ord(mark)}" for mark in marks}
 
-    kept = df.columns
     staged = df.withColumn("_gs_lower", F.when(is_file, T.ascii_lower(F.col(text)))
                            .otherwise(T.unicode_lower(F.col(text))))
     folded, raw = F.col("_gs_lower"), F.col(text)
-    staged = staged.withColumns({"_gs_rare": folded.rlike(T.rare_regex(marks))})
+    staged = staged.withColumn("_gs_rare", folded.rlike(T.rare_regex(marks)))
     staged = staged.withColumns({
         flag_name[m]: T.anchor_test(folded, m) if m == T.DOT
         else F.col("_gs_rare") & T.anchor_test(folded, m)
@@ -122,26 +135,34 @@ def scan(df: DataFrame, text: str, is_file: Column,
 
     found = {}
     for name, family in common.items():
-        target = raw if family.raw else folded
-        hit = T.contains_any(target, family.patterns, flags)
+        hit = T.contains_any(raw if family.raw else folded, family.patterns, flags)
         if name == "nosql" and extra:
             hit = hit | (~is_file & T.contains_any(folded, extra, flags))
         found[f"_gs_f_{name}"] = hit
-    staged = staged.withColumns(found)
-
-    first = [f for f in common.values() if not f.every]
-    every = [f for f in common.values() if f.every]
-    injection = F.concat(
-        *[F.when(F.col(f"_gs_f_{f.name}"), F.array(F.lit(f.message)))
-           .otherwise(T.empty_strings()) for f in first],
-        *[every_issue(folded, f, F.col(f"_gs_f_{f.name}")) for f in every],
-    )
-    keyword = ~is_file & F.coalesce(T.contains_keyword(folded, keywords, flags), F.lit(False))
-    pii = F.when(is_file, detect_pii(raw)).otherwise(T.empty_strings())
-    staged = staged.select(
-        *kept,
+    return Staged(staged.withColumns(found), folded, raw, flags)
+
+
+def scan(df: DataFrame, text: str, is_file: Column,
+         keywords: Sequence[str] = rules.KEYWORDS) -> tuple[DataFrame, Findings]:
+    """Add the findings of both profiles; ``is_file`` picks the profile per row.
+
+    No shuffle and no Python: a chain of projections over the text column. With a
+    literal ``is_file`` the other profile's detectors are folded away.
+    """
+    out = Findings()
+    staged = stage(df, text, is_file, keywords)
+    injection = F.concat(*[
+        every_issue(staged.target(f), f, staged.hit(f.name)) if f.every
+        else F.when(staged.hit(f.name), F.array(F.lit(f.message))).otherwise(T.empty_strings())
+        for f in rules.families("file").values()
+    ])
+    keyword = ~is_file & F.coalesce(
+        T.contains_keyword(staged.folded, keywords, staged.flags), F.lit(False))
+    pii = F.when(is_file, detect_pii(staged.raw)).otherwise(T.empty_strings())
+    found = staged.df.select(
+        *df.columns,
         F.coalesce(injection, T.empty_strings()).alias(out.injection),
         F.coalesce(pii, T.empty_strings()).alias(out.pii),
         keyword.alias(out.keyword),
     )
-    return staged, out
+    return found, out
