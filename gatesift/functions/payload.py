@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatesift import rules
+from gatesift.functions.text import quote
 
 PDF_MAGIC_HEX = "25504446"  # fixed value: "%PDF"
 
@@ -13,6 +14,8 @@ PDF_MAGIC_HEX = "25504446"  # fixed value: "%PDF"
 _UNPRINTABLE = (
     r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^\s\p{Z}\x1C-\x1F\x85]]"
 )
+_NOT_ASCII = r"[^\x00-\x7F]"
+_NOT_ALPHABET = "[^A-Za-z0-9+/=]+"
 _DIGIT = "[A-Za-z0-9+/]"
 _PLAIN = rf"^{_DIGIT}*={{0,2}}\z"
 # Whole quads with stray padding between their characters, then one padded quad whose
@@ -23,93 +26,77 @@ _STRAY = (
 )
 
 
-def _is_clean(payload: Column) -> Column:
-    return payload.rlike(_PLAIN) & (F.octet_length(payload) % 4 == 0)
+def _is_clean_sql(payload: str) -> str:
+    return f"({payload} RLIKE {quote(_PLAIN)} AND octet_length({payload}) % 4 = 0)"
 
 
-def _unbroken(payload: Column) -> Column:
-    """The payload without line breaks, the usual reason for it not being clean."""
-    return F.replace(F.replace(payload, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
+def with_decoded_base64(df: DataFrame, payload: str, output: str) -> DataFrame:
+    """Add the bytes of a base64 payload; NULL if it is not valid.
 
-
-def _alphabet_only(payload: Column) -> Column:
-    return F.regexp_replace(payload, "[^A-Za-z0-9+/=]+", "")
-
-
-def _decode_stray(kept: Column) -> Column:
-    data = F.replace(F.concat(F.regexp_extract(kept, _STRAY, 1),
-                              F.regexp_extract(kept, _STRAY, 2)), F.lit("="), F.lit(""))
-    padded = F.rpad(data, (F.ceil(F.length(data) / 4) * 4).cast("int"), "=")
-    return F.when(kept.rlike(_STRAY), F.unbase64(padded))
-
-
-def decode_base64(payload: Column) -> Column:
-    """Decode as a forgiving MIME reader does; NULL if the padding is wrong.
-
-    Characters outside the alphabet are skipped, text after complete padding is
-    ignored, and a payload with non-ASCII characters is invalid. For large tables use
-    :func:`with_decoded_base64`, which keeps the intermediate strings.
+    Decodes as a forgiving MIME reader does: characters outside the alphabet are
+    skipped, text after complete padding is ignored; wrong padding or a non-ASCII
+    character makes the payload invalid. Clean and line-broken payloads never reach
+    the regular expressions of the others. ``payload`` is a column or SQL expression.
     """
-    kept = _alphabet_only(payload)
-    return (
-        F.when(_is_clean(payload), F.unbase64(payload))
-        .when(payload.rlike(r"[^\x00-\x7F]"), F.lit(None).cast("binary"))
-        .when(_is_clean(kept), F.unbase64(kept))
-        .otherwise(_decode_stray(kept))
-    )
-
-
-def with_decoded_base64(df: DataFrame, payload: Column, output: str) -> DataFrame:
-    """Add :func:`decode_base64` of a payload, in stages.
+    kept = df.columns
+    staged = df.withColumn(
+        "_gs_b64", F.expr(f"replace(replace({payload}, '\\r', ''), '\\n', '')"))
+    staged = staged.withColumn("_gs_clean", F.expr(_is_clean_sql("_gs_b64")))
+    staged = staged.withColumn("_gs_b64_kept", F.expr(
+        f"CASE WHEN NOT _gs_clean AND NOT _gs_b64 RLIKE {quote(_NOT_ASCII)} "
+        f"THEN regexp_replace(_gs_b64, {quote(_NOT_ALPHABET)}, '') END"))
+    # the characters of whole quads, if the padding is right
+    staged = staged.withColumn("_gs_b64_data", F.expr(
+        f"CASE WHEN {_is_clean_sql('_gs_b64_kept')} THEN _gs_b64_kept "
+        f"WHEN _gs_b64_kept RLIKE {quote(_STRAY)} THEN replace(concat("
+        f"regexp_extract(_gs_b64_kept, {quote(_STRAY)}, 1), "
+        f"regexp_extract(_gs_b64_kept, {quote(_STRAY)}, 2)), '=', '') END"))
+    decoded = ("CASE WHEN _gs_clean THEN unbase64(_gs_b64) "
+               "WHEN _gs_b64_data IS NOT NULL THEN unbase64(rpad(_gs_b64_data, "
+               "cast(ceil(length(_gs_b64_data) / 4) * 4 AS int), '=')) END")
+    return staged.select(*kept, F.expr(decoded).alias(output))
+
+
+def too_large_sql(content: str, max_bytes: int = rules.MAX_BYTES) -> str:
+    return f"octet_length({content}) > {max_bytes}"
+
+
+def is_pdf_sql(content: str) -> str:
+    return f"hex(substring({content}, 1, 4)) = '{PDF_MAGIC_HEX}'"
+
+
+def decode_leniently_sql(content: str) -> str:
+    """UTF-8 text with invalid bytes dropped.
 
-    Clean and line-broken payloads never reach the regular expressions of the others.
+    The validator marks invalid bytes with U+FFFD. Where the input has that character
+    itself, it is escaped first and put back afterwards.
     """
-    line, clean, kept = F.col("_gs_b64"), F.col("_gs_b64_clean"), F.col("_gs_b64_kept")
-    staged = df.withColumn("_gs_b64", _unbroken(payload))
-    staged = staged.withColumn("_gs_b64_clean", _is_clean(line))
-    staged = staged.withColumn("_gs_b64_kept", F.when(
-        ~clean & ~line.rlike(r"[^\x00-\x7F]"), _alphabet_only(line)))
-    staged = staged.withColumn("_gs_b64_clean2", _is_clean(kept))
-    decoded = (F.when(clean, F.unbase64(line))
-               .when(F.col("_gs_b64_clean2"), F.unbase64(kept))
-               .when(kept.isNotNull(), _decode_stray(kept)))
-    return staged.withColumn(output, decoded).drop(
-        "_gs_b64", "_gs_b64_clean", "_gs_b64_kept", "_gs_b64_clean2")
-
+    text = f"cast({content} AS string)"
+    escaped = f"replace(replace({text}, '\\u0001', '\\u0001a'), '\\uFFFD', '\\u0001b')"
+    cleaned = f"replace(make_valid_utf8({escaped}), '\\uFFFD', '')"
+    restored = f"replace(replace({cleaned}, '\\u0001b', '\\uFFFD'), '\\u0001a', '\\u0001')"
+    return (f"CASE WHEN is_valid_utf8({text}) THEN {text} "
+            f"WHEN contains({text}, '\\uFFFD') THEN {restored} "
+            f"ELSE replace(make_valid_utf8({text}), '\\uFFFD', '') END")
 
-def too_large(content: Column, max_bytes: int = rules.MAX_BYTES) -> Column:
-    return F.octet_length(content) > F.lit(max_bytes)
 
+def decode_leniently(content: str) -> Column:
+    return F.expr(decode_leniently_sql(content))
 
-def is_pdf(content: Column) -> Column:
-    return F.hex(F.substring(content, 1, 4)) == F.lit(PDF_MAGIC_HEX)
 
+def with_file_kind(df: DataFrame, content: str, output: str,
+                   condition: str = "true") -> DataFrame:
+    """Add ``pdf``, ``text`` or NULL for anything else, where the condition holds.
 
-def decode_leniently(content: Column) -> Column:
-    """UTF-8 text with invalid bytes dropped.
-
-    The validator marks invalid bytes with U+FFFD. Where the input has that character
-    itself, it is escaped first and put back afterwards.
+    PDFs start with their magic bytes. Text is what has more than 85 % printable or
+    white-space characters in its first KiB.
     """
-    mark, escape = F.lit("�"), F.lit("\x01")
-    as_text = content.cast("string")
-    escaped = F.replace(F.replace(as_text, escape, F.lit("\x01a")), mark, F.lit("\x01b"))
-    cleaned = F.replace(F.make_valid_utf8(escaped), mark, F.lit(""))
-    restored = F.replace(F.replace(cleaned, F.lit("\x01b"), mark), F.lit("\x01a"), escape)
-    return F.when(F.is_valid_utf8(as_text), as_text) \
-            .when(F.contains(as_text, mark), restored) \
-            .otherwise(F.replace(F.make_valid_utf8(as_text), mark, F.lit("")))
-
-
-def looks_like_text(content: Column) -> Column:
-    """More than 85 % of the characters in the first KiB are printable or white space."""
-    sample = decode_leniently(F.substring(content, 1, rules.SAMPLE_BYTES))
-    readable = F.length(F.regexp_replace(sample, _UNPRINTABLE, ""))
+    kept = df.columns
+    sample = decode_leniently_sql(f"substring({content}, 1, {rules.SAMPLE_BYTES})")
+    staged = df.withColumn("_gs_sample", F.expr(f"CASE WHEN {condition} THEN {sample} END"))
     # an empty sample divides by NULL, which makes the test fail
-    ratio = readable / F.nullif(F.length(sample), F.lit(0))
-    return F.coalesce(ratio > F.lit(rules.MIN_PRINTABLE_RATIO), F.lit(False))
-
-
-def file_kind(content: Column) -> Column:
-    """``pdf``, ``text`` or NULL for anything else."""
-    return F.when(is_pdf(content), F.lit("pdf")).when(looks_like_text(content), F.lit("text"))
+    ratio = (f"length(regexp_replace(_gs_sample, {quote(_UNPRINTABLE)}, '')) "
+             "/ nullif(length(_gs_sample), 0)")
+    return staged.select(*kept, F.expr(
+        f"CASE WHEN NOT ({condition}) THEN NULL WHEN {is_pdf_sql(content)} THEN 'pdf' "
+        f"WHEN {ratio} > {rules.MIN_PRINTABLE_RATIO}D THEN 'text' END").alias(output))

@@ -1,4 +1,4 @@
-"""Analysis structs, level weights and verdicts."""
+"""Analysis structs, level weights and verdicts, as Spark SQL expressions."""
 
 from __future__ import annotations
 
@@ -6,98 +6,99 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gatesift import rules
+from gatesift.functions.text import quote
 
-ANALYSIS_FIELDS = ("is_safe", "confidence_score", "detected_issues", "analysis_summary")
 
+def _double(value: float) -> str:
+    return f"{value!r}D"
 
-def _by_level(level: Column, values: dict) -> Column:
-    """A level-dependent constant as a CASE, so that no join is needed."""
-    names = list(values)
-    expr = F.when(level == names[0], F.lit(values[names[0]]))
-    for name in names[1:]:
-        expr = expr.when(level == name, F.lit(values[name]))
-    return expr
 
+def _by_level(level: str, values: dict[str, str]) -> str:
+    """A level-dependent value as a CASE, so that no join is needed."""
+    cases = " ".join(f"WHEN {quote(name)} THEN {sql}" for name, sql in values.items())
+    return f"CASE {level} {cases} END"
 
-def analysis(is_safe: Column, confidence: Column, issues: Column, summary: Column) -> Column:
-    return F.struct(
-        is_safe.alias("is_safe"),
-        confidence.cast("double").alias("confidence_score"),
-        issues.alias("detected_issues"),
-        summary.cast("string").alias("analysis_summary"),
-    )
 
+def analysis_sql(is_safe: str, confidence: str, issues: str, summary: str) -> str:
+    return (f"named_struct('is_safe', {is_safe}, 'confidence_score', "
+            f"cast({confidence} AS double), 'detected_issues', {issues}, "
+            f"'analysis_summary', {summary})")
 
-def text_confidence(issues: Column, llm_score: Column) -> Column:
+
+def text_confidence_sql(issues: str, llm_score: str) -> str:
     """The model score of an issue-free text, else 0.0."""
-    return F.when(F.size(issues) == 0, llm_score).otherwise(F.lit(0.0))
+    return f"CASE WHEN size({issues}) = 0 THEN {llm_score} ELSE 0.0D END"
 
 
-def file_safety_score(malicious: Column, pii: Column) -> Column:
+def file_safety_score_sql(malicious: str, pii: str) -> str:
     """1.0 less a fixed penalty per kind of issue present."""
-    return (F.lit(1.0)
-            - F.when(F.size(malicious) > 0, F.lit(rules.MALICIOUS_PENALTY)).otherwise(F.lit(0.0))
-            - F.when(F.size(pii) > 0, F.lit(rules.PII_PENALTY)).otherwise(F.lit(0.0)))
+    return (f"(1.0D - CASE WHEN size({malicious}) > 0 "
+            f"THEN {_double(rules.MALICIOUS_PENALTY)} ELSE 0.0D END"
+            f" - CASE WHEN size({pii}) > 0 THEN {_double(rules.PII_PENALTY)} ELSE 0.0D END)")
 
 
-def shown_issues(issues: Column) -> Column:
-    """Issue names as shown to callers; only the keyword issue is renamed."""
-    return F.transform(issues, lambda i: F.when(
-        i == F.lit(rules.KEYWORD_ISSUE), F.lit(rules.KEYWORD_ISSUE_SHOWN)).otherwise(i))
+def file_safety_score(malicious: str, pii: str) -> Column:
+    return F.expr(file_safety_score_sql(malicious, pii))
 
 
-def joined(issues: Column) -> Column:
-    return F.array_join(issues, ", ")
+def shown_issues_sql(issues: str) -> str:
+    """Issue names as shown to callers; only the keyword issue is renamed."""
+    return (f"transform({issues}, i -> CASE WHEN i = {quote(rules.KEYWORD_ISSUE)} "
+            f"THEN {quote(rules.KEYWORD_ISSUE_SHOWN)} ELSE i END)")
 
 
-def model_score(confidence: Column, level: Column) -> Column:
+def model_score_sql(confidence: str, level: str) -> str:
     """The score a level takes from the analysis: all but ``high`` ignore it."""
-    deep = _by_level(level, {n: lv.deep_analysis for n, lv in rules.LEVELS.items()})
-    return F.when(deep, confidence).otherwise(F.lit(1.0))
+    return _by_level(level, {
+        name: confidence if lv.deep_analysis else "1.0D" for name, lv in rules.LEVELS.items()})
 
 
-def overall_score(rule_score: Column, llm_score: Column, level: Column) -> Column:
+def overall_score_sql(rule_score: str, llm_score: str, level: str) -> str:
     """Weighted score of an issue-free record."""
-    weighted = None
-    for name, lv in rules.LEVELS.items():
+    def weighted(lv: rules.Level) -> str:
+        rule_part = f"({rule_score} * {_double(lv.rule_weight)})"
         if lv.llm_weight == 0.0:
-            score = rule_score * F.lit(lv.rule_weight)
-        else:
-            score = rule_score * F.lit(lv.rule_weight) + llm_score * F.lit(lv.llm_weight)
-        weighted = F.when(level == name, score) if weighted is None \
-            else weighted.when(level == name, score)
-    return weighted
+            return rule_part
+        return f"{rule_part} + ({llm_score} * {_double(lv.llm_weight)})"
+
+    return _by_level(level, {name: weighted(lv) for name, lv in rules.LEVELS.items()})
 
 
-def level_threshold(level: Column) -> Column:
-    return _by_level(level, {n: lv.threshold for n, lv in rules.LEVELS.items()})
+def level_threshold_sql(level: str) -> str:
+    return _by_level(level, {n: _double(lv.threshold) for n, lv in rules.LEVELS.items()})
 
 
-def verdict_columns(result: Column, level: Column) -> dict[str, Column]:
+def verdict_sql(result: str, level: str) -> dict[str, str]:
     """Verdict columns of an analysis struct under a level."""
-    issues = result["detected_issues"]
-    flagged = F.size(issues) > 0
-    llm = model_score(result["confidence_score"], level)
-    overall = F.when(flagged, F.lit(0.0)).otherwise(overall_score(F.lit(1.0), llm, level))
-    passed = ~flagged & (overall >= level_threshold(level))
+    issues = f"{result}.detected_issues"
+    flagged = f"size({issues}) > 0"
+    llm = model_score_sql(f"{result}.confidence_score", level)
+    overall = (f"CASE WHEN {flagged} THEN 0.0D "
+               f"ELSE {overall_score_sql('1.0D', llm, level)} END")
+    passed = f"NOT ({flagged}) AND ({overall}) >= {level_threshold_sql(level)}"
     return {
-        "status": F.when(passed, F.lit("safe")).otherwise(F.lit("unsafe")),
-        "reason": F.when(flagged, joined(issues)).when(passed, F.lit("safe"))
-                   .otherwise(F.lit("unspecified_issue")),
+        "status": f"CASE WHEN {passed} THEN 'safe' ELSE 'unsafe' END",
+        "reason": f"CASE WHEN {flagged} THEN array_join({issues}, ', ') "
+                  f"WHEN {passed} THEN 'safe' ELSE 'unspecified_issue' END",
         "llm_score": llm,
-        "rule_score": F.when(flagged, F.lit(0.0)).otherwise(F.lit(1.0)),
+        "rule_score": f"CASE WHEN {flagged} THEN 0.0D ELSE 1.0D END",
         "overall_score": overall,
-        "analysis_summary": result["analysis_summary"],
-        "detected_issues": shown_issues(issues),
+        "analysis_summary": f"{result}.analysis_summary",
+        "detected_issues": shown_issues_sql(issues),
     }
 
 
-def display_error(status: Column, reason: Column) -> Column:
+def verdict_columns(result: str, level: str) -> dict[str, Column]:
+    return {name: F.expr(sql) for name, sql in verdict_sql(result, level).items()}
+
+
+def display_error(status: str, reason: str) -> Column:
     """The sentence shown for an ``error`` verdict, NULL for all others."""
-    text = F.when(reason.isNull() | (reason == ""), F.lit(rules.UNKNOWN_ERROR_DISPLAY))
-    for code, sentence in rules.DISPLAY_ERRORS.items():
-        text = text.when(reason == code, F.lit(sentence))
-    return F.when(status == "error", text.otherwise(reason))
+    cases = " ".join(f"WHEN {reason} = {quote(code)} THEN {quote(sentence)}"
+                     for code, sentence in rules.DISPLAY_ERRORS.items())
+    unknown = quote(rules.UNKNOWN_ERROR_DISPLAY)
+    return F.expr(f"CASE WHEN {status} = 'error' THEN CASE WHEN coalesce({reason}, '') = '' "
+                  f"THEN {unknown} {cases} ELSE {reason} END END")
 
 
 def _java(pattern: str) -> str:
@@ -107,44 +108,46 @@ def _java(pattern: str) -> str:
             .replace(r"\s", r"[\s\p{Z}\x1C-\x1F\x85]"))
 
 
-def risk_columns(text: Column, level: Column, toxicity: Column,
-                 threshold: float = rules.RISK_THRESHOLD) -> dict[str, Column]:
-    """The rule-density risk score: higher is worse, safe below the threshold."""
+def risk_parts_sql(text: str, level: str, toxicity: str) -> dict[str, str]:
+    """The parts of the rule-density risk score: issues, rule score, model score."""
     checks = [
-        (text.rlike(_java(rules.RISK_CHARACTERS_REGEX)), rules.RISK_CHARACTERS_ISSUE),
-        (text.rlike(_java(rules.RISK_SQL_REGEX)), rules.RISK_SQL_ISSUE),
-        (text.rlike(_java(rules.RISK_XSS_REGEX)), rules.RISK_XSS_ISSUE),
+        (rules.RISK_CHARACTERS_REGEX, rules.RISK_CHARACTERS_ISSUE),
+        (rules.RISK_SQL_REGEX, rules.RISK_SQL_ISSUE),
+        (rules.RISK_XSS_REGEX, rules.RISK_XSS_ISSUE),
     ]
-    issues = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for hit, name in checks]))
+    found = ", ".join(f"CASE WHEN {text} RLIKE {quote(_java(pattern))} THEN {quote(issue)} END"
+                      for pattern, issue in checks)
+    return {
+        "risk_issues": f"array_compact(array({found}))",
+        "risk_model": f"CASE WHEN {level} IN ('high', 'medium') "
+                      f"THEN coalesce({toxicity}, 0.0D) ELSE 0.0D END",
+    }
+
+
+def risk_rule_sql(issues: str) -> str:
     # the score grows one step per issue: the sum of three steps is not 0.9 exactly
     totals = [0.0]
-    for _ in checks:
+    for _ in range(3):
         totals.append(totals[-1] + rules.RISK_STEP)
-    return {
-        "risk_issues": issues,
-        "risk_rule": F.element_at(F.array(*[F.lit(t) for t in totals]), F.size(issues) + 1),
-        "risk_model": F.when(level.isin("high", "medium"), F.coalesce(toxicity, F.lit(0.0)))
-                       .otherwise(F.lit(0.0)),
-    }
+    return f"element_at(array({', '.join(_double(t) for t in totals)}), size({issues}) + 1)"
+
 
+def risk_verdict_sql(issues: str, rule: str, model: str, level: str,
+                     threshold: float = rules.RISK_THRESHOLD) -> dict[str, str]:
+    """The rule-density verdict: higher is worse, safe below the threshold."""
+    def weighted(weights: tuple[float, float]) -> str:
+        if weights[1] == 0.0:
+            return rule
+        return f"({rule} * {_double(weights[0])}) + ({model} * {_double(weights[1])})"
 
-def risk_verdict(issues: Column, rule: Column, model: Column, level: Column,
-                 threshold: float = rules.RISK_THRESHOLD) -> dict[str, Column]:
-    """Verdict columns from the parts that :func:`risk_columns` gives."""
-    weighted = None
-    for name, (rule_weight, model_weight) in rules.RISK_WEIGHTS.items():
-        score = rule if model_weight == 0.0 \
-            else rule * F.lit(rule_weight) + model * F.lit(model_weight)
-        weighted = F.when(level == name, score) if weighted is None \
-            else weighted.when(level == name, score)
-    overall = weighted.otherwise(rule)
-    safe = overall < F.lit(threshold)
+    cases = _by_level(level, {n: weighted(w) for n, w in rules.RISK_WEIGHTS.items()})
+    overall = f"coalesce({cases}, {rule})"
+    safe = f"{overall} < {_double(threshold)}"
     return {
-        "status": F.when(safe, F.lit("safe")).otherwise(F.lit("unsafe")),
-        "reason": F.when(safe, F.lit("safe"))
-                   .when(F.size(issues) > 0, joined(issues))
-                   .otherwise(F.lit(rules.RISK_OTHER_REASON)),
-        "rule_score": F.least(F.lit(1.0), rule),
+        "status": f"CASE WHEN {safe} THEN 'safe' ELSE 'unsafe' END",
+        "reason": f"CASE WHEN {safe} THEN 'safe' WHEN size({issues}) > 0 "
+                  f"THEN array_join({issues}, ', ') ELSE {quote(rules.RISK_OTHER_REASON)} END",
+        "rule_score": f"least(1.0D, {rule})",
         "llm_score": model,
-        "overall_score": F.least(F.lit(1.0), overall),
+        "overall_score": f"least(1.0D, {overall})",
     }

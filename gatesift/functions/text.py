@@ -1,11 +1,16 @@
-"""Text predicates and folding as Column expressions."""
+"""Text predicates and folding, as Spark SQL expressions.
+
+Functions named ``*_sql`` take and give SQL text; the others give Columns. Texts are
+named by a column name or any SQL expression. One parsed expression per column keeps
+plans with hundreds of signatures quick to build from Python.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode word characters and white space, spelled out so that the regex engine's
@@ -22,30 +27,44 @@ RARE = "`$|{}@#<>[]\\%&;*=_!?(/:'\")"
 DOT = "."
 DOT_REGEX = r"\.[a-z]"
 
+NO_STRINGS = "cast(array() AS array<string>)"
+
+
+def quote(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def string_array(values: Iterable[str]) -> str:
+    items = [quote(v) for v in values]
+    return f"array({', '.join(items)})" if items else NO_STRINGS
+
+
+def has_content_sql(text: str) -> str:
+    return f"coalesce({text} RLIKE {quote(NOT_SPACE)}, false)"
 
-def has_content(text: Column) -> Column:
+
+def has_content(text: str) -> Column:
     """True unless the text is NULL, empty or Unicode white space only."""
-    return F.coalesce(text.rlike(NOT_SPACE), F.lit(False))
+    return F.expr(has_content_sql(text))
 
 
-def unicode_lower(text: Column) -> Column:
-    return F.lower(text)
+def unicode_lower_sql(text: str) -> str:
+    return f"lower({text})"
 
 
-def ascii_lower(text: Column) -> Column:
+def ascii_lower_sql(text: str) -> str:
     """Lower-case so that substring tests with ASCII signatures are byte-wise.
 
     Only U+212A and U+0130 have lower-case forms with ASCII letters; with them out
     of the way, Unicode lower-casing gives the same ASCII hits and is much faster
     than a character map.
     """
-    kept = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\ufffd")),
-                     F.lit("\u0130"), F.lit("\ufffd"))
-    return F.lower(kept)
+    return f"lower(replace(replace({text}, '\\u212A', '\\uFFFD'), '\\u0130', '\\uFFFD'))"
 
 
-def fold(text: Column, profile: str) -> Column:
-    return unicode_lower(text) if profile == "text" else ascii_lower(text)
+def fold_sql(text: str, profile: str) -> str:
+    return unicode_lower_sql(text) if profile == "text" else ascii_lower_sql(text)
 
 
 def anchor(pattern: str) -> str | None:
@@ -56,8 +75,10 @@ def anchor(pattern: str) -> str | None:
     return rare
 
 
-def anchor_test(text: Column, mark: str) -> Column:
-    return text.rlike(DOT_REGEX) if mark == DOT else F.contains(text, F.lit(mark))
+def anchor_test_sql(text: str, mark: str) -> str:
+    if mark == DOT:
+        return f"{text} RLIKE {quote(DOT_REGEX)}"
+    return f"contains({text}, {quote(mark)})"
 
 
 def anchors_of(patterns: Iterable[str]) -> list[str]:
@@ -70,14 +91,11 @@ def rare_regex(marks: Iterable[str]) -> str:
     return "[" + "".join("\\" + m for m in marks if m != DOT) + "]"
 
 
-def any_of(conditions: Iterable[Column]) -> Column:
-    """Short-circuiting OR as a balanced tree, which keeps deep plans shallow."""
-    items = list(conditions)
-    if not items:
-        return F.lit(False)
+def any_of_sql(conditions: Iterable[str]) -> str:
+    """Short-circuiting OR; nested in pairs, which keeps deep plans shallow."""
+    items = list(conditions) or ["false"]
     while len(items) > 1:
-        items = [items[i] | items[i + 1] if i + 1 < len(items) else items[i]
-                 for i in range(0, len(items), 2)]
+        items = [f"({' OR '.join(items[i:i + 2])})" for i in range(0, len(items), 2)]
     return items[0]
 
 
@@ -87,41 +105,35 @@ def minimal(patterns: Iterable[str]) -> list[str]:
     return [p for p in distinct if not any(q != p and q in p for q in distinct)]
 
 
-def contains_any(text: Column, patterns: Iterable[str],
-                 flags: dict[str, Column] | None = None) -> Column:
-    """True if any signature is a substring of ``text``.
+def anchored_sql(text: str, patterns: Iterable[str], test: Callable[[str], str],
+                 flags: dict[str, str] | None = None) -> str:
+    """OR of ``test(pattern)``, each tried only where the pattern's anchor occurs.
 
-    ``flags`` may hold ready-made columns "the text contains this anchor"; others
-    are computed in place. Testing the anchor first skips most searches.
+    ``flags`` may name columns "the text contains this anchor"; other anchors are
+    tested in place.
     """
-    return anchored(text, minimal(patterns), lambda p: F.contains(text, F.lit(p)), flags)
-
-
-def anchored(text: Column, patterns: Iterable[str], test: Callable[[str], Column],
-             flags: dict[str, Column] | None = None) -> Column:
-    """OR of ``test(pattern)``, each tried only where the pattern's anchor occurs."""
     groups: dict[str | None, list[str]] = {}
     for pattern in patterns:
         groups.setdefault(anchor(pattern), []).append(pattern)
     tests = []
     for mark, members in groups.items():
-        hit = any_of(test(p) for p in members)
+        hit = any_of_sql(test(p) for p in members)
         if mark is not None:
-            flag = (flags or {}).get(mark)
-            flag = anchor_test(text, mark) if flag is None else flag
-            hit = flag if members == [mark] else flag & hit
+            flag = (flags or {}).get(mark) or anchor_test_sql(text, mark)
+            hit = flag if members == [mark] else f"({flag} AND {hit})"
         tests.append(hit)
-    return any_of(tests)
+    return any_of_sql(tests)
 
 
-def matching(text: Column, patterns: Iterable[str]) -> Column:
-    """All signatures that ``text`` contains, in list order, repeats kept."""
-    items = list(patterns)
-    return F.filter(F.array(*[F.lit(p) for p in items]), lambda p: F.contains(text, p))
+def contains_any_sql(text: str, patterns: Iterable[str],
+                     flags: dict[str, str] | None = None) -> str:
+    """True if any signature is a substring of the text."""
+    return anchored_sql(text, minimal(patterns), lambda p: f"contains({text}, {quote(p)})", flags)
 
 
-def empty_strings() -> Column:
-    return F.array().cast("array<string>")
+def matching_sql(text: str, patterns: Iterable[str]) -> str:
+    """All signatures that the text contains, in list order, repeats kept."""
+    return f"filter({string_array(patterns)}, p -> contains({text}, p))"
 
 
 def keyword_boundary_regex(keyword: str) -> str:
@@ -130,39 +142,60 @@ def keyword_boundary_regex(keyword: str) -> str:
     A boundary next to a word character means "no word character beyond"; next to
     any other character, such as a parenthesis, it means "a word character beyond".
     """
-    def is_word(char: str) -> bool:
-        return char.isalnum() or char == "_"
-
-    before = f"(?<!{WORD})" if is_word(keyword[0]) else f"(?<={WORD})"
-    after = f"(?!{WORD})" if is_word(keyword[-1]) else f"(?={WORD})"
+    before = f"(?<!{WORD})" if _is_word(keyword[0]) else f"(?<={WORD})"
+    after = f"(?!{WORD})" if _is_word(keyword[-1]) else f"(?={WORD})"
     return before + re.sub(r"([^\w\s])", r"\\\1", keyword) + after
 
 
-def tokens(folded: Column) -> Column:
-    """Maximal runs of word characters."""
-    return F.split(folded, NOT_WORD + "+")
+def _is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
 
 
 def is_single_token(keyword: str) -> bool:
-    return all(c.isalnum() or c == "_" for c in keyword)
+    return all(_is_word(c) for c in keyword)
 
 
-def contains_keyword(folded: Column, keywords: Iterable[str],
-                     flags: dict[str, Column] | None = None) -> Column:
+def tokens_sql(folded: str) -> str:
+    """Maximal runs of word characters."""
+    return f"split({folded}, {quote(NOT_WORD + '+')})"
+
+
+def whole_word_sql(folded: str, keyword: str) -> str:
+    """Substring test first; only hits are checked for word boundaries."""
+    return (f"(contains({folded}, {quote(keyword)}) "
+            f"AND {folded} RLIKE {quote(keyword_boundary_regex(keyword))})")
+
+
+def split_keywords(keywords: Iterable[str]) -> tuple[list[str], list[str]]:
+    """Distinct lower-case keywords: those of one token, and the others."""
+    words = list(dict.fromkeys(k.lower() for k in keywords if k))
+    return [w for w in words if is_single_token(w)], \
+           [w for w in words if not is_single_token(w)]
+
+
+def contains_keyword_sql(folded: str, keywords: Iterable[str],
+                         flags: dict[str, str] | None = None) -> str:
     """True if any keyword occurs as a whole word in the lower-cased text.
 
-    One-word keywords are looked up among the tokens of the text; the others are
-    searched for as substrings, and only hits are checked for word boundaries.
+    One-word keywords are looked up among the tokens of the text.
     """
-    words = list(dict.fromkeys(k.lower() for k in keywords if k))
-    single = [w for w in words if is_single_token(w)]
-    other = [w for w in words if not is_single_token(w)]
+    single, other = split_keywords(keywords)
     tests = []
     if single:
-        tests.append(F.arrays_overlap(tokens(folded), F.array(*[F.lit(w) for w in single])))
+        tests.append(f"arrays_overlap({tokens_sql(folded)}, {string_array(single)})")
     if other:
-        tests.append(anchored(
-            folded, other,
-            lambda w: F.contains(folded, F.lit(w)) & folded.rlike(keyword_boundary_regex(w)),
-            flags))
-    return any_of(tests)
+        tests.append(anchored_sql(folded, other, lambda w: whole_word_sql(folded, w), flags))
+    return any_of_sql(tests)
+
+
+def barrier(df: DataFrame, kept: list[str], computed: dict[str, str]) -> DataFrame:
+    """Select ``kept`` and ``computed`` columns, the latter fixed at this point of the plan.
+
+    A later filter on a computed column would otherwise be pushed below the projections
+    that compute it, and each of its uses would expand to the whole expression and be
+    evaluated again. Filters do not pass a generator's output, so the columns go through
+    one that yields exactly one row. Filters on kept columns still reach the scan.
+    """
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in computed.items())
+    packed = df.select(*kept, F.expr(f"named_struct({fields})").alias("_gs_packed"))
+    return packed.select(*kept, F.expr("inline_outer(array(_gs_packed))"))

@@ -13,99 +13,95 @@ from pyspark.sql import functions as F
 from gatesift import rules
 from gatesift.functions import scoring as S
 from gatesift.functions.detectors import scan
-from gatesift.functions.text import empty_strings
+from gatesift.functions.text import NO_STRINGS, quote
 
+# A column given by its name, as a SQL expression or as a Column.
+Expression = str | Column
 
-def analyze(df: DataFrame, text: str, is_file: Column, *,
-            is_pdf: Column | None = None,
-            embedded: Column | None = None,
-            llm_score: Column | None = None,
-            blocked: Column | None = None,
+
+def as_column(value: Expression) -> Column:
+    return F.expr(value) if isinstance(value, str) else value
+
+
+def analyze(df: DataFrame, text: str, is_file: str, *,
+            is_pdf: Expression | None = None,
+            embedded: Expression | None = None,
+            llm_score: Expression | None = None,
+            blocked: Expression | None = None,
             threshold: float | Column = rules.FILE_THRESHOLD,
             max_bytes: int = rules.MAX_BYTES,
             keywords: Sequence[str] = rules.KEYWORDS,
             output: str = "analysis") -> DataFrame:
-    """Add an analysis struct; ``is_file`` picks the profile of each row.
+    """Add an analysis struct; ``is_file`` is a SQL condition that picks the profile.
 
     A NULL text is an unreadable document in the file profile. In the text profile,
     ``blocked`` is the model verdict and ``llm_score`` its score, 1.0 where missing.
     """
-    pdf = F.lit(False) if is_pdf is None else F.coalesce(is_pdf, F.lit(False))
-    with_files = F.lit(False) if embedded is None else F.coalesce(embedded, F.lit(False))
-    flagged = F.lit(False) if blocked is None else F.coalesce(blocked, F.lit(False))
-    score = F.lit(1.0) if llm_score is None else F.coalesce(llm_score, F.lit(1.0))
-    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
-
     kept = df.columns
-    staged = df.withColumns({
-        "_gs_oversize": is_file & F.coalesce(F.octet_length(F.col(text)) > max_bytes,
-                                             F.lit(False)),
-        "_gs_pdf": pdf,
-        "_gs_embedded": with_files,
-        "_gs_blocked": flagged,
-        "_gs_model": F.when(flagged, F.lit(0.0)).otherwise(score),
-        "_gs_file": is_file,
-        "_gs_limit": limit,
-    })
-    oversize = F.col("_gs_oversize")
+    # options become columns; those not given stay literals, so Catalyst folds them away
+    given = {"_gs_pdf": is_pdf, "_gs_embedded": embedded, "_gs_blocked": blocked}
+    options = {name: F.coalesce(as_column(value), F.lit(False))
+               for name, value in given.items() if value is not None}
+    if llm_score is not None:
+        options["_gs_model"] = F.coalesce(as_column(llm_score).cast("double"), F.lit(1.0))
+    if isinstance(threshold, Column):
+        options["_gs_limit"] = threshold
+    pdf, with_files, flagged = (name if name in options else "false" for name in given)
+    model = "_gs_model" if "_gs_model" in options else "1.0D"
+    limit = "_gs_limit" if "_gs_limit" in options else f"{threshold!r}D"
+
+    staged = df.withColumns(options) if options else df
     # an oversized text gets its verdict from its size alone
-    staged = staged.withColumn("_gs_scanned",
-                               F.when(~oversize, F.col(text)).otherwise(F.lit("")))
+    staged = staged.selectExpr(
+        "*", f"{is_file} AND coalesce(octet_length({text}) > {max_bytes}, false) AS _gs_oversize")
+    staged = staged.selectExpr(
+        "*", f"CASE WHEN _gs_oversize THEN '' ELSE {text} END AS _gs_scanned")
     staged, found = scan(staged, "_gs_scanned", is_file, keywords)
 
-    injection, pii = F.col(found.injection), F.col(found.pii)
-    staged = staged.withColumn("_gs_first_score", F.when(
-        oversize | F.col(text).isNull(), F.lit(0.0))
-        .otherwise(S.file_safety_score(injection, pii)))
-    file_passed = F.col("_gs_first_score") >= F.col("_gs_limit")
-    penalised = F.col("_gs_pdf") & file_passed & F.col("_gs_embedded")
-    staged = staged.withColumns({
-        "_gs_passed": file_passed,
-        "_gs_issues": F.when(
-            F.col("_gs_file"),
-            F.when(F.col(text).isNull(), F.array(F.lit(rules.BAD_PDF_ISSUE)))
-            .when(oversize, F.array(F.lit(rules.OVERSIZE_ISSUE)))
-            .otherwise(F.concat(
-                pii, injection,
-                F.when(penalised, F.array(F.lit(rules.EMBEDDED_ISSUE)))
-                 .otherwise(empty_strings()))),
-        ).otherwise(F.concat(
-            injection,
-            F.when(F.col(found.keyword), F.array(F.lit(rules.KEYWORD_ISSUE)))
-             .otherwise(empty_strings()),
-            F.when(F.col("_gs_blocked"), F.array(F.lit(rules.MODEL_ISSUE)))
-             .otherwise(empty_strings()))),
-        "_gs_file_score": F.when(penalised, F.col("_gs_first_score") * rules.EMBEDDED_FACTOR)
-                           .otherwise(F.col("_gs_first_score")),
-    })
-
-    issues = F.col("_gs_issues")
+    staged = staged.selectExpr("*", (
+        f"CASE WHEN _gs_oversize OR {text} IS NULL THEN 0.0D "
+        f"ELSE {S.file_safety_score_sql(found.injection, found.pii)} END AS _gs_first"))
+    passed = f"_gs_first >= {limit}"
+    penalised = f"({pdf} AND {with_files} AND {passed})"
+    file_issues = (
+        f"CASE WHEN {text} IS NULL THEN array({quote(rules.BAD_PDF_ISSUE)}) "
+        f"WHEN _gs_oversize THEN array({quote(rules.OVERSIZE_ISSUE)}) "
+        f"ELSE concat({found.pii}, {found.injection}, CASE WHEN {penalised} "
+        f"THEN array({quote(rules.EMBEDDED_ISSUE)}) ELSE {NO_STRINGS} END) END")
+    text_issues = (
+        f"concat({found.injection}, CASE WHEN {found.keyword} "
+        f"THEN array({quote(rules.KEYWORD_ISSUE)}) ELSE {NO_STRINGS} END, "
+        f"CASE WHEN {flagged} THEN array({quote(rules.MODEL_ISSUE)}) ELSE {NO_STRINGS} END)")
+    staged = staged.selectExpr(
+        "*",
+        f"CASE WHEN {is_file} THEN {file_issues} ELSE {text_issues} END AS _gs_issues",
+        f"CASE WHEN {penalised} THEN _gs_first * {rules.EMBEDDED_FACTOR}D ELSE _gs_first END "
+        "AS _gs_score")
+
     summary = (
-        F.when(~F.col("_gs_file"), F.lit(rules.TEXT_SUMMARY))
-        .when(F.col(text).isNull(), F.lit(""))
-        .when(F.col("_gs_pdf") & F.col("_gs_passed"), F.lit(rules.PDF_SAFE_SUMMARY))
-        .when(F.col("_gs_pdf"), F.lit(rules.PDF_UNSAFE_SUMMARY))
-        .when(oversize, F.lit(rules.OVERSIZE_SUMMARY))
-        .when(F.col("_gs_passed"), F.lit(rules.FILE_TEXT_SAFE_SUMMARY))
-        .otherwise(F.lit(rules.FILE_TEXT_UNSAFE_SUMMARY))
-    )
-    result = S.analysis(
-        F.when(F.col("_gs_file"), ~F.col(text).isNull()
-               & (F.col("_gs_file_score") >= F.col("_gs_limit")))
-         .otherwise(F.size(issues) == 0),
-        F.when(F.col("_gs_file"), F.col("_gs_file_score"))
-         .otherwise(S.text_confidence(issues, F.col("_gs_model"))),
-        issues,
-        summary,
-    )
-    return staged.select(*kept, result.alias(output))
-
-
-def analyze_text(df: DataFrame, text: str = "text", *, llm_score: Column | None = None,
-                 blocked: Column | None = None, keywords: Sequence[str] = rules.KEYWORDS,
+        f"CASE WHEN NOT {is_file} THEN {quote(rules.TEXT_SUMMARY)} "
+        f"WHEN {text} IS NULL THEN '' "
+        f"WHEN {pdf} AND {passed} THEN {quote(rules.PDF_SAFE_SUMMARY)} "
+        f"WHEN {pdf} THEN {quote(rules.PDF_UNSAFE_SUMMARY)} "
+        f"WHEN _gs_oversize THEN {quote(rules.OVERSIZE_SUMMARY)} "
+        f"WHEN {passed} THEN {quote(rules.FILE_TEXT_SAFE_SUMMARY)} "
+        f"ELSE {quote(rules.FILE_TEXT_UNSAFE_SUMMARY)} END")
+    model = f"CASE WHEN {flagged} THEN 0.0D ELSE {model} END"
+    result = S.analysis_sql(
+        f"CASE WHEN {is_file} THEN {text} IS NOT NULL AND _gs_score >= {limit} "
+        "ELSE size(_gs_issues) = 0 END",
+        f"CASE WHEN {is_file} THEN _gs_score "
+        f"ELSE {S.text_confidence_sql('_gs_issues', model)} END",
+        "_gs_issues",
+        summary)
+    return staged.select(*kept, F.expr(result).alias(output))
+
+
+def analyze_text(df: DataFrame, text: str = "text", *, llm_score: Expression | None = None,
+                 blocked: Expression | None = None, keywords: Sequence[str] = rules.KEYWORDS,
                  output: str = "analysis") -> DataFrame:
     """Text profile: injection signatures, harmful keywords, model verdict."""
-    return analyze(df, text, F.lit(False), llm_score=llm_score, blocked=blocked,
+    return analyze(df, text, "false", llm_score=llm_score, blocked=blocked,
                    keywords=keywords, output=output)
 
 
@@ -113,8 +109,7 @@ def analyze_file_text(df: DataFrame, text: str = "text", *,
                       threshold: float | Column = rules.FILE_THRESHOLD,
                       max_bytes: int = rules.MAX_BYTES, output: str = "analysis") -> DataFrame:
     """File profile: PII, injection signatures, safety score."""
-    return analyze(df, text, F.lit(True), threshold=threshold, max_bytes=max_bytes,
-                   output=output)
+    return analyze(df, text, "true", threshold=threshold, max_bytes=max_bytes, output=output)
 
 
 def analyze_pdf_text(df: DataFrame, text: str = "text",
@@ -122,27 +117,34 @@ def analyze_pdf_text(df: DataFrame, text: str = "text",
                      threshold: float | Column = rules.FILE_THRESHOLD,
                      max_bytes: int = rules.MAX_BYTES, output: str = "analysis") -> DataFrame:
     """File profile over extracted text, with the embedded-file penalty."""
-    return analyze(df, text, F.lit(True), is_pdf=F.lit(True),
-                   embedded=None if embedded is None else F.col(embedded),
-                   threshold=threshold, max_bytes=max_bytes, output=output)
+    return analyze(df, text, "true", is_pdf="true", embedded=embedded, threshold=threshold,
+                   max_bytes=max_bytes, output=output)
+
+
+def oversize_analysis_sql(summary: str) -> str:
+    """The analysis of content that is known by its size only."""
+    return S.analysis_sql("false", "0.0D", f"array({quote(rules.OVERSIZE_ISSUE)})",
+                          quote(summary))
 
 
 def unavailable_analysis() -> Column:
     """The analysis of a file where no file analyser is deployed."""
-    return S.analysis(F.lit(False), F.lit(0.0), F.array(F.lit(rules.FILE_UNAVAILABLE_ISSUE)),
-                      F.lit(rules.FILE_UNAVAILABLE_SUMMARY))
+    return F.expr(S.analysis_sql(
+        "false", "0.0D", f"array({quote(rules.FILE_UNAVAILABLE_ISSUE)})",
+        quote(rules.FILE_UNAVAILABLE_SUMMARY)))
 
 
-def failed_analysis(error: Column) -> Column:
+def failed_analysis(error: str) -> Column:
     """The analysis of a file that could not be read; the error is its summary."""
-    return S.analysis(F.lit(False), F.lit(0.0), F.array(F.lit(rules.FILE_ERROR_ISSUE)), error)
+    return F.expr(S.analysis_sql(
+        "false", "0.0D", f"array({quote(rules.FILE_ERROR_ISSUE)})", error))
 
 
 def with_content_safety(df: DataFrame, text: str = "text", profile: str = "text",
-                        threshold: float = 0.8, *, llm_score: Column | None = None,
-                        blocked: Column | None = None,
+                        threshold: float = 0.8, *, llm_score: Expression | None = None,
+                        blocked: Expression | None = None,
                         output: str = "is_content_safe") -> DataFrame:
-    """Add "safe, and confident enough"; use it as ``filter(is_content_safe)``."""
+    """Add "safe, and confident enough"; use it as ``filter("is_content_safe")``."""
     if profile == "text":
         staged = analyze_text(df, text, llm_score=llm_score, blocked=blocked,
                               output="_gs_analysis")
@@ -150,8 +152,6 @@ def with_content_safety(df: DataFrame, text: str = "text", profile: str = "text"
         staged = analyze_file_text(df, text, output="_gs_analysis")
     else:
         raise ValueError(f"unknown profile {profile!r}")
-    result = F.col("_gs_analysis")
-    return staged.select(
-        *df.columns,
-        (result["is_safe"] & (result["confidence_score"] >= F.lit(threshold))).alias(output),
-    )
+    return staged.select(*df.columns, F.expr(
+        f"_gs_analysis.is_safe AND _gs_analysis.confidence_score >= {threshold!r}D")
+        .alias(output))

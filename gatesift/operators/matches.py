@@ -11,8 +11,6 @@ from gatesift import rules
 from gatesift.functions import text as T
 from gatesift.functions.detectors import stage
 
-_MATCH = "array<struct<family:string,position:int,pattern:string>>"
-
 
 def rule_matches(df: DataFrame, text: str = "text", profile: str = "text") -> DataFrame:
     """One row per (row, signature it contains): ``family``, ``position``, ``pattern``.
@@ -20,20 +18,19 @@ def rule_matches(df: DataFrame, text: str = "text", profile: str = "text") -> Da
     The rules are literals in the plan, so nothing is joined or shuffled. A family's
     list is walked only for texts that the family's combined test hits.
     """
-    staged = stage(df, text, F.lit(profile == "file"))
-    lists = []
-    for family in rules.families(profile).values():
-        target = staged.target(family)
-        rows = F.array(*[
-            F.struct(F.lit(family.name).alias("family"), F.lit(i).alias("position"),
-                     F.lit(p).alias("pattern"))
-            for i, p in enumerate(family.patterns)
-        ]).cast(_MATCH)
-        found = F.filter(rows, lambda r, t=target: F.contains(t, r["pattern"]))
-        lists.append(F.when(staged.hit(family.name), found)
-                     .otherwise(F.array().cast(_MATCH)))
+    staged = stage(df, text, str(profile == "file").lower())
     kept = [c for c in df.columns if c != text]
-    return staged.df.select(*kept, F.inline(F.concat(*lists)))
+    found = []
+    for family in rules.families(profile).values():
+        indexed = (f"transform({T.string_array(family.patterns)}, (p, i) -> named_struct("
+                   f"'family', {T.quote(family.name)}, 'position', i, 'pattern', p))")
+        found.append(
+            f"CASE WHEN {staged.hit(family.name)} THEN filter({indexed}, "
+            f"r -> contains({staged.target(family)}, r.pattern)) END")
+    lists = staged.df.selectExpr(*kept, "flatten(array_compact(array("
+                                 + ", ".join(found) + "))) AS _gs_found")
+    # the plain generator would first filter on the list, and so build it twice
+    return lists.selectExpr(*kept, "inline_outer(_gs_found)").filter("family IS NOT NULL")
 
 
 def keyword_matches(df: DataFrame, text: str = "text",
@@ -43,14 +40,14 @@ def keyword_matches(df: DataFrame, text: str = "text",
     One-word keywords are intersected with the tokens of the row's own text; the few
     others are searched for, and hits are checked for word boundaries.
     """
-    words = list(dict.fromkeys(k.lower() for k in keywords if k))
-    single = [w for w in words if T.is_single_token(w)]
-    other = [w for w in words if not T.is_single_token(w)]
+    single, other = T.split_keywords(keywords)
     kept = [c for c in df.columns if c != text]
-    staged = df.select(*kept, T.unicode_lower(F.col(text)).alias("_gs_lower"))
-    folded = F.col("_gs_lower")
-    found = [F.array_intersect(T.tokens(folded), F.array(*[F.lit(w) for w in single]))] \
-        if single else []
-    found += [F.when(F.contains(folded, F.lit(w)) & folded.rlike(T.keyword_boundary_regex(w)),
-                     F.array(F.lit(w))).otherwise(T.empty_strings()) for w in other]
-    return staged.select(*kept, F.explode(F.concat(*found)).alias("keyword"))
+    staged = df.select(*kept, F.expr(T.unicode_lower_sql(text)).alias("_gs_lower"))
+    found = []
+    if single:
+        found.append(f"array_intersect({T.tokens_sql('_gs_lower')}, {T.string_array(single)})")
+    found += [f"CASE WHEN {T.whole_word_sql('_gs_lower', w)} THEN array({T.quote(w)}) "
+              f"ELSE {T.NO_STRINGS} END" for w in other]
+    lists = staged.selectExpr(*kept, f"concat({', '.join(found or [T.NO_STRINGS])}) AS _gs_found")
+    return lists.selectExpr(*kept, "explode_outer(_gs_found) AS keyword") \
+                .filter("keyword IS NOT NULL")

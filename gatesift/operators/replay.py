@@ -45,7 +45,7 @@ def ttl_replay(log: DataFrame, key: str = "cache_key", ts: str = "ts",
     ``ttl`` is in seconds and defaults to the one of ``analysis_type``. A request at
     ``ts`` hits iff ``ts < expires_at`` of the last write; requests at the same time
     are taken in the order of ``order``. ``cache`` may hold entries that are live
-    beforehand (``cache_key``, ``cached_at``, ``expires_at``; one row per key). Pass a
+    beforehand (``cache_key``, ``written_at``, ``expires_at``; one row per key). Pass a
     narrow log: all its columns are shuffled once.
     """
     spark = log.sparkSession
@@ -63,7 +63,7 @@ def ttl_replay(log: DataFrame, key: str = "cache_key", ts: str = "ts",
         live = cache.select(
             F.col("cache_key").alias("_gs_key"),
             F.unix_micros(F.col("expires_at").cast("timestamp")).alias("_gs_seed"),
-            (F.col("cached_at") * 1_000_000).alias("_gs_seed_w"))
+            F.unix_micros(F.col("written_at").cast("timestamp")).alias("_gs_seed_w"))
         rows = rows.join(live, "_gs_key", "left").fillna(
             {"_gs_seed": _NEVER, "_gs_seed_w": _NEVER})
 

@@ -11,8 +11,8 @@ from gatesift import rules
 from gatesift.functions import payload as P
 from gatesift.functions import routing as R
 from gatesift.functions import scoring as S
-from gatesift.functions.text import has_content
-from gatesift.operators.analyze import analyze
+from gatesift.functions.text import has_content_sql
+from gatesift.operators.analyze import Expression, analyze, as_column
 from gatesift.schemas import RESULT_FIELDS
 
 
@@ -20,95 +20,91 @@ def _level(level: str | Column) -> Column:
     return level if isinstance(level, Column) else F.lit(level)
 
 
-def _verdicts(df: DataFrame, content: str, is_file: Column, level: Column, *,
-              llm_score: Column | None, blocked: Column | None, pdf_text: Column | None,
-              embedded: Column | None, decode_unread_pdf: bool, error: Column | None,
-              threshold: float | Column, max_bytes: int,
-              keywords: Sequence[str], skip: Column | None = None) -> DataFrame:
-    """Add the result fields. Guards come first and replace the analysis."""
+def _verdicts(df: DataFrame, content: str, is_file: str, level: Column, *,
+              llm_score: Expression | None = None, blocked: Expression | None = None,
+              pdf_text: Expression | None = None, embedded: Expression | None = None,
+              decode_unread_pdf: bool = True, error: Expression | None = None,
+              threshold: float | Column = rules.FILE_THRESHOLD,
+              max_bytes: int = rules.MAX_BYTES,
+              keywords: Sequence[str] = rules.KEYWORDS, skip: str = "false") -> DataFrame:
+    """Add the result fields. Guards come first and replace the analysis.
+
+    ``is_file`` and ``skip`` are SQL conditions; skipped rows get NULL results.
+    """
     kept = df.columns
-    given = F.lit(None).cast("string") if error is None else error.cast("string")
-    skipped = F.lit(False) if skip is None else skip
-    staged = df.withColumns({
-        "_gs_level": level,
-        "_gs_error": given,
-        "_gs_skip": skipped,
-    })
-    staged = P.with_decoded_base64(staged, F.when(is_file, F.col(content)), "_gs_bytes")
-    data = F.col("_gs_bytes")
-    staged = staged.withColumn("_gs_kind", F.when(
-        is_file & ~P.too_large(data, max_bytes), P.file_kind(data)))
-    kind = F.col("_gs_kind")
-    staged = staged.withColumn("_gs_guard", (
-        F.when(F.col("_gs_skip"), F.lit("rejected"))
-        .when(F.col("_gs_error").isNotNull(), F.lit("validation_error"))
-        .when(~is_file & ~has_content(F.col(content)), F.lit("empty_input"))
-        .when(is_file & data.isNull(), F.lit("invalid_base64"))
-        .when(is_file & P.too_large(data, max_bytes), F.lit("file_too_large"))
-        .when(is_file & kind.isNull(), F.lit("unsupported_file_type"))
-    ))
-    guard = F.col("_gs_guard")
-    decoded = P.decode_leniently(data)
+    given = F.lit(None) if error is None else as_column(error)
+    staged = df.withColumns({"_gs_level": level, "_gs_error": given.cast("string")})
+    staged = P.with_decoded_base64(staged, f"CASE WHEN {is_file} THEN {content} END", "_gs_bytes")
+    too_large = P.too_large_sql("_gs_bytes", max_bytes)
+    staged = P.with_file_kind(staged, "_gs_bytes", "_gs_kind",
+                              f"{is_file} AND NOT {too_large}")
+    staged = staged.selectExpr("*", (
+        f"CASE WHEN {skip} THEN 'rejected' "
+        "WHEN _gs_error IS NOT NULL THEN 'validation_error' "
+        f"WHEN NOT {is_file} AND NOT {has_content_sql(content)} THEN 'empty_input' "
+        f"WHEN {is_file} AND _gs_bytes IS NULL THEN 'invalid_base64' "
+        f"WHEN {is_file} AND {too_large} THEN 'file_too_large' "
+        f"WHEN {is_file} AND _gs_kind IS NULL THEN 'unsupported_file_type' END AS _gs_guard"))
+
+    decoded = P.decode_leniently_sql("_gs_bytes")
+    as_pdf = f"_gs_kind = 'pdf' AND {str(not decode_unread_pdf).lower()}"
     if pdf_text is not None:
-        extracted = F.coalesce(pdf_text, decoded) if decode_unread_pdf else pdf_text
-        decoded = F.when(kind == "pdf", extracted).otherwise(decoded)
-        read_as_pdf = (kind == "pdf") & (
-            pdf_text.isNotNull() | F.lit(not decode_unread_pdf))
-    else:
-        decoded = decoded if decode_unread_pdf else F.when(kind == "text", decoded)
-        read_as_pdf = (kind == "pdf") & F.lit(not decode_unread_pdf)
-    staged = staged.withColumn("_gs_text", F.when(
-        guard.isNull(), F.when(is_file, decoded).otherwise(F.col(content))))
-    staged = analyze(staged, "_gs_text", is_file, is_pdf=read_as_pdf, embedded=embedded,
-                     llm_score=llm_score, blocked=blocked, threshold=threshold,
-                     max_bytes=max_bytes, keywords=keywords, output="_gs_analysis")
-
-    result = S.verdict_columns(F.col("_gs_analysis"), F.col("_gs_level"))
-    result = {n: F.when(guard.isNull(), c) for n, c in result.items()}
-    rejected = guard == "rejected"
-    result["status"] = (F.when(guard.isNull(), result["status"])
-                        .when(rejected, F.lit(None))
-                        .when(guard.isin("validation_error", "unsupported_file_type"),
-                              F.lit("error"))
-                        .otherwise(F.lit("unsafe")))
-    result["reason"] = F.when(guard.isNull(), result["reason"]) \
-                        .when(~rejected, guard)
-    result["overall_score"] = (F.when(guard.isNull(), result["overall_score"])
-                               .when(~guard.isin("rejected", "validation_error"), F.lit(0.0)))
-    result["error"] = F.when(guard == "validation_error", F.col("_gs_error"))
-    kept = [c for c in kept if c not in RESULT_FIELDS]
-    return staged.select(*kept, *[
-        result[name].cast(kind).alias(name) for name, kind in RESULT_FIELDS.items()])
+        staged = staged.withColumn("_gs_pages", as_column(pdf_text))
+        decoded = (f"CASE WHEN _gs_kind = 'pdf' AND _gs_pages IS NOT NULL THEN _gs_pages "
+                   f"WHEN NOT ({as_pdf}) THEN {decoded} END")
+        as_pdf = f"({as_pdf}) OR (_gs_kind = 'pdf' AND _gs_pages IS NOT NULL)"
+    elif not decode_unread_pdf:
+        decoded = f"CASE WHEN NOT ({as_pdf}) THEN {decoded} END"
+    staged = staged.selectExpr(
+        "*",
+        f"CASE WHEN _gs_guard IS NULL THEN CASE WHEN {is_file} THEN {decoded} "
+        f"ELSE {content} END END AS _gs_text",
+        f"({as_pdf}) AS _gs_as_pdf")
+    staged = analyze(staged, "_gs_text", is_file,
+                     is_pdf=None if is_file == "false" else "_gs_as_pdf",
+                     embedded=embedded, llm_score=llm_score, blocked=blocked,
+                     threshold=threshold, max_bytes=max_bytes, keywords=keywords,
+                     output="_gs_analysis")
+
+    analysed = "_gs_guard IS NULL"
+    result = S.verdict_sql("_gs_analysis", "_gs_level")
+    guarded = {name: f"CASE WHEN {analysed} THEN {sql} END" for name, sql in result.items()}
+    guarded["status"] = (
+        f"CASE WHEN {analysed} THEN {result['status']} WHEN _gs_guard = 'rejected' THEN NULL "
+        "WHEN _gs_guard IN ('validation_error', 'unsupported_file_type') THEN 'error' "
+        "ELSE 'unsafe' END")
+    guarded["reason"] = (
+        f"CASE WHEN {analysed} THEN {result['reason']} "
+        "WHEN _gs_guard <> 'rejected' THEN _gs_guard END")
+    guarded["overall_score"] = (
+        f"CASE WHEN {analysed} THEN {result['overall_score']} "
+        "WHEN _gs_guard NOT IN ('rejected', 'validation_error') THEN 0.0D END")
+    guarded["error"] = "CASE WHEN _gs_guard = 'validation_error' THEN _gs_error END"
+    return staged.select(*[c for c in kept if c not in RESULT_FIELDS], *[
+        F.expr(f"cast({guarded[name]} AS {kind})").alias(name)
+        for name, kind in RESULT_FIELDS.items()])
 
 
 def validate_text(df: DataFrame, text: str = "text",
                   level: str | Column = rules.DEFAULT_LEVEL, *,
-                  llm_score: Column | None = None, blocked: Column | None = None,
-                  error: Column | None = None,
+                  llm_score: Expression | None = None, blocked: Expression | None = None,
+                  error: Expression | None = None,
                   keywords: Sequence[str] = rules.KEYWORDS) -> DataFrame:
     """Add a verdict for each text. A non-NULL ``error`` makes it an error verdict."""
-    return _verdicts(df, text, F.lit(False), _level(level), llm_score=llm_score,
-                     blocked=blocked, pdf_text=None, embedded=None, decode_unread_pdf=True,
-                     error=error, threshold=rules.FILE_THRESHOLD,
-                     max_bytes=rules.MAX_BYTES, keywords=keywords)
+    return _verdicts(df, text, "false", _level(level), llm_score=llm_score, blocked=blocked,
+                     error=error, keywords=keywords)
 
 
 def validate_file(df: DataFrame, file: str = "file",
-                  level: str | Column = rules.DEFAULT_LEVEL, *,
-                  pdf_text: Column | None = None, embedded: Column | None = None,
-                  decode_unread_pdf: bool = True, error: Column | None = None,
-                  threshold: float | Column = rules.FILE_THRESHOLD,
-                  max_bytes: int = rules.MAX_BYTES) -> DataFrame:
+                  level: str | Column = rules.DEFAULT_LEVEL, **options) -> DataFrame:
     """Add a verdict for each base64 payload.
 
-    ``pdf_text`` is the extracted text of PDF payloads (see
-    :func:`gatesift.sources.pages.assemble_pages`). A PDF without it is decoded as
-    text, or with ``decode_unread_pdf=False`` reported as corrupted.
+    Options: ``pdf_text`` is the extracted text of PDF payloads (see
+    :func:`gatesift.sources.pages.assemble_pages`) and ``embedded`` their embedded-file
+    flag. A PDF without text is decoded as text, or with ``decode_unread_pdf=False``
+    reported as corrupted. ``error``, ``threshold`` and ``max_bytes`` as elsewhere.
     """
-    return _verdicts(df, file, F.lit(True), _level(level), llm_score=None, blocked=None,
-                     pdf_text=pdf_text, embedded=embedded,
-                     decode_unread_pdf=decode_unread_pdf, error=error, threshold=threshold,
-                     max_bytes=max_bytes, keywords=rules.KEYWORDS)
+    return _verdicts(df, file, "true", _level(level), **options)
 
 
 def route_requests(df: DataFrame, policy: str = "service",
@@ -117,34 +113,28 @@ def route_requests(df: DataFrame, policy: str = "service",
 
     Rejected requests stay in as rows with a ``request_error``.
     """
-    text, file, level = F.col("text"), F.col("file"), F.col("security_level")
     if policy == "service":
-        return df.withColumns(R.service_columns(text, file, level, default_level))
-    if policy == "gateway":
-        return df.withColumns(R.gateway_columns(text, file, level))
-    raise ValueError(f"unknown policy {policy!r}")
-
-
-def validate_routed(df: DataFrame, *, fixed_level: str | None = None,
-                    llm_score: Column | None = None, blocked: Column | None = None,
-                    pdf_text: Column | None = None, embedded: Column | None = None,
-                    decode_unread_pdf: bool = True, error: Column | None = None,
-                    threshold: float | Column = rules.FILE_THRESHOLD,
-                    max_bytes: int = rules.MAX_BYTES,
-                    keywords: Sequence[str] = rules.KEYWORDS) -> DataFrame:
+        checks = R.service_sql("text", "file", "security_level", default_level)
+    elif policy == "gateway":
+        checks = R.gateway_sql("text", "file", "security_level")
+    else:
+        raise ValueError(f"unknown policy {policy!r}")
+    checked = df.withColumns({name: F.expr(sql) for name, sql in checks.items()})
+    routed = R.content_sql("text", "file", "request_error")
+    return checked.withColumns({name: F.expr(sql) for name, sql in routed.items()})
+
+
+def validate_routed(df: DataFrame, *, fixed_level: str | None = None, **options) -> DataFrame:
     """Verdicts for rows with ``analysis_type``, ``content`` and ``security_level``.
 
     Both profiles run in one pass over the rows. Rows without a type (rejected
     requests) keep NULL verdicts. ``fixed_level`` scores every row under one level,
     as a service with one global level does; ``security_level`` is still echoed.
+    Options are those of :func:`validate_text` and :func:`validate_file`.
     """
     level = F.col("security_level") if fixed_level is None else F.lit(fixed_level)
-    is_file = F.coalesce(F.col("analysis_type") == "file", F.lit(False))
-    return _verdicts(df, "content", is_file, level, llm_score=llm_score, blocked=blocked,
-                     pdf_text=pdf_text, embedded=embedded,
-                     decode_unread_pdf=decode_unread_pdf, error=error, threshold=threshold,
-                     max_bytes=max_bytes, keywords=keywords,
-                     skip=F.col("analysis_type").isNull())
+    return _verdicts(df, "content", "coalesce(analysis_type = 'file', false)", level,
+                     skip="analysis_type IS NULL", **options)
 
 
 def validate_requests(df: DataFrame, policy: str = "service",
@@ -153,12 +143,15 @@ def validate_requests(df: DataFrame, policy: str = "service",
     return validate_routed(route_requests(df, policy, default_level), **options)
 
 
-def risk_scores(df: DataFrame, text: str, level: Column, toxicity: Column,
+def risk_scores(df: DataFrame, text: str, level: Column, toxicity: Expression,
                 threshold: float = rules.RISK_THRESHOLD) -> DataFrame:
     """Add the verdict of the rule-density risk score."""
-    kept = df.columns
-    staged = df.withColumn("_gs_level", level)
-    staged = staged.withColumns(S.risk_columns(F.col(text), F.col("_gs_level"), toxicity))
-    verdict = S.risk_verdict(F.col("risk_issues"), F.col("risk_rule"), F.col("risk_model"),
-                             F.col("_gs_level"), threshold)
-    return staged.select(*kept, "risk_issues", *[c.alias(n) for n, c in verdict.items()])
+    staged = df.withColumns({"_gs_level": level, "_gs_toxic": as_column(toxicity)})
+    parts = S.risk_parts_sql(text, "_gs_level", "_gs_toxic")
+    staged = staged.selectExpr("*", *[f"{sql} AS {name}" for name, sql in parts.items()])
+    staged = staged.selectExpr("*", f"{S.risk_rule_sql('risk_issues')} AS _gs_rule")
+    verdict = S.risk_verdict_sql("risk_issues", "_gs_rule", "risk_model", "_gs_level", threshold)
+    return staged.select(*df.columns, "risk_issues",
+                         *[F.expr(sql).alias(name) for name, sql in verdict.items()])
+
+

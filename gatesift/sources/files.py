@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from gatesift import rules
 from gatesift.functions import payload as P
-from gatesift.operators.analyze import analyze
+from gatesift.operators.analyze import (
+    Expression,
+    analyze,
+    as_column,
+    oversize_analysis_sql,
+)
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = rules.MAX_BYTES) -> DataFrame:
@@ -24,7 +29,8 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = rules.MAX_BYTES)
 
 
 def analyze_files(df: DataFrame, content: str = "content", *,
-                  pdf_text: Column | None = None, embedded: Column | None = None,
+                  pdf_text: Expression | None = None,
+                  embedded: Expression | None = None,
                   threshold: float | Column = rules.FILE_THRESHOLD,
                   output: str = "analysis") -> DataFrame:
     """Analyse file bytes: PDFs by their extracted text, everything else as text.
@@ -32,20 +38,17 @@ def analyze_files(df: DataFrame, content: str = "content", *,
     A PDF without extracted text is decoded as text. NULL bytes with a ``length`` are an
     oversized file.
     """
-    data = F.col(content)
     kept = df.columns
-    extracted = F.lit(None).cast("string") if pdf_text is None else pdf_text
-    staged = df.withColumn("_gs_pdf_text", F.when(P.is_pdf(data), extracted))
-    text = F.coalesce(F.col("_gs_pdf_text"), P.decode_leniently(data))
-    staged = staged.withColumn("_gs_text", text)
-    analysed = analyze(staged, "_gs_text", F.lit(True),
-                       is_pdf=F.col("_gs_pdf_text").isNotNull(), embedded=embedded,
+    extracted = F.lit(None) if pdf_text is None else as_column(pdf_text)
+    staged = df.withColumn("_gs_pages", F.when(F.expr(P.is_pdf_sql(content)), extracted)
+                           .cast("string"))
+    staged = staged.selectExpr(
+        "*", f"coalesce(_gs_pages, {P.decode_leniently_sql(content)}) AS _gs_text",
+        "_gs_pages IS NOT NULL AS _gs_as_pdf")
+    analysed = analyze(staged, "_gs_text", "true", is_pdf="_gs_as_pdf", embedded=embedded,
                        threshold=threshold, output="_gs_analysis")
-    result = F.col("_gs_analysis")
+    result = "_gs_analysis"
     if "length" in kept:
-        oversize = F.struct(
-            F.lit(False).alias("is_safe"), F.lit(0.0).alias("confidence_score"),
-            F.array(F.lit(rules.OVERSIZE_ISSUE)).alias("detected_issues"),
-            F.lit(rules.OVERSIZE_SUMMARY).alias("analysis_summary"))
-        result = F.when(data.isNull() & F.col("length").isNotNull(), oversize).otherwise(result)
-    return analysed.select(*kept, result.alias(output))
+        result = (f"CASE WHEN {content} IS NULL AND length IS NOT NULL "
+                  f"THEN {oversize_analysis_sql(rules.OVERSIZE_SUMMARY)} ELSE {result} END")
+    return analysed.select(*kept, F.expr(result).alias(output))

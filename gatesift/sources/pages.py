@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatesift import rules
-from gatesift.operators.analyze import analyze_pdf_text
+from gatesift.operators.analyze import analyze_pdf_text, oversize_analysis_sql
 
 
 def assemble_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_no",
@@ -43,11 +43,6 @@ def analyze_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_no",
     docs = assemble_pages(pages, doc, page, text, embedded, max_bytes)
     analysed = analyze_pdf_text(docs, "text", "has_embedded_files", threshold=threshold,
                                 output="_gs_analysis")
-    oversize = F.struct(
-        F.lit(False).alias("is_safe"), F.lit(0.0).alias("confidence_score"),
-        F.array(F.lit(rules.OVERSIZE_ISSUE)).alias("detected_issues"),
-        F.lit(rules.PDF_UNSAFE_SUMMARY).alias("analysis_summary"))
-    return analysed.select(
-        *docs.columns,
-        F.when(F.col("n_bytes") > max_bytes, oversize)
-         .otherwise(F.col("_gs_analysis")).alias(output))
+    oversize = oversize_analysis_sql(rules.PDF_UNSAFE_SUMMARY)
+    return analysed.select(*docs.columns, F.expr(
+        f"CASE WHEN n_bytes > {max_bytes} THEN {oversize} ELSE _gs_analysis END").alias(output))

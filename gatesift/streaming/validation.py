@@ -57,14 +57,17 @@ def run_ttl_replay(stream: DataFrame, path: str, cache_path: str, checkpoint: st
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        start = batch.agg(F.min(F.unix_micros(F.col(ts).cast("timestamp")))).first()[0]
         earlier = _read_batches(spark, cache_path, batch_id, state_ddl)
         cache = None
-        if earlier is not None:
-            latest = earlier.groupBy("cache_key").agg(
-                F.max_by(F.struct("cached_us", "expires_us"), "cached_us").alias("e"))
+        if earlier is not None and start is not None:
+            # entries that are dead before the batch starts are pruned in the scan
+            live = earlier.filter(F.col("expires_us") > start)
+            latest = live.groupBy("cache_key").agg(F.max("cached_us").alias("cached_us"),
+                                                   F.max("expires_us").alias("expires_us"))
             cache = latest.select(
-                "cache_key", (F.col("e.cached_us") / 1_000_000).alias("cached_at"),
-                F.timestamp_micros("e.expires_us").alias("expires_at"))
+                "cache_key", F.timestamp_micros("cached_us").alias("written_at"),
+                F.timestamp_micros("expires_us").alias("expires_at"))
         replayed = ttl_replay(batch, key, ts, order, cache=cache, partitions=partitions)
         _write_batch(replayed, path, batch_id)
         # read back what was written, rather than replay twice
