@@ -31,8 +31,9 @@ NO_STRINGS = "cast(array() AS array<string>)"
 
 
 def quote(value: str) -> str:
-    """A SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A SQL string literal. Dollar signs are escaped: ``${x}`` would be substituted."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024")
+    return f"'{escaped}'"
 
 
 def string_array(values: Iterable[str]) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatesift import rules
+from gatesift.functions.text import string_array
 
 # ---------------------------------------------------------------- fixed values
 # Payloads that exercise the detectors.
@@ -115,14 +115,18 @@ def level_of(index: Column) -> Column:
     return pick(LEVEL_CYCLE, index % 3)
 
 
+def with_probe(index: str) -> Column:
+    """The text, with the payload of its index at the end where there is one."""
+    probe = F.col(index) % PROBE_STRIDE
+    payload = F.get(F.expr(string_array(PROBES)), probe.cast("int"))
+    return F.when(probe < len(PROBES), F.concat("text", F.lit(" "), payload)) \
+            .otherwise(F.col("text"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, part of them with a payload at the end."""
-    probe = F.col("doc_id") % PROBE_STRIDE
-    text = F.when(probe < len(PROBES), F.concat(
-        "text", F.lit(" "), F.get(F.array(*[F.lit(p) for p in PROBES]), probe.cast("int")))
-    ).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", text.alias("text"))
+        "doc_id", "lang", with_probe("doc_id").alias("text"))
 
 
 def utc(ts: Column) -> Column:
@@ -185,15 +189,14 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as routed text requests, one second apart."""
-    return corpus(spark, sf_dir).select(
+    """Documents as routed text requests, one second apart; copies stay copies."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("request_id"),
         F.timestamp_micros(F.lit(START_US) + F.col("doc_id") * 1_000_000).alias("ts"),
         F.lit("text").alias("analysis_type"),
-        level_of(F.floor(F.col("doc_id") / 400)).alias("security_level"),
-        F.col("text").alias("content"))
+        level_of(F.col("n_chars")).alias("security_level"),
+        with_probe("n_chars").alias("content"))
 
 
 # 2024-01-01 00:00:00 UTC
 START_US = 1_704_067_200_000_000
-DEFAULT_LEVEL = rules.DEFAULT_LEVEL

@@ -75,11 +75,13 @@ keyed AS (SELECT *, 'validation:' || analysis_type || ':' || security_level || '
     sha256(CASE analysis_type WHEN 'file' THEN to_base64(encode(plain)) ELSE plain END)
     AS cache_key,
   CASE analysis_type WHEN 'text' THEN {rules.TEXT_TTL_SECONDS}
-    ELSE {rules.FILE_TTL_SECONDS} END * 1000000 AS ttl FROM log)"""
+    ELSE {rules.FILE_TTL_SECONDS} END * 1000000::BIGINT AS ttl FROM log)"""
 
-DOC_REQUESTS = CORPUS + f""", requests AS (SELECT doc_id AS request_id,
+DOC_REQUESTS = PROBES + f""", requests AS (SELECT doc_id AS request_id,
   {I.START_US} + doc_id * 1000000 AS us, 'text' AS analysis_type,
-  {level_of('doc_id // 400')} AS security_level, text AS content FROM corpus),
+  {level_of('n_chars')} AS security_level,
+  CASE WHEN payload IS NULL THEN text ELSE text || ' ' || payload END AS content
+  FROM documents LEFT JOIN probes ON n_chars % {I.PROBE_STRIDE} = probe_id),
 keyed AS (SELECT *, 'validation:text:' || security_level || ':' || sha256(content)
   AS cache_key FROM requests)"""
 
@@ -177,7 +179,7 @@ def verdict(source: str, ids: str, level: str = "level", conf: str = "conf",
 
 def text_verdicts(source: str, ids: str, level: str) -> str:
     """Verdicts of non-blank texts ``source(ids, text)``."""
-    return (f"found AS (SELECT {ids}, {level} AS level, {TEXT_ISSUES} AS issues FROM {source}), "
+    return (f"found AS MATERIALIZED (SELECT {ids}, {level} AS level, {TEXT_ISSUES} AS issues FROM {source}), "
             "scored AS (SELECT *, CASE WHEN len(issues) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END "
             "AS conf FROM found), "
             f"verdicts AS ({verdict('scored', ids + ', level')})")
@@ -188,7 +190,7 @@ TEXT_COLUMNS = "status, reason, llm_score, rule_score, overall_score, issues"
 
 def _file_found(source: str, text: str = "text", profile_ids: str = "doc_id") -> str:
     """File-profile findings of ``source`` whose column ``text`` is analysed."""
-    return (f"found AS (SELECT {profile_ids}, text, {PII} AS pii, {injection_list('file')} AS inj "
+    return (f"found AS MATERIALIZED (SELECT {profile_ids}, text, {PII} AS pii, {injection_list('file')} AS inj "
             f"FROM {source}), "
             "scored AS (SELECT *, pii || inj AS issues, 1.0::DOUBLE "
             "- CASE WHEN len(inj) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END "
@@ -214,7 +216,7 @@ SQL["unsafe_documents_by_language"] = (
     f"WITH {CORPUS}, {text_verdicts('corpus', 'doc_id, lang', q('high'))} "
     "SELECT lang, status, count(*) AS n_docs FROM verdicts GROUP BY lang, status")
 SQL["verdict_summary_text"] = (
-    f"WITH {CORPUS}, f AS (SELECT {TEXT_ISSUES} AS issues FROM corpus) "
+    f"WITH {CORPUS}, f AS MATERIALIZED (SELECT {TEXT_ISSUES} AS issues FROM corpus) "
     f"SELECT {q(rules.TEXT_SUMMARY)} AS analysis_summary, len(issues) = 0 AS is_safe, "
     "count(*) AS n_docs FROM f GROUP BY 2")
 
@@ -253,15 +255,17 @@ SQL["rule_matches_pages"] = (
     f"WITH {rules_values('file')} SELECT family, pattern, count(*) AS n_pages "
     "FROM (SELECT page_id, html, lower(html) AS lo FROM pages) JOIN rule "
     "ON contains(CASE WHEN raw THEN html ELSE lo END, pattern) GROUP BY family, pattern")
+_EACH_KEYWORD = ", ".join(
+    f"CASE WHEN contains(lo, {q(k)}) AND regexp_matches(lo, {q(keyword_pattern(k))}) "
+    f"THEN {q(k)} END" for k in rules.KEYWORDS)
 SQL["keyword_matches"] = (
-    f"WITH {CORPUS}, kw(keyword, pattern) AS (VALUES "
-    + ", ".join(f"({q(k)}, {q(keyword_pattern(k))})" for k in rules.KEYWORDS)
-    + ") SELECT doc_id, keyword FROM (SELECT doc_id, lower(text) AS lo FROM corpus) JOIN kw "
-      "ON contains(lo, keyword) AND regexp_matches(lo, pattern)")
+    f"WITH {CORPUS}, k AS (SELECT doc_id, unnest([{_EACH_KEYWORD}]) AS keyword "
+    "FROM (SELECT doc_id, lower(text) AS lo FROM corpus)) "
+    "SELECT doc_id, keyword FROM k WHERE keyword IS NOT NULL")
 
 # ---------------------------------------------------------------- profiles
 SQL["analyze_text_profile"] = (
-    f"WITH {CORPUS}, f AS (SELECT doc_id, {TEXT_ISSUES} AS i FROM corpus) SELECT doc_id, "
+    f"WITH {CORPUS}, f AS MATERIALIZED (SELECT doc_id, {TEXT_ISSUES} AS i FROM corpus) SELECT doc_id, "
     "len(i) = 0 AS is_safe, CASE WHEN len(i) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END "
     f"AS confidence_score, {comma('i')} AS issues, {q(rules.TEXT_SUMMARY)} AS analysis_summary "
     "FROM f")
@@ -292,7 +296,7 @@ SQL["paged_document_verdict"] = (
     "WITH docs AS (SELECT conv_id, count(*) AS n_pages, string_agg(text, '' ORDER BY turn) AS text, "
     "bool_or(conv_id % 4 = 0) AS emb FROM conversations GROUP BY conv_id), "
     f"{_file_found('docs', profile_ids='conv_id, n_pages, emb')}, "
-    f"pdf AS (SELECT *, conf >= 0.8::DOUBLE AS passed, "
+    f"pdf AS MATERIALIZED (SELECT *, conf >= 0.8::DOUBLE AS passed, "
     f"CASE WHEN conf >= 0.8::DOUBLE AND emb THEN issues || [{q(rules.EMBEDDED_ISSUE)}] "
     "ELSE issues END AS all_issues, "
     "CASE WHEN conf >= 0.8::DOUBLE AND emb THEN conf * 0.8::DOUBLE ELSE conf END AS final FROM scored) "
@@ -387,10 +391,10 @@ def _mixed_verdicts(level: str) -> str:
     return (f"{_SERVICE}, typed AS (SELECT request_id, request_error, lv, {level} AS level, "
             f"CASE WHEN request_error IS NULL THEN CASE WHEN {_T} THEN 'text' ELSE 'file' END END "
             f"AS analysis_type, CASE WHEN {_T} THEN text ELSE original END AS text FROM routed), "
-            "guard AS (SELECT *, analysis_type = 'text' AND NOT "
+            "guard AS MATERIALIZED (SELECT *, analysis_type = 'text' AND NOT "
             f"regexp_matches(text, '[^\\s\\p{{Z}}]') AS blank, "
             f"{PII} AS pii, {injection_list('file')} AS finj, {TEXT_ISSUES} AS tiss FROM typed), "
-            "found AS (SELECT *, CASE analysis_type WHEN 'text' THEN tiss ELSE pii || finj END "
+            "found AS MATERIALIZED (SELECT *, CASE analysis_type WHEN 'text' THEN tiss ELSE pii || finj END "
             "AS issues, CASE WHEN analysis_type = 'text' THEN CASE WHEN len(tiss) = 0 "
             "THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 1.0::DOUBLE "
             "- CASE WHEN len(finj) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END "
@@ -418,12 +422,12 @@ SQL["validate_requests_fixed_level"] = (
 LABELLED = (f"{CORPUS}, labelled AS (SELECT c.*, l.toxic, l.quality FROM corpus c "
             "LEFT JOIN labels l ON c.doc_id = l.doc_id)")
 SQL["model_verdict_join"] = (
-    f"WITH {LABELLED}, found AS (SELECT doc_id, {level_of('doc_id')} AS level, {TEXT_ISSUES} || "
+    f"WITH {LABELLED}, found AS MATERIALIZED (SELECT doc_id, {level_of('doc_id')} AS level, {TEXT_ISSUES} || "
     f"(CASE WHEN toxic = 1 THEN [{q(rules.MODEL_ISSUE)}] ELSE [] END) AS issues FROM labelled), "
     "scored AS (SELECT *, CASE WHEN len(issues) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS conf "
     "FROM found) " + verdict("scored", "doc_id"))
 SQL["weighted_overall"] = (
-    f"WITH {LABELLED}, found AS (SELECT doc_id, {level_of('doc_id')} AS level, quality, "
+    f"WITH {LABELLED}, found AS MATERIALIZED (SELECT doc_id, {level_of('doc_id')} AS level, quality, "
     f"{TEXT_ISSUES} AS issues FROM labelled), scored AS (SELECT *, CASE WHEN len(issues) > 0 "
     "THEN 0.0::DOUBLE WHEN quality = 0 THEN 0.75::DOUBLE WHEN quality = 1 THEN 0.95::DOUBLE "
     "ELSE 1.0::DOUBLE END AS conf FROM found), v AS (" + verdict("scored", "doc_id") + ") "
@@ -440,7 +444,7 @@ _RISK = [(rules.RISK_CHARACTERS_REGEX, rules.RISK_CHARACTERS_ISSUE),
          (rules.RISK_XSS_REGEX, rules.RISK_XSS_ISSUE)]
 _RISK_ISSUES = " || ".join(f"(CASE WHEN regexp_matches(text, {q(_engine(p))}) THEN [{q(i)}] "
                            "ELSE [] END)" for p, i in _RISK)
-SQL["risk_score_legacy"] = f"""WITH {LABELLED}, f AS (SELECT doc_id, {level_of('doc_id')} AS level,
+SQL["risk_score_legacy"] = f"""WITH {LABELLED}, f AS MATERIALIZED (SELECT doc_id, {level_of('doc_id')} AS level,
   coalesce(toxic, 0)::DOUBLE AS tox, {_RISK_ISSUES} AS issues FROM labelled),
 p AS (SELECT *, len(issues) * 0.3::DOUBLE AS rule,
   CASE level WHEN 'low' THEN 0.0::DOUBLE ELSE tox END AS llm FROM f),
@@ -456,7 +460,7 @@ SELECT doc_id, CASE WHEN o < 0.7::DOUBLE THEN 'safe' ELSE 'unsafe' END AS status
 AS_OF_US = I.START_US + 2_200 * 1_000_000
 DOC_VERDICTS = (
     f"{DOC_REQUESTS}, src AS (SELECT request_id, us, cache_key, security_level, content AS text "
-    f"FROM keyed), found AS (SELECT request_id, us, cache_key, security_level, "
+    f"FROM keyed), found AS MATERIALIZED (SELECT request_id, us, cache_key, security_level, "
     f"security_level AS level, {TEXT_ISSUES} AS issues FROM src), "
     "scored AS (SELECT *, CASE WHEN len(issues) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS conf "
     "FROM found), verdicts AS ("
@@ -509,14 +513,17 @@ SQL["analyse_once"] = (
 # ----------------------------------------------------------------- the log
 # Each request's successor as a write is the first request of its key that comes when
 # the lifetime is over; the writes are what the first request of each key leads to.
-REPLAY = f"""{REQUEST_LOG}, succ AS (SELECT a.cache_key, a.us, b.us AS nxt
-  FROM keyed a ASOF JOIN keyed b ON a.cache_key = b.cache_key AND a.us + a.ttl <= b.us),
+REPLAY = f"""{REQUEST_LOG}, succ AS (SELECT cache_key, us, min(us) OVER (
+    PARTITION BY cache_key ORDER BY us RANGE BETWEEN ttl FOLLOWING AND UNBOUNDED FOLLOWING)
+    AS nxt FROM keyed),
 writes(cache_key, us) AS (
   SELECT cache_key, min(us) FROM keyed GROUP BY cache_key
   UNION ALL
-  SELECT s.cache_key, s.nxt FROM writes w JOIN succ s ON w.cache_key = s.cache_key AND w.us = s.us),
-replayed AS (SELECT k.*, w.us AS written_us, w.us <> k.us AS cache_hit
-  FROM keyed k ASOF JOIN writes w ON k.cache_key = w.cache_key AND k.us >= w.us)"""
+  SELECT s.cache_key, s.nxt FROM writes w JOIN succ s ON w.cache_key = s.cache_key AND w.us = s.us
+  WHERE s.nxt IS NOT NULL),
+replayed AS (SELECT k.*, w.us IS NULL AS cache_hit, max(w.us) OVER (
+    PARTITION BY k.cache_key ORDER BY k.us) AS written_us
+  FROM keyed k LEFT JOIN writes w ON k.cache_key = w.cache_key AND k.us = w.us)"""
 _PLAIN_STATUS = {
     text: ("safe", "safe") for text in I.REQUEST_TEXTS[:2]} | {
     I.REQUEST_TEXTS[2]: ("unsafe", "unsafe"),
@@ -603,11 +610,11 @@ SQL["hit_miss_latency"] = (
 _SHOWN_LIST = ("list_transform(issues, lambda i: CASE WHEN i = "
                f"{q(rules.KEYWORD_ISSUE)} THEN {q(rules.KEYWORD_ISSUE_SHOWN)} ELSE i END)")
 SQL["issue_frequency"] = (
-    f"WITH {CORPUS}, f AS (SELECT {TEXT_ISSUES} AS issues FROM corpus), "
+    f"WITH {CORPUS}, f AS MATERIALIZED (SELECT {TEXT_ISSUES} AS issues FROM corpus), "
     f"u AS (SELECT unnest({_SHOWN_LIST}) AS issue FROM f) "
     "SELECT issue, count(*) AS n FROM u GROUP BY issue")
 SQL["issue_by_lang"] = (
-    f"WITH {CORPUS}, f AS (SELECT lang, {TEXT_ISSUES} AS issues FROM corpus), "
+    f"WITH {CORPUS}, f AS MATERIALIZED (SELECT lang, {TEXT_ISSUES} AS issues FROM corpus), "
     f"u AS (SELECT lang, unnest({_SHOWN_LIST}) AS issue FROM f) "
     "SELECT lang, issue, count(*) AS n FROM u GROUP BY lang, issue")
 
