@@ -513,10 +513,11 @@ def key_census(spark, sf):
 
 @query("cache_info")
 def cache_info(spark, sf):
+    log = _replayed_verdicts(spark, sf)
     validation = C.latest_entries(_document_cache(spark, sf)).select("cache_key")
-    counters = ST.event_counters(_replayed_verdicts(spark, sf)).select(
+    counters = ST.event_counters(log).select(
         F.concat(F.lit("counter:"), "counter").alias("cache_key"))
-    report = ST.stats_report(ST.stats_rollup(_replayed_verdicts(spark, sf)),
+    report = ST.stats_report(ST.stats_rollup(log),
                              ST.key_totals(validation.unionByName(counters)))
     return report.select("cache_info.*", "cache_performance.total_hits",
                          "validation_stats.safe_results")
