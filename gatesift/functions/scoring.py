@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gatesift import rules
-from gatesift.functions.text import quote
+from gatesift.functions.text import contains_any_sql, quote
 
 
 def _double(value: float) -> str:
@@ -110,13 +112,21 @@ def _java(pattern: str) -> str:
 
 def risk_parts_sql(text: str, level: str, toxicity: str) -> dict[str, str]:
     """The parts of the rule-density risk score: issues, rule score, model score."""
+    # Words are searched for in the lower-cased text, which is exact but for letters that
+    # equal an ASCII letter in case-insensitive matching only; texts with such letters,
+    # and no others, need the regular expression.
+    words = re.search(r"\((.*)\)", rules.RISK_SQL_REGEX.replace("(?i)", ""))[1].split("|")
+    folds = "[\u0130\u0131\u017f\u212a]"
+    sql = (f"({contains_any_sql(f'lower({text})', words)} OR ({text} RLIKE {quote(folds)} "
+           f"AND {text} RLIKE {quote(_java(rules.RISK_SQL_REGEX))}))")
+    # each alternative of the last pattern has one of these characters
+    xss = f"({text} RLIKE '[=<:]' AND {text} RLIKE {quote(_java(rules.RISK_XSS_REGEX))})"
     checks = [
-        (rules.RISK_CHARACTERS_REGEX, rules.RISK_CHARACTERS_ISSUE),
-        (rules.RISK_SQL_REGEX, rules.RISK_SQL_ISSUE),
-        (rules.RISK_XSS_REGEX, rules.RISK_XSS_ISSUE),
+        (f"{text} RLIKE {quote(rules.RISK_CHARACTERS_REGEX)}", rules.RISK_CHARACTERS_ISSUE),
+        (sql, rules.RISK_SQL_ISSUE),
+        (xss, rules.RISK_XSS_ISSUE),
     ]
-    found = ", ".join(f"CASE WHEN {text} RLIKE {quote(_java(pattern))} THEN {quote(issue)} END"
-                      for pattern, issue in checks)
+    found = ", ".join(f"CASE WHEN {hit} THEN {quote(issue)} END" for hit, issue in checks)
     return {
         "risk_issues": f"array_compact(array({found}))",
         "risk_model": f"CASE WHEN {level} IN ('high', 'medium') "

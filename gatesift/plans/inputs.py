@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatesift.functions.text import string_array
+from gatesift.sources.tables import spread
 
 # ---------------------------------------------------------------- fixed values
 # Payloads that exercise the detectors.
@@ -106,6 +107,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose texts are to be analysed, over all cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def pick(values: list, index: Column) -> Column:
     """A constant by position."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -125,7 +131,7 @@ def with_probe(index: str) -> Column:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, part of them with a payload at the end."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "lang", "text").select(
         "doc_id", "lang", with_probe("doc_id").alias("text"))
 
 
@@ -190,7 +196,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as routed text requests, one second apart; copies stay copies."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "n_chars", "text").select(
         F.col("doc_id").alias("request_id"),
         F.timestamp_micros(F.lit(START_US) + F.col("doc_id") * 1_000_000).alias("ts"),
         F.lit("text").alias("analysis_type"),

@@ -64,13 +64,13 @@ for _level in rules.LEVELS:
 
 @query("validate_pages")
 def validate_pages(spark, sf):
-    pages = I.table(spark, sf, "pages").select("page_id", "html")
+    pages = I.texts(spark, sf, "pages", "page_id", "html")
     return shown(V.validate_text(pages, "html"), "page_id")
 
 
 @query("validate_conversations")
 def validate_conversations(spark, sf):
-    turns = I.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    turns = I.texts(spark, sf, "conversations", "conv_id", "turn", "text")
     return shown(V.validate_text(turns, level="medium"), "conv_id", "turn")
 
 
@@ -153,7 +153,7 @@ def rule_matches_long(spark, sf):
 
 @query("rule_matches_pages")
 def rule_matches_pages(spark, sf):
-    pages = I.table(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
+    pages = I.texts(spark, sf, "pages", "page_id", "html").withColumnRenamed("html", "text")
     return M.rule_matches(pages, profile="file").groupBy("family", "pattern") \
             .agg(F.count("*").alias("n_pages"))
 
