@@ -113,28 +113,26 @@ def _make_stepper():
         if carry is not None and carry[0] == first_key:
             entry[0], entry_w[0] = carry[1], carry[2]
 
+        # "first row of a run at or after a time" for all rows at once: times become
+        # ranks within the batch, and (run, rank) becomes one sorted integer
+        ordered = np.sort(us)
+        place = run * (n + 1) + np.searchsorted(ordered, us, side="left")
+
         def first_at_or_after(values, runs):
-            # searchsorted within each run: a bisection over all lanes at once
-            low, high = starts[runs].copy(), ends[runs].copy()
-            while True:
-                open_ = low < high
-                if not open_.any():
-                    return low
-                mid = (low + high) // 2
-                right = open_ & (us[np.minimum(mid, n - 1)] < values)
-                low = np.where(right, mid + 1, low)
-                high = np.where(open_ & ~right, mid, high)
-
-        miss = np.zeros(n, dtype=bool)
-        lanes = np.arange(len(starts))
-        at = first_at_or_after(entry, lanes)
-        while len(lanes):
-            alive = at < ends[lanes]
-            lanes, at = lanes[alive], at[alive]
-            if not len(lanes):
+            at = np.searchsorted(
+                place, runs * (n + 1) + np.searchsorted(ordered, values, side="left"))
+            return np.where(at < ends[runs], at, n)
+
+        following = first_at_or_after(exp, run)
+        miss = np.zeros(n + 1, dtype=bool)
+        at = first_at_or_after(entry, np.arange(len(starts)))
+        while True:
+            at = at[at < n]
+            if not len(at):
                 break
             miss[at] = True
-            at = first_at_or_after(exp[at], lanes)
+            at = following[at]
+        miss = miss[:n]
         last = np.maximum.accumulate(np.where(miss, np.arange(n), -1))
         own = last >= starts[run]
         at_write = np.maximum(last, 0)
