@@ -16,6 +16,18 @@ def with_cache_key(df: DataFrame) -> DataFrame:
         F.col("content"), F.col("analysis_type"), F.col("security_level")))
 
 
+def join_by_key(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join on ``cache_key``. Rejected requests have no key: they would all meet in
+    one task, so each goes where a hash of its other columns sends it."""
+    others = [f.name for f in left.schema.fields
+              if f.name not in ("cache_key", "content")
+              and not f.dataType.simpleString().startswith("map")]
+    spread = F.concat(F.lit("rejected:"), F.hex(F.xxhash64(*others)))
+    return (left.withColumn("_gs_join", F.coalesce("cache_key", spread))
+            .join(right.withColumnRenamed("cache_key", "_gs_join"), "_gs_join", "left")
+            .drop("_gs_join"))
+
+
 def result_struct() -> Column:
     return F.struct(*[F.col(n).cast(t).alias(n) for n, t in RESULT_FIELDS.items()])
 
@@ -104,7 +116,7 @@ def cache_lookup(requests: DataFrame, cache: DataFrame | None,
         })
     moment = F.col("ts").cast("timestamp") if as_of is None else as_of
     entry = cache.select("cache_key", F.struct("result", "cached_at", "expires_at").alias("_gs_e"))
-    joined = requests.join(entry, "cache_key", "left")
+    joined = join_by_key(requests, entry)
     hit = F.coalesce(F.col("_gs_e.expires_at") > moment, F.lit(False))
     return joined.select(
         *requests.columns,
@@ -175,4 +187,4 @@ def analyse_once(requests: DataFrame, **options) -> DataFrame:
         F.first("analysis_type").alias("analysis_type"),
         F.first("security_level").alias("security_level"))
     verdicts = validate_routed(unique, **options).select("cache_key", *RESULT_FIELDS)
-    return keyed.drop("content").join(verdicts, "cache_key", "left")
+    return join_by_key(keyed.drop("content"), verdicts)

@@ -426,6 +426,13 @@ SQL["model_verdict_join"] = (
     f"(CASE WHEN toxic = 1 THEN [{q(rules.MODEL_ISSUE)}] ELSE [] END) AS issues FROM labelled), "
     "scored AS (SELECT *, CASE WHEN len(issues) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS conf "
     "FROM found) " + verdict("scored", "doc_id"))
+SQL["model_scorer"] = (
+    f"WITH {CORPUS}, found AS MATERIALIZED (SELECT doc_id, 'high' AS level, "
+    "round(1 - length(regexp_replace(text, '[^aeiou]', '', 'g'))::DOUBLE / length(text), 1) "
+    f"AS score, {TEXT_ISSUES} AS issues FROM corpus), scored AS (SELECT *, "
+    "CASE WHEN len(issues) > 0 THEN 0.0::DOUBLE ELSE score END AS conf FROM found), v AS ("
+    + verdict("scored", "doc_id") + ") SELECT doc_id, status, reason, "
+    "round(overall_score, 6) AS overall_score FROM v")
 SQL["weighted_overall"] = (
     f"WITH {LABELLED}, found AS MATERIALIZED (SELECT doc_id, {level_of('doc_id')} AS level, quality, "
     f"{TEXT_ISSUES} AS issues FROM labelled), scored AS (SELECT *, CASE WHEN len(issues) > 0 "

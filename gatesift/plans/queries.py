@@ -16,6 +16,7 @@ from gatesift.functions import scoring as S
 from gatesift.operators import analyze as A
 from gatesift.operators import cache as C
 from gatesift.operators import matches as M
+from gatesift.operators import model as MV
 from gatesift.operators import replay
 from gatesift.operators import sessions as W
 from gatesift.operators import stats as ST
@@ -305,11 +306,27 @@ def _labelled(spark, sf) -> DataFrame:
 
 @query("model_verdict_join")
 def model_verdict_join(spark, sf):
-    verdicts = V.validate_text(_labelled(spark, sf), level=I.level_of(F.col("doc_id")),
-                               blocked=F.col("toxic") == 1)
+    labels = I.table(spark, sf, "labels").select(
+        "doc_id", (F.col("toxic") == 1).alias("blocked"))
+    scored = MV.with_model_verdicts(I.corpus(spark, sf), labels, "doc_id")
+    verdicts = V.validate_text(scored, level=I.level_of(F.col("doc_id")), blocked="blocked",
+                               llm_score=F.col("llm_score"))
     return shown(verdicts, "doc_id")
 
 
+@query("model_scorer")
+def model_scorer(spark, sf):
+    def scorer(texts):
+        """Stands in for a model: the share of a text that is not vowels, in tenths."""
+        vowels = F.length(F.regexp_replace("text", "[^aeiou]", ""))
+        return texts.select("doc_id", F.round(1 - vowels / F.length("text"), 1)
+                            .alias("llm_score"))
+    scored = MV.with_scorer(I.corpus(spark, sf), scorer, "doc_id")
+    verdicts = V.validate_text(scored, llm_score="llm_score")
+    return verdicts.select("doc_id", "status", "reason",
+                           F.round("overall_score", 6).alias("overall_score"))
+
+
 @query("weighted_overall")
 def weighted_overall(spark, sf):
     score = F.when(F.col("quality") == 0, F.lit(0.75)).when(F.col("quality") == 1, F.lit(0.95))

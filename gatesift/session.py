@@ -34,11 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     This is ``spark.checkpoint.dir``. Only a local session may do without it: it
     gets a temporary folder of its own, because no other machine needs to read it.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
     if configured:
+        if not current:
+            context.setCheckpointDir(configured)
         return configured
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
     if current:
         return current
     if not context.master.startswith("local"):

@@ -10,11 +10,11 @@ def spread(df: DataFrame) -> DataFrame:
 
     A parquet row group is read by one task, so a small table may be a single task, and
     detectors cost far more than moving its rows once. Tables with at least one piece per
-    core, which is every large one, are left alone: no shuffle is added. Select the
-    needed columns first.
+    core, which is every large one, are left alone: no shuffle is added. For a table as it
+    is read, with the needed columns selected.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    pieces = df.rdd.getNumPartitions()
     return df.repartition(cores) if pieces < cores else df

@@ -135,3 +135,12 @@ def test_verdict_schema(spark):
     out = C.to_verdict(C.validate_with_cache(routed(spark), None), "request_id")
     assert out.columns == ["request_id", *VERDICT]
     assert [f.dataType.simpleString() for f in out.schema.fields[1:]] == list(VERDICT.values())
+
+
+def test_rejected_requests_do_not_meet_in_one_task(spark):
+    requests = routed(spark, ["a"] * 400).withColumn("analysis_type", F.lit(None).cast("string"))
+    once = C.analyse_once(requests)
+    assert once.count() == 400 and once.filter("status IS NOT NULL").isEmpty()
+    looked_up = C.cache_lookup(C.with_cache_key(requests), entries(spark, ["a"]))
+    assert looked_up.count() == 400 and looked_up.filter("cache_hit").isEmpty()
+    assert "_gs_join" not in looked_up.columns

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gatesift import rules
 from gatesift.functions import scoring as S
 from gatesift.operators import validate as V
+from gatesift.operators.model import with_model_verdicts, with_scorer
 from gatesift.schemas import REQUEST, RESULT_FIELDS
 
 
@@ -181,3 +182,19 @@ def test_display_error(spark):
     assert got == [rules.DISPLAY_ERRORS["unsupported_file_type"],
                    rules.DISPLAY_ERRORS["file_too_large"], rules.UNKNOWN_ERROR_DISPLAY,
                    "other", None]
+
+
+def test_model_lookup_and_scorer(spark, texts):
+    df = texts(["Hello", "Hi", "  ", "Hey"])
+    known = spark.createDataFrame([(0, True), (1, False)], "id INT, blocked BOOLEAN")
+    joined = with_model_verdicts(df, known, "id")
+    rows = V.validate_text(joined, blocked="blocked", llm_score="llm_score") \
+        .orderBy("id").collect()
+    assert [r.reason for r in rows] == [rules.MODEL_ISSUE, "safe", "empty_input", "safe"]
+
+    def scorer(given):
+        assert given.columns == ["id", "text"]
+        return given.filter("id <> 3").select("id", F.lit(0.25).alias("llm_score"))
+
+    scored = with_scorer(df, scorer, "id").orderBy("id").collect()
+    assert [r.llm_score for r in scored] == [0.25, 0.25, 1.0, 1.0]
