@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatesift.llm.common import n_words, stored, table
+from gatesift.llm.common import held_out, n_words, stored, table
+from gatesift.llm.compression import score_quality
 from gatesift.llm.mixing import mix_sources, taken_words
 from gatesift.llm.quality_rules import apply_rules
 from gatesift.llm.sharding import shard_records
+from gatesift.llm.toxic_grammar import score_toxicity
 from gatesift.llm.url_filter import judge_urls, rule_table
 
 MIX_SHARDS = 16
@@ -23,12 +25,26 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         taken_words(MIX_SHARDS).alias("taken"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by the pattern grammar."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and whether the rules keep it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs).drop("text", "failed_rules")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by compression."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shuffled shards of equal row counts."""
     text = F.coalesce("text", F.lit(""))
@@ -48,7 +64,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op2_mixing": op2_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
     "op10_url_filter": op10_url_filter,
 }
