@@ -6,8 +6,10 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from conftest import TESTDATA
+from gatesift.plans.oracles import SQL
+from gatesift.plans.queries import REGISTRY
 
 
 @pytest.fixture(scope="module")
@@ -32,13 +34,13 @@ SPARK_TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boo
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(REGISTRY) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_matches_oracle(spark, engine, name):
-    df = queries()[name](spark, TESTDATA)
-    result = engine.sql(oracle_sql()[name])
+    df = REGISTRY[name](spark, TESTDATA)
+    result = engine.sql(SQL[name])
     assert sorted(df.columns) == sorted(result.columns)
     types = {f.name: SPARK_TYPES[f.dataType.simpleString()] for f in df.schema.fields}
     assert types == dict(zip(result.columns, map(str, result.types)))
