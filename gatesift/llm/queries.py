@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatesift.llm.common import held_out, n_words, stored, table
 from gatesift.llm.compression import score_quality
 from gatesift.llm.mixing import mix_sources, taken_words
+from gatesift.llm.packing import pack, tokenise
 from gatesift.llm.quality_rules import apply_rules
 from gatesift.llm.sharding import shard_records
 from gatesift.llm.toxic_grammar import score_toxicity
@@ -38,6 +39,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs).drop("text", "failed_rules")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised and packed into sequences of at most 2048 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(tokenise(docs, keep_ids=False))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality by compression."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +73,7 @@ REGISTRY = {
     "op2_mixing": op2_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
     "op10_url_filter": op10_url_filter,
