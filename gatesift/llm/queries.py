@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatesift.llm.common import held_out, n_words, stored, table
 from gatesift.llm.compression import score_quality
 from gatesift.llm.mixing import mix_sources, taken_words
+from gatesift.llm.ngram_join import ngram_components
 from gatesift.llm.packing import pack, tokenise
 from gatesift.llm.quality_rules import apply_rules
 from gatesift.llm.sharding import shard_records
@@ -18,6 +19,11 @@ MIX_SHARDS = 16
 OUTPUT_SHARDS = 40
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of texts that share 80 % of their shingles."""
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document gives to a mix of all sources at target weights."""
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
@@ -70,6 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
