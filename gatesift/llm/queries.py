@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatesift.llm.ann import nearest_neighbours
 from gatesift.llm.common import held_out, n_words, stored, table
 from gatesift.llm.compression import score_quality
 from gatesift.llm.mixing import mix_sources, taken_words
@@ -69,6 +70,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of each vector whose id is divisible by 100."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -83,5 +89,6 @@ REGISTRY = {
     "op6_packing": op6_packing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_url_filter": op10_url_filter,
 }
