@@ -205,7 +205,7 @@ def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if node is not None and wanted[row] in (None, node):
                 found.append(node)
                 sets.append(shingles.tobytes())
-            if sum(map(len, sets[-1:])) and len(sets) >= 512:
+            if len(sets) >= 512:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())],
                                                  names=["node", "shingles"])
                 found, sets = [], []

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatesift.llm.ann import nearest_neighbours
 from gatesift.llm.common import held_out, n_words, stored, table
 from gatesift.llm.compression import score_quality
+from gatesift.llm.lm_scoring import score_difference
 from gatesift.llm.mixing import mix_sources, taken_words
 from gatesift.llm.ngram_join import ngram_components
 from gatesift.llm.packing import pack, tokenise
@@ -33,6 +34,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         taken_words(MIX_SHARDS).alias("taken"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much likelier each document is in the language of the good ones than in all."""
+    labels = table(spark, sf_dir, "labels")
+    good = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id")))
+    return score_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity by the pattern grammar."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,6 +92,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,

@@ -7,6 +7,8 @@ values of its bytes, mixed; a shingle's is a weighted sum of its words' hashes,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 SHINGLE_WORDS = 5
@@ -76,11 +78,10 @@ def _windows(words: np.ndarray, width: int) -> np.ndarray:
     return mix(sums)
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted different shingles of each text; of fewer words, one for all; of none, empty."""
-    counts = np.zeros(len(texts), np.int64)
-    parts, start = [], 0
-    while start < len(texts):  # many short texts are hashed in one go
+def hashed_chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, words of each text) of a few texts at a time: many short ones, or a long one."""
+    start = 0
+    while start < len(texts):
         end, size = start, 0
         while end < len(texts) and (end == start or size + len(texts[end]) < _CHUNK // 4):
             size += len(texts[end]) + 1
@@ -88,19 +89,22 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
         raw = b" ".join(texts[start:end])
         words = word_hashes(raw)
         if end - start == 1:
-            counts[start] = len(words)
+            counts = np.array([len(words)])
         else:
-            solid = _SOLID[np.frombuffer(raw, np.uint8)]
-            first = solid.copy()
-            first[1:] &= ~solid[:-1]
+            first = _SOLID[np.frombuffer(raw, np.uint8)]
+            first[1:] &= ~first[:-1].copy()
             ends = np.cumsum([len(t) + 1 for t in texts[start:end]])
-            counts[start:end] = np.diff(np.searchsorted(np.flatnonzero(first), ends), prepend=0)
-        parts.append((words, _windows(words, SHINGLE_WORDS), start, end))
+            counts = np.diff(np.searchsorted(np.flatnonzero(first), ends), prepend=0)
+        yield words, counts
         start = end
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Sorted different shingles of each text; of fewer words, one for all; of none, empty."""
     out = []
-    for words, windows, start, end in parts:
-        at = 0
-        for n in counts[start:end].tolist():
+    for words, counts in hashed_chunks(texts):
+        windows, at = _windows(words, SHINGLE_WORDS), 0
+        for n in counts.tolist():
             if n > SHINGLE_WORDS:
                 own = np.sort(windows[at:at + n - SHINGLE_WORDS + 1])
                 new = own[1:] != own[:-1]
