@@ -36,11 +36,11 @@ from gatesift.llm.shingles import mix, shingle_sets
 
 LEAST_SHARED = 4            # R: occurrences among the short lists
 BIG_LIST = 16
-MOST_FREQUENT = 200_000     # entries of the frequency table, 16 bytes each
+MOST_FREQUENT = 65_536      # entries of the frequency table, 16 bytes each
 BUCKET_POSTINGS = 250_000
 BROADCAST_ROWS = 1_000_000  # ids of candidates, 16 bytes each
 _COUNT_AT_ONCE = 4_000_000
-_POST_AT_ONCE = 1_000_000
+_POST_AT_ONCE = 500_000
 
 
 def required(n) -> np.ndarray:
@@ -77,8 +77,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "node", "n", "seen"]
 
     def frequent():
-        values, counts = np.unique(np.concatenate(kept), return_counts=True)
-        values, counts = values[counts > 1].astype(np.int64), counts[counts > 1]
+        values = np.concatenate(kept)
+        kept.clear()
+        values.sort()
+        again = np.append(values[1:] == values[:-1], False)
+        opens = np.flatnonzero(again & ~np.append(False, again[:-1]))
+        closes = np.flatnonzero(~again & np.append(False, again[:-1]))
+        values, counts = values[opens].astype(np.int64), closes - opens + 1
         none = pa.nulls(len(values), pa.int64())
         return pa.RecordBatch.from_arrays(
             [none, pa.array(values), none, pa.array(counts, pa.int64())], names=names)
@@ -95,7 +100,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_kept += len(shingles)
                 if n_kept > _COUNT_AT_ONCE:
                     yield frequent()
-                    kept, n_kept = [], 0
+                    n_kept = 0
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
              pa.nulls(len(nodes), pa.int64())], names=names)

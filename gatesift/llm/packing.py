@@ -38,7 +38,7 @@ def _encoder(path: str):
 
     The rank file knows no special token, so texts that spell it out take the tokenizer.
     """
-    tokenizer = Tokenizer.from_file(path)
+    slow = []  # loaded only when it is needed
     with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
@@ -46,7 +46,8 @@ def _encoder(path: str):
 
     def encode(text: str) -> np.ndarray:
         if SPECIAL in text:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            slow[:] = slow or [Tokenizer.from_file(path)]
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4")
         return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
     return encode
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SHINGLE_WORDS = 5
-_CHUNK = 4_000_000
+_CHUNK = 2_000_000  # bytes hashed at a time: some 40 bytes of work space each
 
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _SOLID = np.ones(256, bool)
