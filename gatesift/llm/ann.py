@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gatesift.llm.common import stored
 
-PROBES = 96
+TABLES = 32
 SEED = 9
 BROADCAST_BYTES = 64_000_000
 _BLOCK_BYTES = 8_000_000
@@ -130,22 +130,24 @@ def _exact(queries: DataFrame, classes: DataFrame, dimension: int, k: int) -> Da
     return found
 
 
-def plan(rows: int, dimension: int) -> tuple[int, int]:
-    """Rotations a code, so that there are about as many codes as rows, and tables for them.
+def plan(rows: int, dimension: int, tables: int = TABLES) -> tuple[int, int]:
+    """Rotations a code and probes a table, so that work grows slower than the rows.
 
-    Each further rotation makes buckets smaller by twice the dimension, and neighbours part
-    more often: it takes twice the tables.
+    Codes are about as many as rows, within a factor of twice the dimension, and a query looks
+    at about ``20 sqrt(rows)`` candidates, counted once for each table that finds them.
     """
-    width = 1 << max(1, (dimension - 1).bit_length())
-    functions = max(1, round(math.log(max(rows, 2)) / math.log(2 * width)))
-    return functions, 10 << functions
+    width = 2 << max(1, (dimension - 1).bit_length())
+    rows = max(rows, 2)
+    functions = max(1, round(math.log(rows) / math.log(width) - 0.3))
+    probes = 20 * math.sqrt(rows) * width ** functions / rows / tables
+    return functions, max(16, math.ceil(probes))
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, tables: int | None = None,
-                       functions: int | None = None, probes: int = PROBES) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES,
+                       functions: int | None = None, probes: int | None = None) -> DataFrame:
     """The k nearest rows of each query row, by Euclidean distance.
 
-    Tables and rotations a code follow :func:`plan`, unless they are given.
+    Rotations a code and probes a table follow :func:`plan`, unless they are given.
 
     ``vectors`` has vec_id (long) and embedding (array of numbers); ``is_query`` is a condition
     on vec_id. Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the
@@ -172,8 +174,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, tables
     classes = stored(classes, "classes")
     queries = stored(classes.join(asking, "class"), "queries")
 
-    planned = plan(classes.count(), dimension)
-    functions, tables = functions or planned[0], tables or planned[1]
+    planned = plan(classes.count(), dimension, tables)
+    functions, probes = functions or planned[0], probes or planned[1]
     index = classes.mapInArrow(_hash_rows(tables, functions, 1, "class"), "class long, table int, code long")
     asked = queries.mapInArrow(_hash_rows(tables, functions, probes, "query_class"),
                                "query_class long, table int, code long")
