@@ -284,10 +284,11 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                    .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"),
                                           F.first("nb").alias("nb"))
                    .where(F.col("shared") >= reach).select("a", "b"), "pairs")
-    lists = merged.where("members IS NOT NULL").select(
-        F.explode(F.arrays_zip("members", "sizes")).alias("m"), F.monotonically_increasing_id().alias("list"))
-    lists = stored(lists.select("list", F.col("m.members").alias("node"), F.col("m.sizes").alias("size")),
-                   "lists")
+    # a list's number comes before its members are dealt out
+    numbered = (merged.where("members IS NOT NULL").select("members", "sizes")
+                .withColumn("list", F.monotonically_increasing_id()))
+    lists = stored(numbered.select("list", F.explode(F.arrays_zip("members", "sizes")).alias("m"))
+                   .select("list", F.col("m.members").alias("node"), F.col("m.sizes").alias("size")), "lists")
 
     wanted = (pairs.select(F.explode(F.array("a", "b")).alias("node")).union(lists.select("node")).distinct())
     chosen = stored(texts.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
