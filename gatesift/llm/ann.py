@@ -134,12 +134,12 @@ def plan(rows: int, dimension: int, tables: int = TABLES) -> tuple[int, int]:
     """Rotations a code and probes a table, so that work grows slower than the rows.
 
     Codes are about as many as rows, within a factor of twice the dimension, and a query looks
-    at about ``20 sqrt(rows)`` candidates, counted once for each table that finds them.
+    at about ``100 rows^0.35`` candidates, counted once for each table that finds them.
     """
     width = 2 << max(1, (dimension - 1).bit_length())
     rows = max(rows, 2)
     functions = max(1, round(math.log(rows) / math.log(width) - 0.3))
-    probes = 20 * math.sqrt(rows) * width ** functions / rows / tables
+    probes = 100 * rows ** 0.35 * width ** functions / rows / tables
     return functions, max(16, math.ceil(probes))
 
 

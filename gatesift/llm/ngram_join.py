@@ -14,7 +14,7 @@ shingles, until the required overlap is reached or out of reach.
   never what is found.
 * Short lists of up to ``BIG_LIST`` nodes give all their pairs. From a longer one, usually a
   large group of near copies, neighbours are verified first; after linked ones are put into
-  components, only pairs across components remain. So no group gives all its pairs, and no
+  components, only pairs across components remain whose places in the order leave room for T. So no group gives all its pairs, and no
   link between different components is lost.
 
 A node is a 64-bit hash of a shingle set, shingles are 64-bit hashes. A list longer than
@@ -36,7 +36,7 @@ from gatesift.llm.shingles import mix, shingle_sets
 
 LEAST_SHARED = 4            # R: occurrences among the short lists
 BIG_LIST = 16
-MOST_FREQUENT = 65_536      # entries of the frequency table, 16 bytes each
+MOST_FREQUENT = 1 << 19     # entries of the frequency table, 16 bytes each
 BUCKET_POSTINGS = 250_000
 BROADCAST_ROWS = 1_000_000  # ids of candidates, 16 bytes each
 _COUNT_AT_ONCE = 4_000_000
@@ -116,18 +116,20 @@ def _short_lists(frequent: np.ndarray, counts: np.ndarray, buckets: int):
         def packed():
             s = np.concatenate(short)
             lengths = [len(x) for x in short]
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
             node = np.repeat(np.array(nodes, np.int64), lengths)
             size = np.repeat(np.array(sizes, np.int32), lengths)
             bucket = (s & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
             order = np.lexsort((s, bucket))
-            s, node, size, bucket = s[order], node[order], size[order], bucket[order]
+            s, node, size, bucket, place = s[order], node[order], size[order], bucket[order], place[order]
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(s)]
             rows = [(int(bucket[i]), (s[i:j] >> np.uint64(32)).astype(np.uint32).tobytes(),
-                     node[i:j].tobytes(), size[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
-            b, x, y, z = zip(*rows)
+                     node[i:j].tobytes(), size[i:j].tobytes(), place[i:j].tobytes())
+                    for i, j in zip(cuts, cuts[1:])]
+            b, *packs = zip(*rows)
             return pa.RecordBatch.from_arrays(
-                [pa.array(b, pa.int32()), *(pa.array(v, pa.binary()) for v in (x, y, z))],
-                names=["bucket", "shingles", "nodes", "sizes"])
+                [pa.array(b, pa.int32()), *(pa.array(v, pa.binary()) for v in packs)],
+                names=["bucket", "shingles", "nodes", "sizes", "places"])
 
         for batch in batches:
             for _, shingles in _sets(batch, 0):
@@ -153,7 +155,18 @@ def _short_lists(frequent: np.ndarray, counts: np.ndarray, buckets: int):
     return run
 
 
-_MERGED = "a long, b long, na int, nb int, shared long, members array<long>, sizes array<int>"
+_MERGED = ("a long, b long, na int, nb int, shared long, members array<long>, sizes array<int>, "
+           "places array<int>")
+
+
+def _within_reach(na, pa_, nb, pb) -> np.ndarray:
+    """Whether a pair may be similar that meets at these places of its short lists.
+
+    It is only needed that one of a pair's first R common shingles passes: before it there
+    are at most R - 1, and from it on at most what is left of either text.
+    """
+    left = np.minimum(na.astype(np.int64) - pa_, nb.astype(np.int64) - pb)
+    return left >= _pair_required(na.astype(np.int64), nb.astype(np.int64)) - (LEAST_SHARED - 1)
 
 
 def _merge_bucket(rows: pa.Table) -> pa.Table:
@@ -162,10 +175,11 @@ def _merge_bucket(rows: pa.Table) -> pa.Table:
         return np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows.column(name)])
 
     shingle, node, size = column("shingles", np.uint32), column("nodes", np.int64), column("sizes", np.int32)
-    order = np.lexsort((node, size, shingle))
-    shingle, node, size = shingle[order], node[order], size[order]
+    place = column("places", np.int32)
+    order = np.lexsort((place, node, size, shingle))
+    shingle, node, size, place = shingle[order], node[order], size[order], place[order]
     new = np.append(True, (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1]))
-    shingle, node, size = shingle[new], node[new], size[new]
+    shingle, node, size, place = shingle[new], node[new], size[new], place[new]
     opens = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
     lengths = np.diff(np.append(opens, len(shingle)))
     of = np.repeat(np.arange(len(opens)), lengths)
@@ -173,7 +187,10 @@ def _merge_bucket(rows: pa.Table) -> pa.Table:
     first, second, weight = [], [], []
     for step in range(1, min(BIG_LIST, int(lengths.max()))):
         near = (of[step:] == of[:-step]) & (5 * size[:-step].astype(np.int64) >= 4 * size[step:].astype(np.int64))
-        near &= ~big[step:] | (step == 1)  # of big lists, neighbours only
+        if step == 1:  # of big lists, neighbours only
+            near &= ~big[1:] | _within_reach(size[:-1], place[:-1], size[1:], place[1:])
+        else:
+            near &= ~big[step:]
         at = np.flatnonzero(near)
         first.append(at)
         second.append(at + step)
@@ -191,13 +208,17 @@ def _merge_bucket(rows: pa.Table) -> pa.Table:
     lists = {}
     for k in np.flatnonzero(lengths > BIG_LIST).tolist():
         own = slice(opens[k], opens[k] + lengths[k])
-        lists[node[own].tobytes()] = size[own]  # lists with the same nodes need one look
+        key = node[own].tobytes()  # lists with the same nodes need one look, at the first places
+        before = lists.get(key)
+        lists[key] = (size[own], place[own] if before is None else np.minimum(before[1], place[own]))
     members = [np.frombuffer(x, np.int64) for x in lists]
     blank = {n: pa.nulls(len(members), out.schema.field(n).type) for n in out.column_names}
     listed = pa.table({**blank, "members": pa.array(members, pa.list_(pa.int64())),
-                       "sizes": pa.array(list(lists.values()), pa.list_(pa.int32()))})
+                       "sizes": pa.array([x for x, _ in lists.values()], pa.list_(pa.int32())),
+                       "places": pa.array([x for _, x in lists.values()], pa.list_(pa.int32()))})
     out = out.append_column("members", pa.nulls(n_pairs, pa.list_(pa.int64())))
-    out = out.append_column("sizes", pa.nulls(n_pairs, pa.list_(pa.int32())))
+    for name in ("sizes", "places"):
+        out = out.append_column(name, pa.nulls(n_pairs, pa.list_(pa.int32())))
     return pa.concat_tables([out, listed])
 
 
@@ -250,11 +271,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a big list's members that are of fitting sizes and in different components."""
     for batch in batches:
         for members in batch.column("members").to_pylist():
-            rows = sorted((m["size"], m["node"], m["root"]) for m in members)
-            size, node, root = (np.array(v, np.int64) for v in zip(*rows))
+            rows = sorted((m["size"], m["node"], m["root"], m["place"]) for m in members)
+            size, node, root, place = (np.array(v, np.int64) for v in zip(*rows))
             for i in range(len(rows)):
                 end = np.searchsorted(size, 5 * size[i] // 4, side="right")
-                j = i + 1 + np.flatnonzero(root[i + 1:end] != root[i])
+                fits = (root[i + 1:end] != root[i]) & _within_reach(
+                    size[i], place[i], size[i + 1:end], place[i + 1:end])
+                j = i + 1 + np.flatnonzero(fits)
                 if len(j):
                     yield pa.RecordBatch.from_pydict({
                         "a": np.full(len(j), node[i]), "b": node[j]})
@@ -277,7 +300,7 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = max(16, n_shingles // 5 // BUCKET_POSTINGS)
     postings = docs.select("text").mapInArrow(
         _short_lists(frequent[order], table["seen"].to_numpy(np.int64)[order], buckets),
-        "bucket int, shingles binary, nodes binary, sizes binary")
+        "bucket int, shingles binary, nodes binary, sizes binary, places binary")
     merged = stored(postings.groupBy("bucket").applyInArrow(_merge_bucket, _MERGED), "merged")
     reach = F.least(F.lit(LEAST_SHARED), F.floor((4 * (F.col("na") + F.col("nb")) + 8) / 9))
     pairs = stored(merged.where("a IS NOT NULL")
@@ -285,10 +308,11 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                                           F.first("nb").alias("nb"))
                    .where(F.col("shared") >= reach).select("a", "b"), "pairs")
     # a list's number comes before its members are dealt out
-    numbered = (merged.where("members IS NOT NULL").select("members", "sizes")
+    numbered = (merged.where("members IS NOT NULL").select("members", "sizes", "places")
                 .withColumn("list", F.monotonically_increasing_id()))
-    lists = stored(numbered.select("list", F.explode(F.arrays_zip("members", "sizes")).alias("m"))
-                   .select("list", F.col("m.members").alias("node"), F.col("m.sizes").alias("size")), "lists")
+    lists = stored(numbered.select("list", F.explode(F.arrays_zip("members", "sizes", "places")).alias("m"))
+                   .select("list", F.col("m.members").alias("node"), F.col("m.sizes").alias("size"),
+                           F.col("m.places").alias("place")), "lists")
 
     wanted = (pairs.select(F.explode(F.array("a", "b")).alias("node")).union(lists.select("node")).distinct())
     chosen = stored(texts.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -307,7 +331,7 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         roots = stored(components(links), "roots")
         labelled = (lists.join(roots, "node", "left")
                     .withColumn("root", F.coalesce("root", "node"))
-                    .groupBy("list").agg(F.collect_list(F.struct("size", "node", "root")).alias("members"),
+                    .groupBy("list").agg(F.collect_list(F.struct("size", "node", "root", "place")).alias("members"),
                                          F.min("root").alias("low"), F.max("root").alias("high"))
                     .where("low < high").select("members"))
         across = labelled.mapInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
