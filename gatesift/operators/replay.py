@@ -44,7 +44,8 @@ def ttl_replay(log: DataFrame, key: str = "cache_key", ts: str = "ts",
 
     ``ttl`` is in seconds and defaults to the one of ``analysis_type``. A request at
     ``ts`` hits iff ``ts < expires_at`` of the last write; requests at the same time
-    are taken in the order of ``order``. ``cache`` may hold entries that are live
+    are taken in the order of ``order``. A lifetime of 0 or less is never live. Rows without
+    key, time or lifetime take no part: the three new columns are null. ``cache`` may hold entries that are live
     beforehand (``cache_key``, ``written_at``, ``expires_at``; one row per key). Pass a
     narrow log: all its columns are shuffled once.
     """
@@ -52,7 +53,12 @@ def ttl_replay(log: DataFrame, key: str = "cache_key", ts: str = "ts",
     shared = shared_dir(spark)
     lifetime = ttl_seconds(F.col("analysis_type")) if ttl is None else ttl
     columns = log.columns
-    rows = log.withColumns({
+    taking_part = F.col(key).isNotNull() & F.col(ts).isNotNull() & lifetime.isNotNull()
+    apart = log.filter(~taking_part).select(
+        *columns, F.lit(None).cast("boolean").alias("cache_hit"),
+        F.lit(None).cast("timestamp").alias("written_at"),
+        F.lit(None).cast("timestamp").alias("expires_at"))
+    rows = log.filter(taking_part).withColumns({
         "_gs_key": F.col(key).cast("string"),
         "_gs_us": F.unix_micros(F.col(ts).cast("timestamp")),
     })
@@ -85,7 +91,7 @@ def ttl_replay(log: DataFrame, key: str = "cache_key", ts: str = "ts",
         *columns, "cache_hit",
         F.timestamp_micros(F.col("_gs_w")).alias("written_at"),
         F.timestamp_micros(F.col("_gs_x")).alias("expires_at"),
-    )
+    ).unionByName(apart)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -124,6 +130,9 @@ def _make_stepper():
             return np.where(at < ends[runs], at, n)
 
         following = first_at_or_after(exp, run)
+        # an entry that is dead when written leaves the next row of its key a miss
+        own = np.arange(n)
+        following = np.where(following > own, following, np.where(own + 1 < ends[run], own + 1, n))
         miss = np.zeros(n + 1, dtype=bool)
         at = first_at_or_after(entry, np.arange(len(starts)))
         while True:

@@ -474,13 +474,16 @@ DOC_VERDICTS = (
     + verdict("scored", "request_id, us, cache_key, security_level") + ")")
 CACHE = (f"{DOC_VERDICTS}, cache AS (SELECT cache_key, security_level, status, reason, issues, "
          f"overall_score, us // 1000000 AS cached_at, us + {rules.TEXT_TTL_SECONDS} * 1000000 "
-         "AS expires_us FROM verdicts WHERE request_id IN (SELECT doc_id FROM labels)), "
+         "AS expires_us FROM verdicts), "
          "latest AS (SELECT cache_key, any_value(security_level) AS security_level, "
          "any_value(status) AS status, any_value(reason) AS reason, any_value(issues) AS issues, "
          "any_value(overall_score) AS overall_score, max(cached_at) AS cached_at, "
          "max(expires_us) AS expires_us FROM cache GROUP BY cache_key), "
          f"live AS (SELECT * FROM latest WHERE expires_us > {AS_OF_US})")
 
+LABELLED_CACHE = CACHE.replace("FROM verdicts), latest", "FROM verdicts WHERE request_id IN "
+                               "(SELECT doc_id FROM labels)), latest")
+
 SQL["cache_keys"] = f"WITH {DOC_REQUESTS} SELECT request_id, cache_key FROM keyed"
 SQL["cache_entries"] = (f"WITH {CACHE} SELECT cache_key, security_level, status, reason, cached_at, "
                         "expires_us FROM cache")
@@ -493,21 +496,20 @@ SQL["upsert_entries"] = (
 SQL["live_entries"] = f"WITH {CACHE} SELECT cache_key FROM live"
 SQL["clear_by_glob"] = (f"WITH {CACHE} SELECT cache_key FROM latest "
                         "WHERE NOT cache_key GLOB 'validation:text:high:[0-7]*'")
-SQL["clear_all"] = "SELECT text AS key FROM documents WHERE false"
 SQL["entry_json_roundtrip"] = (
     f"WITH {CACHE} SELECT cache_key, 'text' AS analysis_type, security_level, cached_at, reason, "
     "overall_score, issues FROM latest")
 SQL["cache_lookup"] = (
-    f"WITH {CACHE} SELECT k.request_id, l.cache_key IS NOT NULL AS cache_hit, l.status, l.reason, "
+    f"WITH {LABELLED_CACHE} SELECT k.request_id, l.cache_key IS NOT NULL AS cache_hit, l.status, l.reason, "
     "l.cached_at FROM keyed k LEFT JOIN live l USING (cache_key)")
 SQL["uncached_requests"] = (
-    f"WITH {CACHE} SELECT request_id, cache_key FROM keyed "
+    f"WITH {LABELLED_CACHE} SELECT request_id, cache_key FROM keyed "
     "WHERE cache_key NOT IN (SELECT cache_key FROM live)")
 SQL["cached_requests"] = (
-    f"WITH {CACHE} SELECT request_id, cache_key FROM keyed "
+    f"WITH {LABELLED_CACHE} SELECT request_id, cache_key FROM keyed "
     "WHERE cache_key IN (SELECT cache_key FROM live)")
 SQL["validate_with_cache"] = (
-    f"WITH {CACHE} SELECT v.request_id, v.security_level, l.cache_key IS NOT NULL AS cache_hit, "
+    f"WITH {LABELLED_CACHE} SELECT v.request_id, v.security_level, l.cache_key IS NOT NULL AS cache_hit, "
     "v.status, v.reason, v.overall_score, l.cached_at, "
     "CASE WHEN l.cache_key IS NOT NULL THEN 'text' END AS analysis_type "
     "FROM verdicts v LEFT JOIN live l USING (cache_key)")

@@ -352,12 +352,14 @@ def as_of() -> Column:
     return F.timestamp_micros(F.lit(I.START_US + 2_200 * 1_000_000))
 
 
-def _document_cache(spark, sf) -> DataFrame:
-    """Entries of all labelled documents, written at their request times."""
-    labelled = I.table(spark, sf, "labels").select(F.col("doc_id").alias("request_id"))
-    requests = I.document_requests(spark, sf).join(labelled, "request_id", "left_semi")
-    verdicts = V.validate_routed(C.with_cache_key(requests))
-    return C.cache_entries(verdicts, F.col("ts"))
+def _document_cache(spark, sf, labelled_only: bool = False) -> DataFrame:
+    """Entries of all documents, written at their request times; or of the labelled ones, for
+    look-ups that are to hit and to miss."""
+    requests = I.document_requests(spark, sf)
+    if labelled_only:
+        labelled = I.table(spark, sf, "labels").select(F.col("doc_id").alias("request_id"))
+        requests = requests.join(labelled, "request_id", "left_semi")
+    return C.cache_entries(V.validate_routed(C.with_cache_key(requests)), F.col("ts"))
 
 
 @query("cache_keys")
@@ -402,15 +404,6 @@ def clear_by_glob(spark, sf):
     return kept.select("cache_key")
 
 
-@query("clear_all")
-def clear_all(spark, sf):
-    cache = C.latest_entries(_document_cache(spark, sf)).select(F.col("cache_key").alias("key"))
-    counters = ST.event_counters(_replayed_verdicts(spark, sf)).select(
-        F.concat(F.lit("counter:"), "counter").alias("key"))
-    left = C.clear_all(cache, counters)
-    return left[0].unionByName(left[1])
-
-
 @query("entry_json_roundtrip")
 def entry_json_roundtrip(spark, sf):
     stored = C.entries_to_json(C.latest_entries(_document_cache(spark, sf)))
@@ -424,27 +417,27 @@ def entry_json_roundtrip(spark, sf):
 @query("cache_lookup")
 def cache_lookup(spark, sf):
     requests = C.with_cache_key(I.document_requests(spark, sf)).drop("content")
-    looked_up = C.cache_lookup(requests, C.latest_entries(_document_cache(spark, sf)), as_of())
+    looked_up = C.cache_lookup(requests, C.latest_entries(_document_cache(spark, sf, labelled_only=True)), as_of())
     return looked_up.select("request_id", "cache_hit", "status", "reason", "cached_at")
 
 
 @query("uncached_requests")
 def uncached_requests(spark, sf):
     requests = C.with_cache_key(I.document_requests(spark, sf)).drop("content")
-    cache = C.latest_entries(_document_cache(spark, sf))
+    cache = C.latest_entries(_document_cache(spark, sf, labelled_only=True))
     return C.uncached_requests(requests, cache, as_of()).select("request_id", "cache_key")
 
 
 @query("cached_requests")
 def cached_requests(spark, sf):
     requests = C.with_cache_key(I.document_requests(spark, sf)).drop("content")
-    cache = C.latest_entries(_document_cache(spark, sf))
+    cache = C.latest_entries(_document_cache(spark, sf, labelled_only=True))
     return C.cached_requests(requests, cache, as_of()).select("request_id", "cache_key")
 
 
 @query("validate_with_cache")
 def validate_with_cache(spark, sf):
-    cache = C.latest_entries(_document_cache(spark, sf))
+    cache = C.latest_entries(_document_cache(spark, sf, labelled_only=True))
     verdicts = C.validate_with_cache(I.document_requests(spark, sf), cache, as_of())
     return verdicts.select("request_id", "security_level", "cache_hit", "status", "reason",
                            "overall_score", "cached_at", "analysis_type")

@@ -9,11 +9,6 @@ from gatesift.operators import analyze as A
 from gatesift.operators import matches as M
 from gatesift.plans.inputs import PROBES
 
-# family of each run of probes, in order
-FAMILIES = (["sql"] * 6 + ["xss"] * 6 + ["command"] * 8 + ["nosql"] * 5 + ["ldap"] * 6
-            + ["path"] * 6 + ["template"] * 7 + ["code"] * 8 + ["xml"] * 3)
-
-
 def column(df, expression):
     return [r[0] for r in df.orderBy("id").select(expression).collect()]
 
@@ -58,13 +53,19 @@ def test_injection_matches_plain_rules(texts, profile):
     assert column(found, names.injection) == [expected_injection(t, profile) for t in EDGES]
 
 
-def test_probes_fire_their_family(texts):
-    for family in rules.FAMILIES[:9]:
-        probes = [p for p, f in zip(PROBES, FAMILIES) if f == family.name]
-        assert probes
+def test_every_signature_fires_its_family(texts):
+    for family in rules.families("text").values():
+        probes = [f"about {p} then" for p in family.patterns]
         assert all(column(texts(probes), D.detect_family("text", family.name))), family.name
 
 
+def test_every_keyword_fires_and_the_probes_hold_all_entries(texts):
+    probes = [f"about {k} then" for k in rules.KEYWORDS]
+    assert column(texts(probes), D.has_harmful_keyword("text")) == [expected_keyword(p) for p in probes]
+    entries = [p for f in rules.FAMILIES for p in f.patterns] + list(rules.KEYWORDS)
+    assert all(any(e in probe for probe in PROBES) for e in entries)
+
+
 def test_keywords_match_word_boundaries(texts):
     df = texts(EDGES)
     expected = [expected_keyword(t) for t in EDGES]

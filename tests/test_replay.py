@@ -89,3 +89,16 @@ def test_ttl_of_the_analysis_type_and_kept_columns(spark):
 
 def test_empty_log(spark):
     assert replayed(log(spark, []), 10) == {}
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 4, 32])
+def test_null_keys_and_times_take_no_part_and_dead_entries_never_hit(spark, partitions):
+    rows = [(i, None, 1000 + i, 60) for i in range(6)] + [(10 + i, "a", None, 60) for i in range(3)]
+    rows += [(20, "a", 1001, 60), (21, "a", 1002, 60), (22, "a", 1003, None)]
+    rows += [(30 + i, "b", 2000 + i // 2, 0) for i in range(5)] + [(40 + i, "c", 3000, -5) for i in range(3)]
+    log = spark.createDataFrame(rows, "request_id INT, cache_key STRING, s INT, ttl INT") \
+        .withColumn("ts", F.timestamp_seconds("s"))
+    out = {r.request_id: r.cache_hit
+           for r in replay.ttl_replay(log, ttl=F.col("ttl"), partitions=partitions).collect()}
+    assert {i for i, hit in out.items() if hit is None} == {*range(6), 10, 11, 12, 22}
+    assert {i for i, hit in out.items() if hit} == {21} and len(out) == len(rows)
