@@ -283,6 +283,27 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         "a": np.full(len(j), node[i]), "b": node[j]})
 
 
+def _most_frequent(sightings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles seen most often, sorted, and how often; at most ``MOST_FREQUENT``.
+
+    A histogram of the counts, eight classes an octave, tells from which class on the table
+    has room; so the driver gets that table only, and nothing is ranked.
+    """
+    counted = stored(sightings.groupBy("node").agg(F.sum("seen").alias("seen"))
+                     .withColumn("class", F.floor(8 * F.log2("seen")).cast("int")), "counted")
+    lowest, room = None, MOST_FREQUENT
+    for row in sorted(counted.groupBy("class").count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        lowest = row["class"]
+    seen = F.least("seen", F.lit(2**31 - 1)).cast("int").alias("seen")
+    chosen = counted.where(F.col("class") >= F.lit(lowest)).select("node", seen).toArrow()
+    frequent = chosen["node"].to_numpy().astype(np.uint64)
+    order = np.argsort(frequent)
+    return frequent[order], chosen["seen"].to_numpy()[order]
+
+
 def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts as nodes, and which nodes are linked by paths of similar pairs.
 
@@ -292,14 +313,11 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = stored(docs.mapInArrow(_scan, "doc_id long, node long, n long, seen long"), "scanned")
     texts = scanned.where("seen IS NULL").select("doc_id", "node", F.col("n"))
-    table = (scanned.where("seen IS NOT NULL").groupBy("node").agg(F.sum("seen").alias("seen"))
-             .orderBy(F.desc("seen"), "node").limit(MOST_FREQUENT).toPandas())
-    frequent = table["node"].to_numpy(np.int64).astype(np.uint64)
-    order = np.argsort(frequent)
+    frequent, counts = _most_frequent(scanned.where("seen IS NOT NULL"))
     n_shingles = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(16, n_shingles // 5 // BUCKET_POSTINGS)
     postings = docs.select("text").mapInArrow(
-        _short_lists(frequent[order], table["seen"].to_numpy(np.int64)[order], buckets),
+        _short_lists(frequent, counts, buckets),
         "bucket int, shingles binary, nodes binary, sizes binary, places binary")
     merged = stored(postings.groupBy("bucket").applyInArrow(_merge_bucket, _MERGED), "merged")
     reach = F.least(F.lit(LEAST_SHARED), F.floor((4 * (F.col("na") + F.col("nb")) + 8) / 9))
