@@ -14,8 +14,8 @@ shingles, until the required overlap is reached or out of reach.
   never what is found.
 * Short lists of up to ``BIG_LIST`` nodes give all their pairs. From a longer one, usually a
   large group of near copies, neighbours are verified first; after linked ones are put into
-  components, only pairs across components remain whose places in the order leave room for T. So no group gives all its pairs, and no
-  link between different components is lost.
+  components, only pairs across components remain whose places in the order leave room for
+  T. So no group gives all its pairs, and no link between different components is lost.
 
 A node is a 64-bit hash of a shingle set, shingles are 64-bit hashes. A list longer than
 ``BIG_LIST`` is held by one task as 16 bytes a different text; copies do not count.
@@ -162,8 +162,9 @@ _MERGED = ("a long, b long, na int, nb int, shared long, members array<long>, si
 def _within_reach(na, pa_, nb, pb) -> np.ndarray:
     """Whether a pair may be similar that meets at these places of its short lists.
 
-    It is only needed that one of a pair's first R common shingles passes: before it there
-    are at most R - 1, and from it on at most what is left of either text.
+    Each of a pair's first R common shingles passes: before it there are at most R - 1, and
+    from it on at most what is left of either text. So R occurrences remain of a pair that is
+    similar, and a later one that doesn't pass need not be counted.
     """
     left = np.minimum(na.astype(np.int64) - pa_, nb.astype(np.int64) - pb)
     return left >= _pair_required(na.astype(np.int64), nb.astype(np.int64)) - (LEAST_SHARED - 1)
@@ -187,11 +188,10 @@ def _merge_bucket(rows: pa.Table) -> pa.Table:
     first, second, weight = [], [], []
     for step in range(1, min(BIG_LIST, int(lengths.max()))):
         near = (of[step:] == of[:-step]) & (5 * size[:-step].astype(np.int64) >= 4 * size[step:].astype(np.int64))
-        if step == 1:  # of big lists, neighbours only
-            near &= ~big[1:] | _within_reach(size[:-1], place[:-1], size[1:], place[1:])
-        else:
+        if step > 1:  # of big lists, neighbours only
             near &= ~big[step:]
         at = np.flatnonzero(near)
+        at = at[_within_reach(size[at], place[at], size[at + step], place[at + step])]
         first.append(at)
         second.append(at + step)
         weight.append(np.where(big[at], LEAST_SHARED, 1))
