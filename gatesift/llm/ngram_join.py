@@ -12,13 +12,19 @@ shingles, until the required overlap is reached or out of reach.
 * Frequent shingles come from all rows: each task counts what it has and reports what it saw
   twice or more. The table of the most frequent ones is bounded and only decides the order,
   never what is found.
-* Short lists of up to ``BIG_LIST`` nodes give all their pairs. From a longer one, usually a
-  large group of near copies, neighbours are verified first; after linked ones are put into
-  components, only pairs across components remain whose places in the order leave room for T. So no group gives all its pairs, and no
-  link between different components is lost.
-
-A node is a 64-bit hash of a shingle set, shingles are 64-bit hashes. A list longer than
-``BIG_LIST`` is held by one task as 16 bytes a different text; copies do not count.
+* Short lists of up to ``BIG_LIST`` nodes give all their pairs that meet early enough to leave
+  room for T. From a longer one, usually a large group of near copies, neighbours are verified
+  first. After linked ones are put into components, members of different components are
+  compared by sketches: each set's shingles hashed into ``SKETCH_BITS`` bits, each bit the
+  parity of what falls on it. Two sets differ in at least as many shingles as their sketches
+  differ in bits, so a pair whose sketches differ too much is not similar, and only the others
+  are probed: first as many as would connect a list, then, with the components that these
+  gave, all that are still across components. So no group gives all its pairs, and no link
+  between different components is lost.
+
+A node is a 64-bit hash of a shingle set, shingles are 64-bit hashes. Merging holds a list
+longer than ``BIG_LIST`` in one task as 20 bytes a different text; copies do not count. Sketches
+of long lists are compared in blocks.
 """
 
 from __future__ import annotations
@@ -38,6 +44,8 @@ LEAST_SHARED = 4            # R: occurrences among the short lists
 BIG_LIST = 16
 MOST_FREQUENT = 1 << 19     # entries of the frequency table, 16 bytes each
 BUCKET_POSTINGS = 250_000
+SKETCH_BITS = 1024          # of a node in a big list
+SKETCH_BLOCK = 4096         # members of a big list whose sketches a task holds twice at most
 BROADCAST_ROWS = 1_000_000  # ids of candidates, 16 bytes each
 _COUNT_AT_ONCE = 4_000_000
 _POST_AT_ONCE = 500_000
@@ -162,8 +170,9 @@ _MERGED = ("a long, b long, na int, nb int, shared long, members array<long>, si
 def _within_reach(na, pa_, nb, pb) -> np.ndarray:
     """Whether a pair may be similar that meets at these places of its short lists.
 
-    It is only needed that one of a pair's first R common shingles passes: before it there
-    are at most R - 1, and from it on at most what is left of either text.
+    Each of a pair's first R common shingles passes: before it there are at most R - 1, and
+    from it on at most what is left of either text. So R occurrences remain of a similar pair,
+    and those that don't pass need not be counted.
     """
     left = np.minimum(na.astype(np.int64) - pa_, nb.astype(np.int64) - pb)
     return left >= _pair_required(na.astype(np.int64), nb.astype(np.int64)) - (LEAST_SHARED - 1)
@@ -187,11 +196,10 @@ def _merge_bucket(rows: pa.Table) -> pa.Table:
     first, second, weight = [], [], []
     for step in range(1, min(BIG_LIST, int(lengths.max()))):
         near = (of[step:] == of[:-step]) & (5 * size[:-step].astype(np.int64) >= 4 * size[step:].astype(np.int64))
-        if step == 1:  # of big lists, neighbours only
-            near &= ~big[1:] | _within_reach(size[:-1], place[:-1], size[1:], place[1:])
-        else:
+        if step > 1:  # of big lists, neighbours only
             near &= ~big[step:]
         at = np.flatnonzero(near)
+        at = at[_within_reach(size[at], place[at], size[at + step], place[at + step])]
         first.append(at)
         second.append(at + step)
         weight.append(np.where(big[at], LEAST_SHARED, 1))
@@ -267,20 +275,72 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 .mapInArrow(_verify, "a long, b long")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a big list's members that are of fitting sizes and in different components."""
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) -> (node, sketch): which bits an odd number of shingles falls on."""
     for batch in batches:
-        for members in batch.column("members").to_pylist():
-            rows = sorted((m["size"], m["node"], m["root"], m["place"]) for m in members)
-            size, node, root, place = (np.array(v, np.int64) for v in zip(*rows))
-            for i in range(len(rows)):
-                end = np.searchsorted(size, 5 * size[i] // 4, side="right")
-                fits = (root[i + 1:end] != root[i]) & _within_reach(
-                    size[i], place[i], size[i + 1:end], place[i + 1:end])
-                j = i + 1 + np.flatnonzero(fits)
-                if len(j):
-                    yield pa.RecordBatch.from_pydict({
-                        "a": np.full(len(j), node[i]), "b": node[j]})
+        out = []
+        for shingles in batch.column("shingles"):
+            bits = mix(np.frombuffer(shingles.as_py(), np.uint64)) % np.uint64(SKETCH_BITS)
+            odd = np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1
+            out.append(np.packbits(odd.astype(bool)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())],
+                                         names=["node", "sketch"])
+
+
+def _across(spanning: bool):
+    """Pairs of a big list's members in different components that sketches don't rule out.
+
+    If ``spanning``, only as many as would connect them: the nearest sketch of a component that
+    nothing connects to yet. Otherwise all.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members, low, high in zip(*(batch.column(n).to_pylist() for n in ("members", "low", "high"))):
+                members.sort(key=lambda m: (m["size"], m["node"]))
+                size, node, root, place, block = (np.array([m[k] for m in members], np.int64)
+                                                  for k in ("size", "node", "root", "place", "block"))
+                sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint64).reshape(len(node), -1)
+                for i in range(len(node)):
+                    end = np.searchsorted(size, 5 * size[i] // 4, side="right")
+                    fits = (root[i + 1:end] != root[i]) & _within_reach(
+                        size[i], place[i], size[i + 1:end], place[i + 1:end])
+                    if low != high:  # pairs inside a block are another task's
+                        fits &= block[i + 1:end] != block[i]
+                    j = i + 1 + np.flatnonzero(fits)
+                    differ = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+                    total = size[i] + size[j]
+                    near = differ <= total - 2 * _pair_required(size[i], size[j])
+                    j = j[near]
+                    if spanning and len(j):
+                        taken = []
+                        for k in j[np.argsort(differ[near], kind="stable")].tolist():
+                            if root[k] != root[i]:
+                                taken.append(k)
+                                root[root == root[k]] = root[i]
+                        j = np.array(taken)
+                    if len(j):
+                        yield pa.RecordBatch.from_pydict({"a": np.full(len(j), node[i]), "b": node[j]})
+    return run
+
+
+def _candidates(lists: DataFrame, sketches: DataFrame, links: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs of members of big lists to be probed, given the links found so far.
+
+    Lists of more than ``SKETCH_BLOCK`` members are compared in pairs of blocks, each a group
+    of its own.
+    """
+    rooted = (lists.join(stored(components(links), "roots"), "node", "left")
+              .withColumn("root", F.coalesce("root", "node")))
+    mixed = (rooted.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"),
+                                        F.count("*").alias("n")).where("x < y")
+             .select("list", F.ceil(F.col("n") / SKETCH_BLOCK).cast("int").alias("blocks")))
+    other = F.col("other")
+    return (rooted.join(mixed, "list").join(sketches, "node")
+            .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .groupBy("list", F.least("block", other).alias("low"), F.greatest("block", other).alias("high"))
+            .agg(F.collect_list(F.struct("size", "node", "root", "place", "block", "sketch")).alias("members"))
+            .select("members", "low", "high").mapInArrow(_across(spanning), "a long, b long").distinct())
 
 
 def _most_frequent(sightings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -346,14 +406,14 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     links = stored(_linked(pairs, sets).distinct(), "links")
     if not lists.isEmpty():
-        roots = stored(components(links), "roots")
-        labelled = (lists.join(roots, "node", "left")
-                    .withColumn("root", F.coalesce("root", "node"))
-                    .groupBy("list").agg(F.collect_list(F.struct("size", "node", "root", "place")).alias("members"),
-                                         F.min("root").alias("low"), F.max("root").alias("high"))
-                    .where("low < high").select("members"))
-        across = labelled.mapInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.union(_linked(stored(across, "across"), sets).distinct())
+        sketches = stored(sets.join(lists.select("node").distinct(), "node", "left_semi")
+                          .mapInArrow(_sketches, "node long, sketch binary"), "sketches")
+        probed = pairs
+        for spanning in (True, False):
+            found = _candidates(lists, sketches, links, spanning).join(probed, ["a", "b"], "left_anti")
+            found = stored(found, "across")
+            links = links.union(stored(_linked(found, sets).distinct(), "links"))
+            probed = probed.union(found)
     return texts, stored(components(links), "components")
 
 

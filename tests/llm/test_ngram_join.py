@@ -71,6 +71,37 @@ def test_near_copies_large_groups_and_shared_passages(spark):
     assert found(spark, docs) == brute_force(docs)
 
 
+def test_big_lists_in_blocks_with_copies_around_the_similarity(spark, monkeypatch):
+    import gatesift.llm.ngram_join as module
+    monkeypatch.setattr(module, "SKETCH_BLOCK", 16)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(90):  # copies with 2 to 7 changed words: links between some of them only
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(2, 7)):
+            copy[at] = f"c{rng.randrange(10_000)}"
+        texts.append(" ".join(copy))
+    docs = list(enumerate(texts))
+    expected = brute_force(docs)
+    assert 2 < len({component for _, _, component in expected}) < len(docs)
+    assert found(spark, docs) == expected
+
+
+def test_sketches_differ_by_at_most_what_the_sets_differ_by():
+    import pyarrow as pa
+
+    from gatesift.llm.ngram_join import _sketches
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 6000, dtype=np.uint64)
+    sets = [np.unique(pool[rng.integers(0, k, n)]) for k, n in ((90, 80), (90, 70), (6000, 4000), (6000, 3000))]
+    batch = pa.RecordBatch.from_pydict({"node": list(range(4)), "shingles": [x.tobytes() for x in sets]})
+    drawn = [np.frombuffer(x, np.uint8) for x in next(_sketches(iter([batch])))["sketch"].to_pylist()]
+    for a, x in zip(sets, drawn):
+        for b, y in zip(sets, drawn):
+            assert np.bitwise_count(x ^ y).sum(dtype=int) <= len(np.setxor1d(a, b))
+
+
 def test_edges(spark):
     from pyspark.sql import functions as F
     long = " ".join(f"x{i % 977}y{i % 31}" for i in range(60_000))
