@@ -161,6 +161,24 @@ def tokens_sql(folded: str) -> str:
     return f"split({folded}, {quote(NOT_WORD + '+')})"
 
 
+def runs_sql(folded: str) -> str:
+    """Maximal runs of word characters and of others, in order."""
+    return f"regexp_extract_all({folded}, {quote(WORD + '+|' + NOT_WORD + '+')}, 0)"
+
+
+def run_windows_sql(runs: str, n: int) -> str:
+    """All that ``n`` consecutive runs spell and that a whole-word match may equal.
+
+    A match that begins or ends with other characters needs a word character beyond them.
+    """
+    last, start = f"size({runs}) - {n}", f"get({runs}, i)"
+    is_word = f"RLIKE {quote('^' + WORD)}"
+    begins = f"(i > 0 OR {start} {is_word})"
+    ends = f"(i < {last} OR get({runs}, i + {n - 1}) {is_word})"
+    starts = f"filter(sequence(0, greatest({last}, 0)), i -> i <= {last} AND {begins} AND {ends})"
+    return f"transform({starts}, i -> array_join(slice({runs}, i + 1, {n}), ''))"
+
+
 def whole_word_sql(folded: str, keyword: str) -> str:
     """Substring test first; only hits are checked for word boundaries."""
     return (f"(contains({folded}, {quote(keyword)}) "

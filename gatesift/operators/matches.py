@@ -38,7 +38,8 @@ def keyword_matches(df: DataFrame, text: str = "text",
     """One row per (row, dictionary keyword it contains as a whole word): ``keyword``.
 
     One-word keywords are intersected with the tokens of the row's own text; the few
-    others are searched for, and hits are checked for word boundaries.
+    others are searched for, and hits are checked for word boundaries. The keywords become
+    part of the plan; see :func:`keyword_table_matches` for a dictionary of any length.
     """
     single, other = T.split_keywords(keywords)
     kept = [c for c in df.columns if c != text]
@@ -51,3 +52,23 @@ def keyword_matches(df: DataFrame, text: str = "text",
     lists = staged.selectExpr(*kept, f"concat({', '.join(found or [T.NO_STRINGS])}) AS _gs_found")
     return lists.selectExpr(*kept, "explode_outer(_gs_found) AS keyword") \
                 .filter("keyword IS NOT NULL")
+
+
+def keyword_table_matches(df: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
+    """The same for a dictionary that is a table of any length, with a column ``keyword``.
+
+    Texts and keywords are cut into runs of word characters and runs of others. A keyword
+    occurs as a whole word where as many consecutive runs as it has equal it, so the windows
+    of those lengths are joined with the dictionary; a small one is broadcast by its
+    statistics. The driver gets the different lengths only. Null and empty keywords match
+    nothing.
+    """
+    kept = [c for c in df.columns if c != text]
+    entries = (keywords.select(F.expr(T.unicode_lower_sql("keyword")).alias("_gs_window"))
+               .filter("_gs_window <> ''").distinct())
+    lengths = entries.select(F.expr(f"size({T.runs_sql('_gs_window')})").alias("n")).distinct()
+    windows = [T.run_windows_sql("_gs_runs", row.n) for row in lengths.collect()]
+    cut = df.select(*kept, F.expr(T.runs_sql(T.unicode_lower_sql(text))).alias("_gs_runs"))
+    found = cut.selectExpr(
+        *kept, f"explode(array_distinct(concat({', '.join(windows or [T.NO_STRINGS])}))) AS _gs_window")
+    return found.join(entries, "_gs_window").select(*kept, F.col("_gs_window").alias("keyword"))

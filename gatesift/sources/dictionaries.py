@@ -1,4 +1,8 @@
-"""Keyword, rule and level dictionaries."""
+"""Keyword, rule and level dictionaries.
+
+A keyword dictionary is a table of any length, for ``keyword_table_matches``. The detectors
+themselves take a Python list, which becomes part of the plan: the caller's choice.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,6 @@ from pyspark.sql import functions as F
 
 from gatesift import rules
 
-# A dictionary becomes literals of the plan, which is sound for thousands of entries.
-MAX_KEYWORDS = 20_000
-
 
 def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     """``keyword`` rows of a JSON array of strings; a missing file has no rows."""
@@ -23,14 +24,6 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.from_json("value", "array<string>")).alias("keyword"))
 
 
-def keyword_list(keywords: DataFrame) -> list[str]:
-    """The dictionary as a list for the detectors, in file order."""
-    found = [row[0] for row in keywords.limit(MAX_KEYWORDS + 1).collect()]
-    if len(found) > MAX_KEYWORDS:
-        raise ValueError(f"a dictionary may have at most {MAX_KEYWORDS} keywords")
-    return found
-
-
 def keywords_table(spark: SparkSession) -> DataFrame:
     """The built-in dictionary."""
     return spark.createDataFrame([(k,) for k in rules.KEYWORDS], "keyword STRING")

@@ -5,6 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gatesift import rules
+from gatesift.operators.matches import keyword_matches, keyword_table_matches
 from gatesift.operators.validate import validate_requests
 from gatesift.schemas import REQUEST
 from gatesift.sources import dictionaries, files, pages
@@ -73,9 +74,9 @@ def test_files(spark, tmp_path):
 def test_dictionaries(spark, tmp_path):
     path = tmp_path / "keywords.json"
     path.write_text(json.dumps(rules.KEYWORDS, indent=1))
-    assert dictionaries.keyword_list(dictionaries.read_keywords(spark, str(path))) == rules.KEYWORDS
+    assert [r.keyword for r in dictionaries.read_keywords(spark, str(path)).collect()] == rules.KEYWORDS
     missing = dictionaries.read_keywords(spark, str(tmp_path / "none.json"))
-    assert dictionaries.keyword_list(missing) == []
+    assert missing.columns == ["keyword"] and missing.isEmpty()
     assert dictionaries.keywords_table(spark).count() == 136
     table = dictionaries.rules_table(spark)
     assert table.count() == 259
@@ -84,6 +85,20 @@ def test_dictionaries(spark, tmp_path):
     assert dictionaries.levels_table(spark).count() == 3
 
 
+def test_dictionary_of_any_length(spark):
+    words = [(f"term{i}",) for i in range(50_000)] + [
+        ("Two Words",), ("f(",), ("(g",), ("a-b c",), ("++",), ("",), (None,), ("term7",)]
+    table = spark.createDataFrame(words, "keyword STRING").repartition(4)
+    texts = ["term49999 and TERM7, term7", "xterm7 term7_", "two words twotwo  words", "f(x) f( (g)", "x(g f(",
+             "a-b c", "a-b cd", "i++j", "i++", "++", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
+    got = sorted(map(tuple, keyword_table_matches(df, table).collect()))
+    few = [w for (w,) in words if w and not w.startswith("term")] + ["term7", "term49999"]
+    assert got == sorted(map(tuple, keyword_matches(df, keywords=few).collect()))
+    assert {(0, "term49999"), (0, "term7"), (2, "two words"), (3, "f("), (7, "++")} <= set(got)
+    assert keyword_table_matches(df, table.limit(0)).isEmpty()
+
+
 def test_requests_and_verdicts_round_trip(spark, tmp_path):
     rows = [(1, None, "Hello", None, None), (2, None, "<script", None, "low"),
             (3, None, "x", None, "nope")]
