@@ -262,6 +262,7 @@ SQL["keyword_matches"] = (
     f"WITH {CORPUS}, k AS (SELECT doc_id, unnest([{_EACH_KEYWORD}]) AS keyword "
     "FROM (SELECT doc_id, lower(text) AS lo FROM corpus)) "
     "SELECT doc_id, keyword FROM k WHERE keyword IS NOT NULL")
+SQL["keyword_table_matches"] = SQL["keyword_matches"]
 
 # ---------------------------------------------------------------- profiles
 SQL["analyze_text_profile"] = (

@@ -23,6 +23,7 @@ from gatesift.operators import stats as ST
 from gatesift.operators import validate as V
 from gatesift.plans import inputs as I
 from gatesift.session import shared_dir
+from gatesift.sources.dictionaries import keywords_table
 from gatesift.sources.pages import analyze_pages
 from gatesift.streaming import validation as SV
 
@@ -164,6 +165,12 @@ def keyword_matches(spark, sf):
     return M.keyword_matches(I.corpus(spark, sf).select("doc_id", "text"))
 
 
+@query("keyword_table_matches")
+def keyword_table_matches(spark, sf):
+    return M.keyword_table_matches(I.corpus(spark, sf).select("doc_id", "text"),
+                                   keywords_table(spark))
+
+
 # ---------------------------------------------------------------- profiles
 
 def _analysis(df: DataFrame, *ids: str) -> DataFrame:
