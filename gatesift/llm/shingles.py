@@ -72,7 +72,9 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 
 def _windows(words: np.ndarray, width: int) -> np.ndarray:
-    sums = np.full(max(0, len(words) - width + 1), np.uint64(width), np.uint64)
+    if len(words) < width:  # the slices below would count from the end
+        return np.zeros(0, np.uint64)
+    sums = np.full(len(words) - width + 1, np.uint64(width), np.uint64)
     for k in range(width):
         sums += words[k:len(words) - width + 1 + k] * _PLACES[k]
     return mix(sums)

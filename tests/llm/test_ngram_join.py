@@ -142,3 +142,15 @@ def test_components_of_paths_and_stars(spark, n):
     got = {r.node: r.root for r in components(df).collect()}
     expected = {i: 0 for i in range(n + 1)} | ({1000 + i: 1000 for i in range(n)} if n > 1 else {})
     assert got == expected
+
+
+@pytest.mark.parametrize("n", range(1, 7))
+def test_chunks_of_few_words(spark, n):
+    text = " ".join(f"w{i}" for i in range(n))
+    long = [" ".join(f"{name}{i}" for i in range(90_000)).encode() for name in "xy"]  # each fills a chunk
+    expected = shingle_sets([text.encode(), long[0]])[0].tolist()
+    assert len(expected) == max(1, n - 4)
+    assert shingle_sets([text.encode()])[0].tolist() == expected
+    assert shingle_sets([long[0], text.encode(), long[1]])[1].tolist() == expected
+    if n == 3:  # the only row of its table
+        assert found(spark, [(1, text)]) == [("1", 1, "1")]
