@@ -1,12 +1,14 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models that match in everything but their text, a target's and the background's,
-share one vocabulary: words hashed to a fixed number of ids, pairs of them to a fixed number
-of slots. A document's score is its loss per token under the target model less that under
-the background model: the lower, the more it is like the target.
-
-Counts cover every row. Each task adds up its own and sends them in slices; a model has
-``MODEL_SLOTS`` counts, whatever the corpus, which bounds what the driver and each task hold.
+share one vocabulary: the words of all documents. A document's score is its loss per token
+under the target model less that under the background model: the lower, the more it is like
+the target.
+
+Counts cover every row, word and pair; words are told apart by their 64-bit hashes. They are
+aggregated and joined as tables, so they grow with the corpus. A document's pairs are counted
+before they are joined to the pairs' losses. Of the pairs in most documents, at most ``PAIRS``
+are held by every task instead of being joined, so no key of the join is frequent.
 """
 
 from __future__ import annotations
@@ -21,104 +23,186 @@ from pyspark.sql import functions as F
 from gatesift.llm.common import stored
 from gatesift.llm.shingles import hashed_chunks, mix
 
-WORDS = 1 << 17
-PAIRS = 1 << 20
-MODEL_SLOTS = WORDS + 1 + PAIRS  # words, text begin, pairs
-SLICES = 64
+WORDS = 1 << 17  # the least size of a vocabulary
+PAIRS = 1 << 18  # the most pairs that a task holds
+HEAD_WORDS = 1 << 13  # the most words that are broadcast
+BEGIN = np.uint64(0x5851F42D4C957F2D)  # the word before a text
+BATCH_TOKENS = 2_000_000
 PAIR_WEIGHT, WORD_WEIGHT = 0.7, 0.29  # what is left is spread evenly over the vocabulary
 BROADCAST_ROWS = 1_000_000
 
 
 def token_slots(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, previous word or text begin, pair) slots of each token of several texts."""
-    word = (words % np.uint64(WORDS)).astype(np.int64)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
+    """(word, previous word or text begin, pair) hashes of each token of several texts."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
     opens = np.cumsum(counts) - counts
-    before[opens[counts > 0]] = WORDS
-    pair = mix(before.astype(np.uint64) * np.uint64(WORDS + 1) + word.astype(np.uint64)) % np.uint64(PAIRS)
-    return word, before, WORDS + 1 + pair.astype(np.int64)
+    before[opens[counts > 0]] = BEGIN
+    return words, before, mix(before * np.uint64(3) ^ words)
 
 
 def _encoded(column) -> list[bytes]:
     return [t.encode() if t else b"" for t in column.to_pylist()]
 
 
+def _chunks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, words, words of each text) of a few rows at a time."""
+    for start in range(0, batch.num_rows, 256):
+        at = start
+        for words, counts in hashed_chunks(_encoded(batch.column(text).slice(start, 256))):
+            yield at, words, counts
+            at += len(counts)
+
+
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): rows sorted by the keys, and where each group of equal ones starts."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        own = key[order]
+        new[1:] |= own[1:] != own[:-1]
+    return order, np.flatnonzero(new)
+
+
+def _long(hashes: np.ndarray) -> pa.Array:
+    return pa.array(hashes.view(np.int64))
+
+
+_COUNTS = "pair long, before long, word long, target long, background long, docs long"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of a task's counts: (slice, target, background)."""
-    totals = np.zeros((2, MODEL_SLOTS), np.int64)
+    """Counts of the pairs of some texts, and in how many of the texts each is."""
+    held, size = [], 0
+
+    def combined() -> pa.RecordBatch:
+        pair, before, word, target, n, docs = map(np.concatenate, zip(*held))
+        order, starts = _grouped(pair)
+        first = order[starts]
+        return pa.RecordBatch.from_arrays(
+            [_long(pair[first]), _long(before[first]), _long(word[first]),
+             *(pa.array(np.add.reduceat(x[order], starts)) for x in (target, n, docs))],
+            names=["pair", "before", "word", "target", "background", "docs"])
+
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            rows = batch.slice(start, 256)
-            texts = _encoded(rows.column(0))
-            wanted = np.array(rows.column(1).to_pylist(), bool)
-            for which, own in ((0, [t for t, w in zip(texts, wanted) if w]), (1, texts)):
-                for words, counts in hashed_chunks(own):
-                    word, _, pair = token_slots(words, counts)
-                    totals[which] += np.bincount(np.concatenate([word, pair]), minlength=MODEL_SLOTS)
-                    totals[which, WORDS] += np.count_nonzero(counts)
-    for number, (target, background) in enumerate(zip(*(np.array_split(t, SLICES) for t in totals))):
-        yield pa.RecordBatch.from_pydict({
-            "slice": pa.array([number], pa.int32()), "target": pa.array([target.tobytes()], pa.binary()),
-            "background": pa.array([background.tobytes()], pa.binary())})
-
-
-def _add_up(rows: pa.Table) -> pa.Table:
-    def total(name):
-        out = None
-        for chunk in rows.column(name):
-            own = np.frombuffer(chunk.as_py(), np.int64)
-            out = own.copy() if out is None else out + own
-        return pa.array([out.tobytes()], pa.binary())
-    return pa.table({"slice": rows.column("slice").slice(0, 1), "target": total("target"),
-                     "background": total("background")})
-
-
-class Bigrams:
-    """Interpolated bigram, unigram and uniform probabilities from counts by slot."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.float64)
-        self.tokens = max(1.0, self.counts[:WORDS].sum())
-
-    def bits(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Loss of each token in bits."""
-        context = np.maximum(self.counts[before], 1.0)
-        p = (PAIR_WEIGHT * np.minimum(self.counts[pair] / context, 1.0)
-             + WORD_WEIGHT * self.counts[word] / self.tokens + (1 - PAIR_WEIGHT - WORD_WEIGHT) / WORDS)
-        return -np.log2(p)
-
-
-def fit_models(docs: DataFrame, is_target: Column) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the target (rows where ``is_target`` holds) and of all rows of ``docs``."""
-    sums = (docs.select("text", F.coalesce(is_target, F.lit(False)).alias("wanted"))
-            .mapInArrow(_count, "slice int, target binary, background binary")
-            .groupBy("slice").applyInArrow(_add_up, "slice int, target binary, background binary")
-            .orderBy("slice").collect())
-    if not sums:
-        return np.zeros(MODEL_SLOTS, np.int64), np.zeros(MODEL_SLOTS, np.int64)
-    return tuple(np.concatenate([np.frombuffer(r[name], np.int64) for r in sums])
-                 for name in ("target", "background"))
-
-
-def _score(target: np.ndarray, background: np.ndarray):
+        wanted = np.array(batch.column(1).to_pylist(), bool)
+        for at, words, counts in _chunks(batch, 0):
+            if not len(words):
+                continue
+            word, before, pair = token_slots(words, counts)
+            text = np.repeat(np.arange(len(counts)), counts)
+            order, starts = _grouped(text, pair)
+            first = order[starts]
+            n = np.diff(starts, append=len(order))
+            held.append((pair[first], before[first], word[first], n * wanted[at + text[first]], n,
+                         np.ones(len(n), np.int64)))
+            size += len(n)
+            if size >= BATCH_TOKENS:
+                yield combined()
+                held, size = [], 0
+    if held:
+        yield combined()
+
+
+def fit_pairs(docs: DataFrame, is_target: Column) -> DataFrame:
+    """All pairs of words with their counts in the target and in all rows of ``docs``.
+
+    The target is the rows where ``is_target`` holds. Returns pair, before, word (hashes),
+    target, background and docs, the number of rows that have the pair.
+    """
+    return (docs.select("text", F.coalesce(is_target, F.lit(False)).alias("wanted"))
+            .mapInArrow(_count, _COUNTS).groupBy("pair")
+            .agg(F.min("before").alias("before"), F.min("word").alias("word"),
+                 *[F.sum(c).alias(c) for c in ("target", "background", "docs")]))
+
+
+def _least(counted: DataFrame, column: str, most: int) -> int:
+    """The least value of ``column`` that, with those above it, at most ``most`` rows have."""
+    steps = (counted.groupBy(F.floor(F.log2(column) * 8).alias("step"))
+             .agg(F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("top"))
+             .orderBy(F.desc("step")).collect())
+    least, total = steps[0]["top"] + 1 if steps else 1, 0
+    for row in steps:
+        total += row["n"]
+        if total > most:
+            break
+        least = row["least"]
+    return least
+
+
+def _with_counts(pairs: DataFrame, on: str, words: DataFrame, least: int) -> DataFrame:
+    """Pairs with the counts of one of their words; those of frequent words are broadcast."""
+    head = F.broadcast(words.where(F.col("pairs") >= least).drop("pairs"))
+    rest = words.where(F.col("pairs") < least).drop("pairs")
+    names = {c: f"{on}_{c}" for c in ("target", "background")}
+    head, rest = (d.withColumnsRenamed({"word": "__word", **names}) for d in (head, rest))
+    found = pairs.join(head, F.col(on) == F.col("__word"), "left")
+    known = found.where("__word IS NOT NULL").drop("__word")
+    others = (found.where("__word IS NULL").select(*pairs.columns)
+              .join(rest, F.col(on) == F.col("__word")).drop("__word"))
+    return known.unionByName(others)
+
+
+def pair_losses(pairs: DataFrame) -> DataFrame:
+    """Loss in bits of each pair's second word after its first in both models.
+
+    ``pairs`` as of :func:`fit_pairs`, written. Returns pair, target, background (bits) and docs.
+    """
+    def side(name: str, counted: bool) -> DataFrame:
+        sums = [(F.sum(c) if counted else F.lit(0).cast("long")).alias(c) for c in ("target", "background")]
+        zero, own = F.lit(0).cast("long"), F.count("*")
+        return pairs.groupBy(F.col(name).alias("word")).agg(
+            *sums, (own if counted else zero).alias("after"), (zero if counted else own).alias("ahead"))
+
+    # a word's pairs on the side where it has more: those of frequent words aren't joined by key
+    words = (side("word", True).unionByName(side("before", False)).groupBy("word")
+             .agg(*[F.sum(c).alias(c) for c in ("target", "background", "after", "ahead")]))
+    words = stored(words.where("after > 0").select(
+        "word", "target", "background", F.greatest("after", "ahead").alias("pairs")), "words")
+    begin = F.col("before") == F.lit(int(BEGIN.view(np.int64)))
+    seen = words.agg(F.count("*").alias("words"), F.sum("target").alias("target"),
+                     F.sum("background").alias("background")).first()
+    begins = pairs.where(begin).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("target", "background")]).first()
+    even = (1 - PAIR_WEIGHT - WORD_WEIGHT) / max(WORDS, seen["words"])
+    least = _least(words, "pairs", HEAD_WORDS) if seen["words"] else 1
+    both = _with_counts(pairs, "word", words, least)
+    opening = both.where(begin).select("*", *[F.lit(begins[c]).cast("long").alias(f"before_{c}")
+                                              for c in ("target", "background")])
+    inner = _with_counts(both.where(~begin), "before", words, least)
+
+    def bits(name: str) -> Column:
+        tokens = float(max(1, seen[name] or 0))
+        context = F.greatest(F.col(f"before_{name}"), F.lit(1))
+        p = (F.lit(PAIR_WEIGHT) * F.least(F.col(name) / context, F.lit(1.0))
+             + F.lit(WORD_WEIGHT) * F.col(f"word_{name}") / F.lit(tokens) + F.lit(even))
+        return (-F.log2(p)).alias(name)
+    return inner.unionByName(opening).select("pair", bits("target"), bits("background"), "docs")
+
+
+def _spread(keys: np.ndarray, losses: list[np.ndarray]):
+    """A row for each text, with the sums of its pairs in ``keys``, and one for each other pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Bigrams(target), Bigrams(background)
         for batch in batches:
-            lengths, losses = [], ([], [])
-            for start in range(0, batch.num_rows, 256):
-                for words, counts in hashed_chunks(_encoded(batch.column(1).slice(start, 256))):
-                    slots = token_slots(words, counts)
-                    lengths.extend(counts.tolist())
-                    ends = np.cumsum(counts)
-                    for model, out in zip(models, losses):
-                        total = np.append(0.0, np.cumsum(model.bits(*slots)))
-                        out.extend((total[ends] - total[ends - counts]).tolist())
-            n = np.array(lengths, np.int64)
-            t, b = (np.array(x, float) / np.maximum(n, 1) for x in losses)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(t), pa.array(b), pa.array(t - b)],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            for at, words, counts in _chunks(batch, 2):
+                text = np.repeat(np.arange(len(counts)), counts)
+                pair = token_slots(words, counts)[2].view(np.int64)
+                place = np.minimum(np.searchsorted(keys, pair), max(0, len(keys) - 1))
+                known = keys[place] == pair if len(keys) else np.zeros(len(pair), bool)
+                sums = [np.bincount(text[known], x[place[known]], len(counts)) for x in losses]
+                text, pair = text[~known], pair[~known]
+                order, starts = _grouped(text, pair)
+                first = order[starts]
+                n = np.concatenate([counts, np.diff(starts, append=len(order))]).astype(np.int64)
+                rows, ids = (batch.column(c).slice(at, len(counts)) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([rows, rows.take(pa.array(text[first]))]),
+                     pa.concat_arrays([ids, pa.nulls(len(first), pa.int64())]),
+                     pa.concat_arrays([pa.nulls(len(counts), pa.int64()), pa.array(pair[first])]), pa.array(n),
+                     *(pa.concat_arrays([pa.array(x, pa.float64()), pa.nulls(len(first), pa.float64())])
+                       for x in sums)],
+                    names=["row", "doc_id", "pair", "n", "target", "background"])
     return run
 
 
@@ -137,6 +221,26 @@ def score_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     docs = docs.select("doc_id", "text")
-    target, background = fit_models(docs.join(wanted, "doc_id", "left"), F.col("wanted"))
-    return docs.mapInArrow(_score(target, background), "doc_id long, n_tokens long, "
-                           "target_loss double, background_loss double, score double")
+    pairs = stored(fit_pairs(docs.join(wanted, "doc_id", "left"), F.col("wanted")), "pairs")
+    losses = stored(pair_losses(pairs), "losses")
+    least = _least(losses, "docs", PAIRS)
+    head = (losses.where(F.col("docs") >= least).select("pair", "target", "background")
+            .toArrow().sort_by("pair"))
+    keys, *known = (head.column(c).to_numpy() for c in head.column_names)
+    # written once, so that a row's id is the same in all of its rows
+    spread = stored(docs.select(F.monotonically_increasing_id().alias("row"), "*").mapInArrow(
+        _spread(keys, known), "row long, doc_id long, pair long, n long, target double, background double"),
+        "spread")
+    none = F.lit(None).cast("long")
+    joined = (spread.where("pair IS NOT NULL").select("row", "pair", "n")
+              .join(losses.where(F.col("docs") < least).drop("docs"), "pair")
+              .select("row", none.alias("doc_id"), none.alias("n"),
+                      (F.col("n") * F.col("target")).alias("target"),
+                      (F.col("n") * F.col("background")).alias("background")))
+    sums = (spread.where("pair IS NULL").drop("pair").unionByName(joined).groupBy("row")
+            .agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "target", "background")]))
+    length = F.greatest("n", F.lit(1))
+    return sums.select(
+        "doc_id", F.col("n").alias("n_tokens"), (F.col("target") / length).alias("target_loss"),
+        (F.col("background") / length).alias("background_loss"),
+        ((F.col("target") - F.col("background")) / length).alias("score"))

@@ -108,3 +108,23 @@ def test_scores_match_a_dictionary_model(spark):
     words = sorted({w for t in texts for w in split(t)})
     slots = token_slots(word_hashes(" ".join(words).encode()), np.array([len(words)]))
     assert len(set(slots[0].tolist())) == len(words) and PAIRS > WORDS
+
+
+def test_counts_of_a_large_vocabulary_are_exact(spark):
+    # more words and pairs than tasks hold: rare words must not take the counts of others
+    texts = [" ".join(f"v{i * 3000 + j}" for j in range(3000)) for i in range(100)] + ["v0 v1 v0 v1", "v0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(6)
+    good = spark.createDataFrame([(7,), (100,)], "doc_id BIGINT")
+    got = {r.doc_id: r for r in score_difference(docs, good).collect()}
+    words = 300_000
+    assert words > WORDS
+    assert len(got) == len(texts)
+
+    def bits(pair, context, word, tokens):
+        return -math.log2(0.7 * pair / context + 0.29 * word / tokens + (1 - 0.7 - 0.29) / words)
+    # texts 8 to 99 have each word and pair once; text 7 twice as target
+    first, rest = bits(1, 102, 1, 300_005), bits(1, 1, 1, 300_005)
+    for i in range(8, 100):
+        assert got[i].background_loss == pytest.approx((first + 2999 * rest) / 3000)
+        assert got[i].target_loss == pytest.approx(bits(0, 1, 0, 3004))
+    assert got[7].target_loss == pytest.approx((bits(1, 2, 1, 3004) + 2999 * bits(1, 1, 1, 3004)) / 3000)
