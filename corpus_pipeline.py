@@ -15,7 +15,7 @@ from gatesift.llm.common import n_words, stored, table
 from gatesift.llm.compression import score_quality
 from gatesift.llm.mixing import mix_sources
 from gatesift.llm.ngram_join import BROADCAST_ROWS, ngram_components
-from gatesift.llm.packing import pack, tokenise
+from gatesift.llm.packing import packed_sequences, tokenise
 from gatesift.llm.toxic_grammar import score_toxicity
 
 
@@ -71,8 +71,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as pieces of tokens, placed in sequences of 2048."""
-    return pack(tokenise(docs, keep_ids=False))
+    """The documents as pieces of token ids, placed in sequences of 2048.
+
+    A copy that the mix repeats has a row_id of its own.
+    """
+    return packed_sequences(tokenise(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

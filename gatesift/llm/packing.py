@@ -63,12 +63,14 @@ def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
              keep_ids: bool = True) -> DataFrame:
     """Documents as pieces of at most ``capacity`` tokens, each document closed by id 0.
 
-    Returns doc_id, piece, start, length, ids_crc32 and, with ``keep_ids``, ids. A null text is
-    an empty one: a piece of one token. Repeated rows give their pieces again; other columns
-    of ``docs`` are not looked at; an empty table gives an empty one.
+    Returns doc_id, row_id, piece, start, length, ids_crc32 and, with ``keep_ids``, ids. A null
+    text is an empty one: a piece of one token. Repeated rows give their pieces again, under a
+    row_id of their own, which holds once the pieces are written; other columns of ``docs`` are
+    not looked at; an empty table gives an empty one.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("piece", T.IntegerType()),
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("row_id", T.LongType()),
+                           T.StructField("piece", T.IntegerType()),
                            T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
                            T.StructField("ids_crc32", T.LongType())])
     if keep_ids:
@@ -81,20 +83,22 @@ def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
             for part in range(0, batch.num_rows, 256):
                 rows = batch.slice(part, 256)
                 out = []
-                for row, text in enumerate(rows.column(1).to_pylist()):
+                for row, text in enumerate(rows.column(2).to_pylist()):
                     ids = np.append(encode(text or ""), np.uint32(0)).astype("<u4")
                     for number, (start, length) in enumerate(cut(len(ids), capacity)):
                         own = ids[start:start + length]
                         out.append((row, number, start, length, zlib.crc32(own.tobytes()), own))
                 at, number, start, length, crc, own = zip(*out) if out else [()] * 6
-                columns = [rows.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()),
+                at = pa.array(at, pa.int64())
+                columns = [rows.column(0).take(at), rows.column(1).take(at), pa.array(number, pa.int32()),
                            pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                            pa.array(crc, pa.int64())]
                 if keep_ids:
                     columns.append(pa.array([x.astype("i4") for x in own], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return (docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), "text")
+            .mapInArrow(run, schema))
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY,
@@ -162,6 +166,39 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
                                                "__of long, __bin long, __at long"))
     # even numbers: full pieces; odd numbers: packed bins
     sequence = F.coalesce(F.col("__bin") * 2 + 1, F.col("__item") * 2)
-    return (numbered.join(packed, F.col("__item") == F.col("__of"), "left")
+    # the placement is narrow: hashing it leaves the pieces unsorted
+    return (numbered.join(packed.hint("shuffle_hash"), F.col("__item") == F.col("__of"), "left")
             .select(*[c for c in numbered.columns if c != "__item"],
                     sequence.alias("sequence_id"), F.coalesce("__at", F.lit(0)).alias("offset")))
+
+
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids (last column) as bytes: two each if they fit a row's ids, else four."""
+    for batch in batches:
+        ids = batch.column(batch.num_columns - 1)
+        flat, ends = ids.flatten().to_numpy(), np.cumsum(pc.list_value_length(ids).to_numpy())
+        own = np.split(flat, ends[:-1]) if len(ends) else []
+        packed = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in own]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())],
+                                         names=batch.schema.names)
+
+
+def _as_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, lengths = batch.schema.get_field_index("ids"), batch.column("length").to_pylist()
+        own = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("i4")
+               for x, n in zip(batch.column(at).to_pylist(), lengths)]
+        yield batch.set_column(at, "ids", pa.array(own, pa.list_(pa.int32())))
+
+
+def packed_sequences(pieces: DataFrame) -> DataFrame:
+    """The sequences as a written table: all pieces of one in one file, in order of offset.
+
+    ``pieces`` as of :func:`tokenise`, with ids; these move as bytes. See :func:`pack` for the
+    columns.
+    """
+    ids = T.StructField("ids", T.BinaryType())
+    placed = (pack(pieces.mapInArrow(_as_bytes, T.StructType([*pieces.schema.fields[:-1], ids])))
+              .repartition("sequence_id").sortWithinPartitions("sequence_id", "offset"))
+    schema = T.StructType([pieces.schema["ids"] if f.name == "ids" else f for f in placed.schema.fields])
+    return stored(placed.mapInArrow(_as_ids, schema), "sequences")

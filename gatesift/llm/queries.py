@@ -11,7 +11,7 @@ from gatesift.llm.compression import score_quality
 from gatesift.llm.lm_scoring import score_difference
 from gatesift.llm.mixing import mix_sources, taken_words
 from gatesift.llm.ngram_join import ngram_components
-from gatesift.llm.packing import pack, tokenise
+from gatesift.llm.packing import packed_sequences, tokenise
 from gatesift.llm.quality_rules import apply_rules
 from gatesift.llm.sharding import shard_records
 from gatesift.llm.toxic_grammar import score_toxicity
@@ -57,7 +57,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenised and packed into sequences of at most 2048 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(tokenise(docs, keep_ids=False))
+    return packed_sequences(tokenise(docs)).drop("row_id", "ids")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,36 @@ def test_repeated_and_nameless_rows_in_the_duplicate_stage(spark):
     out = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in out) == sorted(
         [("1", text), ("None", text), ("None", "None"), ("3", ""), ("4", "x")])
+
+
+def sequences_of(rows):
+    """The ids of each sequence, from rows in the order of their file."""
+    out = {}
+    for r in rows:
+        ids = out.setdefault(r.sequence_id, [])
+        assert r.offset == len(ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        ids += r.ids
+    assert all(len(ids) <= 2048 for ids in out.values())
+    return out
+
+
+def test_packing_stage_gives_sequences_and_tells_copies_apart(spark):
+    texts = ["a b c", "a b c", "word " * 5000]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2])], "doc_id BIGINT, text STRING")
+    rows = corpus_pipeline.packing(spark, docs, "").collect()
+    sequences_of(rows)
+    whole = {}
+    for r in sorted(rows, key=lambda r: r.piece):
+        whole.setdefault(r.row_id, []).extend(r.ids)
+    assert sorted(whole.values()) == sorted(ids_of(t) for t in texts)
+
+
+def test_packing_query_reads_written_sequences(spark):
+    from gatesift.llm.queries import op6_packing
+    out = op6_packing(spark, TESTDATA)
+    written = spark.read.parquet(*out.inputFiles()).collect()
+    packed = sequences_of(written)
+    assert sum(map(len, packed.values())) == sum(r.length for r in out.collect())
+    columns = out.columns
+    assert columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert sorted(map(str, out.collect())) == sorted(str(r) for r in spark.read.parquet(*out.inputFiles()).select(columns).collect())
