@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatesift.llm.ann import nearest_neighbours
-from gatesift.llm.common import held_out, n_words, stored, table
+from gatesift.llm.common import held_out, n_words, table
 from gatesift.llm.compression import score_quality
 from gatesift.llm.lm_scoring import score_difference
 from gatesift.llm.mixing import mix_sources, taken_words
 from gatesift.llm.ngram_join import ngram_components
 from gatesift.llm.packing import packed_sequences, tokenise
 from gatesift.llm.quality_rules import apply_rules
-from gatesift.llm.sharding import shard_records
+from gatesift.llm.sharding import shard_records, written_shards
 from gatesift.llm.toxic_grammar import score_toxicity
 from gatesift.llm.url_filter import judge_urls, rule_table
 
@@ -69,11 +69,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shuffled shards of equal row counts."""
+    key = ["doc_id", "size", "text_crc32"]
     text = F.coalesce("text", F.lit(""))
-    records = stored(table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32")), "records")
-    placed = shard_records(records, ["doc_id", "size", "text_crc32"], OUTPUT_SHARDS)
+    digests = [(F.octet_length(text) + 16).cast("long").alias("size"),
+               F.crc32(text.cast("binary")).alias("text_crc32")]
+    records = table(spark, sf_dir, "documents").select("doc_id", *digests, "text")
+    placed = written_shards(shard_records(records, key, OUTPUT_SHARDS))
+    placed = placed.select("doc_id", *digests, "shard", "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
                          "slot", F.lit(None).cast("int").alias("grown_shard"))
 

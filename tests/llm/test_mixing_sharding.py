@@ -132,3 +132,25 @@ def test_query_values_of_shards(spark):
     for r in op8_sharding(spark, TESTDATA).where(F.col("law") == "rows").collect():
         assert (r.size, r.text_crc32) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id]))
         assert r.grown_shard is None
+
+
+def test_shards_hold_the_texts(spark):
+    from conftest import TESTDATA
+    from gatesift.llm.queries import op8_sharding
+    out = op8_sharding(spark, TESTDATA)
+    files = spark.read.option("basePath", out.inputFiles()[0].split("/shard=")[0]).parquet(*out.inputFiles())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{TESTDATA}/documents.parquet").collect()}
+    rows = files.collect()
+    assert {r.doc_id: r.text for r in rows} == texts
+    assert sorted((r.doc_id, r.shard, r.slot) for r in rows) == sorted((r.doc_id, r.shard, r.slot) for r in out.collect())
+
+
+def test_equal_records_and_large_ones_spread_over_buckets(spark):
+    from gatesift.llm.sharding import _numbered, shuffle_records
+    records = spark.createDataFrame([(1, "a")] * 300 + [(i, "b" * 1000) for i in range(2, 300)],
+                                    "doc_id BIGINT, text STRING").repartition(3)
+    assert sorted(r["__copy"] for r in _numbered(records, ["doc_id", "text"], 1).where("doc_id = 1").collect()) == list(range(300))
+    rows = shuffle_records(records, ["doc_id", "text"], bucket_bytes=10_000).collect()
+    assert sorted(r.position for r in rows) == list(range(598))
+    at = sorted(r.position for r in rows if r.doc_id == 1)
+    assert np.diff(at).max() < 60 and at[0] < 60 and at[-1] > 540
