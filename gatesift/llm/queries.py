@@ -14,6 +14,7 @@ from gatesift.llm.ngram_join import ngram_components
 from gatesift.llm.packing import packed_sequences, tokenise
 from gatesift.llm.quality_rules import apply_rules
 from gatesift.llm.sharding import shard_records, written_shards
+from gatesift.llm.simhash import simhash_components
 from gatesift.llm.toxic_grammar import score_toxicity
 from gatesift.llm.url_filter import judge_urls, rule_table
 
@@ -91,6 +92,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rule_table(spark)).drop("url")
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of texts whose fingerprints differ in few bits."""
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
@@ -102,4 +108,5 @@ REGISTRY = {
     "op8_sharding": op8_sharding,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_url_filter": op10_url_filter,
+    "op12_simhash": op12_simhash,
 }
