@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatesift.llm.ann import nearest_neighbours
-from gatesift.llm.common import held_out, n_words, table
+from gatesift.llm.common import held_out, n_words, stored, table
 from gatesift.llm.compression import score_quality
+from gatesift.llm.conversation_repair import damaged, diagnose, repaired_digests, repaired_rows
 from gatesift.llm.lm_scoring import score_difference
 from gatesift.llm.mixing import mix_sources, taken_words
 from gatesift.llm.ngram_join import ngram_components
@@ -97,6 +98,23 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and the cheapest edits that mend it."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = damaged(given)
+    diagnosis = stored(diagnose(rows), "diagnosis")
+    digests = repaired_digests(repaired_rows(rows, diagnosis))
+    every = given.select("conv_id").distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    ids = F.col("conv_id")
+    found = diagnosis.join(digests.select(ids.alias("d"), "repaired_sha256"),
+                           ids.eqNullSafe(F.col("d")), "left").drop("d").withColumnRenamed("conv_id", "f")
+    return every.join(found, ids.eqNullSafe(F.col("f")), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 REGISTRY = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
@@ -109,4 +127,5 @@ REGISTRY = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_url_filter": op10_url_filter,
     "op12_simhash": op12_simhash,
+    "op13_conversation_repair": op13_conversation_repair,
 }

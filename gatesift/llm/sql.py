@@ -135,9 +135,99 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM parsed p LEFT JOIN fits f USING (row_id)
 """
 
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(string_split({}, ''), lambda x: ord(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                           lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _step(state: str, letter: str, cost: str, when: str = "true") -> str:
+    return (f"CASE WHEN {state} IS NOT NULL AND ({when}) "
+            f"THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}} END")
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+_INTO_USER = [_step(s, "K", "t", "NOT gone AND role = 'u'") for s in ("q0", "q1", "q3")] + \
+             [_step(s, "R", "2 + t", "NOT gone AND role <> 'u'") for s in ("q0", "q1", "q3")]
+_INTO_ASSISTANT = [_step("q2", "K", "t", "NOT gone AND role = 'a'"),
+                   _step("q2", "R", "2 + t", "NOT gone AND role <> 'a'")]
+_INSERTED = _least("p2", _step("p0", "I", "2"), _step("p1", "I", "2"), _step("p3", "I", "2"))
+
+# The lattice turn by turn: the least (cost, audit) that leads to each of the four states.
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20
+           AS fate FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy FROM given) WHERE fate <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS said,
+         rtrim(text, {_BLANKS}) AS solid FROM damaged),
+turns AS MATERIALIZED (
+  SELECT conv_id, turn, role AS whole_role, substr(role, 1, 1) AS role, text, i, solid = '' AS blank,
+         solid <> '' AND said > 1 AS duplicate,
+         solid <> '' AND said = 1 AND right(solid, 1) NOT IN ('.', '!', '?') AS truncated,
+         solid = '' OR said > 1 AS gone,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1)
+           NOT IN ('su', 'ua', 'au') AS illegal FROM ordered),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': ''}} AS p0, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS p1,
+         CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS p2, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS p3
+  FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT conv_id, i, {_step("q0", "D", "3")},
+         {_least(_step("q1", "D", "3"), _step("q0", "K", "t", "NOT gone AND role = 's'"))},
+         {_least(_step("q2", "D", "3"), *_INTO_USER)},
+         {_least(_step("q3", "D", "3"), *_INTO_ASSISTANT)}
+  FROM (
+    SELECT *, {_least("p3", _step("q2", "I", "2"))} AS q3 FROM (
+      SELECT w.conv_id, t.i, p0 AS q0, p1 AS q1, p3, {_INSERTED} AS q2, role, gone, CAST(truncated AS INTEGER) AS t
+      FROM walk w JOIN turns t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = w.i + 1))),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, max(i) AS n
+  FROM turns GROUP BY conv_id),
+solved AS MATERIALIZED (
+  SELECT c.*, {_least("p0", "p3", _step("q2", "I", "2"))} AS best
+  FROM counted c JOIN (SELECT *, {_INSERTED} AS q2 FROM walk) w
+    ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i),
+letters AS (
+  SELECT conv_id, k, substr(best.a, k, 1) AS letter,
+         length(replace(substr(best.a, 1, k), 'I', '')) AS i,
+         length(replace(substr(best.a, 1, k), 'D', '')) - 1 AS place
+  FROM (SELECT conv_id, best, unnest(range(1, length(best.a) + 1)) AS k FROM solved)),
+kept AS (
+  SELECT l.conv_id, k, letter, place, t.whole_role, t.text,
+         max(CASE WHEN place = 0 AND letter = 'K' AND t.role = 's' THEN 1 ELSE 0 END)
+           OVER (PARTITION BY l.conv_id) AS system
+  FROM letters l LEFT JOIN turns t ON l.conv_id IS NOT DISTINCT FROM t.conv_id AND l.i = t.i AND letter <> 'I'
+  WHERE letter <> 'D'),
+mended AS (
+  SELECT conv_id, sha256(string_agg(
+    CASE WHEN letter = 'K' THEN whole_role WHEN (place - system) % 2 = 0 THEN 'user' ELSE 'assistant' END
+      || ':' || coalesce(text, ''), chr(10) ORDER BY k)) AS repaired_sha256 FROM kept GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(s.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(s.blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(s.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(s.truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(s.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(s.best.c, 0) AS BIGINT) AS cost,
+       coalesce(s.best.a, '') AS audit, coalesce(m.repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN solved s ON o.conv_id IS NOT DISTINCT FROM s.conv_id
+LEFT JOIN mended m ON o.conv_id IS NOT DISTINCT FROM m.conv_id
+"""
+
 SQL = {
     "op1_ngram_join": NGRAM_JOIN,
     "op2_mixing": MIXING,
     "op5_quality_rules": QUALITY_RULES,
     "op10_url_filter": URL_FILTER,
+    "op13_conversation_repair": CONVERSATION_REPAIR,
 }
