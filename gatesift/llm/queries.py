@@ -13,6 +13,7 @@ from gatesift.llm.lm_scoring import score_difference
 from gatesift.llm.mixing import mix_sources, taken_words
 from gatesift.llm.ngram_join import ngram_components
 from gatesift.llm.packing import packed_sequences, tokenise
+from gatesift.llm.prefix_trie import ordered_turns, prefix_trie, with_family_heads
 from gatesift.llm.quality_rules import apply_rules
 from gatesift.llm.sharding import shard_records, written_shards
 from gatesift.llm.simhash import simhash_components
@@ -93,6 +94,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rule_table(spark)).drop("url")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix that rebuilt conversations start with, and what sharing it saves."""
+    turns = ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie(with_family_heads(stored(turns, "turns")))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of texts whose fingerprints differ in few bits."""
     return simhash_components(table(spark, sf_dir, "documents"))
@@ -126,6 +133,7 @@ REGISTRY = {
     "op8_sharding": op8_sharding,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_url_filter": op10_url_filter,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_simhash": op12_simhash,
     "op13_conversation_repair": op13_conversation_repair,
 }

@@ -224,10 +224,48 @@ LEFT JOIN solved s ON o.conv_id IS NOT DISTINCT FROM s.conv_id
 LEFT JOIN mended m ON o.conv_id IS NOT DISTINCT FROM m.conv_id
 """
 
+# A node's name is the list of its turns; a conversation is under each of its prefixes.
+PREFIX_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS said,
+         row_number() OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+given AS (SELECT conv_id, list(said ORDER BY i) AS turns FROM turns GROUP BY conv_id),
+cut AS (
+  SELECT *, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 6 AS h, conv_id - conv_id % 100 AS family FROM given),
+rebuilt AS MATERIALIZED (
+  SELECT c.conv_id, list_concat(CASE WHEN h > 0 THEN coalesce(g.turns, [])[1:h] ELSE [] END, c.turns[h + 1:]) AS turns
+  FROM cut c LEFT JOIN given g ON c.family = g.conv_id),
+members AS (
+  SELECT conv_id, turns, d, turns[1:d] AS prefix
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS MATERIALIZED (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = d), '') AS ends,
+         CASE WHEN d > 0 THEN (count(*) - 1) * length(prefix[d].t) ELSE 0 END AS saved
+  FROM members GROUP BY prefix, d),
+named AS MATERIALIZED (
+  SELECT n.*, p.conv_id AS parent_conv_id, p.prefix AS parent
+  FROM nodes n LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]),
+children AS (SELECT parent, count(*) AS k FROM named WHERE d > 0 GROUP BY parent),
+counted AS MATERIALIZED (
+  SELECT n.*, coalesce(k, 0) AS k FROM named n LEFT JOIN children c ON n.prefix = c.parent),
+above AS (
+  SELECT prefix[1:e] AS top, e, saved, k = 0 AS leaf
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM counted)),
+subtrees AS (SELECT top, e, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves FROM above GROUP BY top, e)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(d AS BIGINT) AS depth, CAST(parent_conv_id AS BIGINT) AS parent_conv_id,
+       CAST(n AS BIGINT) AS n_convs, CAST(k AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM counted c JOIN subtrees s ON c.prefix = s.top AND c.d = s.e
+"""
+
 SQL = {
     "op1_ngram_join": NGRAM_JOIN,
     "op2_mixing": MIXING,
     "op5_quality_rules": QUALITY_RULES,
     "op10_url_filter": URL_FILTER,
+    "op11_prefix_trie": PREFIX_TRIE,
     "op13_conversation_repair": CONVERSATION_REPAIR,
 }
