@@ -52,6 +52,21 @@ def stats_rollup(log: DataFrame) -> DataFrame:
                           "unsafe_results")
 
 
+def stats_from_counters(counters: DataFrame) -> DataFrame:
+    """The same report from (``counter``, ``value``) rows; a counter that isn't there reads 0."""
+    names = {"total_hits": "cache_hits", "total_misses": "cache_misses",
+             "text_validations": "validations_text", "file_validations": "validations_file"}
+    results = {f"{status}_results": [f"validations_{kind}_{status}" for kind in ("text", "file")]
+               for status in ("safe", "unsafe")}
+    chosen = {**{k: [v] for k, v in names.items()}, **results}
+    read = counters.agg(*[
+        F.coalesce(F.sum(F.when(F.col("counter").isin(c), F.col("value"))), F.lit(0)).alias(name)
+        for name, c in chosen.items()])
+    return read.select("total_hits", "total_misses",
+                       hit_rate(F.col("total_hits"), F.col("total_misses")).alias("hit_rate"),
+                       "text_validations", "file_validations", *results)
+
+
 def stats_report(rollup: DataFrame, key_counts: DataFrame | None = None) -> DataFrame:
     """The report in its nested form: cache info, performance, validations."""
     groups = [

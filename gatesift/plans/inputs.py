@@ -41,6 +41,8 @@ REQUEST_TEXTS = [
     PII_PROBES[0],
 ]
 
+SHARED_TEXT_EVENTS = ["view", "click"]
+
 # Payload i goes to the documents whose id leaves this remainder; the rest stay as is.
 PROBE_STRIDE = 97
 LEVEL_CYCLE = ["high", "medium", "low"]
@@ -125,9 +127,14 @@ def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as routed requests: purchases send files, all else texts."""
+    """Events as routed requests: purchases send files, all else texts.
+
+    Views and clicks all send one text, so few keys are hot; others send one of their user's.
+    """
     is_file = F.col("event_type") == "purchase"
-    text = pick(REQUEST_TEXTS, F.col("user_id") % len(REQUEST_TEXTS))
+    own = F.concat(pick(REQUEST_TEXTS, F.col("user_id") % len(REQUEST_TEXTS)),
+                   F.lit(" ("), F.col("user_id").cast("string"), F.lit(")"))
+    text = F.when(F.col("event_type").isin(SHARED_TEXT_EVENTS), F.lit(REQUEST_TEXTS[0])).otherwise(own)
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"),
         utc(F.col("ts")).alias("ts"),

@@ -66,10 +66,13 @@ MIXED = CORPUS + """, mixed AS (SELECT doc_id AS request_id,
   ['high', 'medium', 'low', 'HIGH', NULL, '', 'extreme'][doc_id % 7 + 1] AS security_level
   FROM corpus)"""
 
+_SHARED = f"event_type IN ({', '.join(map(q, I.SHARED_TEXT_EVENTS))})"
 REQUEST_LOG = f"""log AS (SELECT event_id AS request_id, epoch_us(ts) AS us,
   CASE WHEN event_type = 'purchase' THEN 'file' ELSE 'text' END AS analysis_type,
   {level_of('user_id')} AS security_level,
-  {text_list(I.REQUEST_TEXTS)}[user_id % {len(I.REQUEST_TEXTS)} + 1] AS plain,
+  CASE WHEN {_SHARED} THEN {q(I.REQUEST_TEXTS[0])}
+    ELSE {text_list(I.REQUEST_TEXTS)}[user_id % {len(I.REQUEST_TEXTS)} + 1] END AS base,
+  base || CASE WHEN {_SHARED} THEN '' ELSE ' (' || user_id || ')' END AS plain,
   value AS latency_ms FROM events),
 keyed AS (SELECT *, 'validation:' || analysis_type || ':' || security_level || ':' ||
     sha256(CASE analysis_type WHEN 'file' THEN to_base64(encode(plain)) ELSE plain END)
@@ -540,8 +543,8 @@ _PLAIN_STATUS = {
     I.REQUEST_TEXTS[3]: ("unsafe", "safe"),
     I.REQUEST_TEXTS[4]: ("safe", "unsafe"),
 }
-_STATUS = ("CASE analysis_type WHEN 'text' THEN CASE plain "
-           + cases({t: q(s[0]) for t, s in _PLAIN_STATUS.items()}) + " END ELSE CASE plain "
+_STATUS = ("CASE analysis_type WHEN 'text' THEN CASE base "
+           + cases({t: q(s[0]) for t, s in _PLAIN_STATUS.items()}) + " END ELSE CASE base "
            + cases({t: q(s[1]) for t, s in _PLAIN_STATUS.items()}) + " END END")
 LOG_VERDICTS = f"{REPLAY}, logged AS (SELECT *, {_STATUS} AS status FROM replayed)"
 _COUNTERS = """counters AS (
@@ -572,6 +575,14 @@ SQL["empty_log_stats"] = (
     "SELECT 0::BIGINT AS total_hits, 0::BIGINT AS total_misses, 0.0::DOUBLE AS hit_rate, "
     "0::BIGINT AS text_validations, 0::BIGINT AS file_validations, 0::BIGINT AS safe_results, "
     "count(*) AS unsafe_results FROM events WHERE value < 0")
+# what is left of the counters without file requests and unsafe verdicts
+SQL["missing_counter_stats"] = (
+    f"WITH RECURSIVE {LOG_VERDICTS} SELECT count(*) FILTER (cache_hit) AS total_hits, "
+    "count(*) FILTER (NOT cache_hit) AS total_misses, "
+    "round(count(*) FILTER (cache_hit) / greatest(count(*), 1) * 100::DOUBLE, 6) AS hit_rate, "
+    "count(*) FILTER (NOT cache_hit) AS text_validations, 0::BIGINT AS file_validations, "
+    "count(*) FILTER (NOT cache_hit) AS safe_results, 0::BIGINT AS unsafe_results "
+    "FROM logged WHERE analysis_type = 'text' AND status = 'safe'")
 _DOC_KEYS = ("(WITH " + CACHE + " SELECT count(*) FROM latest)")
 SQL["key_census"] = (
     f"WITH RECURSIVE {LOG_VERDICTS}, {_COUNTERS} "
@@ -632,11 +643,12 @@ SQL["issue_by_lang"] = (
 SQL["stream_validate"] = SQL["validate_text_high"]
 SQL["stream_validate_files"] = SQL["base64_roundtrip_verdict"]
 SQL["stream_ttl_replay"] = SQL["ttl_replay"]
-# the watermark ends an hour before the last event: lives that are over by then are out
-SQL["stream_counters"] = (
-    f"{_sessions()}, seen AS (SELECT max(us) // 1000 * 1000 - 3600000000 AS mark FROM e) "
-    "SELECT user_id, event_type, start_us, last_us, counter_value FROM lives, seen "
-    f"WHERE last_us + {rules.COUNTER_TTL_SECONDS * 1_000_000} <= mark")
+SQL["stream_replay_unordered"] = SQL["ttl_replay"]
+SQL["stream_counters"] = SQL["counter_sessions"]
+SQL["stream_counter_values"] = (
+    f"{_sessions()}, now AS (SELECT max(us) AS us FROM e) SELECT user_id, event_type, "
+    f"CAST(coalesce(sum(counter_value) FILTER (last_us + {rules.COUNTER_TTL_SECONDS * 1_000_000} "
+    ">= now.us), 0) AS BIGINT) AS counter_value FROM lives, now GROUP BY user_id, event_type")
 SQL["stream_dedup"] = f"WITH {DOC_REQUESTS} SELECT DISTINCT cache_key FROM keyed"
 SQL["stream_upsert"] = (
     f"WITH {DOC_VERDICTS} SELECT cache_key, max(us // 1000000) AS cached_at, "

@@ -512,6 +512,13 @@ def empty_log_stats(spark, sf):
     return ST.stats_rollup(log)
 
 
+@query("missing_counter_stats")
+def missing_counter_stats(spark, sf):
+    log = _replayed_verdicts(spark, sf).filter("analysis_type = 'text' AND status = 'safe'")
+    rollup = ST.stats_from_counters(ST.event_counters(log))
+    return rollup.withColumn("hit_rate", F.round("hit_rate", 6))
+
+
 @query("stats_snapshot")
 def stats_snapshot(spark, sf):
     rollup = ST.stats_rollup(_replayed_verdicts(spark, sf))
@@ -635,27 +642,73 @@ def stream_validate_files(spark, sf):
     return shown(spark.read.parquet(f"{out}/verdicts"), "doc_id")
 
 
+def _shown_replay(replayed: DataFrame) -> DataFrame:
+    return replayed.select(
+        "request_id", "cache_key", "cache_hit", micros("written_at").alias("written_us"),
+        micros("expires_at").alias("expires_us"))
+
+
 @query("stream_ttl_replay")
 def stream_ttl_replay(spark, sf):
     out = _folder(spark, "stream-replay")
-    SV.run_ttl_replay(_log_keys(_Streams(spark), sf), f"{out}/log", f"{out}/cache",
-                      f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/log").select(
-        "request_id", "cache_key", "cache_hit", micros("written_at").alias("written_us"),
-        micros("expires_at").alias("expires_us"))
+    replay_stream = SV.run_ttl_replay(_log_keys(_Streams(spark), sf), out, f"{out}/checkpoint",
+                                      delay_seconds=0)
+    return _shown_replay(replay_stream.read())
+
+
+# Events arrive up to two days after they happened, in this many runs of a stream.
+ARRIVALS, ARRIVAL_DAYS, LATEST_DAYS = 4, 8, 2
+
+
+def _arriving(spark: SparkSession, log: DataFrame, order: str,
+              run: Callable[[DataFrame, str], object]) -> object:
+    """Write a log in parts, by the time its rows arrive, and run a stream after each of them.
+
+    Within a part rows have no order, and parts overlap by up to two days of event time.
+    """
+    day = 86_400 * 1_000_000
+    arrival = micros("ts") + F.pmod(F.xxhash64(order), F.lit(LATEST_DAYS * day)) - I.START_US
+    part = F.least(F.greatest(F.floor(arrival / (ARRIVAL_DAYS * day)), F.lit(0)), F.lit(ARRIVALS - 1))
+    out = _folder(spark, "stream-arrivals")
+    result = None
+    for k in range(ARRIVALS):
+        log.filter(part == k).write.mode("append").parquet(f"{out}/in")
+        result = run(spark.readStream.schema(log.schema).parquet(f"{out}/in"), out)
+    return result
+
+
+@query("stream_replay_unordered")
+def stream_replay_unordered(spark, sf):
+    replay_stream = _arriving(spark, _log_keys(spark, sf), "request_id", lambda stream, out: SV.run_ttl_replay(
+        stream, f"{out}/replay", f"{out}/checkpoint", delay_seconds=(LATEST_DAYS + 1) * 86_400))
+    return _shown_replay(replay_stream.read())
+
+
+COUNTER_KEYS = ["user_id", "event_type"]
+
+
+def _streamed_counters(spark, sf) -> DataFrame:
+    increments = I.table(spark, sf, "events").select("event_id", *COUNTER_KEYS, I.utc(F.col("ts")).alias("ts"))
+    counters = _arriving(spark, increments, "event_id", lambda stream, out: SV.run_counters(
+        stream, COUNTER_KEYS, f"{out}/counters", f"{out}/checkpoint", every=2,
+        delay_seconds=(LATEST_DAYS + 1) * 86_400))
+    return counters.read()
 
 
 @query("stream_counters")
 def stream_counters(spark, sf):
-    lives = SV.session_counters(_increments(_Streams(spark), sf), ["user_id", "event_type"])
-    out = _folder(spark, "stream-counters")
-    SV.run_append(lives, f"{out}/lives", f"{out}/checkpoint")
-    # lives that the watermark has passed
-    return spark.read.parquet(f"{out}/lives").select(
-        "user_id", "event_type", micros("session_start").alias("start_us"),
+    return _streamed_counters(spark, sf).select(
+        *COUNTER_KEYS, micros("session_start").alias("start_us"),
         micros("last_increment").alias("last_us"), "counter_value")
 
 
+@query("stream_counter_values")
+def stream_counter_values(spark, sf):
+    lives = _streamed_counters(spark, sf)
+    now = lives.agg(F.max(micros("last_increment"))).first()[0]
+    return W.counter_values(lives, COUNTER_KEYS, F.timestamp_micros(F.lit(now)))
+
+
 @query("stream_dedup")
 def stream_dedup(spark, sf):
     requests = C.with_cache_key(I.document_requests(_Streams(spark), sf)) \
@@ -671,8 +724,8 @@ def stream_upsert(spark, sf):
     requests = C.with_cache_key(I.document_requests(_Streams(spark), sf))
     verdicts = V.validate_routed(requests).drop("content")
     out = _folder(spark, "stream-upsert")
-    SV.run_verdict_upsert(verdicts, f"{out}/cache", f"{out}/checkpoint")
-    return SV.read_stream_cache(spark, f"{out}/cache").select(
+    cache = SV.run_verdict_upsert(verdicts, f"{out}/cache", f"{out}/checkpoint")
+    return cache.latest().select(
         "cache_key", "cached_at", F.col("result.status").alias("status"))
 
 
