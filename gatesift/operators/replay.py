@@ -8,10 +8,13 @@ pieces of even size, and each partition is replayed on its own:
 
 1. Every partition reports how its first and last key end. A partition that lies
    inside one key does not know the expiry it starts from; it reports its exit as a
-   step function of that expiry.
-2. The driver chains these reports, one per partition, into the starting expiry of
-   each partition. Step functions that are too long to fetch stay in a table and are
-   looked up one value per partition.
+   step function of that expiry. It reads its rows as a stream: starting expiries that
+   have led to the same write are one step from then on, and none lies further from
+   its first row than the longest lifetime, so it holds what one lifetime allows.
+2. Step functions of consecutive partitions are composed in tasks, ``_FAN`` at a time,
+   into those of ever longer runs, and the starting expiries handed down again the same
+   way: a parallel prefix over the partitions of a key, in rounds that grow with the
+   logarithm of their number. The driver sees a row per partition.
 3. Every partition is replayed from its starting expiry.
 """
 
@@ -26,15 +29,16 @@ from pyspark.sql import functions as F
 from gatesift.functions.keys import ttl_seconds
 from gatesift.session import shared_dir
 
-# Step functions with at most this many steps are fetched at once, up to a total.
-_MAX_STEPS = 1024
-_MAX_TOTAL_STEPS = 1_000_000
+# Step functions that a task composes at a time.
+_FAN = 32
 
 _NEVER = -(2 ** 62)
 _REPORT = (
     "part INT, kind INT, first_key STRING, last_key STRING, last_us BIGINT, "
-    "upper_us BIGINT, exit_us BIGINT, exit_written_us BIGINT, steps BIGINT"
+    "upper_us BIGINT, exit_us BIGINT, exit_written_us BIGINT"
 )
+_STEPS = "chain INT, idx INT, last_us BIGINT, upper_us BIGINT, exit_us BIGINT, exit_written_us BIGINT"
+_VALUES = "chain INT, idx INT, expiry BIGINT, written BIGINT"
 
 
 def ttl_replay(log: DataFrame, key: str = "cache_key", ts: str = "ts",
@@ -201,8 +205,8 @@ def _reporter(longest: int):
         import pyarrow as pa
 
         names = ["part", "kind", "first_key", "last_key", "last_us", "upper_us", "exit_us",
-                 "exit_written_us", "steps"]
-        types = [pa.int32(), pa.int32(), pa.string(), pa.string()] + [pa.int64()] * 5
+                 "exit_written_us"]
+        types = [pa.int32(), pa.int32(), pa.string(), pa.string()] + [pa.int64()] * 4
 
         def rows(**values):
             n = len(values["part"])
@@ -210,58 +214,131 @@ def _reporter(longest: int):
                 [pa.array(values.get(name, [None] * n), type=kind)
                  for name, kind in zip(names, types)], names=names)
 
-        part = first_key = carry = None
-        last_us, times, expiries, single = 0, [], [], True
+        none = np.zeros(0, dtype=np.int64)
+        # starting expiries up to ``upper`` lead to the expiry and write on the same place
+        upper, expiry, write = none, none, none
+        part = first_key = carry = last_us = limit = None
+        single = True
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             keys, us, exp, seed, seed_w = read(batch)
             if part is None:
                 part = batch.column(batch.schema.get_field_index("_gs_part"))[0].as_py()
-                first_key = keys[1]
+                first_key, limit = keys[1], us[0] + longest
             single = single and keys[2] == first_key
             if single:
-                times.append(us)
-                expiries.append(exp)
+                # follow each row's chain of misses to its end in this batch by pointer doubling
+                n, own = len(us), np.arange(len(us))
+                end = np.maximum(np.searchsorted(us, exp, side="left"), own + 1)
+                end = np.where(end < n, end, own)
+                while True:
+                    further = end[end]
+                    if (further == end).all():
+                        break
+                    end = further
+                at = np.searchsorted(us, expiry, side="left")
+                going, at = at < n, end[np.minimum(at, n - 1)]
+                expiry, write = np.where(going, exp[at], expiry), np.where(going, us[at], write)
+                # steps that start at rows of this batch, as far as a starting expiry can reach
+                before = np.append(us[0] - 1 if last_us is None else last_us, us[:-1])
+                new = np.flatnonzero((us > before) & (before < limit))
+                upper = np.concatenate((upper, us[new]))
+                expiry = np.concatenate((expiry, exp[end[new]]))
+                write = np.concatenate((write, us[end[new]]))
+                upper, expiry, write = _merged(upper, expiry, write)
             else:
-                times, expiries = [], []
+                upper, expiry, write = none, none, none
             carry = step(keys, us, exp, seed, seed_w, carry)[3]
             last_us = int(us[-1])
         if part is None:
             return
-        steps = 0
-        if single:
-            us, exp = np.concatenate(times), np.concatenate(expiries)
-            n = len(us)
-            # follow each row's chain of misses to its end by pointer doubling
-            end = np.searchsorted(us, exp, side="left")
-            end = np.where(end < n, end, np.arange(n))
-            while True:
-                further = end[end]
-                if (further == end).all():
-                    break
-                end = further
-            # no expiry carried in lies beyond the longest lifetime from the first row
-            reach = np.searchsorted(us, us[0] + longest, side="left") + 1
-            end, entry = end[:reach], us[:reach]
-            last_of_step = np.flatnonzero(np.append(end[1:] != end[:-1], True))
-            steps = len(last_of_step)
-            for start in range(0, steps, 10_000):
-                chosen = last_of_step[start:start + 10_000]
-                yield rows(part=[part] * len(chosen), kind=[1] * len(chosen),
-                           upper_us=entry[chosen], exit_us=exp[end[chosen]],
-                           exit_written_us=us[end[chosen]])
+        for start in range(0, len(upper), 10_000):
+            cut = slice(start, start + 10_000)
+            yield rows(part=[part] * len(upper[cut]), kind=[1] * len(upper[cut]),
+                       upper_us=upper[cut], exit_us=expiry[cut], exit_written_us=write[cut])
         yield rows(part=[part], kind=[0], first_key=[first_key], last_key=[carry[0]],
-                   last_us=[last_us], exit_us=[carry[1]], exit_written_us=[carry[2]],
-                   steps=[steps])
+                   last_us=[last_us], exit_us=[carry[1]], exit_written_us=[carry[2]])
 
     return report
 
 
+def _merged(upper, expiry, write):
+    """Neighbouring steps that lead to the same write as one."""
+    import numpy as np
+
+    if not len(upper):
+        return upper, expiry, write
+    ends = np.append((expiry[1:] != expiry[:-1]) | (write[1:] != write[:-1]), True)
+    return upper[ends], expiry[ends], write[ends]
+
+
+def _functions(steps) -> list[tuple]:
+    """(idx, last time, upper, expiry, write) of each step function in a table, by idx."""
+    import numpy as np
+
+    columns = [steps[c].to_numpy() for c in ("idx", "last_us", "upper_us", "exit_us", "exit_written_us")]
+    order = np.lexsort((columns[2], columns[0]))
+    idx, last, upper, expiry, write = (c[order] for c in columns)
+    cuts = np.flatnonzero(np.append(True, idx[1:] != idx[:-1])) if len(idx) else []
+    return [(int(idx[i]), int(last[i]), upper[i:j], expiry[i:j], write[i:j])
+            for i, j in zip(cuts, [*cuts[1:], len(idx)])]
+
+
+def _then(expiry, write, last: int, upper, expiries, writes):
+    """What a step function makes of expiries: those beyond its last row pass."""
+    import numpy as np
+
+    at = np.minimum(np.searchsorted(upper, expiry, side="left"), len(upper) - 1)
+    ends = expiry <= last
+    return np.where(ends, expiries[at], expiry), np.where(ends, writes[at], write)
+
+
+def _compose(fan: int):
+    """The step functions of consecutive partitions as one."""
+    def compose(steps):
+        import numpy as np
+        import pyarrow as pa
+
+        chain, functions = steps["chain"][0].as_py(), _functions(steps)
+        first, last, upper, expiry, write = functions[0]
+        for _, end, uppers, expiries, writes in functions[1:]:
+            expiry, write = _then(expiry, write, end, uppers, expiries, writes)
+            beyond = uppers > last
+            upper, expiry, write = _merged(
+                np.concatenate((upper, uppers[beyond])), np.concatenate((expiry, expiries[beyond])),
+                np.concatenate((write, writes[beyond])))
+            last = end
+        n = len(upper)
+        return pa.table({
+            "chain": pa.array([chain] * n, pa.int32()), "idx": pa.array([first // fan] * n, pa.int32()),
+            "last_us": pa.array([last] * n, pa.int64()), "upper_us": upper, "exit_us": expiry,
+            "exit_written_us": write})
+
+    return compose
+
+
+def _evaluate(steps, values):
+    """What each of consecutive partitions starts from, and the one behind them, given the first."""
+    import numpy as np
+    import pyarrow as pa
+
+    out = []
+    if values.num_rows and steps.num_rows:
+        chain = values["chain"][0].as_py()
+        expiry, write = (values[c].to_numpy()[:1] for c in ("expiry", "written"))
+        for idx, last, upper, expiries, writes in _functions(steps):
+            out.append((chain, idx, int(expiry[0]), int(write[0])))
+            expiry, write = _then(expiry, write, last, upper, expiries, writes)
+        out.append((chain, idx + 1, int(expiry[0]), int(write[0])))
+    columns = list(zip(*out)) or [()] * 4
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.table([pa.array(np.array(c, dtype=np.int64), pa.int64()).cast(k) for c, k in zip(columns, kinds)],
+                    names=["chain", "idx", "expiry", "written"])
+
+
 def _entries(ranged: DataFrame, longest: int, path: str) -> dict[int, tuple[str, int, int]]:
     """The (key, expiry, write) each partition starts from, where it goes on with a key."""
-    import bisect
-
     spark = ranged.sparkSession
     needed = ranged.select("_gs_part", "_gs_key", "_gs_us", "_gs_exp", "_gs_seed", "_gs_seed_w")
     needed.mapInArrow(_reporter(longest), _REPORT).write.parquet(path)
@@ -270,63 +347,53 @@ def _entries(ranged: DataFrame, longest: int, path: str) -> dict[int, tuple[str,
     parts = sorted(reports.filter("kind = 0").drop("kind", "upper_us").collect(),
                    key=lambda r: r["part"])
 
-    # a partition inside one key that starts in an earlier one needs its step function
-    inside = {here["part"]: here["steps"] for before, here in zip(parts, parts[1:])
-              if here["first_key"] == here["last_key"] == before["last_key"]}
-    fetched, room = [], _MAX_TOTAL_STEPS
-    for part, steps in inside.items():
-        if steps <= min(_MAX_STEPS, room):
-            fetched.append(part)
-            room -= steps
-    functions: dict[int, tuple[list, list]] = {part: ([], []) for part in fetched}
-    if fetched:
-        table = reports.filter((F.col("kind") == 1) & F.col("part").isin(fetched))
-        for row in sorted(table.select("part", "upper_us", "exit_us", "exit_written_us")
-                          .collect()):
-            functions[row[0]][0].append(row[1])
-            functions[row[0]][1].append((row[2], row[3]))
+    # partitions inside one key that starts in an earlier one: runs of them are chains
+    links, starts = [], []
+    entered: dict[int, tuple[int, int]] = {}  # position in ``parts`` -> (chain, idx)
+    for i, (before, here) in enumerate(zip(parts, parts[1:]), 1):
+        if not here["first_key"] == here["last_key"] == before["last_key"]:
+            continue
+        if i - 1 in entered:
+            chain, idx = entered[i - 1]
+            entered[i] = chain, idx + 1
+        else:
+            entered[i] = len(starts), 0
+            starts.append((len(starts), 0, before["exit_us"], before["exit_written_us"]))
+        links.append((here["part"], *entered[i], here["last_us"]))
+    found = _chained(reports, links, starts, path) if links else {}
 
     entries: dict[int, tuple[str, int, int]] = {}
-    known: dict[int, tuple[int, int]] = {}  # exits, by position in ``parts``
-    waiting = list(range(len(parts)))
-    while waiting:
-        blocked, lookups = [], {}
-        for i in waiting:
-            here = parts[i]
-            goes_on = i > 0 and parts[i - 1]["last_key"] == here["first_key"]
-            if goes_on and i - 1 not in known:
-                blocked.append(i)
-                continue
-            if goes_on:
-                entries[here["part"]] = (here["first_key"], *known[i - 1])
-            if here["part"] not in inside:
-                known[i] = (here["exit_us"], here["exit_written_us"])
-                continue
-            expiry = known[i - 1][0]
-            if expiry > here["last_us"]:
-                known[i] = known[i - 1]
-            elif here["part"] in functions:
-                uppers, exits = functions[here["part"]]
-                known[i] = exits[bisect.bisect_left(uppers, expiry)]
+    for i, (before, here) in enumerate(zip(parts, parts[1:]), 1):
+        if before["last_key"] == here["first_key"]:
+            if i - 1 in entered:
+                chain, idx = entered[i - 1]
+                exits = found[chain, idx + 1]
             else:
-                lookups[here["part"]] = (i, expiry)
-                blocked.append(i)
-        if lookups:
-            wanted = spark.createDataFrame(
-                [(part, expiry) for part, (_, expiry) in lookups.items()],
-                "part INT, expiry BIGINT")
-            # at most one row per partition on the broadcast side
-            found = (reports
-                     .filter((F.col("kind") == 1) & F.col("part").isin(list(lookups)))
-                     .join(F.broadcast(wanted), "part")
-                     .filter(F.col("upper_us") >= F.col("expiry"))
-                     .groupBy("part")
-                     .agg(F.min_by(F.struct("exit_us", "exit_written_us"), "upper_us")
-                          .alias("exit"))
-                     .collect())
-            for row in found:
-                known[lookups[row["part"]][0]] = tuple(row["exit"])
-            resolved = {i for i, _ in lookups.values()}
-            blocked = [i for i in blocked if i not in resolved]
-        waiting = blocked
+                exits = before["exit_us"], before["exit_written_us"]
+            entries[here["part"]] = (here["first_key"], *exits)
     return entries
+
+
+def _chained(reports: DataFrame, links: list[tuple], starts: list[tuple],
+             path: str) -> dict[tuple[int, int], tuple[int, int]]:
+    """{(chain, idx): (expiry, write)} at the start of each link of a chain and behind its last.
+
+    ``links`` and ``starts`` have at most a row per partition of the shuffle.
+    """
+    spark = reports.sparkSession
+    linked = spark.createDataFrame(links, "part INT, chain INT, idx INT, last_us BIGINT")
+    level = reports.filter("kind = 1").drop("last_us").join(F.broadcast(linked), "part").selectExpr(
+        *[f.split()[0] for f in _STEPS.split(", ")])
+    levels, longest = [level], 1 + max(idx for _, _, idx, _ in links)
+    group = F.floor(F.col("idx") / _FAN).cast("int").alias("group")
+    while longest > _FAN:
+        folder = f"{path}-level-{len(levels)}"
+        levels[-1].groupBy("chain", group).applyInArrow(_compose(_FAN), _STEPS).write.parquet(folder)
+        levels.append(spark.read.schema(_STEPS).parquet(folder))
+        longest = -(-longest // _FAN)
+    values = spark.createDataFrame(starts, _VALUES)
+    for level in reversed(levels):
+        values = (level.groupBy("chain", group)
+                  .cogroup(values.groupBy("chain", F.col("idx").alias("group")))
+                  .applyInArrow(_evaluate, _VALUES))
+    return {(r["chain"], r["idx"]): (r["expiry"], r["written"]) for r in values.collect()}

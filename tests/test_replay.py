@@ -48,16 +48,46 @@ def test_expiry_runs_from_the_write(spark):
     assert [got[i][0] for i in range(6)] == [False, True, False, True, True, False]
 
 
-# dense and sparse logs; max_steps 1 forces the look-up path for hot keys
-@pytest.mark.parametrize("gap,ttl,max_steps", [
-    (60, 1800, 1024), (1, 100, 1), (5, 7, 2), (2000, 1800, 1024), (0.01, 1800, 1), (20, 100, 4)])
-def test_hot_keys_match_sequential_replay(spark, monkeypatch, gap, ttl, max_steps):
-    monkeypatch.setattr(replay, "_MAX_STEPS", max_steps)
+# dense and sparse logs; a fan of 2 takes several rounds over a hot key's partitions
+@pytest.mark.parametrize("gap,ttl,fan", [
+    (60, 1800, 32), (1, 100, 2), (5, 7, 2), (2000, 1800, 3), (0.01, 1800, 2), (20, 100, 4)])
+def test_hot_keys_match_sequential_replay(spark, monkeypatch, gap, ttl, fan):
+    monkeypatch.setattr(replay, "_FAN", fan)
     rows = random_log(gap, 0.6)
     assert replayed(log(spark, rows).repartition(4), ttl, partitions=12) == \
         brute_force(rows, ttl)
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 4, 32])
+def test_many_keys_and_a_hot_one_over_any_number_of_partitions(spark, monkeypatch, partitions):
+    monkeypatch.setattr(replay, "_FAN", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)  # steps go on over batches
+    rng, rows, t = random.Random(6), [], 0.0
+    for i in range(6000):
+        t += rng.expovariate(1 / 3)
+        key = "k0500" if rng.random() < 0.4 else f"k{rng.randrange(1500):04}"
+        rows.append((key, int(t * 1e6) if i % 5 else int(t) * 1_000_000, i))
+    try:
+        assert replayed(log(spark, rows), 40, partitions=partitions) == brute_force(rows, 40)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lifetimes_of_each_row_in_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(replay, "_FAN", 2)
+    rng, rows, live, expected = random.Random(9), [], -1, {}
+    for i in range(1500):
+        us, ttl = i // 3 * 1_000_000, rng.choice([0, 1, 2, 5, 40, -3])
+        rows.append((i, "hot", us, ttl))
+        expected[i] = us < live
+        if us >= live:
+            live = us + ttl * 1_000_000
+    df = spark.createDataFrame(rows, "request_id LONG, cache_key STRING, us LONG, ttl INT") \
+        .withColumn("ts", F.timestamp_micros("us"))
+    out = replay.ttl_replay(df, ttl=F.col("ttl"), partitions=20)
+    assert {r.request_id: r.cache_hit for r in out.collect()} == expected
+
+
 def test_equal_times_follow_the_order_column(spark):
     rows = [("k", 5_000_000 * (i // 40), 200 - i) for i in range(200)]
     assert replayed(log(spark, rows), 7, partitions=8) == brute_force(rows, 7)
