@@ -129,11 +129,15 @@ def risk_parts_sql(text: str, level: str, toxicity: str) -> dict[str, str]:
     found = ", ".join(f"CASE WHEN {hit} THEN {quote(issue)} END" for hit, issue in checks)
     return {
         "risk_issues": f"array_compact(array({found}))",
-        "risk_model": f"CASE WHEN {level} IN ('high', 'medium') "
-                      f"THEN coalesce({toxicity}, 0.0D) ELSE 0.0D END",
+        "risk_model": risk_model_sql(level, toxicity),
     }
 
 
+def risk_model_sql(level: str, toxicity: str) -> str:
+    """The model's part of the risk score: level ``low`` ignores it."""
+    return f"CASE WHEN {level} IN ('high', 'medium') THEN coalesce({toxicity}, 0.0D) ELSE 0.0D END"
+
+
 def risk_rule_sql(issues: str) -> str:
     # the score grows one step per issue: the sum of three steps is not 0.9 exactly
     totals = [0.0]

@@ -68,10 +68,7 @@ def analyze(df: DataFrame, text: str, is_file: str, *,
         f"WHEN _gs_oversize THEN array({quote(rules.OVERSIZE_ISSUE)}) "
         f"ELSE concat({found.pii}, {found.injection}, CASE WHEN {penalised} "
         f"THEN array({quote(rules.EMBEDDED_ISSUE)}) ELSE {NO_STRINGS} END) END")
-    text_issues = (
-        f"concat({found.injection}, CASE WHEN {found.keyword} "
-        f"THEN array({quote(rules.KEYWORD_ISSUE)}) ELSE {NO_STRINGS} END, "
-        f"CASE WHEN {flagged} THEN array({quote(rules.MODEL_ISSUE)}) ELSE {NO_STRINGS} END)")
+    text_issues = text_issues_sql(found.injection, found.keyword, flagged)
     staged = staged.selectExpr(
         "*",
         f"CASE WHEN {is_file} THEN {file_issues} ELSE {text_issues} END AS _gs_issues",
@@ -97,6 +94,20 @@ def analyze(df: DataFrame, text: str, is_file: str, *,
     return staged.select(*kept, F.expr(result).alias(output))
 
 
+def text_issues_sql(injection: str, keyword: str, blocked: str) -> str:
+    """Issues of the text profile: injections, a keyword, the model verdict."""
+    return (f"concat({injection}, CASE WHEN {keyword} "
+            f"THEN array({quote(rules.KEYWORD_ISSUE)}) ELSE {NO_STRINGS} END, "
+            f"CASE WHEN {blocked} THEN array({quote(rules.MODEL_ISSUE)}) ELSE {NO_STRINGS} END)")
+
+
+def text_analysis_sql(issues: str, llm_score: str, blocked: str) -> str:
+    """The analysis struct of the text profile."""
+    model = f"CASE WHEN {blocked} THEN 0.0D ELSE {llm_score} END"
+    return S.analysis_sql(f"size({issues}) = 0", S.text_confidence_sql(issues, model), issues,
+                          quote(rules.TEXT_SUMMARY))
+
+
 def analyze_text(df: DataFrame, text: str = "text", *, llm_score: Expression | None = None,
                  blocked: Expression | None = None, keywords: Sequence[str] = rules.KEYWORDS,
                  output: str = "analysis") -> DataFrame:

@@ -16,14 +16,19 @@ def with_cache_key(df: DataFrame) -> DataFrame:
         F.col("content"), F.col("analysis_type"), F.col("security_level")))
 
 
-def join_by_key(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Left join on ``cache_key``. Rejected requests have no key: they would all meet in
-    one task, so each goes where a hash of its other columns sends it."""
-    others = [f.name for f in left.schema.fields
+def _with_join_key(df: DataFrame) -> DataFrame:
+    """Add ``_gs_join``, the key to join by. Rejected requests have no key: they would all meet
+    in one task, so each goes where a hash of its other columns sends it."""
+    others = [f.name for f in df.schema.fields
               if f.name not in ("cache_key", "content")
               and not f.dataType.simpleString().startswith("map")]
     spread = F.concat(F.lit("rejected:"), F.hex(F.xxhash64(*others)))
-    return (left.withColumn("_gs_join", F.coalesce("cache_key", spread))
+    return df.withColumn("_gs_join", F.coalesce("cache_key", spread))
+
+
+def join_by_key(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join on ``cache_key``."""
+    return (_with_join_key(left)
             .join(right.withColumnRenamed("cache_key", "_gs_join"), "_gs_join", "left")
             .drop("_gs_join"))
 
@@ -51,12 +56,23 @@ def live_entries(cache: DataFrame, as_of: Column) -> DataFrame:
     return cache.filter(F.col("expires_at") > as_of)
 
 
+# When an entry was written and how long it lives, as one number of fixed width.
+_WRITTEN = ("coalesce(cast(cached_at AS decimal(18,0)), -9999999999BD) * 10000000000000000000BD "
+            "+ coalesce(unix_micros(expires_at), -1)")
+
+
 def latest_entries(cache: DataFrame) -> DataFrame:
-    """The latest entry of each key. Combines before the shuffle, so hot keys are cheap."""
-    rest = [c for c in CACHE_ENTRY if c != "cache_key"]
-    latest = F.max_by(F.struct(*rest), F.struct("cached_at", "expires_at")).alias("entry")
-    return cache.groupBy("cache_key").agg(latest).select(
-        "cache_key", *[F.col(f"entry.{c}").alias(c) for c in rest])
+    """The latest entry of each key; of those written in one second, that which lives longest.
+
+    The choice is made on keys and times alone, a hash aggregation that combines before it
+    shuffles; then the rows that won are picked. Verdicts are neither sorted nor aggregated, and
+    the entries of a hot key are dealt out by their times. Equal entries are one.
+    """
+    written = F.expr(_WRITTEN)
+    last = cache.groupBy(F.col("cache_key").alias("_gs_key")).agg(F.max(written).alias("_gs_last"))
+    won = F.col("cache_key").eqNullSafe(F.col("_gs_key")) & (F.col("_gs_written") == F.col("_gs_last"))
+    return (cache.select(*CACHE_ENTRY).withColumn("_gs_written", written)
+            .join(last.hint("shuffle_hash"), won, "left_semi").drop("_gs_written").distinct())
 
 
 def upsert(cache: DataFrame, entries: DataFrame) -> DataFrame:
@@ -142,28 +158,32 @@ def validate_with_cache(requests: DataFrame, cache: DataFrame | None,
     """Verdicts of routed requests: from the cache on a hit, else by analysis.
 
     ``analysis_type`` and ``cached_at`` are those of the stored verdict, so they are
-    NULL for fresh verdicts; the request's own type is ``request_type``.
+    NULL for fresh verdicts; the request's own type is ``request_type``. Which requests miss is
+    found by key and expiry alone; hits get their verdicts without their content.
     """
     kept = [c for c in requests.columns if c not in ("content", "analysis_type")]
-    looked_up = cache_lookup(with_cache_key(requests), cache, as_of)
-    stored = F.struct(*RESULT_FIELDS)
-    looked_up = looked_up.withColumn("_gs_stored", stored).drop(*RESULT_FIELDS)
-    # hits carry no content into the analysis
-    todo = looked_up.withColumns({
-        "request_type": F.col("analysis_type"),
-        "analysis_type": F.when(~F.col("cache_hit"), F.col("analysis_type")),
-        "content": F.when(~F.col("cache_hit"), F.col("content")),
-    })
-    fresh = validate_routed(todo, **options)
-    hit = F.col("cache_hit")
-    out = {n: F.when(hit, F.col(f"_gs_stored.{n}")).otherwise(F.col(n)) for n in RESULT_FIELDS}
-    return fresh.select(
-        *kept, "cache_key", "request_type",
-        *[c.alias(n) for n, c in out.items()],
-        F.when(F.col("request_type").isNotNull(), hit).alias("cache_hit"),
-        "cached_at",
-        F.when(hit, F.col("request_type")).alias("analysis_type"),
-    )
+    keyed = with_cache_key(requests)
+    moment = F.col("ts").cast("timestamp") if as_of is None else as_of
+    missed = keyed
+    if cache is not None:
+        live = cache.select(F.col("cache_key").alias("_gs_live"), F.col("expires_at").alias("_gs_until"))
+        missed = _with_join_key(keyed).join(
+            live, (F.col("_gs_join") == F.col("_gs_live")) & (F.col("_gs_until") > moment),
+            "left_anti").drop("_gs_join")
+    fresh = validate_routed(missed.withColumn("request_type", F.col("analysis_type")), **options)
+    columns = [*kept, "cache_key", "request_type", *RESULT_FIELDS]
+    fresh = fresh.select(
+        *columns, F.when(F.col("request_type").isNotNull(), F.lit(False)).alias("cache_hit"),
+        F.lit(None).cast("bigint").alias("cached_at"), F.lit(None).cast("string").alias("analysis_type"))
+    if cache is None:
+        return fresh
+    entry = cache.select("cache_key", F.struct("result", "cached_at", "expires_at").alias("_gs_e"))
+    hits = (keyed.drop("content").withColumnRenamed("analysis_type", "request_type")
+            .join(entry, "cache_key").filter(F.col("_gs_e.expires_at") > moment))
+    result = {n: F.col(f"_gs_e.result.{n}").alias(n) for n in RESULT_FIELDS}
+    return fresh.unionByName(hits.select(
+        *[result.get(c, F.col(c)) for c in columns], F.lit(True).alias("cache_hit"),
+        F.col("_gs_e.cached_at").alias("cached_at"), F.col("request_type").alias("analysis_type")))
 
 
 def to_verdict(df: DataFrame, *extra: str) -> DataFrame:
@@ -173,18 +193,21 @@ def to_verdict(df: DataFrame, *extra: str) -> DataFrame:
         for n, t in VERDICT.items()])
 
 
-def analyse_once(requests: DataFrame, **options) -> DataFrame:
+def analyse_once(requests: DataFrame, order: str = "request_id", **options) -> DataFrame:
     """Verdicts of routed requests, analysing equal content of a type and level once.
 
-    Equal content is combined within each task before the shuffle, so a content that
-    makes up a third of the table is sent once per task. Verdicts come back by key, and
-    adaptive execution splits the keys that are hot on the request side. Worth it only
-    where copies are common; otherwise validating every row needs no shuffle at all.
+    The request with the least ``order`` (a fixed-width column) stands for its content. It is chosen
+    by keys and ids alone, a hash aggregation that combines before it shuffles, and picked by a
+    join that deals even a hot content out by id; contents are neither sorted nor aggregated.
+    Verdicts come back by key, and adaptive execution splits the keys that are hot on the request
+    side. Worth it only where copies are common; otherwise validating every row needs no shuffle.
     """
     keyed = with_cache_key(requests)
-    unique = keyed.filter(F.col("cache_key").isNotNull()).groupBy("cache_key").agg(
-        F.first("content").alias("content"),
-        F.first("analysis_type").alias("analysis_type"),
-        F.first("security_level").alias("security_level"))
-    verdicts = validate_routed(unique, **options).select("cache_key", *RESULT_FIELDS)
+    first = keyed.filter(F.col("cache_key").isNotNull()).groupBy(F.col("cache_key").alias("_gs_key")).agg(
+        F.min(order).alias("_gs_first"))
+    stands = (F.col("cache_key") == F.col("_gs_key")) & F.col(order).eqNullSafe(F.col("_gs_first"))
+    once = keyed.select("cache_key", order, "content", "analysis_type", "security_level").join(
+        first.hint("shuffle_hash"), stands, "left_semi")
+    # requests that share an id have their verdict once
+    verdicts = validate_routed(once, **options).select("cache_key", *RESULT_FIELDS).distinct()
     return join_by_key(keyed.drop("content"), verdicts)

@@ -11,8 +11,16 @@ from gatesift import rules
 from gatesift.functions import payload as P
 from gatesift.functions import routing as R
 from gatesift.functions import scoring as S
+from gatesift.functions import text as T
+from gatesift.functions.detectors import scan
 from gatesift.functions.text import has_content_sql
-from gatesift.operators.analyze import Expression, analyze, as_column
+from gatesift.operators.analyze import (
+    Expression,
+    analyze,
+    as_column,
+    text_analysis_sql,
+    text_issues_sql,
+)
 from gatesift.schemas import RESULT_FIELDS
 
 
@@ -66,6 +74,11 @@ def _verdicts(df: DataFrame, content: str, is_file: str, level: Column, *,
                      threshold=threshold, max_bytes=max_bytes, keywords=keywords,
                      output="_gs_analysis")
 
+    return _guarded(staged, kept)
+
+
+def _guarded(staged: DataFrame, kept: list[str]) -> DataFrame:
+    """The result fields of ``_gs_analysis`` under ``_gs_level``, or of what ``_gs_guard`` found."""
     analysed = "_gs_guard IS NULL"
     result = S.verdict_sql("_gs_analysis", "_gs_level")
     guarded = {name: f"CASE WHEN {analysed} THEN {sql} END" for name, sql in result.items()}
@@ -95,6 +108,37 @@ def validate_text(df: DataFrame, text: str = "text",
                      error=error, keywords=keywords)
 
 
+def text_findings(df: DataFrame, text: str = "text", *,
+                  keywords: Sequence[str] = rules.KEYWORDS, output: str = "findings") -> DataFrame:
+    """What a verdict needs to know of each text, in place of the text.
+
+    For verdicts that also take a model's score from another table: the texts are read in one
+    pass, the narrow findings are joined, and :func:`decide` makes the verdicts.
+    """
+    found, names = scan(df.withColumn("_gs_filled", F.expr(has_content_sql(text))), text, "false", keywords)
+    return found.select(*[c for c in df.columns if c != text], F.struct(
+        F.col("_gs_filled").alias("has_content"), F.col(names.injection).alias("injection"),
+        F.col(names.keyword).alias("keyword")).alias(output))
+
+
+def decide(df: DataFrame, level: str | Column = rules.DEFAULT_LEVEL, *,
+           llm_score: Expression | None = None, blocked: Expression | None = None,
+           error: Expression | None = None, findings: str = "findings") -> DataFrame:
+    """Verdicts from :func:`text_findings`, the same as :func:`validate_text` gives for the texts."""
+    kept = [c for c in df.columns if c != findings]
+    given = F.lit(None) if error is None else as_column(error)
+    model = F.lit(1.0) if llm_score is None else F.coalesce(as_column(llm_score).cast("double"), F.lit(1.0))
+    flagged = F.lit(False) if blocked is None else F.coalesce(as_column(blocked), F.lit(False))
+    staged = df.withColumns({"_gs_level": _level(level), "_gs_error": given.cast("string"),
+                             "_gs_model": model, "_gs_blocked": flagged})
+    staged = staged.selectExpr(
+        "*", f"{text_issues_sql(f'{findings}.injection', f'{findings}.keyword', '_gs_blocked')} AS _gs_issues",
+        "CASE WHEN _gs_error IS NOT NULL THEN 'validation_error' "
+        f"WHEN NOT {findings}.has_content THEN 'empty_input' END AS _gs_guard")
+    staged = staged.selectExpr("*", f"{text_analysis_sql('_gs_issues', '_gs_model', '_gs_blocked')} AS _gs_analysis")
+    return _guarded(staged, kept)
+
+
 def validate_file(df: DataFrame, file: str = "file",
                   level: str | Column = rules.DEFAULT_LEVEL, **options) -> DataFrame:
     """Add a verdict for each base64 payload.
@@ -143,6 +187,22 @@ def validate_requests(df: DataFrame, policy: str = "service",
     return validate_routed(route_requests(df, policy, default_level), **options)
 
 
+def risk_findings(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rule issues of each text, ``risk_issues``, in place of the text."""
+    issues = S.risk_parts_sql(text, "''", "0.0D")["risk_issues"]
+    return T.barrier(df, [c for c in df.columns if c != text], {"risk_issues": issues})
+
+
+def risk_verdicts(df: DataFrame, level: Column, toxicity: Expression,
+                  threshold: float = rules.RISK_THRESHOLD) -> DataFrame:
+    """Add the verdict of the rule-density risk score to :func:`risk_findings`."""
+    staged = df.withColumns({"_gs_level": level, "_gs_toxic": as_column(toxicity)})
+    model = S.risk_model_sql("_gs_level", "_gs_toxic")
+    staged = staged.selectExpr("*", f"{model} AS risk_model", f"{S.risk_rule_sql('risk_issues')} AS _gs_rule")
+    verdict = S.risk_verdict_sql("risk_issues", "_gs_rule", "risk_model", "_gs_level", threshold)
+    return staged.select(*df.columns, *[F.expr(sql).alias(name) for name, sql in verdict.items()])
+
+
 def risk_scores(df: DataFrame, text: str, level: Column, toxicity: Expression,
                 threshold: float = rules.RISK_THRESHOLD) -> DataFrame:
     """Add the verdict of the rule-density risk score."""

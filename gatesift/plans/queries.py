@@ -23,6 +23,7 @@ from gatesift.operators import stats as ST
 from gatesift.operators import validate as V
 from gatesift.plans import inputs as I
 from gatesift.session import shared_dir
+from gatesift.sources.cache_store import read_cache, write_cache
 from gatesift.sources.dictionaries import keywords_table
 from gatesift.sources.pages import analyze_pages
 from gatesift.streaming import validation as SV
@@ -38,6 +39,10 @@ def query(name: str):
     return register
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def joined(issues: str | Column) -> Column:
     return F.array_join(issues, ", ")
 
@@ -306,18 +311,16 @@ def validate_requests_fixed_level(spark, sf):
 
 # ----------------------------------------------------------- model verdicts
 
-def _labelled(spark, sf) -> DataFrame:
-    return I.corpus(spark, sf).join(
-        I.table(spark, sf, "labels").select("doc_id", "toxic", "quality"), "doc_id", "left")
+def _with_labels(df: DataFrame, spark, sf) -> DataFrame:
+    return df.join(I.table(spark, sf, "labels").select("doc_id", "toxic", "quality"), "doc_id", "left")
 
 
 @query("model_verdict_join")
 def model_verdict_join(spark, sf):
     labels = I.table(spark, sf, "labels").select(
         "doc_id", (F.col("toxic") == 1).alias("blocked"))
-    scored = MV.with_model_verdicts(I.corpus(spark, sf), labels, "doc_id")
-    verdicts = V.validate_text(scored, level=I.level_of(F.col("doc_id")), blocked="blocked",
-                               llm_score=F.col("llm_score"))
+    verdicts = MV.decide_with_verdicts(V.text_findings(I.corpus(spark, sf)), labels, "doc_id",
+                                       level=I.level_of(F.col("doc_id")))
     return shown(verdicts, "doc_id")
 
 
@@ -328,8 +331,7 @@ def model_scorer(spark, sf):
         vowels = F.length(F.regexp_replace("text", "[^aeiou]", ""))
         return texts.select("doc_id", F.round(1 - vowels / F.length("text"), 1)
                             .alias("llm_score"))
-    scored = MV.with_scorer(I.corpus(spark, sf), scorer, "doc_id")
-    verdicts = V.validate_text(scored, llm_score="llm_score")
+    verdicts = MV.decide_with_scorer(I.corpus(spark, sf), scorer, "doc_id")
     return verdicts.select("doc_id", "status", "reason",
                            F.round("overall_score", 6).alias("overall_score"))
 
@@ -337,8 +339,8 @@ def model_scorer(spark, sf):
 @query("weighted_overall")
 def weighted_overall(spark, sf):
     score = F.when(F.col("quality") == 0, F.lit(0.75)).when(F.col("quality") == 1, F.lit(0.95))
-    verdicts = V.validate_text(_labelled(spark, sf), level=I.level_of(F.col("doc_id")),
-                               llm_score=score)
+    labelled = _with_labels(V.text_findings(I.corpus(spark, sf)), spark, sf)
+    verdicts = V.decide(labelled, I.level_of(F.col("doc_id")), llm_score=score)
     return verdicts.select("doc_id", "status", "reason", F.round("llm_score", 6)
                            .alias("llm_score"), F.round("overall_score", 6)
                            .alias("overall_score"))
@@ -346,8 +348,8 @@ def weighted_overall(spark, sf):
 
 @query("risk_score_legacy")
 def risk_score_legacy(spark, sf):
-    scored = V.risk_scores(_labelled(spark, sf), "text", I.level_of(F.col("doc_id")),
-                           "cast(toxic AS double)")
+    labelled = _with_labels(V.risk_findings(I.corpus(spark, sf)), spark, sf)
+    scored = V.risk_verdicts(labelled, I.level_of(F.col("doc_id")), "cast(toxic AS double)")
     return scored.select("doc_id", "status", "reason",
                          *[F.round(c, 6).alias(c)
                            for c in ("rule_score", "llm_score", "overall_score")])
@@ -366,7 +368,10 @@ def _document_cache(spark, sf, labelled_only: bool = False) -> DataFrame:
     if labelled_only:
         labelled = I.table(spark, sf, "labels").select(F.col("doc_id").alias("request_id"))
         requests = requests.join(labelled, "request_id", "left_semi")
-    return C.cache_entries(V.validate_routed(C.with_cache_key(requests)), F.col("ts"))
+    entries = C.cache_entries(V.validate_routed(C.with_cache_key(requests)), F.col("ts"))
+    path = _folder(spark, "cache")
+    write_cache(entries, path)
+    return read_cache(spark, path)
 
 
 @query("cache_keys")
@@ -604,10 +609,6 @@ def issue_by_lang(spark, sf):
 
 # --------------------------------------------------------------- streaming
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     schema = I.table(spark, sf, name).schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")

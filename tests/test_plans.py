@@ -1,9 +1,13 @@
 """The plans are the ones that scale: checked on the physical plan."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import TESTDATA
 from gatesift.operators import cache as C
+from gatesift.operators import model as MV
 from gatesift.operators import sessions as W
 from gatesift.operators import stats as ST
 from gatesift.operators import validate as V
@@ -38,12 +42,59 @@ def test_filter_on_verdict_scans_the_text_once(spark):
         V.validate_text(documents(spark))).count("Contains(_gs_lower#")
 
 
-def test_text_is_combined_before_the_shuffle(spark):
-    requests = documents(spark).select(
+def requests(spark):
+    return documents(spark).select(
         F.col("doc_id").alias("request_id"), F.lit("text").alias("analysis_type"),
-        F.lit("high").alias("security_level"), F.col("text").alias("content"))
-    text = plan(C.analyse_once(requests))
-    assert "partial_first(content" in text
+        F.lit("high").alias("security_level"), F.col("text").alias("content"),
+        F.timestamp_seconds(F.col("doc_id")).alias("ts"))
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as they are planned for large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def operators(df, name):
+    """The input columns of each physical operator of a name, in the planned (not yet run) query."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = df._jdf.queryExecution().explainString(mode)
+    return re.findall(rf"\n\(\d+\) {name}[^\n]*\nInput \[\d+\]: (.*)", text)
+
+
+def test_winners_are_chosen_without_sorting_or_aggregating_texts(spark, tmp_path, no_broadcast):
+    write_cache(entries(spark, ["a"]), str(tmp_path / "c"))
+    cache = read_cache(spark, str(tmp_path / "c"))
+    for df in (C.analyse_once(requests(spark)), C.latest_entries(cache),
+               C.upsert(cache, cache.limit(1))):
+        assert not operators(df, "SortAggregate") and operators(df, "HashAggregate")
+        for columns in operators(df, "Sort"):
+            assert "content#" not in columns and "text#" not in columns
+
+
+def test_hits_carry_no_content(spark, tmp_path):
+    write_cache(entries(spark, ["a"]), str(tmp_path / "c"))
+    cache = read_cache(spark, str(tmp_path / "c"))
+    df = C.validate_with_cache(requests(spark), C.latest_entries(cache))
+    assert not operators(df, "SortAggregate")
+    assert not any("text#" in c or "content#" in c for c in operators(df, "Exchange"))
+
+
+def test_model_verdicts_meet_findings_not_texts(spark, no_broadcast):
+    docs = documents(spark).select("doc_id", "text")
+    labels = spark.read.parquet(f"{TESTDATA}/labels.parquet").select("doc_id", "toxic")
+    known = labels.select("doc_id", (F.col("toxic") == 1).alias("blocked"))
+    scorer = lambda texts: texts.select("doc_id", (1 / F.length("text")).alias("llm_score"))
+    risky = V.risk_findings(docs).join(labels, "doc_id", "left")
+    for df in (MV.decide_with_verdicts(V.text_findings(docs), known, "doc_id"),
+               MV.decide_with_scorer(docs, scorer, "doc_id"),
+               V.risk_verdicts(risky, F.lit("high"), "cast(toxic AS double)")):
+        moved = operators(df, "Exchange")
+        assert moved and not any("text#" in columns for columns in moved)
+        text = plan(df)
+        assert text.count("FileScan") == 2
 
 
 def test_first_sightings_and_sessions_rank_nothing_by_row(spark):

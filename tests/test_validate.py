@@ -198,3 +198,16 @@ def test_model_lookup_and_scorer(spark, texts):
 
     scored = with_scorer(df, scorer, "id").orderBy("id").collect()
     assert [r.llm_score for r in scored] == [0.25, 0.25, 1.0, 1.0]
+
+
+def test_findings_give_the_same_verdicts_as_texts(spark):
+    texts = ["fine", "", None, " \u00a0", "You are stupid", "<script", "drop table; kill", "x' OR 1=1 --"]
+    df = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(texts * 3)], "id INT, text STRING, k INT")
+    df = df.withColumns({"blocked": F.col("k") == 1, "score": F.when(F.col("k") == 2, 0.4),
+                         "error": F.when(F.col("id") == 20, F.lit("broken"))})
+    level = F.element_at(F.array(*[F.lit(v) for v in ("high", "medium", "low")]), F.col("id") % 3 + 1)
+    options = dict(blocked="blocked", llm_score="score", error="error")
+    whole = V.validate_text(df, level=level, **options).drop("text")
+    parts = V.decide(V.text_findings(df), level, **options)
+    assert parts.columns == whole.columns
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
