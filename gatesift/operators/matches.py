@@ -72,3 +72,49 @@ def keyword_table_matches(df: DataFrame, keywords: DataFrame, text: str = "text"
     found = cut.selectExpr(
         *kept, f"explode(array_distinct(concat({', '.join(windows or [T.NO_STRINGS])}))) AS _gs_window")
     return found.join(entries, "_gs_window").select(*kept, F.col("_gs_window").alias("keyword"))
+
+
+_FRAGMENT = 3        # characters that a pattern and a text with it share at least
+_STRETCH = 65_536    # characters cut into fragments at a time
+
+
+def _fragments_sql(text: str, n: int) -> str:
+    """The different runs of n characters of a text, cut stretch by stretch."""
+    found = (f"regexp_extract_all(substring({text}, i * {_STRETCH} + 1, {_STRETCH + n - 1}), "
+             f"'(?s)(?=(.{{{n}}}))', 1)")
+    stretches = f"sequence(0, cast(greatest(length({text}) - 1, 0) / {_STRETCH} AS int))"
+    return f"array_distinct(flatten(transform({stretches}, i -> array_distinct({found}))))"
+
+
+def rule_table_matches(df: DataFrame, rule_table: DataFrame, text: str = "text",
+                       profile: str = "text") -> DataFrame:
+    """The same as :func:`rule_matches` for rules that are a table of any length.
+
+    ``rule_table`` has ``family``, ``position``, ``pattern`` and ``case_sensitive``; see
+    :func:`gatesift.sources.dictionaries.rules_table`. A text that contains a pattern has each of its
+    fragments of three characters, so patterns are found by one of them, the one with most
+    punctuation: the different fragments of a text are joined with those of the table, and what
+    meets is searched for in the text. How many different fragments a table has is bounded by its
+    alphabet, not its length. The driver gets which fragment lengths (patterns may be shorter) and
+    cases there are. Patterns are lower-case unless case matters; null and empty ones match nothing.
+    """
+    kept = [c for c in df.columns if c != text]
+    length = f"least(length(pattern), {_FRAGMENT})"
+    parts = f"transform(sequence(1, length(pattern) - {length} + 1), i -> substring(pattern, i, {length}))"
+    marks = f"transform({parts}, p -> struct(length(regexp_replace(p, '[\\\\p{{L}}\\\\p{{N}}_ ]', '')) AS n, p AS p))"
+    entries = rule_table.filter("pattern <> ''").selectExpr(
+        "family", "position", "pattern", "coalesce(case_sensitive, false) AS _gs_raw",
+        f"array_max({marks}).p AS _gs_fragment")
+    kinds = entries.selectExpr("length(_gs_fragment) AS n", "_gs_raw").distinct().collect()
+    folded = df.select(*kept, F.col(text).alias("_gs_text"), F.expr(T.fold_sql(text, profile)).alias("_gs_lower"))
+    lists = [f"transform({_fragments_sql('_gs_text' if kind._gs_raw else '_gs_lower', kind.n)}, "
+             f"f -> struct(f AS f, {str(kind._gs_raw).lower()} AS r))" for kind in kinds]
+    if not lists:  # no rules
+        return df.filter("false").select(*kept, *[
+            F.lit(None).cast(rule_table.schema[c].dataType).alias(c) for c in ("family", "position", "pattern")])
+    cut = folded.selectExpr(*kept, "_gs_text", "_gs_lower", f"inline(concat({', '.join(lists)})) AS (_gs_f, _gs_r)")
+    wanted = entries.select(F.col("_gs_fragment").alias("_gs_f"), F.col("_gs_raw").alias("_gs_r")).distinct()
+    meets = (F.col("_gs_f") == F.col("_gs_fragment")) & (F.col("_gs_r") == F.col("_gs_raw"))
+    return (cut.join(wanted, ["_gs_f", "_gs_r"], "left_semi").join(entries, meets)
+            .filter("contains(CASE WHEN _gs_raw THEN _gs_text ELSE _gs_lower END, pattern)")
+            .select(*kept, "family", "position", "pattern"))

@@ -21,7 +21,7 @@ from gatesift.operators.analyze import (
     text_analysis_sql,
     text_issues_sql,
 )
-from gatesift.schemas import RESULT_FIELDS
+from gatesift.schemas import CORRUPT, RESULT_FIELDS
 
 
 def _level(level: str | Column) -> Column:
@@ -155,7 +155,8 @@ def route_requests(df: DataFrame, policy: str = "service",
                    default_level: str = rules.DEFAULT_LEVEL) -> DataFrame:
     """Add ``security_level``, ``request_error``, ``analysis_type`` and ``content``.
 
-    Rejected requests stay in as rows with a ``request_error``.
+    Rejected requests stay in as rows with a ``request_error``, those among them that were no
+    request at all (:func:`gatesift.sources.requests.read_requests`) with the line as it came.
     """
     if policy == "service":
         checks = R.service_sql("text", "file", "security_level", default_level)
@@ -163,6 +164,11 @@ def route_requests(df: DataFrame, policy: str = "service",
         checks = R.gateway_sql("text", "file", "security_level")
     else:
         raise ValueError(f"unknown policy {policy!r}")
+    if CORRUPT in df.columns:
+        malformed = f"{CORRUPT} IS NOT NULL"
+        checks = {"security_level": f"CASE WHEN NOT ({malformed}) THEN {checks['security_level']} END",
+                  "request_error": f"CASE WHEN {malformed} THEN {T.quote(rules.MALFORMED_ERROR)} "
+                                   f"ELSE {checks['request_error']} END"}
     checked = df.withColumns({name: F.expr(sql) for name, sql in checks.items()})
     routed = R.content_sql("text", "file", "request_error")
     return checked.withColumns({name: F.expr(sql) for name, sql in routed.items()})

@@ -45,6 +45,9 @@ SHARED_TEXT_EVENTS = ["view", "click"]
 
 # Payload i goes to the documents whose id leaves this remainder; the rest stay as is.
 PROBE_STRIDE = 97
+# Of the lines of requests, which are broken; and how many documents make up a file.
+BROKEN_STRIDE = 11
+BUNDLE = 5
 LEVEL_CYCLE = ["high", "medium", "low"]
 
 
@@ -126,6 +129,29 @@ def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("security_level"))
 
 
+def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed requests as lines of JSON, some of them broken off or with a wrong kind of field."""
+    requests = mixed_requests(spark, sf_dir)
+    fields = F.to_json(F.struct("request_id", "text", "file", "security_level"))
+    number = F.col("request_id").cast("string")
+    case = F.col("request_id") % BROKEN_STRIDE
+    return requests.select(
+        F.when(case == 0, F.concat(F.lit('{"request_id":'), number, F.lit(',"text":"')))
+         .when(case == 1, F.concat(F.lit('{"request_id":"no '), number, F.lit('","text":"x"}')))
+         .otherwise(fields).alias("value"))
+
+
+def document_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Files of a few documents each, a line a document, in a folder ``bundle=<number>``; some PDFs."""
+    bundle = F.floor(F.col("doc_id") / BUNDLE)
+    pdf = (F.col("doc_id") % BUNDLE == 0) & (bundle % 3 == 0)
+    lines = corpus(spark, sf_dir).select(
+        "doc_id", bundle.alias("bundle"),
+        F.when(pdf, F.concat(F.lit("%PDF-1.4 "), F.col("text"))).otherwise(F.col("text")).alias("value"))
+    (lines.repartition("bundle").sortWithinPartitions("bundle", "doc_id").select("bundle", "value")
+     .write.partitionBy("bundle").text(path))
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as routed requests: purchases send files, all else texts.
 

@@ -254,6 +254,7 @@ SQL["rule_matches_long"] = (
     f"WITH {CORPUS}, {rules_values('text')} SELECT doc_id, family, position, pattern "
     "FROM (SELECT doc_id, text, lower(text) AS lo FROM corpus) JOIN rule "
     "ON contains(CASE WHEN raw THEN text ELSE lo END, pattern)")
+SQL["rule_table_matches"] = SQL["rule_matches_long"]
 SQL["rule_matches_pages"] = (
     f"WITH {rules_values('file')} SELECT family, pattern, count(*) AS n_pages "
     "FROM (SELECT page_id, html, lower(html) AS lo FROM pages) JOIN rule "
@@ -347,6 +348,25 @@ SELECT doc_id, {_FILE_STATUS} AS status, {_FILE_REASON} AS reason,
          ELSE {q(rules.PDF_UNSAFE_SUMMARY)} END
        WHEN 'text' THEN CASE WHEN conf >= 0.8::DOUBLE THEN {q(rules.FILE_TEXT_SAFE_SUMMARY)}
          ELSE {q(rules.FILE_TEXT_UNSAFE_SUMMARY)} END END AS analysis_summary FROM pen""")
+_BUNDLES = f"""bundles AS (SELECT doc_id // {I.BUNDLE} AS bundle,
+    string_agg(CASE WHEN doc_id % {I.BUNDLE} = 0 AND doc_id // {I.BUNDLE} % 3 = 0 THEN '%PDF-1.4 ' || text
+      ELSE text END || chr(10), '' ORDER BY doc_id) AS text FROM corpus GROUP BY 1)"""
+
+
+def _file_row(text: str, unavailable: str, missing: str) -> str:
+    return (f"CASE WHEN bundle % 10 = 9 THEN {unavailable} WHEN bundle < 0 THEN {missing} ELSE {text} END")
+
+
+SQL["file_source_analysis"] = (
+    f"WITH {CORPUS}, {_BUNDLES}, {_file_found('bundles', profile_ids='bundle')}, "
+    "every AS (SELECT bundle, conf, issues FROM scored "
+    "UNION ALL SELECT -1 - bundle, 0.0::DOUBLE, NULL FROM scored WHERE bundle % 7 = 2) SELECT bundle, "
+    f"{_file_row('conf >= 0.8::DOUBLE', 'false', 'false')} AS is_safe, "
+    f"{_file_row('conf', '0.0::DOUBLE', '0.0::DOUBLE')} AS confidence_score, "
+    f"{_file_row(comma('issues'), q(rules.FILE_UNAVAILABLE_ISSUE), q(rules.FILE_ERROR_ISSUE))} AS issues, "
+    + _file_row(f"CASE WHEN conf >= 0.8::DOUBLE THEN {q(rules.FILE_TEXT_SAFE_SUMMARY)} "
+                f"ELSE {q(rules.FILE_TEXT_UNSAFE_SUMMARY)} END", q(rules.FILE_UNAVAILABLE_SUMMARY),
+                f"{q(rules.FILE_MISSING_ERROR)} || bundle") + " AS analysis_summary FROM every")
 SQL["file_type_census"] = (
     f"WITH {PAYLOADS} SELECT kind, count(*) AS n_files FROM decoded GROUP BY kind")
 _BYTES = ("CASE WHEN doc_id % 9 = 4 THEN 0 WHEN doc_id % 9 = 6 "
@@ -381,6 +401,18 @@ _SERVICE = _routed("CASE WHEN coalesce(security_level, '') = '' THEN 'high' ELSE
     f"WHEN {_T} AND {_F} THEN {q(rules.AMBIGUOUS_ERROR)} "
     f"WHEN NOT {_T} AND NOT {_F} THEN {q(rules.MISSING_ERROR)} END"))
 SQL["route_requests"] = f"WITH {_SERVICE} {_ROUTED_SELECT}"
+# a broken line has no fields; one with a field of another kind keeps the others
+_LINE = f"""CASE request_id % {I.BROKEN_STRIDE}
+  WHEN 0 THEN '{{"request_id":' || request_id || ',"text":"'
+  WHEN 1 THEN '{{"request_id":"no ' || request_id || '","text":"x"}}' END"""
+SQL["read_json_requests"] = (
+    f"WITH {_SERVICE}, r AS ({_ROUTED_SELECT}), l AS (SELECT *, {_LINE} AS line FROM r) "
+    "SELECT CASE WHEN line IS NULL THEN request_id END AS request_id, "
+    "CASE WHEN line IS NULL THEN security_level END AS security_level, "
+    f"CASE WHEN line IS NULL THEN request_error ELSE {q(rules.MALFORMED_ERROR)} END AS request_error, "
+    "CASE WHEN line IS NULL THEN analysis_type END AS analysis_type, "
+    "CASE WHEN line IS NULL THEN content_hash ELSE sha256(line) END AS content_hash FROM l")
+SQL["stream_json_requests"] = SQL["read_json_requests"]
 SQL["gateway_requests"] = "WITH " + _routed("coalesce(security_level, 'high')", (
     f"CASE WHEN NOT {_T} AND NOT {_F} THEN {q(rules.MISSING_ERROR)} "
     f"WHEN NOT lv {_KNOWN} THEN {q(rules.GATEWAY_LEVEL_ERROR)} END")) + " " + _ROUTED_SELECT
@@ -418,6 +450,9 @@ def _mixed_verdicts(level: str) -> str:
 SQL["validate_requests"] = (
     f"WITH {_mixed_verdicts('lv')} SELECT request_id, request_error, analysis_type, "
     f"security_level, {TEXT_COLUMNS} FROM v")
+SQL["verdict_sink"] = (
+    f"WITH {_mixed_verdicts('lv')} SELECT request_id, CAST(request_id % 2 AS VARCHAR) AS batch, "
+    "status, reason, overall_score FROM v WHERE status = 'unsafe'")
 SQL["validate_requests_fixed_level"] = (
     f"WITH {_mixed_verdicts(q('high'))} SELECT security_level, status, llm_score, "
     "count(*) AS n_requests FROM v GROUP BY security_level, status, llm_score")

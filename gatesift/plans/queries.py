@@ -22,10 +22,13 @@ from gatesift.operators import sessions as W
 from gatesift.operators import stats as ST
 from gatesift.operators import validate as V
 from gatesift.plans import inputs as I
+from gatesift.schemas import CORRUPT
 from gatesift.session import shared_dir
 from gatesift.sources.cache_store import read_cache, write_cache
-from gatesift.sources.dictionaries import keywords_table
+from gatesift.sources.dictionaries import keywords_table, rules_table
+from gatesift.sources.files import analyze_files, read_listed_files
 from gatesift.sources.pages import analyze_pages
+from gatesift.sources.requests import read_requests, read_verdicts, stream_requests, write_verdicts
 from gatesift.streaming import validation as SV
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +168,11 @@ def rule_matches_pages(spark, sf):
             .agg(F.count("*").alias("n_pages"))
 
 
+@query("rule_table_matches")
+def rule_table_matches(spark, sf):
+    return M.rule_table_matches(I.corpus(spark, sf).select("doc_id", "text"), rules_table(spark))
+
+
 @query("keyword_matches")
 def keyword_matches(spark, sf):
     return M.keyword_matches(I.corpus(spark, sf).select("doc_id", "text"))
@@ -225,9 +233,8 @@ def paged_document_verdict(spark, sf):
         "conv_id", "turn", "text", (F.col("conv_id") % 4 == 0).alias("has_embedded_files"))
     docs = analyze_pages(pages, "conv_id", "turn")
     verdict = S.verdict_columns("analysis", "'high'")
-    return _analysis(docs, "conv_id", "n_pages").join(
-        docs.select("conv_id", verdict["status"].alias("status"),
-                    verdict["overall_score"].alias("overall_score")), "conv_id")
+    docs = docs.withColumns({n: verdict[n] for n in ("status", "overall_score")})
+    return _analysis(docs, "conv_id", "n_pages", "status", "overall_score")
 
 
 # ------------------------------------------------------------------- files
@@ -250,6 +257,18 @@ def extracted_pdf_verdict(spark, sf):
     return verdicts.select("doc_id", "status", "reason", "overall_score", "analysis_summary")
 
 
+@query("file_source_analysis")
+def file_source_analysis(spark, sf):
+    folder = _folder(spark, "files")
+    I.document_files(spark, sf, folder)
+    # every file is listed, and of every seventh another one that nobody wrote
+    bundles = I.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / I.BUNDLE).alias("bundle"))
+    missing = bundles.filter("bundle % 7 = 2").select((-1 - F.col("bundle")).alias("bundle"))
+    number = F.regexp_extract("path", "bundle=([0-9]+)", 1)
+    found = read_listed_files(spark, folder, bundles.union(missing), number)
+    return _analysis(analyze_files(found, error="error", available=F.col("bundle") % 10 != 9), "bundle")
+
+
 @query("file_type_census")
 def file_type_census(spark, sf):
     data = P.with_decoded_base64(I.document_payloads(spark, sf), "file", "data")
@@ -283,6 +302,38 @@ def route_requests(spark, sf):
     return _routed(V.route_requests(I.mixed_requests(spark, sf)))
 
 
+def _read_routed(requests: DataFrame) -> DataFrame:
+    """Routed requests; of malformed ones, the line in place of the content."""
+    routed = V.route_requests(requests)
+    return _routed(routed.withColumn("content", F.coalesce("content", CORRUPT)))
+
+
+@query("read_json_requests")
+def read_json_requests(spark, sf):
+    folder = _folder(spark, "requests")
+    I.request_lines(spark, sf).write.text(folder)
+    return _read_routed(read_requests(spark, folder, "json"))
+
+
+@query("stream_json_requests")
+def stream_json_requests(spark, sf):
+    folder = _folder(spark, "requests")
+    I.request_lines(spark, sf).write.text(f"{folder}/in")
+    SV.run_append(_read_routed(stream_requests(spark, f"{folder}/in", "json")),
+                  f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("verdict_sink")
+def verdict_sink(spark, sf):
+    folder = _folder(spark, "verdicts")
+    verdicts = V.validate_requests(I.mixed_requests(spark, sf))
+    for batch in (0, 1, 0):  # the first again, as after a failure
+        write_verdicts(verdicts.filter(F.col("request_id") % 2 == batch), folder, "request_id", batch=str(batch))
+    back = read_verdicts(spark, folder, "request_id BIGINT").filter("status = 'unsafe'")
+    return back.select("request_id", "batch", "status", "reason", "overall_score")
+
+
 @query("gateway_requests")
 def gateway_requests(spark, sf):
     return _routed(V.route_requests(I.mixed_requests(spark, sf), policy="gateway"))

@@ -157,10 +157,12 @@ PDF_UNSAFE_SUMMARY = (
     "PDF analysis completed. Potential security issues identified in extracted text."
 )
 OVERSIZE_SUMMARY = "Text exceeds maximum allowed size"
+FILE_MISSING_ERROR = "File not found: "
 FILE_UNAVAILABLE_SUMMARY = "C++ module is not available for file analysis."
 
 BAD_LEVEL_ERROR = "Invalid security level. Must be one of: high, medium, low"
 AMBIGUOUS_ERROR = "Provide either 'text' or 'file', not both"
+MALFORMED_ERROR = "Request is not valid JSON"
 MISSING_ERROR = "Either 'text' or 'file' must be provided"
 GATEWAY_LEVEL_ERROR = "security_level must be one of: high, medium, low"
 

@@ -6,6 +6,9 @@ REQUEST = (
     "request_id BIGINT, ts TIMESTAMP, text STRING, file STRING, security_level STRING"
 )
 
+# What a line that is not a request is kept in.
+CORRUPT = "corrupt_request"
+
 # The fields of a verdict, as stored in a cache entry.
 RESULT_FIELDS = {
     "status": "string",

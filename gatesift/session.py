@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Verdicts are joined back on content hashes, and one hash may hold a large part
 # of all rows: adaptive execution splits such partitions at run time.
@@ -49,3 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="gatesift-"))
     return context.getCheckpointDir()
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, lost with no executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,9 @@ from gatesift.operators.analyze import (
     Expression,
     analyze,
     as_column,
+    failed_analysis,
     oversize_analysis_sql,
+    unavailable_analysis,
 )
 
 
@@ -28,17 +30,42 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = rules.MAX_BYTES)
     return small.unionByName(large)
 
 
+def read_listed_files(spark: SparkSession, path: str, listed: DataFrame, key: Column,
+                      max_bytes: int = rules.MAX_BYTES) -> DataFrame:
+    """Files below a folder, and the ones that a table lists but that aren't there.
+
+    ``key`` takes from a ``path`` what ``listed`` (one column) names a file by. Returns that column,
+    ``path``, ``length``, ``content`` and ``error``, which says what is missing: no file stops the
+    others. Which files are there is found by their paths alone; contents are not moved.
+    """
+    name = listed.columns[0]
+    kind = listed.schema[0].dataType
+    files = read_files(spark, path, max_bytes).select(
+        key.cast(kind).alias(name), "path", "length", "content", F.lit(None).cast("string").alias("error"))
+    there = spark.read.format("binaryFile").load(path).select(key.cast(kind).alias(name)).distinct()
+    missing = listed.distinct().join(there, name, "left_anti")
+    error = F.concat(F.lit(rules.FILE_MISSING_ERROR), F.col(name).cast("string"))
+    return files.unionByName(missing.withColumn("error", error), allowMissingColumns=True)
+
+
 def analyze_files(df: DataFrame, content: str = "content", *,
                   pdf_text: Expression | None = None,
                   embedded: Expression | None = None,
                   threshold: float | Column = rules.FILE_THRESHOLD,
+                  error: Expression | None = None, available: Expression | None = None,
                   output: str = "analysis") -> DataFrame:
     """Analyse file bytes: PDFs by their extracted text, everything else as text.
 
     A PDF without extracted text is decoded as text. NULL bytes with a ``length`` are an
-    oversized file.
+    oversized file. What can't be analysed stays in as a row: ``available`` tells where a file
+    analyser is deployed (everywhere, if not given), and a non-NULL ``error`` why a file could not
+    be read; the one issue of such rows is ``file_analysis_unavailable`` or ``file_analysis_error``.
     """
     kept = df.columns
+    given = {"_gs_error": F.lit(None) if error is None else as_column(error),
+             "_gs_available": F.lit(True) if available is None else as_column(available)}
+    df = df.withColumns({"_gs_error": given["_gs_error"].cast("string"),
+                         "_gs_available": F.coalesce(given["_gs_available"], F.lit(True))})
     extracted = F.lit(None) if pdf_text is None else as_column(pdf_text)
     staged = df.withColumn("_gs_pages", F.when(F.expr(P.is_pdf_sql(content)), extracted)
                            .cast("string"))
@@ -51,4 +78,6 @@ def analyze_files(df: DataFrame, content: str = "content", *,
     if "length" in kept:
         result = (f"CASE WHEN {content} IS NULL AND length IS NOT NULL "
                   f"THEN {oversize_analysis_sql(rules.OVERSIZE_SUMMARY)} ELSE {result} END")
-    return analysed.select(*kept, F.expr(result).alias(output))
+    done = F.when(~F.col("_gs_available"), unavailable_analysis()) \
+            .when(F.col("_gs_error").isNotNull(), failed_analysis("_gs_error")).otherwise(F.expr(result))
+    return analysed.select(*kept, done.alias(output))

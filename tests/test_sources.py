@@ -5,7 +5,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gatesift import rules
-from gatesift.operators.matches import keyword_matches, keyword_table_matches
+from gatesift.operators.matches import (
+    keyword_matches,
+    keyword_table_matches,
+    rule_matches,
+    rule_table_matches,
+)
 from gatesift.operators.validate import validate_requests
 from gatesift.schemas import REQUEST
 from gatesift.sources import dictionaries, files, pages
@@ -99,6 +104,77 @@ def test_dictionary_of_any_length(spark):
     assert keyword_table_matches(df, table.limit(0)).isEmpty()
 
 
+def test_rules_as_a_table_of_any_length(spark):
+    table = dictionaries.rules_table(spark)
+    texts = [f"some {p} here" for f in rules.FAMILIES for p in f.patterns] + [
+        "", None, "plain words only", "a" * 70_000 + "<script", "é<ScRiPt" * 3, "`", "\U0001f600{{7*7}}",
+        "x" * 65_534 + "../", "x" * 65_535 + "../"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
+    for profile in ("text", "file"):
+        own = dictionaries.rules_table(spark, profile)
+        got = sorted(map(tuple, rule_table_matches(df, own, profile=profile).collect()))
+        assert got == sorted(map(tuple, rule_matches(df, profile=profile).collect())) and len(got) > 259
+    extra = spark.createDataFrame([("own", i, f"sign{i}", False, "all") for i in range(20_000)]
+                                  + [("own", -1, None, False, "all"), ("own", -2, "", False, "all"),
+                                     ("own", -3, "Zz", True, "all"), ("own", -4, "é", None, "all")],
+                                  table.schema).repartition(3)
+    more = spark.createDataFrame([(1, "SIGN19999 and sign7x"), (2, "Zz zz"), (3, "É")], "id INT, text STRING")
+    got = {(r.id, r.pattern) for r in rule_table_matches(more, table.union(extra)).collect()}
+    assert got == {(1, p) for p in ("sign19999", "sign1999", "sign199", "sign19", "sign1", "sign7")} | {
+        (2, "Zz"), (3, "é")}
+    assert rule_table_matches(df, table.limit(0)).isEmpty()
+
+
+def test_listed_files_that_are_missing_or_not_analysed(spark, tmp_path):
+    for name, data in {"a": b"mail a@b.co", "b": b"%PDF fine", "c": b"z" * 50}.items():
+        (tmp_path / name).write_bytes(data)
+    listed = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("d",), ("e",)], "name STRING")
+    found = files.read_listed_files(spark, str(tmp_path), listed, F.regexp_extract("path", "([^/]+)$", 1), 40)
+    rows = files.analyze_files(found, error="error", available=F.col("name") != "e").collect()
+    got = {r.name: (r.analysis.is_safe, r.analysis.detected_issues, r.analysis.analysis_summary) for r in rows}
+    assert len(rows) == 5 and got["a"][1] == [rules.PII_ISSUE, rules.EMAIL_ISSUE]
+    assert got["b"][0] and got["c"][1] == [rules.OVERSIZE_ISSUE]
+    assert got["d"] == (False, [rules.FILE_ERROR_ISSUE], rules.FILE_MISSING_ERROR + "d")
+    assert got["e"] == (False, [rules.FILE_UNAVAILABLE_ISSUE], rules.FILE_UNAVAILABLE_SUMMARY)
+
+
+def test_very_many_empty_pages_are_not_collected(spark):
+    df = spark.range(20_000).selectExpr("1 AS doc_id", "cast(id AS int) AS page_no", "if(id = 77, 'x', '') AS text")
+    none = spark.createDataFrame([(2, 1, ""), (3, 1, None), (None, 2, "b"), (None, 1, "a")],
+                                 "doc_id INT, page_no INT, text STRING")
+    docs = pages.assemble_pages(df.unionByName(none), embedded=None)
+    assert {r.doc_id: (r.text, r.n_pages) for r in docs.collect()} == {
+        1: ("x", 20_000), 2: ("", 1), 3: (None, 1), None: ("ab", 2)}
+    assert "length(text" in docs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_malformed_requests_stay_as_rows(spark, tmp_path):
+    lines = ['{"request_id": 1, "text": "Hello"}', '{"request_id": 2, "te', "not json", '{"request_id": "x"}',
+             '{"request_id": 5, "text": "a", "other": 1}', "", "{}"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/requests.json").write_text("\n".join(lines))
+    rows = validate_requests(R.read_requests(spark, str(tmp_path / "in"), "json")).collect()
+    got = sorted((r.request_id or 0, r.request_error or r.status, r.corrupt_request or "") for r in rows)
+    assert got == sorted([(1, "safe", ""), (5, "safe", ""), (0, rules.MISSING_ERROR, ""),
+                          *((0, rules.MALFORMED_ERROR, x) for x in lines[1:4])])
+
+
+def test_a_batch_written_again_replaces_all_of_it(spark, tmp_path):
+    def verdicts(*statuses):
+        df = spark.createDataFrame([(i, s) for i, s in enumerate(statuses)], "request_id BIGINT, status STRING")
+        return df.withColumn("reason", F.lit("r"))
+
+    path = str(tmp_path / "out")
+    R.write_verdicts(verdicts("safe", "error", "unsafe", None), path, "request_id", batch="1")
+    R.write_verdicts(verdicts("safe"), path, "request_id", batch="2")
+    R.write_verdicts(verdicts("unsafe", "unsafe", None), path, "request_id", batch="1")
+    back = R.read_verdicts(spark, path, "request_id BIGINT")
+    assert sorted((r.batch, str(r.status)) for r in back.collect()) == [
+        ("1", "None"), ("1", "unsafe"), ("1", "unsafe"), ("2", "safe")]
+    plan = back.filter("status = 'unsafe' AND batch = '1'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch" in plan and "status#" in plan.split("PartitionFilters")[1]
+
+
 def test_requests_and_verdicts_round_trip(spark, tmp_path):
     rows = [(1, None, "Hello", None, None), (2, None, "<script", None, "low"),
             (3, None, "x", None, "nope")]
@@ -106,9 +182,9 @@ def test_requests_and_verdicts_round_trip(spark, tmp_path):
     requests = R.read_requests(spark, str(tmp_path / "in"), "json")
     verdicts = validate_requests(requests)
     R.write_verdicts(verdicts.filter("request_error IS NULL"), str(tmp_path / "out"), "request_id")
-    back = R.read_verdicts(spark, str(tmp_path / "out"))
+    back = R.read_verdicts(spark, str(tmp_path / "out"), "request_id BIGINT")
     assert {(r.request_id, r.status) for r in back.collect()} == {(1, "safe"), (2, "unsafe")}
-    assert (tmp_path / "out" / "status=unsafe").exists()
-    assert set(back.columns) == set(to_verdict(verdicts, "request_id").columns)
+    assert (tmp_path / "out" / "batch=all" / "status=unsafe").exists()
+    assert set(back.columns) == {*to_verdict(verdicts, "request_id").columns, "batch"}
     stream = R.stream_requests(spark, str(tmp_path / "in"), "json", 1)
     assert stream.isStreaming and stream.columns == requests.columns
