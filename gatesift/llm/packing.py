@@ -3,8 +3,11 @@
 Bounded-space online best-fit: a packer holds a fixed number of open bins, kept by their free
 space, with a bitset of the free spaces that occur. A piece goes into the bin where it leaves
 the least space; if none can take it, a new bin opens, and if too many are open, the fullest
-closes first. Packers work side by side on random groups of pieces, longest first; a group is
-so small that its open bins, as a rule, need not close before it ends.
+closes first. Pieces come in the order of their hashes.
+
+Packers work side by side on groups of pieces, dealt out by hash. The number of groups follows from
+the size of the texts, so a piece with its ids moves once, to the packer of its group, which also
+writes the sequences: none spans groups.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ from tokenizers import Tokenizer
 from gatesift.llm.common import stored
 
 CAPACITY = 2048
-OPEN_BINS = 2048
+OPEN_BINS = 64
 GROUP_PIECES = 5_000
+TOKEN_BYTES = 4        # of text, on average, for the number of groups only
 SPECIAL = "<|endoftext|>"
 
 
@@ -137,39 +141,42 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY,
 def _pack_group(capacity: int, open_bins: int):
     def run(rows: pa.Table) -> pa.Table:
         group = rows.column("__group")[0].as_py()
-        # longest first; equal lengths are interchangeable
-        rows = rows.take(pc.sort_indices(rows, [("__n", "descending"), ("__item", "ascending")]))
-        bins, offsets = best_fit(rows.column("__n").to_pylist(), capacity, open_bins)
-        return pa.table({"__of": rows.column("__item"),
-                         "__bin": pa.array([(group << 32) + b for b in bins], pa.int64()),
-                         "__at": pa.array(offsets, pa.int64())})
+        # the order of hashes, whatever order the rows came in
+        rows = rows.take(pc.sort_indices(rows, [("__order", "ascending"), ("row_id", "ascending"),
+                                                ("piece", "ascending")]))
+        bins, offsets = best_fit(rows.column("length").to_pylist(), capacity, open_bins)
+        rows = rows.drop_columns(["__group", "__order"])
+        rows = rows.append_column("sequence_id", pa.array([(group << 32) + b for b in bins], pa.int64()))
+        rows = rows.append_column("offset", pa.array(offsets, pa.int64()))
+        return rows.take(pc.sort_indices(rows, [("sequence_id", "ascending"), ("offset", "ascending")]))
     return run
 
 
+def group_count(docs: DataFrame, group_pieces: int = GROUP_PIECES, capacity: int = CAPACITY) -> int:
+    """Groups for the pieces of documents (column text), guessed from the size of their texts."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return max(1, -(-(n + size // (TOKEN_BYTES * capacity)) // group_pieces))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
-         group_pieces: int = GROUP_PIECES) -> DataFrame:
+         group_pieces: int = GROUP_PIECES, groups: int | None = None) -> DataFrame:
     """Put pieces into sequences: adds sequence_id and offset (long).
 
-    ``pieces`` has length (1 to ``capacity``); all its columns stay, and are written to the
-    shared folder first. Each row is an item, equal rows too. Full pieces are sequences of
-    their own. A packer's memory is that of its group, ``group_pieces`` on average, whatever
-    the number of rows; each group wastes about half a sequence at its end. An empty table
-    stays empty; columns named like the new ones are replaced.
+    ``pieces`` has row_id, piece and length (1 to ``capacity``); all its columns stay. Each row is an
+    item, equal rows too. A packer holds its group, ``group_pieces`` on average, whatever the number
+    of rows; each group wastes about half of its open bins' space at its end. ``groups`` is how many
+    there are; without it the pieces are counted, which makes them twice. A partition of the result
+    holds whole sequences, one after another in order of offset. An empty table stays empty; columns
+    named like the new ones are replaced.
     """
-    # row ids of a written table: the same whenever a task is run again
-    numbered = (stored(pieces.drop("sequence_id", "offset"), "pieces")
-                .withColumn("__item", F.monotonically_increasing_id()))
-    items = numbered.where(F.col("length") < capacity).select("__item", F.col("length").alias("__n"))
-    groups = max(1, -(-items.count() // group_pieces))
-    packed = (items.withColumn("__group", F.pmod(F.xxhash64("__item"), F.lit(groups)).cast("long"))
-              .groupBy("__group").applyInArrow(_pack_group(capacity, open_bins),
-                                               "__of long, __bin long, __at long"))
-    # even numbers: full pieces; odd numbers: packed bins
-    sequence = F.coalesce(F.col("__bin") * 2 + 1, F.col("__item") * 2)
-    # the placement is narrow: hashing it leaves the pieces unsorted
-    return (numbered.join(packed.hint("shuffle_hash"), F.col("__item") == F.col("__of"), "left")
-            .select(*[c for c in numbered.columns if c != "__item"],
-                    sequence.alias("sequence_id"), F.coalesce("__at", F.lit(0)).alias("offset")))
+    pieces = pieces.drop("sequence_id", "offset")
+    if groups is None:
+        groups = max(1, -(-pieces.count() // group_pieces))
+    order = F.xxhash64("row_id", "piece")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()),
+                           T.StructField("offset", T.LongType())])
+    return (pieces.withColumns({"__group": F.pmod(order, F.lit(groups)).cast("long"), "__order": order})
+            .groupBy("__group").applyInArrow(_pack_group(capacity, open_bins), schema))
 
 
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,14 +198,13 @@ def _as_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, "ids", pa.array(own, pa.list_(pa.int32())))
 
 
-def packed_sequences(pieces: DataFrame) -> DataFrame:
+def packed_sequences(pieces: DataFrame, groups: int | None = None) -> DataFrame:
     """The sequences as a written table: all pieces of one in one file, in order of offset.
 
     ``pieces`` as of :func:`tokenise`, with ids; these move as bytes. See :func:`pack` for the
-    columns.
+    columns and ``groups``.
     """
     ids = T.StructField("ids", T.BinaryType())
-    placed = (pack(pieces.mapInArrow(_as_bytes, T.StructType([*pieces.schema.fields[:-1], ids])))
-              .repartition("sequence_id").sortWithinPartitions("sequence_id", "offset"))
+    placed = pack(pieces.mapInArrow(_as_bytes, T.StructType([*pieces.schema.fields[:-1], ids])), groups=groups)
     schema = T.StructType([pieces.schema["ids"] if f.name == "ids" else f for f in placed.schema.fields])
     return stored(placed.mapInArrow(_as_ids, schema), "sequences")

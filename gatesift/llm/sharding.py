@@ -1,9 +1,14 @@
 """Sharding by a two-pass external shuffle.
 
 Pass 1 scatters the records uniformly into buckets that fit in memory, by a seeded hash of
-the record's own values and, of equal ones, their number. Pass 2 puts each bucket into a canonical order and shuffles it by a
-seeded Fisher-Yates permutation. The buckets one after another are a random order of all
-records; shards are its even cuts, so their row counts differ by one at most.
+the record's own values and, of equal ones, their number. Pass 2 puts each bucket into a canonical
+order, shuffles it by a seeded Fisher-Yates permutation and writes it. The buckets one after
+another are a random order of all records; shards are its even cuts, so their row counts differ by
+one at most.
+
+How many rows buckets have is counted before, from hashes alone, so a bucket's task knows the
+positions of its rows and writes them straight into the one or few shards it spans: whole records
+move once, and a shard is written by as many tasks as it has buckets.
 """
 
 from __future__ import annotations
@@ -24,18 +29,34 @@ from gatesift.session import shared_dir
 SEED = 41
 BUCKET_BYTES = 16_000_000
 BROADCAST_ROWS = 1_000_000
+RANGE_BUCKETS = 4_096
 
 
 def _fisher_yates(seed: int, order: list[str]):
-    def shuffle(batch: pa.Table) -> pa.Table:
-        bucket = batch.column("__bucket")[0].as_py()
+    def shuffle(batch: pa.Table, counted: pa.Table) -> pa.Table:
+        if not batch.num_rows:
+            return batch.append_column("position", pa.array([], pa.int64()))
+        bucket, offset = batch.column("__bucket")[0].as_py(), counted.column("__offset")[0].as_py()
         # arrival order depends on the cluster: start from one that does not
         batch = batch.take(pc.sort_indices(batch, [(c, "ascending") for c in order]))
         places = np.random.Generator(np.random.PCG64([seed, bucket])).permutation(batch.num_rows)
-        return batch.append_column("__place", pa.array(places, pa.int64()))
+        return batch.append_column("position", pa.array(offset + places, pa.int64()))
     return shuffle
 
 
+def _offsets(buckets: DataFrame) -> DataFrame:
+    """Rows in front of each bucket, from (__bucket, __n): sums in ranges of buckets, then of ranges."""
+    def before(n: str, window) -> Column:
+        return F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    buckets = buckets.withColumn("__range", F.floor(F.col("__bucket") / RANGE_BUCKETS))
+    ranges = buckets.groupBy("__range").agg(F.sum("__n").alias("__sum")).select(
+        "__range", before("__sum", Window.orderBy("__range")).alias("__first"))
+    inside = before("__n", Window.partitionBy("__range").orderBy("__bucket"))
+    return buckets.withColumn("__inside", inside).join(ranges, "__range").select(
+        "__bucket", (F.col("__first") + F.col("__inside")).alias("__offset"))
+
+
 def _bytes(records: DataFrame) -> Column:
     """Bytes of a record: its texts and binaries, and 8 for each other column."""
     sizes = [F.octet_length(F.col(f.name)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8)
@@ -90,15 +111,11 @@ def shuffle_records(records: DataFrame, key: list[str], bucket_rows: int = 50_00
     records = _numbered(records, key, seed)
     bucket = F.pmod(F.xxhash64(F.lit(seed), *key, "__copy"), F.lit(n_buckets)).cast("long")
     scattered = records.withColumn("__bucket", bucket)
-    offsets = (scattered.groupBy("__bucket").agg(F.count("*").alias("__n"))
-               .select(F.col("__bucket").alias("__of"), F.coalesce(
-                   F.sum("__n").over(Window.orderBy("__bucket")
-                                     .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__offset")))
-    schema = T.StructType([*scattered.schema.fields, T.StructField("__place", T.LongType())])
-    shuffled = scattered.groupBy("__bucket").applyInArrow(_fisher_yates(seed, key), schema)
-    return (shuffled.join(F.broadcast(offsets), F.col("__bucket") == F.col("__of"))
-            .select(*[c for c in records.columns if c != "__copy"], (F.col("__offset") + F.col("__place")).alias("position")))
+    offsets = stored(_offsets(scattered.groupBy("__bucket").agg(F.count("*").alias("__n"))), "offsets")
+    schema = T.StructType([*scattered.schema.fields, T.StructField("position", T.LongType())])
+    shuffled = scattered.groupBy("__bucket").cogroup(offsets.groupBy("__bucket")).applyInArrow(
+        _fisher_yates(seed, key), schema)
+    return shuffled.select(*[c for c in records.columns if c != "__copy"], "position")
 
 
 def shard_records(records: DataFrame, key: list[str], shards: int, bucket_rows: int = 50_000,
@@ -108,8 +125,8 @@ def shard_records(records: DataFrame, key: list[str], shards: int, bucket_rows:
     The first ``rows mod shards`` shards hold one row more than the others. With fewer rows
     than shards, the last shards are empty. See :func:`shuffle_records` for the rest.
     """
-    placed = shuffle_records(records, key, bucket_rows, seed)
     n = records.count()
+    placed = shuffle_records(records, key, bucket_rows, seed)
     base, longer = divmod(n, shards)
     edge = longer * (base + 1)
     rest = F.col("position") - edge
@@ -123,9 +140,12 @@ def shard_records(records: DataFrame, key: list[str], shards: int, bucket_rows:
 
 
 def write_shards(records: DataFrame, path: str) -> None:
-    """Write sharded records, a folder per shard, in slot order."""
-    (records.repartition("shard").sortWithinPartitions("shard", "slot")
-     .write.partitionBy("shard").parquet(path))
+    """Write sharded records, a folder per shard, each file in slot order.
+
+    The rows stay in the tasks they are in: a task of :func:`shard_records` has whole buckets, which
+    are ranges of slots.
+    """
+    records.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def written_shards(records: DataFrame) -> DataFrame:

@@ -145,6 +145,35 @@ def test_shards_hold_the_texts(spark):
     assert sorted((r.doc_id, r.shard, r.slot) for r in rows) == sorted((r.doc_id, r.shard, r.slot) for r in out.collect())
 
 
+def test_positions_over_many_buckets_and_shards_over_many_files(spark, tmp_path, monkeypatch):
+    from gatesift.llm import sharding
+    monkeypatch.setattr(sharding, "RANGE_BUCKETS", 3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    records = spark.createDataFrame([(i % 150 if i % 9 else None, None if i % 7 == 0 else f"t{i}") for i in range(600)],
+                                    "doc_id BIGINT, text STRING").repartition(4)
+    out = shard_records(records, ["doc_id", "text"], 5, bucket_rows=25)
+    rows = out.collect()
+    for shard in range(5):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(120))
+    write_shards(out, str(tmp_path / "shards"))
+    files = list((tmp_path / "shards/shard=3").glob("*.parquet"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert len(files) > 1 and sorted(map(str, back.select(out.columns).collect())) == sorted(map(str, rows))
+    for file in files:  # each in slot order
+        slots = [r.slot for r in spark.read.parquet(str(file)).collect()]
+        assert slots == sorted(slots)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_equal_rows_nulls_and_no_rows_are_written(spark):
+    from gatesift.llm.sharding import written_shards
+    records = spark.createDataFrame([(1, "a")] * 30 + [(None, None)] * 20 + [(2, "")] * 10, "doc_id BIGINT, text STRING")
+    rows = written_shards(shard_records(records, ["doc_id", "text"], 7, bucket_rows=9)).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in rows) == sorted(str(tuple(r)) for r in records.collect())
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((i % 7, i // 7) for i in range(60))
+    assert written_shards(shard_records(records.limit(0), ["doc_id", "text"], 7)).collect() == []
+
+
 def test_equal_records_and_large_ones_spread_over_buckets(spark):
     from gatesift.llm.sharding import _numbered, shuffle_records
     records = spark.createDataFrame([(1, "a")] * 300 + [(i, "b" * 1000) for i in range(2, 300)],

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import TESTDATA
-from gatesift.llm.packing import best_fit, cut, pack, tokenise
+from gatesift.llm.packing import best_fit, cut, group_count, pack, tokenise
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,6 +57,25 @@ def test_cut_and_best_fit():
     assert best_fit([9, 8, 7, 1], 10, 2) == ([0, 1, 2, 1], [0, 0, 0, 8])
 
 
+def test_the_bound_on_open_bins_acts_and_costs_little():
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(2048, rng.exponential(500, 5000).astype(int) + 1).tolist()
+    least = -(-sum(lengths) // 2048)
+    used = {k: max(best_fit(lengths, open_bins=k)[0]) + 1 for k in (2, 8, 64, 5000)}
+    assert used[2] > used[8] > used[64] >= used[5000] >= least
+    assert used[64] <= 1.02 * least
+
+
+def test_groups_follow_the_size_of_texts(spark):
+    docs = spark.createDataFrame([(i, "word " * 4000) for i in range(200)] + [(900, None)], "doc_id INT, text STRING")
+    assert group_count(docs) == 1 and group_count(docs, group_pieces=50) == 14
+    assert group_count(docs.limit(0)) == 1
+    rows = pack(tokenise(docs), groups=group_count(docs, group_pieces=50)).collect()
+    assert len({r.sequence_id >> 32 for r in rows}) == 14
+    assert sum(r.length for r in rows) == 200 * len(ids_of("word " * 4000)) + 1
+    assert len({r.sequence_id for r in rows}) <= sum(r.length for r in rows) / 2048 * 1.1 + 14
+
+
 def test_stages(spark):
     from gatesift.llm.common import stored
     from test_ngram_join import brute_force
