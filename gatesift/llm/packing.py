@@ -34,6 +34,7 @@ OPEN_BINS = 64
 GROUP_PIECES = 5_000
 TOKEN_BYTES = 4        # of text, on average, for the number of groups only
 SPECIAL = "<|endoftext|>"
+_IDS_AT_ONCE = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -64,47 +65,74 @@ def cut(n_tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
-             keep_ids: bool = True) -> DataFrame:
+             packed: bool = False) -> DataFrame:
     """Documents as pieces of at most ``capacity`` tokens, each document closed by id 0.
 
-    Returns doc_id, row_id, piece, start, length, ids_crc32 and, with ``keep_ids``, ids. A null
-    text is an empty one: a piece of one token. Repeated rows give their pieces again, under a
-    row_id of their own, which holds once the pieces are written; other columns of ``docs`` are
-    not looked at; an empty table gives an empty one.
+    Returns doc_id, row_id, piece, start, length, ids_crc32 and ids: an array or, if ``packed``,
+    their bytes, two or four an id, as :func:`pack` takes them too. A null text is an empty one: a
+    piece of one token. Repeated rows give their pieces again, under a row_id of their own, which
+    holds for a table that is read the same way again; other columns of ``docs`` are not looked at;
+    an empty table gives an empty one.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("row_id", T.LongType()),
                            T.StructField("piece", T.IntegerType()),
                            T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-                           T.StructField("ids_crc32", T.LongType())])
-    if keep_ids:
-        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+                           T.StructField("ids_crc32", T.LongType()),
+                           T.StructField("ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
         for batch in batches:
-            # a few documents at a time, so that many ids are never held at once
-            for part in range(0, batch.num_rows, 256):
-                rows = batch.slice(part, 256)
-                out = []
-                for row, text in enumerate(rows.column(2).to_pylist()):
-                    ids = np.append(encode(text or ""), np.uint32(0)).astype("<u4")
-                    for number, (start, length) in enumerate(cut(len(ids), capacity)):
-                        own = ids[start:start + length]
-                        out.append((row, number, start, length, zlib.crc32(own.tobytes()), own))
-                at, number, start, length, crc, own = zip(*out) if out else [()] * 6
-                at = pa.array(at, pa.int64())
-                columns = [rows.column(0).take(at), rows.column(1).take(at), pa.array(number, pa.int32()),
-                           pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                           pa.array(crc, pa.int64())]
-                if keep_ids:
-                    columns.append(pa.array([x.astype("i4") for x in own], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            texts, first, size, held = batch.column(2), 0, 0, []
+            for row in range(batch.num_rows):
+                held.append(np.append(encode(texts[row].as_py() or ""), np.uint32(0)).astype("<u4"))
+                size += len(held[-1])
+                # a few documents at a time, so that many ids are never held at once
+                if size > _IDS_AT_ONCE or row == batch.num_rows - 1:
+                    yield pieces(batch.slice(first, len(held)), held)
+                    first, size, held = row + 1, 0, []
+        _encoder.cache_clear()  # the worker may do other work next
+        pa.default_memory_pool().release_unused()
+
+    def pieces(rows: pa.RecordBatch, held: list[np.ndarray]) -> pa.RecordBatch:
+        places = [(row, number, start, length) for row, ids in enumerate(held)
+                  for number, (start, length) in enumerate(cut(len(ids), capacity))]
+        at, number, start, length = (np.array(c, np.int64) for c in zip(*places))
+        crc = [zlib.crc32(held[row][i:i + n].tobytes()) for row, _, i, n in places]
+        flat = np.concatenate(held)
+        if packed:
+            ids = _bytes_of(flat, length)
+        else:
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()),
+                                           pa.array(flat.view("<i4")))
+        at = pa.array(at)
+        return pa.RecordBatch.from_arrays(
+            [rows.column(0).take(at), rows.column(1).take(at), pa.array(number, pa.int32()), pa.array(start),
+             pa.array(length), pa.array(crc, pa.int64()), ids], names=schema.names)
 
     return (docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), "text")
             .mapInArrow(run, schema))
 
 
+def _bytes_of(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive ids as a binary each: two bytes an id if they all fit, else four."""
+    ids = ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else ids
+    ends = np.append(0, np.cumsum(lengths)) * ids.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)),
+                                                             pa.py_buffer(ids.tobytes())])
+
+
+def _ids_of(packed: list[bytes], lengths: list[int]) -> pa.Array:
+    """The inverse for rows of several batches."""
+    widths = {len(x) // n for x, n in zip(packed, lengths)}
+    if len(widths) == 1:
+        flat = np.frombuffer(b"".join(packed), f"<u{widths.pop()}").astype("<i4")
+    else:
+        flat = np.concatenate([np.frombuffer(x, f"<u{len(x) // n}").astype("<i4") for x, n in zip(packed, lengths)])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat))
+
+
 def best_fit(lengths: list[int], capacity: int = CAPACITY,
              open_bins: int = OPEN_BINS) -> tuple[list[int], list[int]]:
     """Bin and offset of each item, in arrival order."""
@@ -138,17 +166,23 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY,
     return bins, offsets
 
 
-def _pack_group(capacity: int, open_bins: int):
+def _pack_group(capacity: int, open_bins: int, columns: list[str], packed: bool):
     def run(rows: pa.Table) -> pa.Table:
         group = rows.column("__group")[0].as_py()
         # the order of hashes, whatever order the rows came in
-        rows = rows.take(pc.sort_indices(rows, [("__order", "ascending"), ("row_id", "ascending"),
-                                                ("piece", "ascending")]))
-        bins, offsets = best_fit(rows.column("length").to_pylist(), capacity, open_bins)
-        rows = rows.drop_columns(["__group", "__order"])
-        rows = rows.append_column("sequence_id", pa.array([(group << 32) + b for b in bins], pa.int64()))
-        rows = rows.append_column("offset", pa.array(offsets, pa.int64()))
-        return rows.take(pc.sort_indices(rows, [("sequence_id", "ascending"), ("offset", "ascending")]))
+        order = pc.sort_indices(rows.select(["__order", "row_id", "piece"]), [
+            ("__order", "ascending"), ("row_id", "ascending"), ("piece", "ascending")]).to_numpy()
+        lengths = rows.column("length").to_numpy()[order]
+        bins, offsets = best_fit(lengths.tolist(), capacity, open_bins)
+        place = np.lexsort((offsets, bins))
+        out = rows.select(columns).take(pa.array(order[place]))
+        if packed:
+            ids = _ids_of(out.column("ids").to_pylist(), lengths[place].tolist())
+            out = out.set_column(out.schema.get_field_index("ids"), "ids", ids)
+        out = out.append_column("sequence_id", pa.array((group << 32) + np.array(bins, np.int64)[place]))
+        out = out.append_column("offset", pa.array(np.array(offsets, np.int64)[place]))
+        pa.default_memory_pool().release_unused()
+        return out
     return run
 
 
@@ -162,7 +196,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
          group_pieces: int = GROUP_PIECES, groups: int | None = None) -> DataFrame:
     """Put pieces into sequences: adds sequence_id and offset (long).
 
-    ``pieces`` has row_id, piece and length (1 to ``capacity``); all its columns stay. Each row is an
+    ``pieces`` has row_id, piece and length (1 to ``capacity``); all its columns stay, ids that are
+    bytes become arrays. Each row is an
     item, equal rows too. A packer holds its group, ``group_pieces`` on average, whatever the number
     of rows; each group wastes about half of its open bins' space at its end. ``groups`` is how many
     there are; without it the pieces are counted, which makes them twice. A partition of the result
@@ -173,38 +208,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     if groups is None:
         groups = max(1, -(-pieces.count() // group_pieces))
     order = F.xxhash64("row_id", "piece")
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()),
-                           T.StructField("offset", T.LongType())])
+    packed = "ids" in pieces.columns and isinstance(pieces.schema["ids"].dataType, T.BinaryType)
+    ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
+    schema = T.StructType([*(ids if packed and f.name == "ids" else f for f in pieces.schema.fields),
+                           T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return (pieces.withColumns({"__group": F.pmod(order, F.lit(groups)).cast("long"), "__order": order})
-            .groupBy("__group").applyInArrow(_pack_group(capacity, open_bins), schema))
-
-
-def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ids (last column) as bytes: two each if they fit a row's ids, else four."""
-    for batch in batches:
-        ids = batch.column(batch.num_columns - 1)
-        flat, ends = ids.flatten().to_numpy(), np.cumsum(pc.list_value_length(ids).to_numpy())
-        own = np.split(flat, ends[:-1]) if len(ends) else []
-        packed = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in own]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())],
-                                         names=batch.schema.names)
-
-
-def _as_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, lengths = batch.schema.get_field_index("ids"), batch.column("length").to_pylist()
-        own = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("i4")
-               for x, n in zip(batch.column(at).to_pylist(), lengths)]
-        yield batch.set_column(at, "ids", pa.array(own, pa.list_(pa.int32())))
+            .groupBy("__group").applyInArrow(_pack_group(capacity, open_bins, pieces.columns, packed), schema))
 
 
-def packed_sequences(pieces: DataFrame, groups: int | None = None) -> DataFrame:
-    """The sequences as a written table: all pieces of one in one file, in order of offset.
+def packed_sequences(docs: DataFrame) -> DataFrame:
+    """Documents as sequences, written: all pieces of one in one file, in order of offset.
 
-    ``pieces`` as of :func:`tokenise`, with ids; these move as bytes. See :func:`pack` for the
-    columns and ``groups``.
+    See :func:`tokenise` and :func:`pack` for the columns; ids move as bytes. ``docs`` is read twice,
+    for the size of its texts and for the texts: give it a written table.
     """
-    ids = T.StructField("ids", T.BinaryType())
-    placed = pack(pieces.mapInArrow(_as_bytes, T.StructType([*pieces.schema.fields[:-1], ids])), groups=groups)
-    schema = T.StructType([pieces.schema["ids"] if f.name == "ids" else f for f in placed.schema.fields])
-    return stored(placed.mapInArrow(_as_ids, schema), "sequences")
+    return stored(pack(tokenise(docs, packed=True), groups=group_count(docs)), "sequences")

@@ -12,7 +12,7 @@ from gatesift.llm.conversation_repair import damaged, diagnose, repaired_digests
 from gatesift.llm.lm_scoring import score_difference
 from gatesift.llm.mixing import mix_sources, taken_words
 from gatesift.llm.ngram_join import ngram_components
-from gatesift.llm.packing import group_count, packed_sequences, tokenise
+from gatesift.llm.packing import packed_sequences
 from gatesift.llm.prefix_trie import ordered_turns, prefix_trie, with_family_heads
 from gatesift.llm.quality_rules import apply_rules
 from gatesift.llm.sharding import shard_records, written_shards
@@ -60,7 +60,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenised and packed into sequences of at most 2048 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packed_sequences(tokenise(docs), group_count(docs)).drop("row_id", "ids")
+    return packed_sequences(docs).drop("row_id", "ids")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,19 @@ def test_round_trip(spark):
     assert pack(tokenise(docs.limit(0))).collect() == []
 
 
+def test_ids_move_as_bytes_of_either_width(spark):
+    from gatesift.llm.packing import _bytes_of, _ids_of
+    for ids in ([1, 2, 3, 65_535, 0], [1, 70_000, 3, 4, 0]):
+        packed = _bytes_of(np.array(ids, "<u4"), np.array([2, 3])).to_pylist()
+        assert _ids_of(packed, [2, 3]).to_pylist() == [ids[:2], ids[2:]]
+    mixed = [np.array([1, 2], "<u2").tobytes(), np.array([70_000], "<u4").tobytes()]
+    assert _ids_of(mixed, [2, 1]).to_pylist() == [[1, 2], [70_000]]
+    docs = spark.createDataFrame([(i, f"text {i} " * (i * 7 % 900)) for i in range(200)], "doc_id INT, text STRING")
+    columns = ["doc_id", "piece", "ids", "sequence_id", "offset"]
+    plain, packed = (pack(tokenise(docs, packed=p), groups=3).select(columns).collect() for p in (False, True))
+    assert sorted(plain) == sorted(packed)
+
+
 def test_cut_and_best_fit():
     assert cut(1) == [(0, 1)] and cut(2048) == [(0, 2048)] and cut(2049) == [(0, 1), (1, 2048)]
     assert cut(4096) == [(0, 2048), (2048, 2048)]
