@@ -15,7 +15,7 @@ from gatesift.llm.common import n_words, stored, table
 from gatesift.llm.compression import score_quality
 from gatesift.llm.mixing import mix_sources
 from gatesift.llm.ngram_join import BROADCAST_ROWS, ngram_components
-from gatesift.llm.packing import packed_sequences, tokenise
+from gatesift.llm.packing import packed_sequences
 from gatesift.llm.toxic_grammar import score_toxicity
 
 
@@ -75,7 +75,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A copy that the mix repeats has a row_id of its own.
     """
-    return packed_sequences(tokenise(docs))
+    return packed_sequences(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
