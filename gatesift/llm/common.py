@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +51,24 @@ def learn_from(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> Dat
     """At most ``rows`` labelled documents (doc_id, text, label), none of them held out.
 
     The rows whose hashed id is smallest, so reruns agree. The labels are chosen first and
-    bounded by ``rows``; only those documents' texts are moved.
+    bounded by ``rows``; only those documents' texts are moved, and of rows that share an id one
+    is left, so the bound holds whatever repeats. Ids with contradicting labels are left out.
     """
+    value = F.col(label).cast("int")
     chosen = (labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1))
-              .select("doc_id", F.col(label).cast("int").alias("label"))
-              .dropDuplicates(["doc_id"])
+              .groupBy("doc_id").agg(F.min(value).alias("label"), F.max(value).alias("most"))
+              .where("label = most").select("doc_id", "label")
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    return (docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-            .join(stored(chosen, "chosen"), "doc_id"))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(stored(chosen, "chosen"), "doc_id")
+    return (texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+            .select("doc_id", "text", "label"))
+
+
+def give_back_memory() -> None:
+    """Return what a worker no longer uses to the system: workers stay, and later tasks differ."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

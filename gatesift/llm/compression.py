@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatesift.llm.common import learn_from, stored
+from gatesift.llm.common import give_back_memory, learn_from, stored
 from gatesift.llm.logistic import Logistic
 
 LEVEL = 6
@@ -71,6 +71,8 @@ def _scores(good: bytes, bad: bytes, model: Logistic):
         measure = SizeFeatures(good, bad)
         for texts in batches:
             yield pd.Series(model.score([measure(t) for t in texts]))
+        del measure
+        give_back_memory()
     return scores
 
 
@@ -109,8 +111,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text",
                   threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Score every whole text: adds score (0 to 1) and predicted (1 if it is at least threshold).
 
-    A null text scores like an empty one, by its sizes like any other; equal texts get equal
-    scores; columns named like the new ones are replaced; an empty table gives an empty one.
+    A null text scores like an empty one, by its sizes like any other; very long texts are compressed
+    whole; equal texts get equal scores; of rows that share a labelled id one is learned from; columns named like the new ones are replaced; an empty table gives an empty one.
     """
     score = fit_quality(docs, labels, sample_rows=sample_rows)
     docs = docs.drop("score", "predicted")

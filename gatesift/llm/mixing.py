@@ -6,7 +6,8 @@ blocks that the target asks for are a source's *quota*. A splitting tree deals t
 the output shards: each node draws how many blocks of each source go to its left half from
 the multivariate hypergeometric distribution (one conditional hypergeometric draw a source),
 and its right half gets the rest, so quotas stay exact at every level. A leaf then owns
-disjoint ranges of each source's permuted blocks, which it reads in a local random order.
+disjoint ranges of each source's permuted blocks. The mix is the table of what these blocks hold,
+written shard by shard: a shard's blocks in random order, and a block's pieces shuffled.
 
 The tree works on one row per node; the rows of the corpus are only joined with small tables
 and ordered within (source, hash range) groups, so no source meets in one task.
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatesift.llm.common import stored, unit_hash
+from gatesift.llm.common import WORD, stored, unit_hash
 
 SEED = 20240607
 MAX_REPEATS = 3
@@ -135,9 +136,9 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), shards: int = 16, block_word
     words, nothing is taken. Reruns agree. Columns named like the new ones are replaced.
     """
     new = ("source_size", "target", "pieces")
-    docs = docs.drop(*new)
-    columns = docs.columns
-    keyed = (docs.withColumn("__key", order_key(F.col("doc_id"), seed))
+    # all columns as one, so that none of them meets a working column
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("__row")
+    keyed = (docs.select(kept, "doc_id", "source", "size").withColumn("__key", order_key(F.col("doc_id"), seed))
              .withColumn("__part", F.conv(F.substring("__key", 1, hash_digits), 16, 10).cast("long")))
     parts = stored(keyed.groupBy("source", "__part").agg(F.sum("size").alias("__size")), "parts")
     targets = source_targets(parts.groupBy("source").agg(F.sum("__size").alias("source_size")),
@@ -186,10 +187,29 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), shards: int = 16, block_word
               f"'shard', CAST(size(filter(__ends, x -> x <= {rank})) AS INT), 'block', c.block, "
               f"'slot_key', xxhash64({seed}, __rank, c.block), "
               f"'from_word', c.from_word, 'n_words', c.n_words))")
-    return placed.select(*columns, "source_size", "target", F.expr(pieces).alias("pieces"))
+    return placed.select("__row.*", "source_size", "target", F.expr(pieces).alias("pieces"))
 
 
-def taken_words(shards: int) -> Column:
-    """Words that the mix takes of a document: those of its pieces in the output shards."""
-    return F.expr("aggregate(filter(pieces, p -> p.shard >= 0 AND p.shard < "
-                  f"{shards}), 0L, (s, p) -> s + p.n_words)")
+def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = SEED, **options) -> DataFrame:
+    """The mix itself: a row for each piece of a document that a shard's blocks hold.
+
+    ``docs`` as of :func:`mix_sources`, with the same options. Returns row (its columns as a struct),
+    shard, slot_key, from_word and n_words; in the order of the mix within and over partitions: by
+    shard, a shard's blocks in the order of slot_key, and the pieces of a block shuffled. Shards are
+    cut into ranges of blocks, so no task has a whole one. Only blocks that the splitting tree dealt
+    to a shard are in it.
+    """
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    mixed = mix_sources(docs.select(kept, "doc_id", "source", "size"), shards=shards, seed=seed, **options)
+    pieces = mixed.select("row", "doc_id", F.inline("pieces")).where(F.col("shard").between(0, shards - 1))
+    local = F.xxhash64(F.lit(seed), "slot_key", order_key(F.col("doc_id"), seed), "from_word", "n_words")
+    order = ["shard", "slot_key", "block", "__local"]
+    return (pieces.withColumn("__local", local).repartitionByRange("shard", "slot_key")
+            .sortWithinPartitions(*order).select("row", "shard", "slot_key", "from_word", "n_words"))
+
+
+def words_of(text: Column, size: Column, from_word: Column, n_words: Column) -> Column:
+    """The words of a piece, with what is between them; a whole text as it is."""
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    part = F.array_join(F.slice(words, from_word.cast("int") + 1, n_words.cast("int")), "")
+    return F.when(n_words == size, text).otherwise(part)

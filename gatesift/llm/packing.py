@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from gatesift.llm.common import stored
+from gatesift.llm.common import give_back_memory, stored
 
 CAPACITY = 2048
 OPEN_BINS = 64
@@ -92,8 +92,9 @@ def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
                 if size > _IDS_AT_ONCE or row == batch.num_rows - 1:
                     yield pieces(batch.slice(first, len(held)), held)
                     first, size, held = row + 1, 0, []
-        _encoder.cache_clear()  # the worker may do other work next
-        pa.default_memory_pool().release_unused()
+        del encode
+        _encoder.cache_clear()
+        give_back_memory()
 
     def pieces(rows: pa.RecordBatch, held: list[np.ndarray]) -> pa.RecordBatch:
         places = [(row, number, start, length) for row, ids in enumerate(held)
@@ -181,7 +182,7 @@ def _pack_group(capacity: int, open_bins: int, columns: list[str], packed: bool)
             out = out.set_column(out.schema.get_field_index("ids"), "ids", ids)
         out = out.append_column("sequence_id", pa.array((group << 32) + np.array(bins, np.int64)[place]))
         out = out.append_column("offset", pa.array(np.array(offsets, np.int64)[place]))
-        pa.default_memory_pool().release_unused()
+        give_back_memory()
         return out
     return run
 

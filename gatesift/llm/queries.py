@@ -10,7 +10,7 @@ from gatesift.llm.common import held_out, n_words, stored, table
 from gatesift.llm.compression import score_quality
 from gatesift.llm.conversation_repair import damaged, diagnose, repaired_digests, repaired_rows
 from gatesift.llm.lm_scoring import score_difference
-from gatesift.llm.mixing import mix_sources, taken_words
+from gatesift.llm.mixing import mixed_rows, source_targets
 from gatesift.llm.ngram_join import ngram_components
 from gatesift.llm.packing import packed_sequences
 from gatesift.llm.prefix_trie import ordered_turns, prefix_trie, with_family_heads
@@ -31,10 +31,15 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document gives to a mix of all sources at target weights."""
-    sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    mixed = mix_sources(sized, shards=MIX_SHARDS)
-    return mixed.select("doc_id", "size", "source_size", "target",
-                        taken_words(MIX_SHARDS).alias("taken"))
+    sized = stored(table(spark, sf_dir, "documents").select(
+        F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", n_words(F.col("text")).alias("size")),
+        "sized")
+    mix = stored(mixed_rows(sized, shards=MIX_SHARDS), "mix")
+    taken = mix.groupBy("row.row_id").agg(F.sum("n_words").alias("taken"))
+    sources = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
+    targets = source_targets(sources).select(F.col("source").alias("s"), "source_size", "target")
+    return (sized.join(targets, F.col("source").eqNullSafe(F.col("s"))).join(taken, "row_id", "left")
+            .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatesift.llm.common import learn_from, stored
+from gatesift.llm.common import give_back_memory, learn_from, stored
 from gatesift.llm.logistic import Logistic
 
 # Bounds of what is learned: labelled rows, and entries of the lexicon.
@@ -89,7 +89,7 @@ class Grammar:
     """The composed machine over a learned lexicon; turns a text into features."""
 
     WIDTH = len(KINDS) + 4
-    _MOST_CACHED = 200_000
+    _MOST_CACHED = 50_000  # words
 
     def __init__(self, words: dict[str, float], prefixes: dict[str, float]):
         self.words, self.prefixes = words, prefixes
@@ -189,6 +189,8 @@ def _udf(words, prefixes, model: Logistic | None):
         for texts in batches:
             rows = [grammar(t) for t in texts]
             yield pd.Series(model.score(rows) if model else rows)
+        del grammar
+        give_back_memory()
     return run
 
 
@@ -199,8 +201,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", thres
     Learns from at most ``sample_rows`` labelled rows that are not held out, two thirds for
     the lexicon and a third for the calibration; null texts and labels other than 0 and 1 are
     left out. With one label only, all texts get one score: its smoothed share. A null text
-    scores like an empty one; equal texts get equal scores; columns named like the new ones
-    are replaced; an empty table gives an empty one.
+    scores like an empty one; very long texts are read whole, a token at a time; equal texts get
+    equal scores; of rows that share a labelled id one is learned from; columns named like the new
+    ones are replaced; an empty table gives an empty one.
     """
     turn = F.pmod(F.xxhash64(F.lit("turn"), "doc_id"), F.lit(3))
     sample = stored(learn_from(docs, labels, "toxic", sample_rows)

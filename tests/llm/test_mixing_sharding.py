@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatesift.llm.mixing import mix_sources, source_targets, split_quotas, taken_words
+from gatesift.llm.mixing import mix_sources, mixed_rows, source_targets, split_quotas, words_of
 from gatesift.llm.sharding import shard_records, write_shards
 
 SIZED = "doc_id BIGINT, source STRING, size BIGINT, target STRING"
@@ -43,7 +43,8 @@ def test_mix_takes_exactly_the_targets(spark):
             for i in range(600)] + [(5, "s1", 77, "x")] * 3 + [(None, "s1", 9, "x"), (900, "s2", 60_000, "x")]
     df = spark.createDataFrame(rows, SIZED)
     mixed = mix_sources(df, shards=7, block_words=100)
-    out = mixed.withColumn("taken", taken_words(7)).collect()
+    taken_words = F.expr("aggregate(pieces, 0L, (s, p) -> s + p.n_words)")
+    out = mixed.withColumn("taken", taken_words).collect()
     assert len(out) == len(rows) and mixed.columns.count("target") == 1
     taken = Counter()
     for r in out:
@@ -62,10 +63,63 @@ def test_mix_takes_exactly_the_targets(spark):
     for r in out:
         for p in r.pieces:
             assert blocks.setdefault((r.source, p.block), (p.shard, p.slot_key)) == (p.shard, p.slot_key)
-    again = mix_sources(df.repartition(3), shards=7, block_words=100).withColumn("taken", taken_words(7))
+    again = mix_sources(df.repartition(3), shards=7, block_words=100).withColumn("taken", taken_words)
     assert sorted(map(str, again.collect())) == sorted(map(str, out))
 
 
+def mix_input(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"s{i % 3}" if i % 2 else "hot", int(rng.integers(0, 300))) for i in range(500)]
+    return spark.createDataFrame(rows, "doc_id BIGINT, source STRING, size BIGINT")
+
+
+def blocks_of(rows):
+    """{(shard, source): number of blocks} of a mix whose blocks have 64 words."""
+    blocks = {(r.shard, r.row.source, r.slot_key) for r in rows}
+    return Counter((shard, source) for shard, source, _ in blocks)
+
+
+def test_shards_hold_the_blocks_that_the_tree_deals(spark, monkeypatch):
+    from gatesift.llm import mixing
+    df = mix_input(spark)
+    rows = mixed_rows(df, shards=6, block_words=64).collect()
+    sizes = df.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = {r.source: round(r.target) for r in source_targets(sizes).collect()}
+    names = sorted(targets)
+    quotas = [-(-targets[s] // 64) for s in names]
+    dealt = split_quotas(spark.createDataFrame([(quotas,)], "quotas ARRAY<BIGINT>"), 6).collect()
+    assert blocks_of(rows) == Counter({(r.shard, s): n for r in dealt for s, n in zip(names, r.quotas) if n})
+    taken = Counter()
+    for r in rows:
+        taken[r.row.source] += r.n_words
+    assert taken == targets
+    # rows come by shard and block, blocks of all sources among each other
+    keys = [(r.shard, r.slot_key) for r in rows]
+    assert keys == sorted(keys)
+    first = [r.row.source for r in rows if r.shard == 0]
+    assert len({s for s in first[:len(first) // 3]}) == len(set(first))
+    # another deal gives another mix, and one that leaves blocks out leaves out their words
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, seed: split_quotas(q, n, seed).withColumn(
+        "quotas", F.expr("if(shard = 5, transform(quotas, x -> 0L), quotas)")))
+    fewer = mixed_rows(df, shards=6, block_words=64).collect()
+    assert sum(r.n_words for r in fewer) < sum(targets.values()) and blocks_of(fewer) != blocks_of(rows)
+
+
+def test_columns_named_like_working_ones_stay(spark):
+    df = mix_input(spark).selectExpr("*", "doc_id AS __key", "'p' AS __part", "1 AS __group", "2 AS shard", "3 AS row")
+    out = mix_sources(df).collect()
+    assert all(r["__key"] == r.doc_id and r["__part"] == "p" and r["__group"] == 1 and r.shard == 2 for r in out)
+    assert all(r.row["__key"] == r.row.doc_id and r.row.row == 3 for r in mixed_rows(df).collect())
+
+
+def test_words_of_a_piece(spark):
+    text = " one\ttwo\n\nthree  four "
+    df = spark.createDataFrame([(text, 4, f, n) for f, n in ((0, 4), (0, 2), (2, 2), (1, 1))],
+                               "text STRING, size INT, f INT, n INT")
+    got = [r[0] for r in df.select(words_of(*(F.col(c) for c in ("text", "size", "f", "n")))).collect()]
+    assert got == [text, " one\ttwo", "\n\nthree  four", "\ttwo"]
+
+
 def test_mix_without_rows_or_words(spark):
     assert mix_sources(spark.createDataFrame([], SIZED)).collect() == []
     none = mix_sources(spark.createDataFrame([(1, None, 0, "x"), (2, "a", 0, "x")], SIZED)).collect()

@@ -56,6 +56,18 @@ def test_learns_from_no_held_out_row(tables):
     assert same[0] == same[1]
 
 
+def test_the_bound_of_the_sample_holds_whatever_repeats(spark):
+    from gatesift.llm.common import learn_from
+    docs = spark.createDataFrame([(i % 10, f"text {i % 3}") for i in range(1000)], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(i % 10, i % 10 % 2) for i in range(50)] + [(2, 1), (3, 0)], "doc_id BIGINT, toxic INT")
+    rows = learn_from(docs, labels, "toxic", 5).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) <= 5 and all(r.label == r.doc_id % 2 for r in rows)
+    every = learn_from(docs, labels, "toxic", 100).collect()
+    kept = [r[0] for r in spark.range(10).where(~held_out(F.col("id"))).collect()]
+    assert sorted(r.doc_id for r in every) == [i for i in kept if i not in (2, 3)]  # 2 and 3 are contradicted
+    assert sorted(map(str, learn_from(docs.repartition(7), labels, "toxic", 5).collect())) == sorted(map(str, rows))
+
+
 def test_grammar_reads_clauses():
     grammar = Grammar({"fool": 2.0}, {"idio": 1.0})
     names = ["plain", "aimed", "negated", "reported"]
