@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gatesift.llm.common import n_words, stored, table
 from gatesift.llm.compression import score_quality
-from gatesift.llm.mixing import mix_sources
+from gatesift.llm.mixing import mixed_rows, words_of
 from gatesift.llm.ngram_join import BROADCAST_ROWS, ngram_components
 from gatesift.llm.packing import packed_sequences
 from gatesift.llm.toxic_grammar import score_toxicity
@@ -60,14 +60,19 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; one taken in part counts from half its words."""
-    sized = docs.withColumn("size", n_words(F.col("text")))
-    mixed = mix_sources(sized)
-    taken = F.expr("aggregate(pieces, 0L, (s, p) -> s + p.n_words)")
-    times = F.round(taken / F.greatest("size", F.lit(1))).cast("int")
-    return (mixed.withColumn("__times", times).where("__times > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-            .select(docs.columns))
+    """The mix of all sources at target weights, in its order: what the blocks of its shards hold.
+
+    A document that a block's end cuts is two rows, each with its part of the text (and, if there
+    is such a column, its own n_chars); one that is taken more than once is as many rows.
+    """
+    mix = mixed_rows(docs.withColumn("size", n_words(F.col("text"))))
+    text = words_of(F.col("row.text"), F.col("row.size"), F.col("from_word"), F.col("n_words"))
+    cut = mix.select("row", "n_words", text.alias("part"))
+    own = {"text": F.col("part")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("n_words") == F.col("row.size"), F.col("row.n_chars")).otherwise(
+            F.char_length("part").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
