@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from conftest import TESTDATA
 from gatesift.llm.common import held_out
 from gatesift.llm.compression import score_quality
-from gatesift.llm.lm_scoring import PAIRS, WORDS, score_difference, token_slots
-from gatesift.llm.shingles import word_hashes
+from gatesift.llm.lm_scoring import score_difference
 from gatesift.llm.toxic_grammar import Grammar, compose, score_toxicity
 
 DOCS = TESTDATA.replace("sf0.001", "sf0.01")
@@ -83,14 +82,17 @@ def test_grammar_reads_clauses():
     assert grammar(None) == grammar("") and len(compose()) == 16 * 7
 
 
-def test_scores_match_a_dictionary_model(spark):
+@pytest.mark.parametrize("block_bytes, owned_keys", [(8_000_000, 2_000_000), (40, 20)])
+def test_scores_match_a_dictionary_model(spark, block_bytes, owned_keys):
     texts = ["a b a b a b", "a b c", None, "", "d d d", "A b", "z", "b a\tb"] + [f"w{i % 7} w{i % 5} a" for i in range(40)]
     targets = [0, 1, 4, 999]
     docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate(texts)] + [(0, texts[0], "x", 1.0)],
                                  "doc_id BIGINT, text STRING, wanted STRING, score DOUBLE").repartition(3)
-    out = score_difference(docs, spark.createDataFrame([(t,) for t in targets + [None]], "doc_id BIGINT"))
+    out = score_difference(docs, spark.createDataFrame([(t,) for t in targets + [None]], "doc_id BIGINT"),
+                           block_bytes, owned_keys)
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
     rows = list(enumerate(texts)) + [(0, texts[0])]
+    vocabulary = len({w for t in texts for w in split(t)}) + 1
 
     def model(chosen):
         single, pair, begins = Counter(), Counter(), 0
@@ -104,7 +106,7 @@ def test_scores_match_a_dictionary_model(spark):
         def loss(t):
             words = split(t)
             return sum(-math.log2(0.7 * min(1, pair[v, w] / max(1, begins if v is None else single[v]))
-                                  + 0.29 * single[w] / total + (1 - 0.7 - 0.29) / WORDS)
+                                  + 0.29 * single[w] / total + (1 - 0.7 - 0.29) / vocabulary)
                        for v, w in zip([None, *words], words)) / max(1, len(words))
         return loss
     target, background = model([t for i, t in rows if i in targets]), model([t for _, t in rows])
@@ -116,10 +118,22 @@ def test_scores_match_a_dictionary_model(spark):
         assert (r.target_loss, r.background_loss) == pytest.approx((target(t), background(t)))
         assert r.score == pytest.approx(target(t) - background(t))
     assert score_difference(docs.limit(0), out.select("doc_id")).collect() == []
-    # words and pairs of this fixture don't meet in a slot, so the dictionary is exact
-    words = sorted({w for t in texts for w in split(t)})
-    slots = token_slots(word_hashes(" ".join(words).encode()), np.array([len(words)]))
-    assert len(set(slots[0].tolist())) == len(words) and PAIRS > WORDS
+
+
+def test_probabilities_sum_to_one_over_the_vocabulary(spark):
+    words = ["a", "b", "c", "d"]
+    texts = ["a b a c", "b a", "c d d"] + [f"a {w}" for w in words] + ["a unseen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r for r in score_difference(docs, docs.where("doc_id < 3").select("doc_id")).collect()}
+    # the first token's loss is the same in the last five texts: what differs is the second's
+    bits = [got[i].background_loss * 2 for i in range(3, 8)]
+    single = {w: sum(t.split().count(w) for t in texts) for w in [*words, "unseen"]}
+    pairs = {w: sum(("a", w) in zip(t.split(), t.split()[1:]) for t in texts) for w in [*words, "unseen"]}
+    p = {w: 0.7 * pairs[w] / single["a"] + 0.29 * single[w] / sum(single.values()) + 0.01 / 6 for w in single}
+    assert [b - bits[0] for b in bits] == pytest.approx(
+        [-math.log2(p[w]) + math.log2(p["a"]) for w in [*words, "unseen"]])
+    # with the unknown word; an a at a text's end is followed by none
+    assert sum(p.values()) + 0.01 / 6 == pytest.approx(0.7 * sum(pairs.values()) / single["a"] + 0.3)
 
 
 def test_counts_of_a_large_vocabulary_are_exact(spark):
@@ -128,8 +142,7 @@ def test_counts_of_a_large_vocabulary_are_exact(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(6)
     good = spark.createDataFrame([(7,), (100,)], "doc_id BIGINT")
     got = {r.doc_id: r for r in score_difference(docs, good).collect()}
-    words = 300_000
-    assert words > WORDS
+    words = 300_000 + 1
     assert len(got) == len(texts)
 
     def bits(pair, context, word, tokens):
