@@ -1,10 +1,9 @@
 """Quality classifier by compression.
 
-Two Zstandard dictionaries are built, one from good and one from bad labelled texts. A text
-that is like the good ones compresses better with theirs. The normalised difference of both
-compressed sizes, with the compressed size per byte beside it (degenerate text compresses far
-better than prose with either), is calibrated into a score by a logistic regression on
-labelled rows that the dictionaries were not built from.
+Two Zstandard dictionaries are trained, one on good and one on bad labelled texts. A text that is
+like the good ones compresses better with theirs. The normalised difference of both compressed
+sizes, and nothing else, is calibrated into a score by a logistic regression on labelled rows that
+the dictionaries were not trained on.
 """
 
 from __future__ import annotations
@@ -21,88 +20,98 @@ from gatesift.llm.common import give_back_memory, learn_from, stored
 from gatesift.llm.logistic import Logistic
 
 LEVEL = 6
-# Bounds of what is learned from: labelled rows, bytes of one dictionary, characters of one row in it.
+# Bounds of what is learned from: labelled rows, and bytes of their whole texts. Rows that the
+# second leaves no room for are left out whole.
 SAMPLE_ROWS = 8_000
+SAMPLE_BYTES = 24_000_000
+# A dictionary's bytes, and of the stretches that it is made up of.
 DICTIONARY_BYTES = 400_000
-EXCERPT_CHARS = 1_000
+STRETCH_BYTES = 500
+_TRAINED_AT_ONCE = 4_096  # whole texts are read in pieces of so many bytes
 
 
-def _dictionary(excerpts: list[str]) -> bytes:
-    out, size = [], 0
-    for text in excerpts:
-        raw = text.encode()
-        if size + len(raw) > DICTIONARY_BYTES:
-            break
-        out.append(raw)
-        size += len(raw)
-    # the end of a dictionary is the cheapest to refer to, all texts count alike: no order
-    return b"\n".join(out)
+def _dictionary(texts: list[str]) -> bytes:
+    """A dictionary trained on whole texts; of too few to train on, the texts themselves."""
+    pieces = [raw[i:i + _TRAINED_AT_ONCE] for raw in map(str.encode, texts)
+              for i in range(0, len(raw), _TRAINED_AT_ONCE)]
+    size = min(DICTIONARY_BYTES, sum(map(len, pieces)) // 4)
+    try:
+        return zstandard.train_dictionary(size, pieces, k=min(STRETCH_BYTES, size // 8), d=8, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"\n".join(pieces)
 
 
-class SizeFeatures:
-    """Compressed sizes of texts under both dictionaries."""
+class SizeDifference:
+    """By how much better a text compresses with one dictionary than with the other."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.compressors = []
         for raw in (good, bad):
-            known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known = zstandard.ZstdCompressionDict(raw)
             known.precompute_compress(level=LEVEL)
             self.compressors.append(zstandard.ZstdCompressor(
                 level=LEVEL, dict_data=known, write_content_size=False))
 
-    def __call__(self, text: str | None) -> tuple[float, float]:
+    def __call__(self, text: str | None) -> float:
         raw = (text or "").encode()
         good, bad = (len(c.compress(raw)) for c in self.compressors)
-        return (bad - good) / max(good, bad), float(np.log((good + bad) / 2 / (len(raw) + 1)))
+        return (bad - good) / max(good, bad)
 
 
-def _features(good: bytes, bad: bytes):
-    @F.pandas_udf("difference double, ratio double")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        measure = SizeFeatures(good, bad)
+def _differences(good: bytes, bad: bytes):
+    @F.pandas_udf("double")
+    def differences(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        measure = SizeDifference(good, bad)
         for texts in batches:
-            yield pd.DataFrame([measure(t) for t in texts], columns=["difference", "ratio"])
-    return features
+            yield texts.map(measure).astype(float)
+    return differences
 
 
 def _scores(good: bytes, bad: bytes, model: Logistic):
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        measure = SizeFeatures(good, bad)
+        measure = SizeDifference(good, bad)
         for texts in batches:
-            yield pd.Series(model.score([measure(t) for t in texts]))
+            yield pd.Series(model.score([[measure(t)] for t in texts]))
         del measure
         give_back_memory()
     return scores
 
 
+def _whole_rows(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """Rows in the order of their hashed ids as long as their texts fit the bound."""
+    sizes = rows.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    chosen, room = [], most_bytes
+    for doc_id, n in sizes:
+        if n <= room:
+            chosen.append(doc_id)
+            room -= n
+    return rows if len(chosen) == len(sizes) else rows.where(F.col("doc_id").isin(chosen))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
                 sample_rows: int = SAMPLE_ROWS):
     """Learn from labelled rows that are not held out; returns a column function of a text.
 
-    At most ``sample_rows`` of them: two thirds give excerpts for the dictionaries, a third
-    calibrates. What comes to the driver is bounded by the parameters of this module. Null
-    texts and labels other than 0 and 1 are not learned from. With no rows of one label, all
-    texts get one score: the smoothed share of label 1, 0.5 without any.
+    At most ``sample_rows`` of them, and ``SAMPLE_BYTES`` of whole texts: two thirds train the
+    dictionaries, a third calibrates. What comes to the driver is bounded by the parameters of this
+    module. Null texts and labels other than 0 and 1 are not learned from. With no rows of one
+    label, all texts get one score: the smoothed share of label 1, 0.5 without any.
     """
-    sample = learn_from(docs, labels, label, sample_rows)
     turn = F.pmod(F.xxhash64(F.lit("turn"), "doc_id"), F.lit(3))
-    start = F.greatest(F.lit(1), F.floor(F.length("text") / 2 - EXCERPT_CHARS / 2).cast("int"))
-    rows = stored(sample.select("doc_id", "label", turn.alias("turn"), "text",
-                                F.substring("text", start, F.lit(EXCERPT_CHARS)).alias("excerpt")),
-                  "quality-sample")
-    excerpts = {0: [], 1: []}
-    for label_value, text in (rows.where("turn < 2").orderBy(F.xxhash64("doc_id"), "doc_id")
-                              .select("label", "excerpt").collect()):
-        excerpts[label_value].append(text)
-    good, bad = _dictionary(excerpts[1]), _dictionary(excerpts[0])
-    if not good or not bad:
-        share = (len(excerpts[1]) + 1) / (len(excerpts[0]) + len(excerpts[1]) + 2)
+    sample = stored(learn_from(docs, labels, label, sample_rows).where("text <> ''")
+                    .withColumn("turn", turn), "quality-sample")
+    texts = {0: [], 1: []}
+    training = _whole_rows(sample.where("turn < 2"), SAMPLE_BYTES)
+    for value, text in training.orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "text").collect():
+        texts[value].append(text)
+    if not texts[0] or not texts[1]:
+        share = (len(texts[1]) + 1) / (len(texts[0]) + len(texts[1]) + 2)
         return lambda text: F.lit(float(share))
-    measured = (rows.where("turn = 2").select("doc_id", "label", _features(good, bad)("text").alias("f"))
-                .select("doc_id", "label", "f.difference", "f.ratio").orderBy("doc_id").collect())
-    model = Logistic.fit([(r.difference, r.ratio) for r in measured] or np.zeros((0, 2)),
-                         [r.label for r in measured])
+    good, bad = _dictionary(texts[1]), _dictionary(texts[0])
+    measured = (sample.where("turn = 2").select("doc_id", "label", _differences(good, bad)("text").alias("d"))
+                .orderBy("doc_id").collect())
+    model = Logistic.fit(np.array([[r.d] for r in measured]).reshape(-1, 1), [r.label for r in measured])
     score = _scores(good, bad, model)
     return lambda text: score(text)
 
