@@ -2,11 +2,13 @@
 
 Words are mapped to classes by a lexicon transducer: insult, threat, target, negation,
 reported speech, clause end. Insults and their weights are learned from labels, as words and
-as word beginnings; the other classes are closed lists. Four small transducers read a
-clause's classes side by side and are composed into one by the product of their states: it
-writes, for each insult or threat, whether it is aimed at somebody, negated or reported.
-What the clauses of a text weigh, by these kinds, is calibrated into a score by a logistic
-regression.
+as word beginnings; the other classes are closed lists. Three small transducers read a
+clause's classes side by side and are composed into one by the product of their states: it writes,
+for each insult or threat, whether it is negated, reported or neither, and where a clause ends,
+whether the clause is aimed at somebody, named before or behind the insult. So a clause matches by
+kind (plain, aimed, negated, reported), and weighs by kind what its strongest match does; words
+outside of matched clauses count for nothing. What the clauses of a text weigh is calibrated into
+a score by a logistic regression.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from gatesift.llm.logistic import Logistic
 SAMPLE_ROWS = 10_000
 LEXICON_ENTRIES = 5_000
 PREFIXES = range(4, 9)
+AIMED_FACTOR = 1.5  # of an insult that is aimed at somebody
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, END = "ITGNRE"
 
@@ -71,15 +74,20 @@ KINDS = [kind + state for kind in (INSULT, THREAT) for state in ("plain", "aimed
 
 
 def compose() -> dict[tuple[tuple[int, int, int], str], tuple[tuple[int, int, int], str]]:
-    """The product machine: (states, class) -> (next states, what is written)."""
+    """The product machine: (states, class) -> (next states, what is written).
+
+    An insult or threat is written as open where it is neither negated nor reported; the end of its
+    clause writes what open ones are.
+    """
     machine = {}
     for states in product(range(4), range(2), range(2)):
         for symbol in SYMBOLS:
             negated, reported, aimed = states
             written = ""
             if symbol in (INSULT, THREAT):
-                written = symbol + ("negated" if negated else "reported" if reported
-                                    else "aimed" if aimed else "plain")
+                written = symbol + ("negated" if negated else "reported" if reported else "open")
+            elif symbol == END:
+                written = "aimed" if aimed else "plain"
             machine[states, symbol] = ((_negation(negated, symbol), _report(reported, symbol),
                                         _target(aimed, symbol)), written)
     return machine
@@ -88,7 +96,7 @@ def compose() -> dict[tuple[tuple[int, int, int], str], tuple[tuple[int, int, in
 class Grammar:
     """The composed machine over a learned lexicon; turns a text into features."""
 
-    WIDTH = len(KINDS) + 4
+    WIDTH = len(KINDS) + 2
     _MOST_CACHED = 50_000  # words
 
     def __init__(self, words: dict[str, float], prefixes: dict[str, float]):
@@ -110,7 +118,8 @@ class Grammar:
         kind = self.closed.get(token, "")
         return kind, 2.0 if kind == THREAT else 0.0
 
-    def __call__(self, text: str | None) -> list[float]:
+    def clauses(self, text: str | None) -> tuple[list[dict[str, float]], int]:
+        """What each matched clause weighs by kind, and how many clauses there are."""
         tokens = _TOKEN.findall((text or "").lower())
         cache = self.cache
         if len(cache) > self._MOST_CACHED:
@@ -118,22 +127,28 @@ class Grammar:
         for token in set(tokens):
             if token not in cache:
                 cache[token] = self._look_up(token)
-        sums = dict.fromkeys(KINDS, 0.0)
-        states, strongest, matches, different = (0, 0, 0), 0.0, 0, set()
-        for token in tokens:
-            symbol, weight = cache[token]
+        out, number, states, matches = [], 0, (0, 0, 0), {}
+        for symbol, weight in [*(cache[t] for t in tokens), (END, 0.0)]:
             if not symbol and states == (0, 0, 0):
                 continue
             states, written = self.machine[states, symbol]
-            if written:
-                sums[written] += weight
-                if symbol == INSULT:
-                    matches += 1
-                    strongest = max(strongest, weight)
-                    different.add(token)
-        return [math.log1p(sums[k]) for k in KINDS] + [
-            math.log1p(matches), strongest, math.log1p(len(different)),
-            sum(sums.values()) / math.sqrt(len(tokens) + 10)]
+            if symbol == END:
+                number += 1
+                if matches:
+                    out.append({k.replace("open", written): w for k, w in matches.items()})
+                    matches = {}
+            elif written:
+                matches[written] = max(matches.get(written, 0.0), weight)
+        return out, number
+
+    def __call__(self, text: str | None) -> list[float]:
+        """The sums of the clauses' weights by kind, the strongest clause, and what a clause weighs."""
+        matched, number = self.clauses(text)
+        sums = {kind: sum(c.get(kind, 0.0) for c in matched) for kind in KINDS}
+        strongest = max((c.get(INSULT + "plain", 0.0) + AIMED_FACTOR * c.get(INSULT + "aimed", 0.0)
+                         for c in matched), default=0.0)
+        meant = sum(sums[i + k] for i in (INSULT, THREAT) for k in ("plain", "aimed"))
+        return [math.log1p(sums[k]) for k in KINDS] + [strongest, meant / math.sqrt(number + 2)]
 
 
 # --------------------------------------------------------------------- learning

@@ -111,9 +111,65 @@ def test_grammar_reads_clauses():
     assert kinds("they called him a fool") == {"reported"}
     assert kinds("Idiotic things") == {"plain"} and kinds("idio") == set()
     assert kinds("not here. fool, you") == {"plain"}
+    assert kinds("a fool like you") == kinds("idiots like you") == {"aimed"}  # the target behind
+    assert kinds("a fool. you") == {"plain"} and kinds("no fool like you") == {"negated"}
+    assert kinds("you fool, not a fool") == {"aimed", "negated"}
     assert grammar(None) == grammar("") and len(compose()) == 16 * 7
 
 
+def test_composed_machine_equals_reading_each_clause(spark):
+    from gatesift.llm.toxic_grammar import AIMED_FACTOR, CLOSED, KINDS
+    words, prefixes = {"fool": 2.0, "scum": 3.5, "kill": 0.5}, {"idio": 1.0, "stup": 2.5}
+    grammar = Grammar(words, prefixes)
+
+    def weight(w):
+        return max([words.get(w, 0.0)] + [prefixes.get(w[:n], 0.0) for n in range(4, 9) if n < len(w)])
+
+    def plain(text):
+        sums, strongest, number = dict.fromkeys(KINDS, 0.0), 0.0, 0
+        for clause in re.split(r"[.!?;:,|\n]", (text or "").lower()):
+            number += 1
+            tokens = re.findall(r"[^\W\d_]+", clause)
+            classes = {c: [i for i, w in enumerate(tokens) if w in ws and not weight(w)] for c, ws in CLOSED.items()}
+            best = {}
+            for i, w in enumerate(tokens):
+                kind = "I" if weight(w) else "T" if i in classes["T"] else ""
+                if not kind:
+                    continue
+                if any(i - 3 <= j < i for j in classes["N"]):
+                    kind += "negated"
+                elif any(j < i for j in classes["R"]):
+                    kind += "reported"
+                else:
+                    kind += "aimed" if classes["G"] else "plain"
+                best[kind] = max(best.get(kind, 0.0), weight(w) or 2.0)
+            for kind, value in best.items():
+                sums[kind] += value
+            strongest = max(strongest, best.get("Iplain", 0) + AIMED_FACTOR * best.get("Iaimed", 0))
+        meant = sum(sums[k] for k in KINDS if k.endswith(("plain", "aimed")))
+        return [math.log1p(sums[k]) for k in KINDS] + [strongest, meant / math.sqrt(number + 2)]
+
+    vocabulary = ["fool", "scum", "idiots", "stupid", "kill", "you", "he", "not", "never", "said", "called", "a",
+                  "the", "house", "burn", "dich", "nicht", "sagte", ",", ".", "!", "\n", "-", "x1", "Fool"]
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 40))) for _ in range(300)] + [None, "", ". ,"]
+    texts += [r.text for r in spark.read.parquet(f"{TESTDATA}/documents.parquet").collect()]
+    for text in texts:
+        assert grammar(text) == pytest.approx(plain(text)), text
+
+
+def test_quoted_and_denied_insults_are_no_verdict(spark, tables):
+    docs, labels = tables
+    insults = ["idiot", "moron", "stupid", "loser"]
+    texts = [" ".join(f"You are a {w}, you {w}!" for w in insults),
+             " ".join(f"They said he was a {w}." for w in insults),
+             " ".join(f"You are not a {w}." for w in insults)]
+    own = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    out = score_toxicity(docs.select("doc_id", "text").union(own), labels).where("doc_id < 0").collect()
+    score = {r.doc_id: r.score for r in out}
+    assert score[-1] >= 0.7 > max(score[-2], score[-3])
+
+
 @pytest.mark.parametrize("block_bytes, owned_keys", [(8_000_000, 2_000_000), (40, 20)])
 def test_scores_match_a_dictionary_model(spark, block_bytes, owned_keys):
     texts = ["a b a b a b", "a b c", None, "", "d d d", "A b", "z", "b a\tb"] + [f"w{i % 7} w{i % 5} a" for i in range(40)]
