@@ -168,9 +168,10 @@ damaged AS (
          CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
   FROM (SELECT *, unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy FROM given) WHERE fate <> 0),
 ordered AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
-         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS said,
-         rtrim(text, {_BLANKS}) AS solid FROM damaged),
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS said,
+         rtrim(text, {_BLANKS}) AS solid
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i
+        FROM damaged)),
 turns AS MATERIALIZED (
   SELECT conv_id, turn, role AS whole_role, substr(role, 1, 1) AS role, text, i, solid = '' AS blank,
          solid <> '' AND said > 1 AS duplicate,
