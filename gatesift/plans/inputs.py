@@ -57,7 +57,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of a table whose texts are to be analysed, over all cores."""
-    return spread(table(spark, sf_dir, name).select(*columns))
+    given = table(spark, sf_dir, name).select(*columns)
+    return spread(given, spark.pieces(sf_dir, name) if given.isStreaming else None)
 
 
 def pick(values: list, index: Column) -> Column:

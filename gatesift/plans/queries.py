@@ -677,6 +677,10 @@ class _Streams:
         folder, name = path.rsplit("/", 1)
         return _stream(self._spark, folder, name.removesuffix(".parquet"))
 
+    def pieces(self, folder: str, name: str) -> int:
+        """How many tasks read the table that a stream takes its rows from."""
+        return I.table(self._spark, folder, name).rdd.getNumPartitions()
+
 
 @query("stream_validate")
 def stream_validate(spark, sf):
