@@ -157,3 +157,31 @@ def test_packing_query_reads_written_sequences(spark):
     columns = out.columns
     assert columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert sorted(map(str, out.collect())) == sorted(str(r) for r in spark.read.parquet(*out.inputFiles()).select(columns).collect())
+
+
+def run_over(spark, folder, rows):
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, slot_key STRING, piece INT"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, None, None), (None, 1, 1)], "doc_id BIGINT, quality INT, toxic INT") \
+        .write.parquet(f"{folder}/labels.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_run_on_no_rows(spark, tmp_path):
+    assert run_over(spark, tmp_path, []) == []
+
+
+def test_run_on_nulls_repeats_and_further_columns(spark, tmp_path):
+    long = "a long text " * 3000
+    rows = [(1, "one two three", "en", "x", 13, "k", 7), (2, None, None, None, None, None, None), (3, "", "en", "x", 0, "k", 7),
+            (None, "a row without an id", "en", "y", 19, None, None), (4, long, "en", "y", len(long), "k", 7),
+            (4, long, "en", "y", len(long), "k", 7)]
+    out = run_over(spark, tmp_path, rows)
+    sequences = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        ids = sequences.setdefault(r.sequence_id, [])
+        assert r.offset == len(ids) and r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        ids += r.ids
+    assert out and all(len(ids) <= 2048 for ids in sequences.values())
+    # without labels to learn from every text passes the classifiers; the mix takes no empty one
+    assert {r.doc_id for r in out} <= {1, None, 4} and sum(r.length for r in out) > 9000
