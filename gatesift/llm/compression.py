@@ -2,8 +2,9 @@
 
 Two Zstandard dictionaries are trained, one on good and one on bad labelled texts. A text that is
 like the good ones compresses better with theirs. The normalised difference of both compressed
-sizes, and nothing else, is calibrated into a score by a logistic regression on labelled rows that
-the dictionaries were not trained on.
+sizes, with the compressed size per byte beside it (degenerate text compresses far better than
+prose with either), is calibrated into a score by a logistic regression on labelled rows that the
+dictionaries were not trained on.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"\n".join(pieces)
 
 
-class SizeDifference:
-    """By how much better a text compresses with one dictionary than with the other."""
+class SizeFeatures:
+    """By how much better a text compresses with one dictionary than with the other, and how well."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.compressors = []
@@ -52,27 +53,27 @@ class SizeDifference:
             self.compressors.append(zstandard.ZstdCompressor(
                 level=LEVEL, dict_data=known, write_content_size=False))
 
-    def __call__(self, text: str | None) -> float:
+    def __call__(self, text: str | None) -> tuple[float, float]:
         raw = (text or "").encode()
         good, bad = (len(c.compress(raw)) for c in self.compressors)
-        return (bad - good) / max(good, bad)
+        return (bad - good) / max(good, bad), float(np.log((good + bad) / 2 / (len(raw) + 1)))
 
 
-def _differences(good: bytes, bad: bytes):
-    @F.pandas_udf("double")
-    def differences(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        measure = SizeDifference(good, bad)
+def _features(good: bytes, bad: bytes):
+    @F.pandas_udf("difference double, ratio double")
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        measure = SizeFeatures(good, bad)
         for texts in batches:
-            yield texts.map(measure).astype(float)
-    return differences
+            yield pd.DataFrame([measure(t) for t in texts], columns=["difference", "ratio"])
+    return features
 
 
 def _scores(good: bytes, bad: bytes, model: Logistic):
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        measure = SizeDifference(good, bad)
+        measure = SizeFeatures(good, bad)
         for texts in batches:
-            yield pd.Series(model.score([[measure(t)] for t in texts]))
+            yield pd.Series(model.score([measure(t) for t in texts]))
         del measure
         give_back_memory()
     return scores
@@ -109,9 +110,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
         share = (len(texts[1]) + 1) / (len(texts[0]) + len(texts[1]) + 2)
         return lambda text: F.lit(float(share))
     good, bad = _dictionary(texts[1]), _dictionary(texts[0])
-    measured = (sample.where("turn = 2").select("doc_id", "label", _differences(good, bad)("text").alias("d"))
-                .orderBy("doc_id").collect())
-    model = Logistic.fit(np.array([[r.d] for r in measured]).reshape(-1, 1), [r.label for r in measured])
+    measured = (sample.where("turn = 2").select("doc_id", "label", _features(good, bad)("text").alias("f"))
+                .select("doc_id", "label", "f.difference", "f.ratio").orderBy("doc_id").collect())
+    model = Logistic.fit(np.array([(r.difference, r.ratio) for r in measured]).reshape(-1, 2),
+                         [r.label for r in measured])
     score = _scores(good, bad, model)
     return lambda text: score(text)
 

@@ -67,27 +67,21 @@ def test_the_bound_of_the_sample_holds_whatever_repeats(spark):
     assert sorted(map(str, learn_from(docs.repartition(7), labels, "toxic", 5).collect())) == sorted(map(str, rows))
 
 
-def test_scores_follow_the_size_difference_of_whole_texts(spark, tables):
-    """The operator's scores against compressing each text here with the same dictionaries."""
+def test_features_are_the_sizes_of_whole_texts(spark, tables):
+    """The operator's features against compressing each text here with the same dictionaries."""
     import zstandard
 
     from gatesift.llm import compression
     docs, labels = tables
-    sample = compression.learn_from(docs, labels, "quality", compression.SAMPLE_ROWS).where("text <> ''")
-    turn = F.pmod(F.xxhash64(F.lit("turn"), "doc_id"), F.lit(3))
-    rows = sample.withColumn("turn", turn).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    trained = [compression._dictionary([r.text for r in rows if r.turn < 2 and r.label == v]) for v in (1, 0)]
-
-    def difference(text):
+    sample = compression.learn_from(docs, labels, "quality", compression.SAMPLE_ROWS).where("text <> ''").collect()
+    trained = [compression._dictionary([r.text for r in sample if r.label == v]) for v in (1, 0)]
+    measure = compression.SizeFeatures(*trained)
+    for text in [r.text for r in docs.limit(200).collect()] + [None, "", "word " * 100_000]:
+        raw = (text or "").encode()
         sizes = [len(zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(d),
-                                              write_content_size=False).compress((text or "").encode())) for d in trained]
-        return (sizes[1] - sizes[0]) / max(sizes)
-
-    out = compression.score_quality(docs.limit(200), labels).collect()
-    whole = compression.score_quality(docs, labels).where("doc_id < 200").collect()
-    pairs = sorted((difference(r.text), r.score) for r in whole)
-    assert all(a[1] <= b[1] + 1e-12 for a, b in zip(pairs, pairs[1:])) and pairs[0][1] < pairs[-1][1]
-    assert len(out) == 200 and all(a[1] == b[1] for a, b in zip(pairs, pairs[1:]) if a[0] == b[0])
+                                              write_content_size=False).compress(raw)) for d in trained]
+        assert measure(text) == pytest.approx(
+            ((sizes[1] - sizes[0]) / max(sizes), math.log(sum(sizes) / 2 / (len(raw) + 1))))
 
 
 def test_whole_rows_within_a_bound(spark):
