@@ -21,6 +21,7 @@ shingles, until the required overlap is reached or out of reach.
   are probed: first as many as would connect a list, then, with the components that these
   gave, all that are still across components. So no group gives all its pairs, and no link
   between different components is lost.
+* The links inside components are counted there (``link_counts``), where the number is asked for.
 
 A node is a 64-bit hash of a shingle set, shingles are 64-bit hashes. Merging holds a list
 longer than ``BIG_LIST`` in one task as 20 bytes a different text; copies do not count. Sketches
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 
 from gatesift.llm.common import stored
 from gatesift.llm.components import components
+from gatesift.llm.link_counts import link_counts, pair_required
 from gatesift.llm.shingles import mix, shingle_sets
 
 LEAST_SHARED = 4            # R: occurrences among the short lists
@@ -56,11 +58,6 @@ def required(n) -> np.ndarray:
     return (4 * n + 4) // 5
 
 
-def _pair_required(na, nb) -> np.ndarray:
-    """Overlap at which 100 * intersection reaches 80 * union."""
-    return (4 * (na + nb) + 8) // 9
-
-
 def _node(shingles: np.ndarray) -> int:
     total = np.add.reduce(mix(shingles ^ np.uint64(0x5DEECE66D))) + np.uint64(len(shingles))
     return int(mix(np.array([total]))[0].astype(np.int64))
@@ -175,7 +172,7 @@ def _within_reach(na, pa_, nb, pb) -> np.ndarray:
     and those that don't pass need not be counted.
     """
     left = np.minimum(na.astype(np.int64) - pa_, nb.astype(np.int64) - pb)
-    return left >= _pair_required(na.astype(np.int64), nb.astype(np.int64)) - (LEAST_SHARED - 1)
+    return left >= pair_required(na.astype(np.int64), nb.astype(np.int64)) - (LEAST_SHARED - 1)
 
 
 def _merge_bucket(rows: pa.Table) -> pa.Table:
@@ -231,12 +228,14 @@ def _merge_bucket(rows: pa.Table) -> pa.Table:
 
 
 def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(wanted node, text) -> (node, shingles as bytes), where the text is that node's."""
+    """(wanted node, text) -> (node, shingles as bytes), where the text is that node's, once a task."""
+    seen = set()
     for batch in batches:
         wanted, found, sets = batch.column(0).to_pylist(), [], []
         for row, shingles in _sets(batch):
             node = _node(shingles) if len(shingles) else None
-            if node is not None and wanted[row] in (None, node):
+            if node is not None and wanted[row] in (None, node) and node not in seen:
+                seen.add(node)
                 found.append(node)
                 sets.append(shingles.tobytes())
             if len(sets) >= 512:
@@ -249,7 +248,7 @@ def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def reaches(short: np.ndarray, long: np.ndarray, step: int = 256) -> bool:
     """Whether two sorted sets overlap enough: probe one's shingles in the other, in blocks."""
-    need, found = int(_pair_required(len(short), len(long))), 0
+    need, found = int(pair_required(len(short), len(long))), 0
     for start in range(0, len(short), step):
         if found + len(short) - start < need:
             return False
@@ -309,7 +308,7 @@ def _across(spanning: bool):
                     j = i + 1 + np.flatnonzero(fits)
                     differ = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
                     total = size[i] + size[j]
-                    near = differ <= total - 2 * _pair_required(size[i], size[j])
+                    near = differ <= total - 2 * pair_required(size[i], size[j])
                     j = j[near]
                     if spanning and len(j):
                         taken = []
@@ -364,11 +363,12 @@ def _most_frequent(sightings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return frequent[order], chosen["seen"].to_numpy()[order]
 
 
-def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts as nodes, and which nodes are linked by paths of similar pairs.
 
     ``docs`` has doc_id (long) and text. Returns (doc_id, node, n), a row a row of ``docs``,
-    node null without words; and (node, root) of the nodes that are similar to another.
+    node null without words; (node, root) of the nodes that are similar to another; and (node,
+    shingles), the sorted hashes as bytes, of these at least, a node more than once at times.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = stored(docs.mapInArrow(_scan, "doc_id long, node long, n long, seen long"), "scanned")
@@ -414,25 +414,33 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             found = stored(found, "across")
             links = links.union(stored(_linked(found, sets).distinct(), "links"))
             probed = probed.union(found)
-    return texts, stored(components(links), "components")
+    return texts, stored(components(links), "components"), sets
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
-    """Each row of ``docs`` with n_shingles and component_id.
+def ngram_components(docs: DataFrame, with_links: bool = False) -> DataFrame:
+    """Each row of ``docs`` with n_shingles and component_id, and n_links if asked for.
 
     Returns doc_id, n_shingles (size of the set of 5-word shingles; of a text with fewer
     words, 1; of an empty or null text, 0) and component_id: the smallest doc_id reachable
     over links, its own included. A text without words is linked with nothing. Repeated rows
     stay; a row without doc_id takes part in links but gives no smallest id, so its component
-    is null if no linked row has one. An empty table gives an empty one; further columns are
-    not looked at.
+    is null if no linked row has one. n_links counts the other rows that a row is linked with,
+    copies and rows without doc_id included. An empty table gives an empty one; further columns
+    are not looked at.
     """
-    texts, roots = similar_nodes(docs)
-    by_node = texts.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    texts, roots, sets = similar_nodes(docs)
+    by_node = (texts.where("node IS NOT NULL").groupBy("node")
+               .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    if with_links:
+        by_node = stored(by_node, "nodes")
     rooted = by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("node", "component_id")
-    return (texts.join(named, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-                     .alias("component_id")))
+    named = rooted.join(least, "root").select("node", "component_id", "copies")
+    if with_links:
+        linked = link_counts(sets, roots, by_node.select("node", "copies"))
+        named = named.join(linked, "node", "left")
+    out = ["doc_id", F.col("n").alias("n_shingles"),
+           F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    if with_links:
+        out.append(F.coalesce(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).alias("n_links"))
+    return texts.join(named, "node", "left").select(*out)

@@ -25,8 +25,8 @@ OUTPUT_SHARDS = 40
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's component of texts that share 80 % of their shingles."""
-    return ngram_components(table(spark, sf_dir, "documents"))
+    """Every document's component of texts that share 80 % of their shingles, and its links."""
+    return ngram_components(table(spark, sf_dir, "documents"), with_links=True)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

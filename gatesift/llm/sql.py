@@ -27,8 +27,10 @@ reach AS (
   SELECT doc_id AS x, doc_id AS y FROM sets
   UNION
   SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id,
+       CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
 FROM sets s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON s.doc_id = m.x
+LEFT JOIN (SELECT x, count(*) AS n FROM edges GROUP BY x) l ON s.doc_id = l.x
 """
 
 MIXING = f"""

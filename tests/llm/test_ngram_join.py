@@ -88,6 +88,58 @@ def test_big_lists_in_blocks_with_copies_around_the_similarity(spark, monkeypatc
     assert found(spark, docs) == expected
 
 
+def links_by_brute_force(docs):
+    sets = [shingles(t) for _, t in docs]
+    return sorted((str(docs[i][0]), sum(i != j and bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+                                        for j, b in enumerate(sets))) for i, a in enumerate(sets))
+
+
+def links_found(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(5)
+    return sorted((str(r.doc_id), r.n_links) for r in ngram_components(df, with_links=True).collect())
+
+
+@pytest.mark.parametrize("block_bytes", [None, 20_000, 3_000])
+def test_links_inside_components(spark, monkeypatch, block_bytes):
+    import gatesift.llm.link_counts as module
+    if block_bytes:  # whole components, classes of set size, and several blocks of a class
+        monkeypatch.setattr(module, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(12)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for _ in range(110):  # one component, similar to some of its members only, of several sizes
+        copy = list(base[:rng.randint(100, 150)])
+        for at in rng.sample(range(len(copy)), rng.randint(0, 4)):
+            copy[at] = f"c{rng.randrange(10_000)}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base)] * 7 + texts[:3] + ["a b", "A  b", "a b c", "", None, " "]
+    for i in range(40):
+        own = [f"d{i}x{k}" for k in range(rng.randint(1, 40))]
+        texts += [" ".join(own), " ".join(own[:-1] + ["e"]), " ".join(own + ["e"])]
+    docs = [*enumerate(texts), (5, texts[5]), (5, texts[6]), (None, texts[0]), (None, "a b"), (None, None)]
+    expected = links_by_brute_force(docs)
+    assert max(n for _, n in expected) > 30
+    assert links_found(spark, docs) == expected
+
+
+@pytest.mark.parametrize("split", [None, 0, 70, 200])
+def test_counts_by_short_and_long_lists(split):
+    from gatesift.llm.link_counts import linked_weights
+    rng = np.random.default_rng(3)
+    core = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([core[rng.random(300) < rng.choice([0.3, 0.85, 0.97])],
+                                      rng.integers(0, 500, 12).astype(np.uint64)])) for _ in range(200)]
+    weight = rng.integers(1, 9, 200)
+    expected = [sum(int(weight[j]) for j in range(200) if i != j and (split is None or (i < split) != (j < split))
+                    and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])))
+                for i in range(200)]
+    assert split in (0, 200) or max(expected) > 0
+    assert linked_weights(sets, weight, split).tolist() == expected
+
+
+def test_links_of_an_empty_table(spark):
+    assert links_found(spark, []) == []
+
+
 def test_sketches_differ_by_at_most_what_the_sets_differ_by():
     import pyarrow as pa
 
