@@ -8,6 +8,10 @@ whose axes are nearest to it in total, and all candidates are ranked by exact di
 Vectors that are equal are one class: however many there are, they fill one place of a bucket,
 and only the ``k + 1`` smallest ids of a class can be answers. A query that its probes give
 too few answers is searched again, exactly, against all classes.
+
+How many codes a query probes follows from the rows, and is raised to what recall needs: for
+``MEASURED`` queries the true neighbours are found by looking at all vectors, and how many probes
+reach each of them follows from its codes.
 """
 
 from __future__ import annotations
@@ -25,8 +29,11 @@ from gatesift.llm.common import stored
 
 TABLES = 32
 SEED = 9
+MEASURED = 100      # queries, chosen by hash, whose recall is measured
+TARGET = 0.97       # share of their true neighbours that the probes reach
 BROADCAST_BYTES = 64_000_000
 _BLOCK_BYTES = 8_000_000
+_CODES_AT_ONCE = 8_000_000
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -69,9 +76,41 @@ def codes(unit: np.ndarray, table: int, functions: int, probes: int) -> np.ndarr
     return out
 
 
+def probes_to_reach(unit: np.ndarray, near: np.ndarray, tables: int, functions: int) -> np.ndarray:
+    """How many probes a row needs until some table's probes hold the code of its neighbour.
+
+    ``unit`` is (rows, width), ``near`` (rows, neighbours, width). A code is probed after all
+    that lose less in total; those are counted by the sums of both halves of the rotations.
+    """
+    rows, k, width = near.shape
+    out = np.full((rows, k), np.iinfo(np.int64).max)
+    for table in range(tables):
+        loss, own = [], np.zeros((rows, k))
+        for function in range(functions):
+            scores = axis_scores(unit, table, function)
+            loss.append((scores.max(1, keepdims=True) - scores) ** 2)
+            axis = axis_scores(near.reshape(-1, width), table, function).argmax(1).reshape(rows, k)
+            own += np.take_along_axis(loss[-1], axis, 1)
+        for row in range(rows):
+            halves = []
+            for part in (loss[:functions // 2], loss[functions // 2:]):
+                sums = np.zeros(1)
+                for one in part:
+                    sums = np.add.outer(sums, one[row]).ravel()
+                halves.append(sums)
+            halves[1].sort()
+            for n in range(k):
+                less = int(np.searchsorted(halves[1], own[row, n] - halves[0] - 1e-12).sum())
+                out[row, n] = min(out[row, n], less + 1)
+    return out
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     flat = np.asarray(column.flatten(), float)
-    vectors = flat.reshape(len(column), -1)
+    return _normed(flat.reshape(len(column), -1))
+
+
+def _normed(vectors: np.ndarray) -> np.ndarray:
     scale = np.abs(vectors).max(axis=1, keepdims=True)  # first: squares of tiny or huge ones
     vectors = vectors / scale
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -80,8 +119,10 @@ def _unit(column: pa.Array) -> np.ndarray:
 def _hash_rows(tables: int, functions: int, probes: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                rows = batch.slice(start, 512)
+            width = 2 * len(batch.column(1).flatten()) // max(1, batch.num_rows)
+            step = max(1, min(512, _CODES_AT_ONCE // (probes * max(2, width))))
+            for start in range(0, batch.num_rows, step):
+                rows = batch.slice(start, step)
                 ids = np.asarray(rows.column(0))
                 unit = _unit(rows.column(1))
                 for table in range(tables):
@@ -143,11 +184,32 @@ def plan(rows: int, dimension: int, tables: int = TABLES) -> tuple[int, int]:
     return functions, max(16, math.ceil(probes))
 
 
+def measured_probes(queries: DataFrame, classes: DataFrame, dimension: int, k: int, tables: int,
+                    functions: int) -> int:
+    """Probes that reach ``TARGET`` of the true neighbours of ``MEASURED`` queries; 1 without any."""
+    sample = stored(queries.orderBy(F.xxhash64("class"), "class").limit(MEASURED), "sample")
+    found = _exact(sample, classes, dimension, k + 1)
+    if found is None:
+        return 1
+    points = sample.select(F.col("class").alias("query_class"), F.col("vector").alias("point"))
+    scored = (found.where("class <> query_class").join(classes, "class").join(F.broadcast(points), "query_class")
+              .withColumn("score", distance(F.col("vector"), F.col("point"))))
+    best = Window.partitionBy("query_class").orderBy("score", "class")
+    rows = (scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+            .select("point", "vector").collect())
+    if not rows:
+        return 1
+    point, near = (_normed(np.array([r[i] for r in rows], float)) for i in (0, 1))
+    needed = probes_to_reach(point, near[:, None, :], tables, functions)
+    return int(np.quantile(needed, TARGET, method="inverted_cdf"))
+
+
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES,
                        functions: int | None = None, probes: int | None = None) -> DataFrame:
     """The k nearest rows of each query row, by Euclidean distance.
 
-    Rotations a code and probes a table follow :func:`plan`, unless they are given.
+    Rotations a code and probes a table follow :func:`plan`, unless they are given; probes are at
+    least as many as :func:`measured_probes`.
 
     ``vectors`` has vec_id (long) and embedding (array of numbers); ``is_query`` is a condition
     on vec_id. Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the
@@ -175,7 +237,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, tables
     queries = stored(classes.join(asking, "class"), "queries")
 
     planned = plan(classes.count(), dimension, tables)
-    functions, probes = functions or planned[0], probes or planned[1]
+    functions = functions or planned[0]
+    probes = probes or max(planned[1], measured_probes(queries, classes, dimension, k, tables, functions))
     index = classes.mapInArrow(_hash_rows(tables, functions, 1, "class"), "class long, table int, code long")
     asked = queries.mapInArrow(_hash_rows(tables, functions, probes, "query_class"),
                                "query_class long, table int, code long")

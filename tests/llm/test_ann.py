@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import TESTDATA
-from gatesift.llm.ann import _hadamard, codes, nearest_neighbours
+from gatesift.llm.ann import _hadamard, codes, nearest_neighbours, probes_to_reach
 
 SCHEMA = "vec_id BIGINT, embedding ARRAY<DOUBLE>, class STRING, score INT"
 
@@ -31,6 +31,29 @@ def test_recall_on_given_vectors(spark):
     assert all(len(v) == 10 and v == sorted(v) for v in got.values())
 
 
+def test_probes_are_raised_to_what_recall_needs(spark, monkeypatch):
+    import gatesift.llm.ann as module
+    monkeypatch.setattr(module, "plan", lambda rows, *_: (2, 1))  # far too few
+    df = spark.read.parquet(f"{TESTDATA}/embeddings.parquet")
+    expected, hits = brute_force([(r.vec_id, r.embedding) for r in df.collect()]), 0
+    for r in nearest_neighbours(df, F.col("vec_id") % 100 == 0).collect():
+        hits += r.vec_id in {v for _, v in expected[r.query_id]}
+    assert hits >= 0.95 * 10 * len(expected)
+
+
+@pytest.mark.parametrize("functions", [1, 2, 3])
+def test_probes_to_reach_a_code(functions):
+    x = np.random.default_rng(2).normal(size=(6, 8))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.stack([unit[[1, 2, 3]]] * 6)
+    needed = probes_to_reach(unit, near, 3, functions)
+    for row in range(6):
+        for n, other in enumerate((1, 2, 3)):
+            places = [codes(unit[row:row + 1], t, functions, 16 ** functions)[0].tolist().index(
+                codes(unit[other:other + 1], t, functions, 1)[0, 0]) for t in range(3)]
+            assert needed[row, n] == min(places) + 1
+
+
 def test_ties_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.normal(size=6).tolist(), "x", 1) for i in range(60)]
