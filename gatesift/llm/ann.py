@@ -2,8 +2,8 @@
 
 A unit vector is turned by fast pseudo-rotations (random signs and a Hadamard transform, three
 times) and hashed to the nearest signed axis; a table's code joins the axes of several
-rotations. All vectors are indexed in all tables. A query probes, in each table, the codes
-whose axes are nearest to it in total, and all candidates are ranked by exact distance.
+rotations. All vectors are indexed in all tables. A query probes the codes, of all tables
+together, that most probably hold a neighbour, and all candidates are ranked by exact distance.
 
 Vectors that are equal are one class: however many there are, they fill one place of a bucket,
 and only the ``k + 1`` smallest ids of a class can be answers. A query that its probes give
@@ -31,6 +31,7 @@ TABLES = 32
 SEED = 9
 MEASURED = 100      # queries, chosen by hash, whose recall is measured
 TARGET = 0.97       # share of their true neighbours that the probes reach
+NEAR = 0.5          # cosine of neighbours, as long as none is measured
 BROADCAST_BYTES = 64_000_000
 _BLOCK_BYTES = 8_000_000
 _CODES_AT_ONCE = 8_000_000
@@ -59,38 +60,72 @@ def axis_scores(unit: np.ndarray, table: int, function: int, seed: int = SEED) -
     return scores
 
 
-def codes(unit: np.ndarray, table: int, functions: int, probes: int) -> np.ndarray:
-    """(rows, probes) codes of a table, the nearest first."""
+def sharpness(cosine: float, dimension: int) -> float:
+    """How fast an axis gets less probable for a neighbour of that cosine as the row's score falls.
+
+    A neighbour's scores are the row's, shrunk by the cosine, and noise; which axis is the largest
+    then follows, nearly, a softmax of the row's scores.
+    """
+    width = 1 << max(1, (dimension - 1).bit_length())
+    cosine = min(max(cosine, 0.1), 0.99)
+    return math.sqrt(2 * math.log(2 * width)) * cosine / math.sqrt((1 - cosine ** 2) / width)
+
+
+def _losses(scores: np.ndarray, sharp: float) -> np.ndarray:
+    """Minus the logarithm of each axis's probability."""
+    top = scores.max(1, keepdims=True)
+    return sharp * (top - scores) + np.log(np.exp(sharp * (scores - top)).sum(1, keepdims=True))
+
+
+def codes(unit: np.ndarray, table: int, functions: int, probes: int,
+          sharp: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, probes) codes of a table, the nearest first, and what each loses."""
     out = np.zeros((len(unit), 1), np.int64)
     lack = np.zeros((len(unit), 1))
     for function in range(functions):
-        scores = axis_scores(unit, table, function)
-        n = min(probes, scores.shape[1])
-        near = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-        value = np.take_along_axis(scores, near, 1)
-        loss = (value.max(1, keepdims=True) - value) ** 2
-        total = (lack[:, :, None] + loss[:, None, :]).reshape(len(unit), -1)
-        code = (out[:, :, None] * scores.shape[1] + near[:, None, :]).reshape(len(unit), -1)
+        loss = _losses(axis_scores(unit, table, function), sharp)
+        width = loss.shape[1]
+        n = min(probes, width)
+        near = np.argpartition(loss, n - 1, axis=1)[:, :n]
+        total = (lack[:, :, None] + np.take_along_axis(loss, near, 1)[:, None, :]).reshape(len(unit), -1)
+        code = (out[:, :, None] * width + near[:, None, :]).reshape(len(unit), -1)
         best = np.argsort(total, axis=1, kind="stable")[:, :probes]
         out, lack = np.take_along_axis(code, best, 1), np.take_along_axis(total, best, 1)
-    return out
+    return out, lack
+
+
+def probed(unit: np.ndarray, tables: int, functions: int, probes: int,
+           sharp: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, probes * tables) tables and codes: those of all tables that lose least."""
+    depth = 2 * probes
+    while True:
+        each = [codes(unit, table, functions, depth, sharp) for table in range(tables)]
+        n = each[0][0].shape[1]
+        code, lack = (np.concatenate([one[i] for one in each], 1) for i in (0, 1))
+        best = np.argsort(lack, axis=1, kind="stable")[:, :probes * tables]
+        last = np.take_along_axis(lack, best[:, -1:], 1)
+        if n < depth or all((one[1][:, -1:] >= last).all() for one in each):  # no table has more to give
+            return best // n, np.take_along_axis(code, best, 1)
+        depth *= 2
 
 
-def probes_to_reach(unit: np.ndarray, near: np.ndarray, tables: int, functions: int) -> np.ndarray:
-    """How many probes a row needs until some table's probes hold the code of its neighbour.
+def probes_to_reach(unit: np.ndarray, near: np.ndarray, tables: int, functions: int, sharp: float) -> np.ndarray:
+    """How many codes a row probes, of all tables, until one of them is a code of its neighbour.
 
     ``unit`` is (rows, width), ``near`` (rows, neighbours, width). A code is probed after all
     that lose less in total; those are counted by the sums of both halves of the rotations.
     """
     rows, k, width = near.shape
-    out = np.full((rows, k), np.iinfo(np.int64).max)
+    least = np.full((rows, k), np.inf)
     for table in range(tables):
-        loss, own = [], np.zeros((rows, k))
+        own = np.zeros((rows, k))
         for function in range(functions):
-            scores = axis_scores(unit, table, function)
-            loss.append((scores.max(1, keepdims=True) - scores) ** 2)
             axis = axis_scores(near.reshape(-1, width), table, function).argmax(1).reshape(rows, k)
-            own += np.take_along_axis(loss[-1], axis, 1)
+            own += np.take_along_axis(_losses(axis_scores(unit, table, function), sharp), axis, 1)
+        least = np.minimum(least, own)
+    out = np.ones((rows, k), np.int64)
+    for table in range(tables):
+        loss = [_losses(axis_scores(unit, table, function), sharp) for function in range(functions)]
         for row in range(rows):
             halves = []
             for part in (loss[:functions // 2], loss[functions // 2:]):
@@ -100,8 +135,7 @@ def probes_to_reach(unit: np.ndarray, near: np.ndarray, tables: int, functions:
                 halves.append(sums)
             halves[1].sort()
             for n in range(k):
-                less = int(np.searchsorted(halves[1], own[row, n] - halves[0] - 1e-12).sum())
-                out[row, n] = min(out[row, n], less + 1)
+                out[row, n] += int(np.searchsorted(halves[1], least[row, n] - halves[0] - 1e-12).sum())
     return out
 
 
@@ -116,20 +150,23 @@ def _normed(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _hash_rows(tables: int, functions: int, probes: int, name: str):
+def _hash_rows(tables: int, functions: int, name: str, probes: int = 0, sharp: float = 1.0):
+    """Rows to (row, table, code): its own code in each table, or the codes that a query probes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             width = 2 * len(batch.column(1).flatten()) // max(1, batch.num_rows)
-            step = max(1, min(512, _CODES_AT_ONCE // (probes * max(2, width))))
+            step = max(1, min(512, _CODES_AT_ONCE // (max(1, 2 * probes) * max(2 * tables, width))))
             for start in range(0, batch.num_rows, step):
                 rows = batch.slice(start, step)
-                ids = np.asarray(rows.column(0))
-                unit = _unit(rows.column(1))
-                for table in range(tables):
-                    own = codes(unit, table, functions, probes)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids, own.shape[1])), pa.array(np.full(own.size, table, np.int32)),
-                         pa.array(own.ravel())], names=[name, "table", "code"])
+                ids, unit = np.asarray(rows.column(0)), _unit(rows.column(1))
+                if not probes:
+                    code = np.concatenate([codes(unit, t, functions, 1)[0] for t in range(tables)], 1)
+                    table = np.broadcast_to(np.arange(tables), code.shape)
+                else:
+                    table, code = probed(unit, tables, functions, probes, sharp)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, code.shape[1])), pa.array(table.ravel().astype(np.int32)),
+                     pa.array(code.ravel())], names=[name, "table", "code"])
     return run
 
 
@@ -185,12 +222,15 @@ def plan(rows: int, dimension: int, tables: int = TABLES) -> tuple[int, int]:
 
 
 def measured_probes(queries: DataFrame, classes: DataFrame, dimension: int, k: int, tables: int,
-                    functions: int) -> int:
-    """Probes that reach ``TARGET`` of the true neighbours of ``MEASURED`` queries; 1 without any."""
+                    functions: int) -> tuple[int, float]:
+    """Probes a table that reach ``TARGET`` of the true neighbours of ``MEASURED`` queries, and the sharpness.
+
+    One probe, without any neighbours.
+    """
     sample = stored(queries.orderBy(F.xxhash64("class"), "class").limit(MEASURED), "sample")
     found = _exact(sample, classes, dimension, k + 1)
     if found is None:
-        return 1
+        return 1, sharpness(NEAR, dimension)
     points = sample.select(F.col("class").alias("query_class"), F.col("vector").alias("point"))
     scored = (found.where("class <> query_class").join(classes, "class").join(F.broadcast(points), "query_class")
               .withColumn("score", distance(F.col("vector"), F.col("point"))))
@@ -198,18 +238,20 @@ def measured_probes(queries: DataFrame, classes: DataFrame, dimension: int, k: i
     rows = (scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
             .select("point", "vector").collect())
     if not rows:
-        return 1
+        return 1, sharpness(NEAR, dimension)
     point, near = (_normed(np.array([r[i] for r in rows], float)) for i in (0, 1))
-    needed = probes_to_reach(point, near[:, None, :], tables, functions)
-    return int(np.quantile(needed, TARGET, method="inverted_cdf"))
+    sharp = sharpness(float((point * near).sum(1).mean()), dimension)
+    needed = probes_to_reach(point, near[:, None, :], tables, functions, sharp)
+    return math.ceil(np.quantile(needed, TARGET, method="inverted_cdf") / tables), sharp
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES,
                        functions: int | None = None, probes: int | None = None) -> DataFrame:
     """The k nearest rows of each query row, by Euclidean distance.
 
-    Rotations a code and probes a table follow :func:`plan`, unless they are given; probes are at
-    least as many as :func:`measured_probes`.
+    Rotations a code and probes a table (on average: the most probable codes of all tables are
+    probed) follow :func:`plan`, unless they are given; probes are at least as many as
+    :func:`measured_probes`.
 
     ``vectors`` has vec_id (long) and embedding (array of numbers); ``is_query`` is a condition
     on vec_id. Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the
@@ -238,9 +280,12 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, tables
 
     planned = plan(classes.count(), dimension, tables)
     functions = functions or planned[0]
-    probes = probes or max(planned[1], measured_probes(queries, classes, dimension, k, tables, functions))
-    index = classes.mapInArrow(_hash_rows(tables, functions, 1, "class"), "class long, table int, code long")
-    asked = queries.mapInArrow(_hash_rows(tables, functions, probes, "query_class"),
+    sharp = sharpness(NEAR, dimension)
+    if probes is None:
+        needed, sharp = measured_probes(queries, classes, dimension, k, tables, functions)
+        probes = max(planned[1], needed)
+    index = classes.mapInArrow(_hash_rows(tables, functions, "class"), "class long, table int, code long")
+    asked = queries.mapInArrow(_hash_rows(tables, functions, "query_class", probes, sharp),
                                "query_class long, table int, code long")
     pairs = stored(index.join(asked, ["table", "code"]).select("query_class", "class").distinct(), "pairs")
     enough = pairs.groupBy("query_class").agg(F.count("*").alias("n")).where(F.col("n") > k)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import TESTDATA
-from gatesift.llm.ann import _hadamard, codes, nearest_neighbours, probes_to_reach
+from gatesift.llm.ann import _hadamard, codes, nearest_neighbours, probed, probes_to_reach, sharpness
 
 SCHEMA = "vec_id BIGINT, embedding ARRAY<DOUBLE>, class STRING, score INT"
 
@@ -46,14 +46,31 @@ def test_probes_to_reach_a_code(functions):
     x = np.random.default_rng(2).normal(size=(6, 8))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = np.stack([unit[[1, 2, 3]]] * 6)
-    needed = probes_to_reach(unit, near, 3, functions)
+    sharp = sharpness(0.5, 8)
+    needed = probes_to_reach(unit, near, 3, functions, sharp)
+    table, code = probed(unit, 3, functions, 16 ** functions, sharp)
+    order = [list(zip(*pair)) for pair in zip(table.tolist(), code.tolist())]
     for row in range(6):
         for n, other in enumerate((1, 2, 3)):
-            places = [codes(unit[row:row + 1], t, functions, 16 ** functions)[0].tolist().index(
-                codes(unit[other:other + 1], t, functions, 1)[0, 0]) for t in range(3)]
+            places = [order[row].index((t, codes(unit[other:other + 1], t, functions, 1)[0][0, 0])) for t in range(3)]
             assert needed[row, n] == min(places) + 1
 
 
+def test_probed_codes_lose_least_in_all_tables():
+    x = np.random.default_rng(4).normal(size=(50, 8))
+    x[0] = [9, 0, 0, 0, 0, 0, 0, 0]
+    unit, sharp = x / np.linalg.norm(x, axis=1, keepdims=True), sharpness(0.5, 8)
+    every = [codes(unit, t, 2, 16 ** 2, sharp) for t in range(6)]  # all codes of all tables
+    for probes in (1, 3, 40, 256):
+        table, code = probed(unit, 6, 2, probes, sharp)
+        for row in range(50):
+            loss = sorted(v for _, lack in every for v in lack[row])
+            of = {(t, c): v for t, (own, lack) in enumerate(every) for c, v in zip(own[row], lack[row])}
+            picked = list(zip(table[row], code[row]))
+            assert len(set(picked)) == probes * 6
+            assert [of[p] for p in picked] == pytest.approx(loss[:probes * 6])
+
+
 def test_ties_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.normal(size=6).tolist(), "x", 1) for i in range(60)]
@@ -85,5 +102,5 @@ def test_rotations_keep_lengths_and_codes_are_nearest_first():
     x = np.random.default_rng(1).normal(size=(20, 16))
     assert np.allclose((_hadamard(x) ** 2).sum(1), (x ** 2).sum(1))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    one, many = codes(unit, 3, 2, 1), codes(unit, 3, 2, 30)
-    assert (many[:, :1] == one).all() and all(len(set(r)) == 30 for r in many.tolist())
+    (one, _), (many, lack) = codes(unit, 3, 2, 1), codes(unit, 3, 2, 30)
+    assert (many[:, :1] == one).all() and (np.diff(lack) >= 0).all() and all(len(set(r)) == 30 for r in many.tolist())
