@@ -661,9 +661,9 @@ def issue_by_lang(spark, sf):
 # --------------------------------------------------------------- streaming
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    # a table is a file or a folder of files; a stream takes a file only by a pattern
     schema = I.table(spark, sf, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .parquet(sf))
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}.parquet}}")
 
 
 class _Streams:

@@ -1,11 +1,13 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gatesift.operators import cache as C
 from gatesift.operators import replay
 from gatesift.operators import sessions as W
 from gatesift.operators.validate import validate_routed
+from gatesift.plans.queries import REGISTRY
 from gatesift.streaming import validation as SV
 from gatesift.streaming.state_table import StateTable
 
@@ -205,3 +207,18 @@ def test_session_counters(spark, tmp_path):
     batch = W.counter_sessions(df, ["counter"]).filter("counter = 'c'").select(*columns)
     assert sorted(spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()) == \
         sorted(batch.collect())
+
+
+@pytest.mark.parametrize(("name", "twin"), [
+    ("stream_dedup", None), ("stream_upsert", None)])
+def test_a_stream_reads_a_table_that_is_a_folder_of_files(spark, tmp_path, name, twin):
+    rows = [(i, "en", f"text {i // 2} <script ann.lee@mail.example.net", 30 + i // 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, lang STRING, text STRING, n_chars INT")
+    docs.repartition(4).write.parquet(str(tmp_path / "folder/documents.parquet"))
+    docs.limit(1).write.parquet(str(tmp_path / "folder/other_documents.parquet"))
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet", index=False)
+    got = sorted(REGISTRY[name](spark, str(tmp_path / "folder")).collect())
+    assert got == sorted(REGISTRY[name](spark, str(tmp_path)).collect())
+    if twin:
+        assert got == sorted(REGISTRY[twin](spark, str(tmp_path / "folder")).collect())
+    assert len(got) == (60 if twin else 30)
