@@ -210,7 +210,8 @@ def test_session_counters(spark, tmp_path):
 
 
 @pytest.mark.parametrize(("name", "twin"), [
-    ("stream_dedup", None), ("stream_upsert", None), ("stream_validate", "validate_text_high")])
+    ("stream_dedup", None), ("stream_upsert", None), ("stream_validate", "validate_text_high"),
+    ("stream_validate_files", "base64_roundtrip_verdict")])
 def test_a_stream_reads_a_table_that_is_a_folder_of_files(spark, tmp_path, name, twin):
     rows = [(i, "en", f"text {i // 2} <script ann.lee@mail.example.net", 30 + i // 2) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, lang STRING, text STRING, n_chars INT")
