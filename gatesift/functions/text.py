@@ -166,6 +166,19 @@ def runs_sql(folded: str) -> str:
     return f"regexp_extract_all({folded}, {quote(WORD + '+|' + NOT_WORD + '+')}, 0)"
 
 
+# Different characters that a place of a piece may be told by; with more, any character fits.
+PLACE_CHARACTERS = 200
+
+
+def places_regex(places: Iterable[Iterable[int]]) -> str:
+    """A regex for as many characters as there are places: each is one of the code points of its place."""
+    classes = []
+    for points in map(sorted, map(set, places)):
+        members = "".join(f"\\x{{{p:x}}}" for p in points)
+        classes.append(f"[{members}]" if len(points) <= PLACE_CHARACTERS else r"[\s\S]")
+    return "".join(classes)
+
+
 def run_windows_sql(runs: str, n: int) -> str:
     """All that ``n`` consecutive runs spell and that a whole-word match may equal.
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatesift import rules
@@ -76,16 +77,30 @@ def keyword_table_matches(df: DataFrame, keywords: DataFrame, text: str = "text"
 
 _FRAGMENT = 3        # characters that a pattern and a text with it share at least
 _STRETCH = 65_536    # characters cut into fragments at a time
+_BROADCAST = 32_000_000  # bytes of a dictionary that every task gets at a time
 
 
-def _fragments_sql(text: str, n: int) -> str:
-    """The different runs of n characters of a text, cut stretch by stretch."""
+def _fragments_sql(text: str, places: list[list[int]]) -> str:
+    """The different runs of characters of a text that have one of the code points of its place
+    at each place, cut stretch by stretch."""
+    n = len(places)
     found = (f"regexp_extract_all(substring({text}, i * {_STRETCH} + 1, {_STRETCH + n - 1}), "
-             f"'(?s)(?=(.{{{n}}}))', 1)")
+             f"{T.quote(f'(?s)(?=({T.places_regex(places)}))')}, 1)")
     stretches = f"sequence(0, cast(greatest(length({text}) - 1, 0) / {_STRETCH} AS int))"
     return f"array_distinct(flatten(transform({stretches}, i -> array_distinct({found}))))"
 
 
+def _places(column: str) -> list[Column]:
+    """Aggregates: the code points that strings begin with, place by place."""
+    return [F.collect_set(F.expr(f"ascii(substring({column}, {i + 1}, 1))")).alias(f"_gs_place{i}")
+            for i in range(_FRAGMENT)]
+
+
+def _n_bytes(column: str) -> Column:
+    """Aggregate: about the memory that rows of a dictionary take."""
+    return F.sum(F.octet_length(column) + 100).alias("_gs_bytes")
+
+
 def rule_table_matches(df: DataFrame, rule_table: DataFrame, text: str = "text",
                        profile: str = "text") -> DataFrame:
     """The same as :func:`rule_matches` for rules that are a table of any length.
@@ -96,7 +111,9 @@ def rule_table_matches(df: DataFrame, rule_table: DataFrame, text: str = "text",
     punctuation: the different fragments of a text are joined with those of the table, and what
     meets is searched for in the text. How many different fragments a table has is bounded by its
     alphabet, not its length. The driver gets which fragment lengths (patterns may be shorter) and
-    cases there are. Patterns are lower-case unless case matters; null and empty ones match nothing.
+    cases there are, with the characters at each place of their fragments: only such pieces are cut.
+    The table is broadcast, a large one in parts, each with a pass over the texts: no text is shuffled.
+    Patterns are lower-case unless case matters; null and empty ones match nothing.
     """
     kept = [c for c in df.columns if c != text]
     length = f"least(length(pattern), {_FRAGMENT})"
@@ -105,16 +122,23 @@ def rule_table_matches(df: DataFrame, rule_table: DataFrame, text: str = "text",
     entries = rule_table.filter("pattern <> ''").selectExpr(
         "family", "position", "pattern", "coalesce(case_sensitive, false) AS _gs_raw",
         f"array_max({marks}).p AS _gs_fragment")
-    kinds = entries.selectExpr("length(_gs_fragment) AS n", "_gs_raw").distinct().collect()
+    kinds = (entries.groupBy(F.length("_gs_fragment").alias("n"), "_gs_raw")
+             .agg(*_places("_gs_fragment"), _n_bytes("pattern")).collect())
     folded = df.select(*kept, F.col(text).alias("_gs_text"), F.expr(T.fold_sql(text, profile)).alias("_gs_lower"))
-    lists = [f"transform({_fragments_sql('_gs_text' if kind._gs_raw else '_gs_lower', kind.n)}, "
-             f"f -> struct(f AS f, {str(kind._gs_raw).lower()} AS r))" for kind in kinds]
+    lists = []
+    for kind in kinds:
+        cut = _fragments_sql("_gs_text" if kind._gs_raw else "_gs_lower",
+                             [kind[f"_gs_place{i}"] for i in range(kind.n)])
+        lists.append(f"transform({cut}, f -> struct(f AS f, {str(kind._gs_raw).lower()} AS r))")
     if not lists:  # no rules
         return df.filter("false").select(*kept, *[
             F.lit(None).cast(rule_table.schema[c].dataType).alias(c) for c in ("family", "position", "pattern")])
     cut = folded.selectExpr(*kept, "_gs_text", "_gs_lower", f"inline(concat({', '.join(lists)})) AS (_gs_f, _gs_r)")
-    wanted = entries.select(F.col("_gs_fragment").alias("_gs_f"), F.col("_gs_raw").alias("_gs_r")).distinct()
     meets = (F.col("_gs_f") == F.col("_gs_fragment")) & (F.col("_gs_r") == F.col("_gs_raw"))
-    return (cut.join(wanted, ["_gs_f", "_gs_r"], "left_semi").join(entries, meets)
-            .filter("contains(CASE WHEN _gs_raw THEN _gs_text ELSE _gs_lower END, pattern)")
-            .select(*kept, "family", "position", "pattern"))
+    n = -(-sum(kind._gs_bytes for kind in kinds) // _BROADCAST)
+    parts = [entries] if n == 1 else [
+        entries.filter(F.pmod(F.xxhash64("pattern"), F.lit(n)) == k) for k in range(n)]
+    found = [cut.join(F.broadcast(part), meets)
+             .filter("contains(CASE WHEN _gs_raw THEN _gs_text ELSE _gs_lower END, pattern)")
+             .select(*kept, "family", "position", "pattern") for part in parts]
+    return reduce(DataFrame.unionAll, found)

@@ -1,10 +1,14 @@
 import json
+import random
+from itertools import groupby
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gatesift import rules
+from gatesift.functions import text as T
+from gatesift.operators import matches
 from gatesift.operators.matches import (
     keyword_matches,
     keyword_table_matches,
@@ -125,6 +129,31 @@ def test_rules_as_a_table_of_any_length(spark):
     assert rule_table_matches(df, table.limit(0)).isEmpty()
 
 
+def test_table_matches_move_no_texts(spark, texts, tmp_path):
+    values = ["${x} <script `", "\U0001f600bc kill \U0001d49cx KILL", "do kill yourself, kill", None, ""] * 3
+    texts(values).repartition(3).write.parquet(str(tmp_path / "texts"))
+    df = spark.read.parquet(str(tmp_path / "texts"))
+    own = spark.createDataFrame([("own", 1, "\U0001f600bc", True, "all"), ("own", 2, "", False, "all")],
+                                dictionaries.rules_table(spark).schema)
+    table = dictionaries.rules_table(spark).union(own)
+    for found, more in ((rule_table_matches(df, table), {(1, "own", 1, "\U0001f600bc")}),
+                        (keyword_table_matches(df, dictionaries.keywords_table(spark)), {(2, "kill yourself")})):
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+        assert more <= set(map(tuple, found.collect()))
+
+
+def test_a_large_table_is_broadcast_in_parts(spark, texts, monkeypatch):
+    df = texts([f"some {p} here" for f in rules.FAMILIES for p in f.patterns] + [f"a {k}x {k}" for k in rules.KEYWORDS])
+    table, keywords = dictionaries.rules_table(spark), dictionaries.keywords_table(spark)
+    whole = [sorted(map(tuple, f.collect())) for f in (rule_table_matches(df, table), keyword_table_matches(df, keywords))]
+    monkeypatch.setattr(matches, "_BROADCAST", 9_000)
+    monkeypatch.setattr(T, "PLACE_CHARACTERS", 5)
+    parts = rule_table_matches(df, table)
+    assert parts._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") > 2
+    assert [sorted(map(tuple, f.collect())) for f in (parts, keyword_table_matches(df, keywords))] == whole
+
+
 def test_listed_files_that_are_missing_or_not_analysed(spark, tmp_path):
     for name, data in {"a": b"mail a@b.co", "b": b"%PDF fine", "c": b"z" * 50}.items():
         (tmp_path / name).write_bytes(data)
