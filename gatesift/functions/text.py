@@ -179,17 +179,21 @@ def places_regex(places: Iterable[Iterable[int]]) -> str:
     return "".join(classes)
 
 
-def run_windows_sql(runs: str, n: int) -> str:
+def run_windows_sql(folded: str, n: int, word: bool, places: Iterable[Iterable[int]]) -> str:
     """All that ``n`` consecutive runs spell and that a whole-word match may equal.
 
-    A match that begins or ends with other characters needs a word character beyond them.
+    The first run is one of word characters, or else of others; the first characters are of the code
+    points of their ``places``. A match that begins or ends with other characters needs a word
+    character beyond them.
     """
-    last, start = f"size({runs}) - {n}", f"get({runs}, i)"
-    is_word = f"RLIKE {quote('^' + WORD)}"
-    begins = f"(i > 0 OR {start} {is_word})"
-    ends = f"(i < {last} OR get({runs}, i + {n - 1}) {is_word})"
-    starts = f"filter(sequence(0, greatest({last}, 0)), i -> i <= {last} AND {begins} AND {ends})"
-    return f"transform({starts}, i -> array_join(slice({runs}, i + 1, {n}), ''))"
+    kinds = [word == (i % 2 == 0) for i in range(n)]
+    runs = "".join(f"{WORD if kind else NOT_WORD}++" for kind in kinds)
+    # a letter beyond U+FFFF: without one, Java looks behind by halves of such characters
+    behind = WORD[:-1] + "\U0001D49C]"
+    before = f"(?<!{behind})" if word else f"(?<={behind})"
+    after = "" if kinds[-1] else f"(?={WORD})"
+    regex = f"(?={places_regex(places)}){before}(?=({runs}){after})"
+    return f"regexp_extract_all({folded}, {quote(regex)}, 1)"
 
 
 def whole_word_sql(folded: str, keyword: str) -> str:

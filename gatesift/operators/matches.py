@@ -60,18 +60,24 @@ def keyword_table_matches(df: DataFrame, keywords: DataFrame, text: str = "text"
 
     Texts and keywords are cut into runs of word characters and runs of others. A keyword
     occurs as a whole word where as many consecutive runs as it has equal it, so the windows
-    of those lengths are joined with the dictionary; a small one is broadcast by its
-    statistics. The driver gets the different lengths only. Null and empty keywords match
-    nothing.
+    of those lengths that begin like a keyword are joined with the dictionary, which is broadcast
+    unless it is large. The driver gets the different lengths, and the characters that keywords of
+    each begin with. Null and empty keywords match nothing.
     """
     kept = [c for c in df.columns if c != text]
     entries = (keywords.select(F.expr(T.unicode_lower_sql("keyword")).alias("_gs_window"))
                .filter("_gs_window <> ''").distinct())
-    lengths = entries.select(F.expr(f"size({T.runs_sql('_gs_window')})").alias("n")).distinct()
-    windows = [T.run_windows_sql("_gs_runs", row.n) for row in lengths.collect()]
-    cut = df.select(*kept, F.expr(T.runs_sql(T.unicode_lower_sql(text))).alias("_gs_runs"))
-    found = cut.selectExpr(
+    kinds = (entries.groupBy(F.expr(f"size({T.runs_sql('_gs_window')})").alias("n"),
+                             F.expr(f"_gs_window RLIKE {T.quote('^' + T.WORD)}").alias("word"))
+             .agg(*_places("_gs_window"), F.min(F.length("_gs_window")).alias("least"),
+                  _n_bytes("_gs_window")).collect())
+    windows = [T.run_windows_sql("_gs_lower", kind.n, kind.word, [
+        kind[f"_gs_place{i}"] for i in range(min(kind.least, _FRAGMENT))]) for kind in kinds]
+    folded = df.select(*kept, F.expr(T.unicode_lower_sql(text)).alias("_gs_lower"))
+    found = folded.selectExpr(
         *kept, f"explode(array_distinct(concat({', '.join(windows or [T.NO_STRINGS])}))) AS _gs_window")
+    if sum(kind._gs_bytes for kind in kinds) <= _BROADCAST:
+        entries = F.broadcast(entries)
     return found.join(entries, "_gs_window").select(*kept, F.col("_gs_window").alias("keyword"))
 
 

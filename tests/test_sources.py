@@ -154,6 +154,27 @@ def test_a_large_table_is_broadcast_in_parts(spark, texts, monkeypatch):
     assert [sorted(map(tuple, f.collect())) for f in (parts, keyword_table_matches(df, keywords))] == whole
 
 
+def test_windows_of_runs_in_odd_texts(spark, texts):
+    rng = random.Random(5)
+    marks = ["a", "b", "\u00e9", "\U0001d49c", "\u4e2d", "7", "_", " ", "-", "(", "\U0001f600", "\n", "K", "\u0130"]
+    values = ["".join(rng.choices(marks, k=rng.randrange(12))) for _ in range(400)]
+    words = sorted({"".join(rng.choices(marks, k=rng.randrange(1, 4))).lower() for _ in range(400)})
+    table = spark.createDataFrame([(w,) for w in words], "keyword STRING")
+    got = {(r.id, r.keyword) for r in keyword_table_matches(texts(values), table).collect()}
+
+    def windows(text):
+        runs = ["".join(g) for _, g in groupby(text, lambda c: c.isalnum() or c == "_")]
+        for i in range(len(runs)):
+            for j in range(i + 1, len(runs) + 1):
+                word = [r[0].isalnum() or r[0] == "_" for r in (runs[i], runs[j - 1])]
+                if (i or word[0]) and (j < len(runs) or word[1]):
+                    yield "".join(runs[i:j])
+
+    lowered = [r[0] for r in texts(values).orderBy("id").selectExpr("lower(text)").collect()]
+    known = {r[0] for r in table.selectExpr("lower(keyword)").collect()}
+    assert got == {(i, w) for i, t in enumerate(lowered) for w in windows(t) if w in known} and len(got) > 100
+
+
 def test_listed_files_that_are_missing_or_not_analysed(spark, tmp_path):
     for name, data in {"a": b"mail a@b.co", "b": b"%PDF fine", "c": b"z" * 50}.items():
         (tmp_path / name).write_bytes(data)
