@@ -23,7 +23,15 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = rules.MAX_BYTES)
     The bytes of files beyond the limit are never read: their verdict needs none, so
     their content is NULL.
     """
-    files = spark.read.format("binaryFile").load(path)
+    return _within(_files_below(spark, path), max_bytes)
+
+
+def _files_below(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder and of the folders in it: listed once, no columns taken from folder names."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def _within(files: DataFrame, max_bytes: int) -> DataFrame:
     small = files.filter(F.col("length") <= max_bytes).select("path", "length", "content")
     large = files.filter(F.col("length") > max_bytes).select(
         "path", "length", F.lit(None).cast("binary").alias("content"))
@@ -40,9 +48,10 @@ def read_listed_files(spark: SparkSession, path: str, listed: DataFrame, key: Co
     """
     name = listed.columns[0]
     kind = listed.schema[0].dataType
-    files = read_files(spark, path, max_bytes).select(
+    below = _files_below(spark, path)
+    files = _within(below, max_bytes).select(
         key.cast(kind).alias(name), "path", "length", "content", F.lit(None).cast("string").alias("error"))
-    there = spark.read.format("binaryFile").load(path).select(key.cast(kind).alias(name)).distinct()
+    there = below.select(key.cast(kind).alias(name)).distinct()
     missing = listed.distinct().join(there, name, "left_anti")
     error = F.concat(F.lit(rules.FILE_MISSING_ERROR), F.col(name).cast("string"))
     return files.unionByName(missing.withColumn("error", error), allowMissingColumns=True)

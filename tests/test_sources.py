@@ -188,6 +188,20 @@ def test_listed_files_that_are_missing_or_not_analysed(spark, tmp_path):
     assert got["e"] == (False, [rules.FILE_UNAVAILABLE_ISSUE], rules.FILE_UNAVAILABLE_SUMMARY)
 
 
+def test_names_of_folders_are_no_columns_and_files_are_listed_once(spark, tmp_path, monkeypatch):
+    for i, folder in enumerate(("bundle=1", "part=2/bundle=2", "plain", "bundle=x")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / f"f{i}").write_text("mail a@b.co")
+    loads, reader = [], type(spark.read)
+    load = reader.load
+    monkeypatch.setattr(reader, "load", lambda self, *a, **b: loads.append(a) or load(self, *a, **b))
+    listed = spark.createDataFrame([(f"f{i}",) for i in range(5)], "name STRING")
+    found = files.read_listed_files(spark, str(tmp_path / "in"), listed, F.regexp_extract("path", "([^/]+)$", 1))
+    assert {(r.name, r.length, r.error is None) for r in found.collect()} == {
+        *((f"f{i}", 11, True) for i in range(4)), ("f4", None, False)}
+    assert len(loads) == 1
+
+
 def test_very_many_empty_pages_are_not_collected(spark):
     df = spark.range(20_000).selectExpr("1 AS doc_id", "cast(id AS int) AS page_no", "if(id = 77, 'x', '') AS text")
     none = spark.createDataFrame([(2, 1, ""), (3, 1, None), (None, 2, "b"), (None, 1, "a")],
