@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gatesift import rules
 from gatesift.functions.text import string_array
+from gatesift.sources.files import write_files
 from gatesift.sources.tables import spread
 
 # Texts that the rules' entries are dealt out over.
@@ -143,17 +144,13 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_files(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """Files of a few documents each, a line a document, in a folder ``bundle=<number>``; some PDFs.
-
-    Tasks put their files in place themselves: the driver would do so one folder after another.
-    """
+    """Files of a few documents each, a line a document, with ``bundle=<number>`` in their paths; some PDFs."""
     bundle = F.floor(F.col("doc_id") / BUNDLE)
     pdf = (F.col("doc_id") % BUNDLE == 0) & (bundle % 3 == 0)
     lines = corpus(spark, sf_dir).select(
         "doc_id", bundle.alias("bundle"),
         F.when(pdf, F.concat(F.lit("%PDF-1.4 "), F.col("text"))).otherwise(F.col("text")).alias("value"))
-    (lines.repartition("bundle").sortWithinPartitions("bundle", "doc_id").select("bundle", "value")
-     .write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("bundle").text(path))
+    write_files(lines.repartition("bundle").sortWithinPartitions("bundle", "doc_id").select("bundle", "value"), path)
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:

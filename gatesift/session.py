@@ -52,6 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """Where ``open()`` finds a path of the local file system; None in any other store."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.makeQualified(target).toUri().getPath() if store.getUri().getScheme() == "file" else None
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, lost with no executor."""
     spark = df.sparkSession

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,62 @@ from gatesift.operators.analyze import (
     oversize_analysis_sql,
     unavailable_analysis,
 )
+from gatesift.session import local_path
+
+# What opening a file counts for and what files of a task come to, where files are dealt out over tasks.
+OPEN_COST_BYTES = 16 * 1024
+TASK_BYTES = 32 * 1024 * 1024
+
+
+def write_files(lines: DataFrame, path: str) -> None:
+    """Text files, one for each value of the first column; the second has their lines.
+
+    The rows of a file come together and in order. Its path below ``path`` has ``<column>=<value>`` in
+    it. In a local file system tasks write files with plain calls, into a folder a task: Hadoop's
+    starts processes for every file, to set modes, and a folder a file takes long to list. Other
+    stores get Spark's files, a folder each; tasks put them in place themselves, as the driver would
+    do so one folder after another.
+    """
+    name, line = lines.columns
+    folder = local_path(lines.sparkSession, path)
+    if folder is None:
+        (lines.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+         .partitionBy(name).text(path))
+        return
+    os.makedirs(folder)
+    # as bytes: a line is written as it is, and need not be valid UTF-8
+    named = lines.select(F.col(name).cast("string"), F.col(line).cast("binary"))
+    named.mapInArrow(_file_writer(folder, name), "files BIGINT").write.format("noop").mode("overwrite").save()
+
+
+def _file_writer(folder: str, column: str) -> Callable:
+    """Writes the files of a partition, as a closure that ships by value."""
+
+    def write(batches):
+        import os
+        from itertools import groupby
+        from urllib.parse import quote
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        below, count = f"{folder}/part-{task.partitionId():05d}", 0
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for key, group in groupby(rows, lambda row: row[0]):
+            os.makedirs(below, exist_ok=True)
+            name = f"{column}={quote(key, safe='') if key else '__HIVE_DEFAULT_PARTITION__'}"
+            # readers skip hidden files, so they see none that is broken off; another attempt writes the same ones
+            hidden = f"{below}/.{task.taskAttemptId()}"
+            with open(hidden, "wb") as file:
+                for _, line in group:
+                    file.write(line or b"")
+                    file.write(b"\n")
+            os.replace(hidden, f"{below}/{name}")
+            count += 1
+        yield pa.RecordBatch.from_pydict({"files": [count]})
+
+    return write
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = rules.MAX_BYTES) -> DataFrame:
@@ -27,8 +86,20 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = rules.MAX_BYTES)
 
 
 def _files_below(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder and of the folders in it: listed once, no columns taken from folder names."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """Files of a folder and of the folders in it: listed once, no columns taken from folder names.
+
+    Spark counts every file as 4 MB more than it has, so 32 small ones were a task. How files are dealt out
+    is a setting of the session that lists them: a copy of this one, in which they count by their bytes.
+    """
+    copied = spark._jsparkSession.cloneSession()
+    dealing = type(spark)(spark.sparkContext, copied)
+    dealing.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST_BYTES))
+    most = min(TASK_BYTES, copied.sessionState().conf().filesMaxPartitionBytes())
+    dealing.conf.set("spark.sql.files.maxPartitionBytes", str(most))
+    files = dealing.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # a union belongs to the session of its first part; the optimizer removes the empty one
+    types = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in files.schema)
+    return spark.sql(f"SELECT {types} WHERE false").unionByName(files)
 
 
 def _within(files: DataFrame, max_bytes: int) -> DataFrame:

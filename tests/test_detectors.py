@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -121,6 +122,21 @@ def test_pii(texts):
     assert got == [[rules.PII_ISSUE, *v] if v else [] for v in cases.values()]
 
 
+def test_cheap_pii_tests_give_what_the_patterns_give(texts):
+    draw = random.Random(4)
+    pieces = ["415-555-0199", "(415) 555-0199", "+1 415.555.0199", "555 010 4477", "321-54-9876", "a.b@c.de",
+              "x@y.z", "@", "+", "(", ")", "-", ".", " ", "\n", "_", "1", "22", "333", "4444", "a", "\u00e9", "+12 "]
+    values = ["".join(draw.choices(pieces, k=draw.randint(1, 7))) for _ in range(4000)]
+    # a long run of the characters that addresses may begin with
+    values += ["a" * 300_000 + " @ " + "b" * 300_000, "a" * 300_000 + "@b.cc"]
+    rows = texts(values).select("id", D.has_email("text"), D.has_phone("text"), D.has_ssn("text")).collect()
+    patterns = [re.compile(p, re.ASCII) for p in (rules.EMAIL_REGEX, rules.PHONE_REGEX, rules.SSN_REGEX)]
+    for i, *got in rows:
+        expected = [bool(p.search(values[i])) for p in patterns] if i < 4000 else [i == 4001, False, False]
+        assert got == expected, values[i][:80]
+    assert all(200 < sum(r[k] for r in rows) < 3800 for k in (1, 2, 3))
+
+
 def test_profiles_differ(texts):
     df = texts(["You are stupid", "mail a@b.co", "eval('x')"])
     text = column(A.analyze_text(df), "analysis.detected_issues")

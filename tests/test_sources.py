@@ -202,6 +202,46 @@ def test_names_of_folders_are_no_columns_and_files_are_listed_once(spark, tmp_pa
     assert len(loads) == 1
 
 
+def test_files_are_written_by_tasks_into_few_folders(spark, tmp_path):
+    rows = [(i // 3 if i else None, f"{i}\u00e9" if i % 7 else None, i) for i in range(900)]
+    lines = spark.createDataFrame(rows, "bundle BIGINT, value STRING, n INT") \
+        .withColumn("value", F.when(F.col("n") == 5, F.expr("cast(X'61FF62' AS string)")).otherwise(F.col("value"))) \
+        .repartition(4, "bundle").sortWithinPartitions("bundle", "n").drop("n")
+    files.write_files(lines, str(tmp_path / "out"))
+    written = [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    assert len({p.parent for p in written}) <= 4 and not any(p.name.startswith(".") for p in written)
+    expected = {}
+    for bundle, value, n in rows:
+        name = "bundle=__HIVE_DEFAULT_PARTITION__" if bundle is None else f"bundle={bundle}"
+        expected.setdefault(name, []).append(b"a\xffb" if n == 5 else (value or "").encode())
+    assert {p.name: p.read_bytes() for p in written} == {
+        name: b"".join(v + b"\n" for v in values) for name, values in expected.items()}
+    with pytest.raises(FileExistsError):
+        files.write_files(lines, str(tmp_path / "out"))
+
+
+def test_another_store_gets_a_folder_a_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "local_path", lambda *_: None)
+    lines = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "bundle BIGINT, value STRING")
+    files.write_files(lines.repartition(2, "bundle").sortWithinPartitions("bundle", "value"), str(tmp_path / "out"))
+    found = {r.path.split("bundle=")[1][0]: bytes(r.content) for r in
+             files.read_files(spark, str(tmp_path / "out")).collect()}
+    assert found == {"1": b"a\nb\n", "2": b"\n"}
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(1500):
+        (tmp_path / f"f{i}").write_bytes(b"z" * (1 + i % 50))
+    settings = "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"
+    before = [spark.conf.get(k) for k in settings]
+    found = files.read_files(spark, str(tmp_path), max_bytes=40)
+    # one pass over the files within the limit, one over the others
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert found.count() == 1500 and found.filter("content IS NULL").count() == 300
+    assert found.sparkSession is spark and [spark.conf.get(k) for k in settings] == before
+    assert found._jdf.sparkSession().equals(spark._jsparkSession)
+
+
 def test_very_many_empty_pages_are_not_collected(spark):
     df = spark.range(20_000).selectExpr("1 AS doc_id", "cast(id AS int) AS page_no", "if(id = 77, 'x', '') AS text")
     none = spark.createDataFrame([(2, 1, ""), (3, 1, None), (None, 2, "b"), (None, 1, "a")],
